@@ -25,5 +25,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict:
     # import for side effect: each module registers its queries
-    from cohortspark.plans.suite import audit_q, htest_q, merge_q, profile_q, table1_q  # noqa: F401
+    from cohortspark.plans.suite import audit_q, diag_q, htest_q, merge_q, profile_q, table1_q  # noqa: F401
     return REGISTRY
