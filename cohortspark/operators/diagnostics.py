@@ -70,6 +70,11 @@ def top_associations(df: DataFrame, target: str, cols: Sequence[str], k: int = 5
                            salt_on=["column"], rank_col="rank").drop("_g", "leak_suspect")
 
 
+def _below(x: Column):
+    """filter predicate e < x (a one-argument lambda: PySpark reads two as (e, i))."""
+    return lambda e: e < x
+
+
 def mutual_information(df: DataFrame, target: str, cols: Sequence[str], bins: int = 10) -> DataFrame:
     """Plug-in mutual information (nats) between quantile-binned features and a
     class target over all rows.  Edges from one quantile agg; counts from one
@@ -82,7 +87,7 @@ def mutual_information(df: DataFrame, target: str, cols: Sequence[str], bins: in
         edges = sorted(set(row[f"e{i}"] or []))
         arr = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
         x = q(c).cast("double")
-        binned.append(F.when(x.isNotNull(), F.size(F.filter(arr, lambda e, x=x: e < x))).alias(c))
+        binned.append(F.when(x.isNotNull(), F.size(F.filter(arr, _below(x)))).alias(c))
     t = df.where(q(target).isNotNull()).select(q(target).cast("string").alias("y"), *binned)
     long = t.unpivot("y", cols, "feature", "bin").where(F.col("bin").isNotNull())
     cells = long.groupBy("feature", "bin", "y").agg(F.count(F.lit(1)).alias("n"))
