@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortspark.functions.columns import q
 
@@ -61,18 +62,19 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), weight: s
         for b, t in sorted(lst):
             offs[(g, b)] = acc
             acc += t
+    win = Window.partitionBy(*by, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
     if by:
-        keys = []
-        for (g, b), o in offs.items():
-            keys.append(F.struct(*[F.lit(v) for v in g], F.lit(b)))
-            keys.append(F.lit(o))
-        off_map = F.create_map(*keys) if keys else None
-        key = F.struct(*[F.col(f"`{b}`") for b in by], F.col("__b"))
+        # offsets table has O(groups x buckets) rows and is already on the driver: broadcast it
+        schema = vb.select(*[q(b) for b in by]).schema
+        rows = [(*g, b, o) for (g, b), o in offs.items()]
+        odf = vb.sparkSession.createDataFrame(
+            rows, schema.add("__b", T.IntegerType()).add("__off", T.LongType()))
+        vb = vb.join(F.broadcast(odf), [*by, "__b"], "left")
+        off = F.coalesce(F.col("__off"), F.lit(0))
     else:
         off_map = F.create_map(*[x for (g, b), o in offs.items() for x in (F.lit(b), F.lit(o))])
-        key = F.col("__b")
-    win = Window.partitionBy(*by, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("cnt").over(win), F.lit(0)) + off_map[key]
+        off = off_map[F.col("__b")]
+    before = F.coalesce(F.sum("cnt").over(win), F.lit(0)) + off
     out = vb.select(*[q(b) for b in by], F.col("__v").alias(value), "cnt", before.cast("long").alias("before"))
     return out.withColumn("avg_rank", F.col("before") + (F.col("cnt") + 1) / 2.0)
 
