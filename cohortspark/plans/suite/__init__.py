@@ -25,6 +25,6 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict:
     # import for side effect: each module registers its queries
-    from cohortspark.plans.suite import (audit_q, diag_q, htest_q, merge_q, prep_q, profile_q,  # noqa: F401
+    from cohortspark.plans.suite import (audit_q, diag_q, eval_q, htest_q, merge_q, prep_q, profile_q,  # noqa: F401
                                           table1_q)
     return REGISTRY
