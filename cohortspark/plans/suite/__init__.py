@@ -25,6 +25,7 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict:
     # import for side effect: each module registers its queries
-    from cohortspark.plans.suite import (audit_q, diag_q, eval_q, htest_q, merge_q, models_q, prep_q, profile_q,  # noqa: F401
+    from cohortspark.plans.suite import (audit_q, diag_q, eval_q, featsel_q, htest_q, merge_q, models_q,  # noqa: F401
+                                          prep_q, profile_q,
                                           table1_q)
     return REGISTRY
