@@ -26,6 +26,6 @@ def register(name: str, sql: str | None = None):
 def load_all() -> dict:
     # import for side effect: each module registers its queries
     from cohortspark.plans.suite import (audit_q, diag_q, eval_q, featsel_q, htest_q, merge_q, models_q,  # noqa: F401
-                                          explain_q, prep_q, profile_q,
+                                          explain_q, io_q, prep_q, profile_q,
                                           table1_q)
     return REGISTRY
