@@ -16,7 +16,7 @@ from cohortspark.functions.columns import (categorical_cols, is_categorical_type
                                            is_datetime_type, is_integral_type, is_numeric_type,
                                            kurt_g2, numeric_cols, q, skew_g1)
 from cohortspark.functions.topk import top_k_per_group
-from cohortspark.operators.outliers import fit_bounds, flag_expr
+from cohortspark.operators.outliers import Bounds, fit_bounds, flag_expr
 
 # ------------------------------------------------------------ feature profile (43)
 
@@ -33,20 +33,38 @@ def feature_profile(df: DataFrame, cols: Sequence[str] | None = None,
     cols = list(cols) if cols is not None else df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
     num = [c for c in cols if is_numeric_type(types[c])]
-    bounds = fit_bounds(df, num, outlier_method) if num else {}
+    medians: dict = {}
+    if num and outlier_method == "iqr":
+        # one quantile pass gives the IQR bounds and the medians together
+        qrow = df.agg(*[quantile_expr(q(c), [0.25, 0.5, 0.75]).alias(f"q{i}") for i, c in enumerate(num)],
+                      *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(num)]).first()
+        bounds = {}
+        for i, c in enumerate(num):
+            qs, n_c = qrow[f"q{i}"], int(qrow[f"n{i}"] or 0)
+            medians[c] = qs[1] if qs else None
+            iqr = (qs[2] - qs[0]) if qs else 0.0
+            bounds[c] = (Bounds("iqr", n_c, qs[0] - 1.5 * iqr, qs[2] + 1.5 * iqr) if n_c >= 3 and iqr != 0
+                         else Bounds("iqr", n_c))
+    else:
+        bounds = fit_bounds(df, num, outlier_method) if num else {}
     distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
 
+    # distinct counts in their own aggregation: mixed with the other
+    # aggregates Spark would expand every row once per distinct column for all
+    # of them; alone, only the (cheap) distinct step pays that.
+    urow = df.agg(*[distinct(q(c)).alias(f"u{i}") for i, c in enumerate(cols)]).first()
     exprs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
         x = q(c)
         exprs += [F.sum(x.isNull().cast("long")).alias(f"c{i}_miss"),
-                  distinct(x).alias(f"c{i}_uniq")]
+                  F.lit(int(urow[f"u{i}"])).cast("long").alias(f"c{i}_uniq")]
         if c in bounds:
             d = x.cast("double")
             exprs += [F.count(x).alias(f"c{i}_nn"), F.avg(d).alias(f"c{i}_mean"),
                       F.stddev_samp(d).alias(f"c{i}_std"), F.min(d).alias(f"c{i}_min"),
                       F.max(d).alias(f"c{i}_max"),
-                      quantile_expr(x, [0.5])[0].alias(f"c{i}_med"),
+                      (F.lit(medians[c]).cast("double") if c in medians
+                       else quantile_expr(x, [0.5])[0]).alias(f"c{i}_med"),
                       F.skewness(d).alias(f"c{i}_g1"),
                       F.sum(flag_expr(c, bounds[c]).cast("long")).alias(f"c{i}_out")]
     row = df.agg(*exprs)

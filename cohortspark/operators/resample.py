@@ -72,12 +72,12 @@ def _partials(spec_cols, hist_col, n_rep, bins, chunk=2048):
                     jh = None
                     if hist_col is not None:
                         hb = part[hist_col].to_numpy()[sel].astype(np.int64)   # bin (neg scores: -bin-1)
-                        oh = np.zeros((len(hb), 2 * bins))
                         idx = np.where(hb >= 0, hb, bins + (-hb - 1))
-                        oh[np.arange(len(hb)), idx] = 1.0
-                        hist = w.T @ oh                              # B x 2bins
+                        hist_t = np.zeros((2 * bins, w.shape[1]))
+                        np.add.at(hist_t, idx, w)                    # scatter rows' weights into their bins
+                        hist = hist_t.T                              # B x 2bins
                         jh = np.zeros((50, 2 * bins))
-                        np.add.at(jh, jg[sel], oh)
+                        np.add.at(jh, (jg[sel], idx), 1.0)
                     prev = acc.get(k)
                     cur = [boot, jack, hist, jh]
                     acc[k] = cur if prev is None else [a + b if a is not None else None for a, b in zip(prev, cur)]
