@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortspark.functions.columns import normalize_missing, round_doubles
-from cohortspark.sources.io import load_parquet
+from cohortspark.sources.io import balance_partitions, load_parquet
 
 DP = 6
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return normalize_missing(load_parquet(spark, f"{sf_dir}/{name}.parquet"))
+    return normalize_missing(balance_partitions(load_parquet(spark, f"{sf_dir}/{name}.parquet")))
 
 
 def rounded(df: DataFrame, dp: int = DP) -> DataFrame:

@@ -215,3 +215,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     from cohortspark.session import checkpoint_dir
     return f"{checkpoint_dir(spark).rstrip('/')}/io/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def balance_partitions(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has cores
+    (e.g. one large single-row-group file) over ``defaultParallelism`` tasks.
+    Scans of large tables already produce many splits and are left alone, so
+    this never adds a shuffle at scale."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
