@@ -9,7 +9,7 @@ from cohortspark.operators import calibrate as cal
 from cohortspark.operators import metrics as mt
 from cohortspark.operators import resample as rs
 from cohortspark.plans.suite import register
-from cohortspark.plans.suite.common import r, rounded, table
+from cohortspark.plans.suite.common import r, rcol, rounded, table
 
 
 def reg_preds(spark, sf):
@@ -134,8 +134,8 @@ SELECT {r("corr(y, yhat)")} AS correlation, {r("max(yhat - y)", 4)} AS max_overp
 """)
 def q_pva(spark, sf):
     t = mt.pred_vs_actual(reg_preds(spark, sf), "y", "yhat")
-    return t.select(F.round("correlation", 6).alias("correlation"), F.round("max_overprediction", 4).alias("max_overprediction"),
-                    F.round("max_underprediction", 4).alias("max_underprediction"), F.round("mean_error", 4).alias("mean_error"))
+    return t.select(rcol("correlation", 6).alias("correlation"), rcol("max_overprediction", 4).alias("max_overprediction"),
+                    rcol("max_underprediction", 4).alias("max_underprediction"), rcol("mean_error", 4).alias("mean_error"))
 
 
 @register("eval_bias_by_quintile", f"""
@@ -256,9 +256,9 @@ SELECT {r("regr_slope(y, yhat)")} AS calibration_slope, {r("regr_intercept(y, yh
 """)
 def q_calib_reg(spark, sf):
     t = cal.calibration_regression(reg_preds(spark, sf), "y", "yhat")
-    return t.select(F.round("calibration_slope", 6).alias("calibration_slope"),
-                    F.round("calibration_intercept", 4).alias("calibration_intercept"),
-                    F.round("calibration_r2", 6).alias("calibration_r2"))
+    return t.select(rcol("calibration_slope", 6).alias("calibration_slope"),
+                    rcol("calibration_intercept", 4).alias("calibration_intercept"),
+                    rcol("calibration_r2", 6).alias("calibration_r2"))
 
 
 @register("calib_platt")

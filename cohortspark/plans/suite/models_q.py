@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortspark.operators import models as md
 from cohortspark.operators import split as sp
 from cohortspark.plans.suite import register
-from cohortspark.plans.suite.common import r, rounded, table
+from cohortspark.plans.suite.common import r, rcol, rounded, table
 
 FEATS = ["l_quantity", "l_discount", "l_tax"]
 
@@ -43,7 +43,7 @@ FROM lineitem
 """)
 def q_ols_single(spark, sf):
     m = md.fit_ols(table(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice")
-    return spark.range(1).select(F.round(F.lit(m.intercept), 4).alias("intercept"), F.round(F.lit(m.coef[0]), 6).alias("slope"))
+    return spark.range(1).select(rcol(F.lit(m.intercept), 4).alias("intercept"), rcol(F.lit(m.coef[0]), 6).alias("slope"))
 
 
 @register("model_ridge_single", f"""
@@ -53,7 +53,7 @@ SELECT {r("my - mx * sxy / (sxx + 1000.0)", 4)} AS intercept, {r("sxy / (sxx + 1
 """)
 def q_ridge_single(spark, sf):
     m = md.fit_ols(table(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice", alpha=1000.0, name="ridge")
-    return spark.range(1).select(F.round(F.lit(m.intercept), 4).alias("intercept"), F.round(F.lit(m.coef[0]), 6).alias("slope"))
+    return spark.range(1).select(rcol(F.lit(m.intercept), 4).alias("intercept"), rcol(F.lit(m.coef[0]), 6).alias("slope"))
 
 
 @register("model_coefficient_table", f"""

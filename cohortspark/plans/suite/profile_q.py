@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators import outliers, plausibility, profile
 from cohortspark.plans.suite import register
-from cohortspark.plans.suite.common import r, rounded, table, union_sql
+from cohortspark.plans.suite.common import r, rcol, rounded, table, union_sql
 
 LI_PROF = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
 _T = {"l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double",
@@ -74,9 +74,9 @@ FROM orders, {_iqr_bounds_sql("o_totalprice", "orders")} b GROUP BY lo, hi
 """)
 def q_target_regression(spark, sf):
     return rounded(rounded(profile.target_profile_regression(table(spark, sf, "orders"), "o_totalprice"), 6)
-                   .select("target", "n_unique", F.round("mean", 4).alias("mean"),
-                           F.round("std", 4).alias("std"), F.round("min", 4).alias("min"),
-                           F.round("max", 4).alias("max"), F.round("median", 4).alias("median"),
+                   .select("target", "n_unique", rcol("mean", 4).alias("mean"),
+                           rcol("std", 4).alias("std"), rcol("min", 4).alias("min"),
+                           rcol("max", 4).alias("max"), rcol("median", 4).alias("median"),
                            "skewness", "outlier_rate", "has_outliers"))
 
 
