@@ -178,9 +178,21 @@ class KNNModel(FittedModel):
 # ------------------------------------------------------------------ fitters
 
 def _assemble(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """Model matrix for an iterative MLlib fit, persisted (memory, spilling to
+    disk) so each optimiser pass does not recompute the upstream plan; lost
+    blocks are recomputed from lineage.  ``_fit`` releases it afterwards."""
+    from pyspark import StorageLevel
     va = VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="skip")
-    return va.transform(df.where(q(label).isNotNull()).select(*[q(c).cast("double").alias(c) for c in features],
-                                                             q(label).cast("double").alias("__label")))
+    t = va.transform(df.where(q(label).isNotNull()).select(*[q(c).cast("double").alias(c) for c in features],
+                                                          q(label).cast("double").alias("__label")))
+    return t.select("__features", "__label").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _fit(estimator, data: DataFrame):
+    try:
+        return estimator.fit(data)
+    finally:
+        data.unpersist()
 
 
 def fit_ols(df, features, label, alpha: float = 0.0, name: str = "ols") -> LinearExpr:
@@ -206,8 +218,8 @@ def fit_elastic(df, features, label, alpha: float = 1.0, l1_ratio: float = 0.5,
     a2 = alpha * (1 - l1_ratio) * _pop_sd(df, label)
     reg = a1 + a2
     en = a1 / reg if reg > 0 else 0.0
-    m = LinearRegression(featuresCol="__features", labelCol="__label", regParam=reg, elasticNetParam=en,
-                         standardization=False, maxIter=max_iter).fit(_assemble(df, features, label))
+    m = _fit(LinearRegression(featuresCol="__features", labelCol="__label", regParam=reg, elasticNetParam=en,
+                         standardization=False, maxIter=max_iter), _assemble(df, features, label))
     return SparkML(name, list(features), m)
 
 
@@ -220,6 +232,7 @@ def fit_logistic(df, features, label, C: float = 1.0, penalty: str = "l2", name:
     m = LogisticRegression(featuresCol="__features", labelCol="__label", regParam=1.0 / (C * n),
                            elasticNetParam=1.0 if penalty == "l1" else 0.0, standardization=False,
                            maxIter=max_iter).fit(t)
+    t.unpersist()
     return SparkML(name, list(features), m, "classification")
 
 
@@ -229,6 +242,7 @@ def fit_huber(df, features, label, epsilon: float = 1.35, alpha: float = 0.0, na
     n = t.count()
     m = LinearRegression(featuresCol="__features", labelCol="__label", loss="huber", epsilon=epsilon,
                          regParam=alpha / n, standardization=False).fit(t)
+    t.unpersist()
     return SparkML(name, list(features), m)
 
 
@@ -239,9 +253,9 @@ def fit_forest(df, features, label, task="regression", n_trees: int = 100, max_d
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
     cls = RandomForestRegressor if task == "regression" else RandomForestClassifier
-    m = cls(featuresCol="__features", labelCol="__label", numTrees=n_trees, maxDepth=min(max_depth, 30),
+    m = _fit(cls(featuresCol="__features", labelCol="__label", numTrees=n_trees, maxDepth=min(max_depth, 30),
             minInstancesPerNode=min_leaf, bootstrap=bootstrap, seed=seed,
-            featureSubsetStrategy="auto" if bootstrap else "sqrt").fit(_assemble(df, features, label))
+            featureSubsetStrategy="auto" if bootstrap else "sqrt"), _assemble(df, features, label))
     return SparkML(name, list(features), m, task)
 
 
@@ -259,12 +273,13 @@ def fit_boosting(df, features, label, task="regression", max_depth: int = 3, ste
         est = GBTClassifier(featuresCol="__features", labelCol="__label", maxDepth=max_depth, stepSize=step,
                             maxIter=rounds, seed=seed)
         m = est.fit(t) if k <= 2 else OneVsRest(classifier=est, featuresCol="__features", labelCol="__label").fit(t)
+    t.unpersist()
     return SparkML(name, list(features), m, task)
 
 
 def fit_naive_bayes(df, features, label, name: str = "gaussian_nb") -> SparkML:
     from pyspark.ml.classification import NaiveBayes
-    m = NaiveBayes(featuresCol="__features", labelCol="__label", modelType="gaussian").fit(_assemble(df, features, label))
+    m = _fit(NaiveBayes(featuresCol="__features", labelCol="__label", modelType="gaussian"), _assemble(df, features, label))
     return SparkML(name, list(features), m, "classification")
 
 
@@ -275,6 +290,7 @@ def fit_mlp(df, features, label, hidden: Sequence[int] = (32, 32), seed: int = 4
     k = int(t.agg(F.max("__label")).first()[0]) + 1
     m = MultilayerPerceptronClassifier(featuresCol="__features", labelCol="__label",
                                        layers=[len(features), *hidden, max(k, 2)], seed=seed, maxIter=max_iter).fit(t)
+    t.unpersist()
     return SparkML(name, list(features), m, "classification")
 
 
@@ -283,6 +299,7 @@ def fit_linear_svc(df, features, label, C: float = 1.0, name: str = "svc") -> Sp
     t = _assemble(df, features, label)
     n = t.count()
     m = LinearSVC(featuresCol="__features", labelCol="__label", regParam=1.0 / (C * n)).fit(t)
+    t.unpersist()
     return SparkML(name, list(features), m, "classification")
 
 
@@ -359,6 +376,11 @@ REGISTRY: dict[str, ModelSpec] = {
                      {"k": (1, 50, False), "weights": ["uniform", "distance"]}, True),
     "svc": ModelSpec("svc", "classification", lambda d, f, y, **p: fit_linear_svc(d, f, y, p.get("C", 1.0)),
                      {"C": 1.0}, {"C": (0.01, 100.0, True)}, True),
+    "svc_rbf": ModelSpec("svc_rbf", "classification",
+                         lambda d, f, y, **p: fit_rbf_svm(d, f, y, "classification", p.get("C", 1.0)),
+                         {"C": 1.0}, {"C": (0.01, 100.0, True)}, True),
+    "svr": ModelSpec("svr", "regression", lambda d, f, y, **p: fit_rbf_svm(d, f, y, "regression", p.get("C", 1.0)),
+                     {"C": 1.0}, {"C": (0.01, 100.0, True)}, True),
     "gaussian_nb": ModelSpec("gaussian_nb", "classification", lambda d, f, y, **p: fit_naive_bayes(d, f, y)),
     "lda": ModelSpec("lda", "classification", lambda d, f, y, **p: fit_lda(d, f, y), {}, {}, True),
     "nn": ModelSpec("nn", "classification", lambda d, f, y, **p: fit_mlp(d, f, y), {}, {}, True),
@@ -478,3 +500,78 @@ def external_validation(model: FittedModel, external: DataFrame, label: str, tas
     pred = model.transform(external)
     return bootstrap_metrics(pred, label, "prediction", task, "probability" if "probability" in pred.columns else None,
                              key=key, n_resamples=n_resamples)
+
+
+# ------------------------------------------------------------- cross-validation (op 70e)
+
+def cross_validate(key: str, df: DataFrame, features: Sequence[str], label: str, task: str, k: int = 5,
+                   row_key: Sequence[str] | None = None, seed: int = 42, stratify: bool = False,
+                   **params) -> DataFrame:
+    """k-fold CV with preprocessing-free fits per fold; scores per fold plus
+    mean and population sd.  Folds come from a keyed hash (stratified:
+    exact class-balanced folds from the rank primitive)."""
+    from cohortspark.operators.split import kfold, stratified_kfold
+    d = (stratified_kfold(df, label, k, row_key, seed, "__fold") if stratify
+         else kfold(df, k, row_key, seed, "__fold"))
+    rows = []
+    metric = "rmse" if task == "regression" else "accuracy"
+    for f in range(k):
+        tr, te = d.where(F.col("__fold") != f), d.where(F.col("__fold") == f)
+        m = fit_model(key, tr, features, label, task, **params)
+        rows.append((f, float(score_model(m, te, label, task)[metric])))
+    spark = df.sparkSession
+    out = spark.createDataFrame(rows, f"fold long, {metric} double")
+    return out.select("fold", metric, F.avg(metric).over(_all()).alias("mean"),
+                      F.stddev_pop(metric).over(_all()).alias("sd"))
+
+
+def _all():
+    from pyspark.sql import Window
+    return Window.partitionBy()  # over the k fold rows only
+
+
+# ------------------------------------------------- kernel SVM approximation (op 136)
+
+@dataclass
+class RandomFourier(FittedModel):
+    """RBF kernel machine approximated by random Fourier features
+    z(x) = sqrt(2/D) cos(Wx + b) with W ~ N(0, 2·gamma) and a linear model on z."""
+    name: str
+    features: list[str]
+    w: np.ndarray
+    b: np.ndarray
+    inner: FittedModel
+    task: str = "regression"
+
+    def _z(self, df):
+        cols = []
+        scale = float(np.sqrt(2.0 / len(self.b)))
+        for j in range(len(self.b)):
+            e = F.lit(float(self.b[j]))
+            for i, f in enumerate(self.features):
+                e = e + q(f).cast("double") * F.lit(float(self.w[j, i]))
+            cols.append((F.lit(scale) * F.cos(e)).alias(f"__rff{j}"))
+        return df.select("*", *cols)
+
+    def transform(self, df):
+        return self.inner.transform(self._z(df)).drop(*[f"__rff{j}" for j in range(len(self.b))])
+
+
+def fit_rbf_svm(df, features, label, task="regression", C: float = 1.0, n_components: int = 100,
+                seed: int = 42, name: str | None = None) -> RandomFourier:
+    """SVR / SVC with RBF kernel, gamma='scale' (1 / (p · var(X))), as a
+    declared approximation: random Fourier features + ridge (regression) or
+    linear SVC (classification)."""
+    feats = list(features)
+    var = df.select(*[q(f).cast("double").alias(f) for f in feats]).agg(
+        *[F.var_pop(f).alias(f) for f in feats]).first()
+    gamma = 1.0 / (len(feats) * float(np.mean([var[f] or 1.0 for f in feats])))
+    rng = np.random.default_rng(seed)
+    w = rng.normal(0, np.sqrt(2 * gamma), (n_components, len(feats)))
+    b = rng.uniform(0, 2 * np.pi, n_components)
+    proto = RandomFourier(name or ("svr" if task == "regression" else "svc_rbf"), feats, w, b, None, task)
+    z = proto._z(df)
+    zc = [f"__rff{j}" for j in range(n_components)]
+    inner = fit_ols(z, zc, label, alpha=1.0 / C) if task == "regression" else fit_linear_svc(z, zc, label, C)
+    proto.inner = inner
+    return proto

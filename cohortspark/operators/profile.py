@@ -212,6 +212,8 @@ def dataset_profile(df: DataFrame, target: str | None = None,
     """One-row dataset profile: n, p, p/n, missingness counts, task, EPV, level."""
     features = list(features) if features is not None else [c for c in df.columns if c != target]
     p = len(features)
+    if not df.columns or df.limit(1).count() == 0:
+        raise ValueError("cannot profile an empty table")
     exprs = [F.count(F.lit(1)).alias("n")]
     exprs += [F.sum(q(c).isNull().cast("long")).alias(f"m{i}") for i, c in enumerate(features)]
     if target:

@@ -121,6 +121,8 @@ for _key, _task, _fn, _f, _y, _p in [
     ("knn", "classification", _emb, EMB_FEATS, "label", {}),
     ("nn", "classification", _emb, EMB_FEATS, "label", {}),
     ("histgb", "classification", _cls, CLS_FEATS, "quality", {"rounds": 10}),
+    ("svr", "regression", _reg, FEATS, "l_extendedprice", {}),
+    ("svc_rbf", "classification", _cls, CLS_FEATS, "quality", {}),
 ]:
     register(f"model_fit_{_key}_{_task[:3]}")(_fit_score(_key, _task, _fn, _f, _y, **_p))
 
@@ -168,3 +170,16 @@ def q_probe(spark, sf):
         sc = md.score_model(m, te, "l_extendedprice", "regression")
         rows.append((name, float(sc["rmse"]), float(sc["r2"])))
     return spark.createDataFrame(rows, "model string, rmse double, r2 double")
+
+
+@register("model_cross_validation")
+def q_cv(spark, sf):
+    d = _reg(spark, sf)
+    return md.cross_validate("ridge", d, FEATS, "l_extendedprice", "regression", 5,
+                             row_key=["l_orderkey", "l_linenumber", "l_extendedprice"])
+
+
+@register("model_cross_validation_stratified")
+def q_cv_strat(spark, sf):
+    return md.cross_validate("logreg", _cls(spark, sf), CLS_FEATS, "quality", "classification", 5,
+                             row_key=["doc_id"], stratify=True)
