@@ -140,3 +140,29 @@ def default_config(model: str, numeric: Sequence[str], categorical: Sequence[str
         cfg.update(numeric_log_transform=False, use_pca=False, use_kmeans_features=False,
                    numeric_power_transform="none")
     return PreprocessConfig(**cfg)
+
+
+def legacy_prepare(df: DataFrame, target: str, features: Sequence[str], key: Sequence[str] | None = None,
+                   val_size: float = 0.15, test_size: float = 0.15, seed: int = 42) -> DataFrame:
+    """The original one-shot preparation (op 26): numeric coercion with
+    ``try_cast``; a categorical target drops rows where it is missing, a
+    numeric one is median-filled; features median-filled; 70/15/15 hash split;
+    standardisation fitted on the training part only.  Returns the prepared
+    rows with a ``split`` column."""
+    from pyspark.sql import functions as F
+
+    from cohortspark.functions.columns import is_numeric_type
+    from cohortspark.operators.split import random_split
+    types = {f.name: f.dataType for f in df.schema.fields}
+    feats = list(features)
+    t = df.select(*[q(k) for k in (key or [])],
+                  *[F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c) for c in feats], q(target))
+    if is_numeric_type(types[target]):
+        med = pp.fit_numeric_imputer(t, [target], "median")
+        t = med.transform(t)
+    else:
+        t = t.where(q(target).isNotNull())
+    t = pp.fit_numeric_imputer(t, feats, "median").transform(t)
+    t = random_split(t, list(key) if key else None, 1 - val_size - test_size, val_size, seed)
+    scaler = pp.fit_scaler(t.where(F.col("split") == "train"), feats, "standard")
+    return scaler.transform(t)

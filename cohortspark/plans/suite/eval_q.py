@@ -306,3 +306,21 @@ def q_boot_cls(spark, sf):
 def q_boot_sub(spark, sf):
     return rs.bootstrap_metrics(reg_preds(spark, sf), "y", "yhat", "regression", key=["l_orderkey", "l_linenumber", "y"],
                                 n_resamples=100, by="l_returnflag")
+
+
+@register("eval_comparison_table")
+def q_comparison(spark, sf):
+    """Baselines first, then models, with 'estimate [lo, hi]' text (op 158)."""
+    from cohortspark.operators import models as md
+    from cohortspark.operators import split as sp
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice")
+    d = sp.random_split(li, ["l_orderkey", "l_linenumber", "l_extendedprice"], 0.8, 0.0)
+    tr, te = d.where("split = 'train'"), d.where("split <> 'train'")
+    key = ["l_orderkey", "l_linenumber", "l_extendedprice"]
+
+    def boot(m):
+        return rs.bootstrap_metrics(m.transform(te), "l_extendedprice", "prediction", key=key, n_resamples=100) \
+            .select(F.lit(m.name).alias("name"), "metric", "estimate", "ci_lower", "ci_upper")
+    base = boot(md.fit_mean(tr, ["l_quantity"], "l_extendedprice"))
+    mods = boot(md.fit_ols(tr, ["l_quantity", "l_discount"], "l_extendedprice", name="ols"))
+    return mt.comparison_table(base, mods)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators import preprocess as pp
 from cohortspark.operators import split as sp
-from cohortspark.plans.pipeline import PreprocessConfig, fit_pipeline
+from cohortspark.plans.pipeline import PreprocessConfig, fit_pipeline, legacy_prepare
 from cohortspark.plans.suite import register
 from cohortspark.plans.suite.common import r, rounded, table
 
@@ -268,3 +268,9 @@ def q_subsample(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("rep"))
     return (o.withColumn("in", sp.subsample_flag(F.col("rep"), 42, F.col("o_orderkey")))
             .groupBy("rep").agg(F.avg(F.col("in").cast("double")).alias("share")))
+
+
+@register("prep_legacy_prepare")
+def q_legacy(spark, sf):
+    d = _li(spark, sf)
+    return legacy_prepare(d, "l_extendedprice", ["qty", "tax", "l_discount"], key=["l_orderkey", "l_linenumber"])

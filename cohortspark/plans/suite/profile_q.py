@@ -421,3 +421,11 @@ FROM {CLIN_SQL}
 """)
 def q_harmonize(spark, sf):
     return rounded(plausibility.harmonize_units(_clin(spark, sf), {"weight_lb": 0.453592}))
+
+
+@register("profile_data_warnings")
+def q_warnings(spark, sf):
+    t = _labels_docs(spark, sf).select("doc_id", "quality", "toxic", "n_chars", "lang", "source")
+    feats = ["toxic", "n_chars", "lang", "source"]
+    prof = profile.dataset_profile(t, target="quality", features=feats)
+    return profile.data_warnings(prof, profile.feature_profile(t, feats), profile.target_profile_classes(t, "quality"))
