@@ -72,3 +72,17 @@ def collect_scalars(df: DataFrame, cols: Sequence[str], stats: dict[str, StatFn]
     """Driver dict {column: {stat: value}} -- O(columns x stats) values only."""
     row = wide_agg(df, cols, stats).first()
     return {c: {s: row[f"c{i}__{s}"] for s in stats} for i, c in enumerate(cols)}
+
+
+def scalar_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                     method: str = "exact") -> dict[str, list[float | None]]:
+    """Driver dict column -> quantiles.  ``exact``: Spark ``percentile`` (one
+    pass; value->count buffer per column); ``select``: exact selection with
+    bounded memory (sketch brackets + counting passes, for very high
+    cardinality columns at scale); ``approx``: GK sketch."""
+    cols = list(cols)
+    if method == "select":
+        from cohortspark.functions.quantiles import exact_quantiles
+        return exact_quantiles(df, cols, probs)
+    row = df.agg(*[quantile_expr(q(c), probs, method).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+    return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)) for i, c in enumerate(cols)}

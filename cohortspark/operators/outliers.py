@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions.aggs import collect_scalars, quantile_expr, unpivot_stats
+from cohortspark.functions.aggs import collect_scalars, quantile_expr, scalar_quantiles, unpivot_stats
 from cohortspark.functions.columns import numeric_cols, q
 
 METHODS = ("iqr", "mad", "zscore", "percentile")
@@ -53,17 +53,27 @@ def fit_bounds(df: DataFrame, cols: Sequence[str], method: str = "iqr",
         stats["sd"] = lambda c: F.stddev_samp(x(c))
     else:
         stats["med"] = lambda c: quantile_expr(c, [0.5], quantile_method)
-    vals = collect_scalars(df, cols, stats)
+    if quantile_method == "select":
+        qs_stats = {k: v for k, v in stats.items() if k not in ("qs", "med")}
+        vals = collect_scalars(df, cols, qs_stats) if qs_stats else {c: {} for c in cols}
+        if method in ("iqr", "percentile"):
+            pr = [0.25, 0.75] if method == "iqr" else [lo_q, hi_q]
+            for c, v in scalar_quantiles(df, cols, pr, "select").items():
+                vals[c]["qs"] = v
+        elif method == "mad":
+            for c, v in scalar_quantiles(df, cols, [0.5], "select").items():
+                vals[c]["med"] = v
+    else:
+        vals = collect_scalars(df, cols, stats)
     out: dict[str, Bounds] = {}
     if method == "mad":
         meds = {c: (vals[c]["med"][0] if vals[c]["med"] else None) for c in cols}
         live = [c for c in cols if meds[c] is not None]
         mads = {}
         if live:
-            exprs = [quantile_expr(F.abs(q(c).cast("double") - F.lit(meds[c])), [0.5], quantile_method)
-                     .alias(f"m{i}") for i, c in enumerate(live)]
-            row = df.agg(*exprs).first()
-            mads = {c: row[f"m{i}"][0] for i, c in enumerate(live)}
+            dev = df.select(*[F.abs(q(c).cast("double") - F.lit(meds[c])).alias(f"d{i}") for i, c in enumerate(live)])
+            mq = scalar_quantiles(dev, [f"d{i}" for i in range(len(live))], [0.5], quantile_method)
+            mads = {c: mq[f"d{i}"][0] for i, c in enumerate(live)}
     thr_mad = float(params.get("threshold", 3.5))
     thr_z = float(params.get("threshold", 3.0))
     for c in cols:

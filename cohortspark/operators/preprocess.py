@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions.aggs import quantile_expr
+from cohortspark.functions.aggs import quantile_expr, scalar_quantiles
 from cohortspark.functions.columns import q
 from cohortspark.operators.gram import gram, total
 from cohortspark.session import cut_lineage
@@ -45,14 +45,18 @@ class NumericImputer(Fitted):
 
 
 def fit_numeric_imputer(df: DataFrame, cols: Sequence[str], strategy: str = "median",
-                        add_indicator: bool = False, fill_value: float = 0.0) -> NumericImputer:
+                        add_indicator: bool = False, fill_value: float = 0.0,
+                        quantile_method: str = "exact") -> NumericImputer:
     """mean / median (exact) / constant; indicators for columns missing at fit."""
     cols = list(cols)
+    meds = scalar_quantiles(df, cols, [0.5], "select") if strategy == "median" and quantile_method == "select" else None
     exprs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
         x = q(c).cast("double")
         if strategy == "mean":
             exprs.append(F.avg(x).alias(f"f{i}"))
+        elif meds is not None:
+            exprs.append(F.lit(meds[c][0]).cast("double").alias(f"f{i}"))
         elif strategy == "median":
             exprs.append(quantile_expr(x, [0.5])[0].alias(f"f{i}"))
         else:
@@ -237,8 +241,8 @@ def fit_outlier_capping(df: DataFrame, cols: Sequence[str], method: str = "perce
         return Clip({c: (med[f"m{i}"] - thr * 1.4826 * mad[f"d{i}"], med[f"m{i}"] + thr * 1.4826 * mad[f"d{i}"])
                      for i, c in enumerate(cols)})
     lo_q, hi_q = float(params.get("lower_q", 0.01)), float(params.get("upper_q", 0.99))
-    row = df.agg(*[quantile_expr(q(c), [lo_q, hi_q]).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-    return Clip({c: (row[f"q{i}"][0], row[f"q{i}"][1]) for i, c in enumerate(cols)})
+    qs = scalar_quantiles(df, cols, [lo_q, hi_q], params.get("quantile_method", "exact"))
+    return Clip({c: (qs[c][0], qs[c][1]) for c in cols})
 
 
 # ------------------------------------------------------------------ scalers (111-113)

@@ -104,3 +104,30 @@ def test_synthetic_shapes(spark):
     a = synthetic.nonlinear_regression(spark, seed=1).orderBy("id").limit(5).collect()
     b = synthetic.nonlinear_regression(spark, seed=1).repartition(3).orderBy("id").limit(5).collect()
     assert a == b
+
+
+def test_exact_selection_quantiles(spark):
+    import cohortspark.functions.quantiles as Q
+    rng = np.random.default_rng(5)
+    vals = np.concatenate([rng.normal(size=3000).round(2), np.full(1500, 0.5), [np.nan] * 10])
+    df = spark.createDataFrame([(None if np.isnan(v) else float(v),) for v in vals], "x double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.73, 1.0]
+    old = Q.BAND_LIMIT
+    try:
+        for lim in (50_000, 50):
+            Q.BAND_LIMIT = lim
+            got = Q.exact_quantiles(df, ["x"], probs)["x"]
+            exp = np.quantile(vals[~np.isnan(vals)], probs)
+            assert got == pytest.approx(list(exp), abs=1e-12)
+    finally:
+        Q.BAND_LIMIT = old
+
+
+def test_outlier_bounds_select_matches_exact(spark):
+    from cohortspark.operators import outliers
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(float(v),) for v in rng.standard_t(3, 2000)], "x double")
+    for m in ("iqr", "mad", "percentile"):
+        a = outliers.fit_bounds(df, ["x"], m)["x"]
+        b = outliers.fit_bounds(df, ["x"], m, quantile_method="select")["x"]
+        assert a.lower == pytest.approx(b.lower) and a.upper == pytest.approx(b.upper)
