@@ -44,14 +44,17 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), weight: s
     """
     by = list(by)
     w = F.col(weight) if weight else F.lit(1)
-    vc = (df.where(q(value).isNotNull())
-          .groupBy(*[q(b) for b in by], q(value).alias("__v"))
-          .agg(F.sum(w).cast("long").alias("cnt")))
-    cut_row = vc.agg(F.percentile_approx(F.col("__v").cast("double"),
-                                         [i / buckets for i in range(1, buckets)], 1000).alias("c")).first()
+    src = df.where(q(value).isNotNull())
+    # cut points and per-bucket totals straight from the input (cheap scans with
+    # map-side combining); only the value-count table below is shuffled by value
+    cut_row = src.agg(F.percentile_approx(q(value).cast("double"),
+                                          [i / buckets for i in range(1, buckets)], 1000).alias("c")).first()
     cuts = sorted(set(cut_row["c"] or [])) if cut_row else []
+    bucket = _bucket_expr(q(value), cuts)
+    totals = src.groupBy(*[q(b) for b in by], bucket.alias("__b")).agg(F.sum(w).alias("t")).collect()
+    vc = (src.groupBy(*[q(b) for b in by], q(value).alias("__v"))
+          .agg(F.sum(w).cast("long").alias("cnt")))
     vb = vc.withColumn("__b", _bucket_expr(F.col("__v"), cuts))
-    totals = vb.groupBy(*by, "__b").agg(F.sum("cnt").alias("t")).collect()
     # prefix offsets per group: O(groups x buckets) scalars
     offs: dict = {}
     grouped: dict = {}
