@@ -294,11 +294,11 @@ def fit_mlp(df, features, label, hidden: Sequence[int] = (32, 32), seed: int = 4
     return SparkML(name, list(features), m, "classification")
 
 
-def fit_linear_svc(df, features, label, C: float = 1.0, name: str = "svc") -> SparkML:
+def fit_linear_svc(df, features, label, C: float = 1.0, name: str = "svc", max_iter: int = 100) -> SparkML:
     from pyspark.ml.classification import LinearSVC
     t = _assemble(df, features, label)
     n = t.count()
-    m = LinearSVC(featuresCol="__features", labelCol="__label", regParam=1.0 / (C * n)).fit(t)
+    m = LinearSVC(featuresCol="__features", labelCol="__label", regParam=1.0 / (C * n), maxIter=max_iter).fit(t)
     t.unpersist()
     return SparkML(name, list(features), m, "classification")
 
@@ -374,10 +374,11 @@ REGISTRY: dict[str, ModelSpec] = {
                         {"max_depth": (2, 8, False), "step": (0.01, 0.3, True), "rounds": (50, 300, False)}),
     "knn": ModelSpec("knn", "both", None, {"k": 5, "weights": "uniform"},
                      {"k": (1, 50, False), "weights": ["uniform", "distance"]}, True),
-    "svc": ModelSpec("svc", "classification", lambda d, f, y, **p: fit_linear_svc(d, f, y, p.get("C", 1.0)),
+    "svc": ModelSpec("svc", "classification", lambda d, f, y, **p: fit_linear_svc(d, f, y, p.get("C", 1.0), max_iter=p.get("max_iter", 100)),
                      {"C": 1.0}, {"C": (0.01, 100.0, True)}, True),
     "svc_rbf": ModelSpec("svc_rbf", "classification",
-                         lambda d, f, y, **p: fit_rbf_svm(d, f, y, "classification", p.get("C", 1.0)),
+                         lambda d, f, y, **p: fit_rbf_svm(d, f, y, "classification", p.get("C", 1.0),
+                                                          max_iter=p.get("max_iter", 100)),
                          {"C": 1.0}, {"C": (0.01, 100.0, True)}, True),
     "svr": ModelSpec("svr", "regression", lambda d, f, y, **p: fit_rbf_svm(d, f, y, "regression", p.get("C", 1.0)),
                      {"C": 1.0}, {"C": (0.01, 100.0, True)}, True),
@@ -558,7 +559,7 @@ class RandomFourier(FittedModel):
 
 
 def fit_rbf_svm(df, features, label, task="regression", C: float = 1.0, n_components: int = 100,
-                seed: int = 42, name: str | None = None) -> RandomFourier:
+                seed: int = 42, name: str | None = None, max_iter: int = 100) -> RandomFourier:
     """SVR / SVC with RBF kernel, gamma='scale' (1 / (p · var(X))), as a
     declared approximation: random Fourier features + ridge (regression) or
     linear SVC (classification)."""
@@ -572,6 +573,7 @@ def fit_rbf_svm(df, features, label, task="regression", C: float = 1.0, n_compon
     proto = RandomFourier(name or ("svr" if task == "regression" else "svc_rbf"), feats, w, b, None, task)
     z = proto._z(df)
     zc = [f"__rff{j}" for j in range(n_components)]
-    inner = fit_ols(z, zc, label, alpha=1.0 / C) if task == "regression" else fit_linear_svc(z, zc, label, C)
+    inner = (fit_ols(z, zc, label, alpha=1.0 / C) if task == "regression"
+             else fit_linear_svc(z, zc, label, C, max_iter=max_iter))
     proto.inner = inner
     return proto

@@ -442,6 +442,9 @@ class PCAModel(Fitted):
     whiten: bool = False
 
     def transform(self, df):
+        k, p = self.components.shape
+        if k * p > 256:
+            return self._transform_batches(df)
         exprs = []
         for j in range(self.components.shape[0]):
             e = F.lit(0.0)
@@ -452,6 +455,26 @@ class PCAModel(Fitted):
             exprs.append(e.alias(f"pca{j}"))
         return df.select(*[q(c) for c in df.columns if c not in self.cols], *exprs)
 
+    def _transform_batches(self, df):
+        """Many components x inputs: project each Arrow batch with one numpy
+        matrix product instead of k·p scalar expressions."""
+        from pyspark.sql import types as T
+        keep = [c for c in df.columns if c not in self.cols]
+        k = self.components.shape[0]
+        schema = T.StructType([*[f for f in df.schema.fields if f.name in keep],
+                               *[T.StructField(f"pca{j}", T.DoubleType()) for j in range(k)]])
+        cols, mean, comp = list(self.cols), self.mean.copy(), self.components.copy()
+        scale = np.sqrt(self.explained_variance) if self.whiten else np.ones(k)
+
+        def fn(batches):
+            import pandas as pd
+            for pdf in batches:
+                z = (pdf[cols].to_numpy(dtype="float64") - mean) @ comp.T / scale
+                out = pdf[keep].copy()
+                proj = pd.DataFrame(z, columns=[f"pca{j}" for j in range(k)], index=pdf.index)
+                yield pd.concat([out, proj], axis=1)
+        return df.mapInPandas(fn, schema)
+
 
 def fit_pca(df: DataFrame, cols: Sequence[str], n_components: float | int | None = None,
             whiten: bool = False) -> PCAModel:

@@ -115,14 +115,14 @@ for _key, _task, _fn, _f, _y, _p in [
     ("knn", "regression", _cls, ["log_chars", "len_ratio"], "quality", {}),
     ("logreg", "classification", _cls, CLS_FEATS, "quality", {}),
     ("glm", "classification", _cls, CLS_FEATS, "quality", {}),
-    ("svc", "classification", _cls, CLS_FEATS, "quality", {}),
+    ("svc", "classification", _cls, CLS_FEATS, "quality", {"max_iter": 25}),
     ("gaussian_nb", "classification", _emb, EMB_FEATS, "label", {}),
     ("lda", "classification", _emb, EMB_FEATS, "label", {}),
     ("knn", "classification", _emb, EMB_FEATS, "label", {}),
     ("nn", "classification", _emb, EMB_FEATS, "label", {}),
     ("histgb", "classification", _cls, CLS_FEATS, "quality", {"rounds": 10}),
     ("svr", "regression", _reg, FEATS, "l_extendedprice", {}),
-    ("svc_rbf", "classification", _cls, CLS_FEATS, "quality", {}),
+    ("svc_rbf", "classification", _cls, CLS_FEATS, "quality", {"max_iter": 25}),
 ]:
     register(f"model_fit_{_key}_{_task[:3]}")(_fit_score(_key, _task, _fn, _f, _y, **_p))
 

@@ -131,3 +131,34 @@ def test_outlier_bounds_select_matches_exact(spark):
         a = outliers.fit_bounds(df, ["x"], m)["x"]
         b = outliers.fit_bounds(df, ["x"], m, quantile_method="select")["x"]
         assert a.lower == pytest.approx(b.lower) and a.upper == pytest.approx(b.upper)
+
+
+def test_profile_partition_invariant(spark):
+    from cohortspark.operators import profile
+    rng = np.random.default_rng(11)
+    rows = [(float(v), int(k), str(s)) for v, k, s in zip(rng.normal(size=400).round(1), rng.integers(0, 9, 400),
+                                                            rng.choice(list("abc"), 400))]
+    df = spark.createDataFrame(rows, "x double, k int, s string")
+    a = sorted(map(tuple, profile.feature_profile(df.repartition(1)).collect()), key=str)
+    b = sorted(map(tuple, profile.feature_profile(df.repartition(7)).collect()), key=str)
+    for ra, rb in zip(a, b):
+        for va, vb in zip(ra, rb):
+            if isinstance(va, float):
+                assert va == pytest.approx(vb)
+            else:
+                assert va == vb
+
+
+def test_stream_applies_fitted_scaler(spark, tmp_path):
+    from cohortspark.operators import preprocess
+    from cohortspark.streaming import apply as st
+    src = tmp_path / "in"
+    out = tmp_path / "out"
+    df = spark.range(100).select(F.col("id"), (F.col("id") * 2.0).alias("v"))
+    df.write.parquet(str(src))
+    scaler = preprocess.fit_scaler(df, ["v"], "standard")
+    stream = st.read_stream(spark, str(src), df.schema)
+    qy = st.write_parquet_batches(st.transform_stream(stream, scaler), str(out), name=f"t{abs(hash(str(out)))}")
+    qy.awaitTermination()
+    got = spark.read.parquet(str(out)).agg(F.avg("v"), F.stddev_pop("v")).first()
+    assert got[0] == pytest.approx(0.0, abs=1e-9) and got[1] == pytest.approx(1.0)
