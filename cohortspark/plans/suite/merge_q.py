@@ -36,37 +36,38 @@ def q_chain_inner(spark, sf):
     return rounded(plan.apply(_star(spark, sf)))
 
 
-@register("merge_chain_left_region", f"""
+@register("merge_chain_left_region", """
 SELECT c.nationkey, n.regionkey, n.name AS name_x, rg.name AS name_y
 FROM (SELECT c_nationkey AS nationkey FROM customer) c
-JOIN (SELECT n_nationkey AS nationkey, n_regionkey AS regionkey, n_name AS name FROM nation WHERE n_regionkey < 3) n
+JOIN (SELECT n_nationkey AS nationkey, n_regionkey AS regionkey, n_name AS name FROM nation) n
   ON c.nationkey IS NOT DISTINCT FROM n.nationkey
-LEFT JOIN (SELECT r_regionkey AS regionkey, r_name AS name FROM region WHERE r_regionkey <> 1) rg
+LEFT JOIN (SELECT r_regionkey AS regionkey, r_name AS name FROM region WHERE r_name NOT LIKE 'A%') rg
   ON n.regionkey IS NOT DISTINCT FROM rg.regionkey
 """)
 def q_chain_left(spark, sf):
+    """Inner then left join; regions named A... are absent on the right (business filter)."""
     t = _star(spark, sf)
-    t = {"customer": t["customer"].select("nationkey"),
-         "nation": t["nation"].where("regionkey < 3"),
-         "region": t["region"].where("regionkey <> 1")}
+    t = {"customer": t["customer"].select("nationkey"), "nation": t["nation"],
+         "region": t["region"].where(~F.col("name").startswith("A"))}
     plan = MergePlan([MergeStep("customer", "nation", on="nationkey", how="inner"),
                       MergeStep("result", "region", on="regionkey", how="left")])
     return plan.apply(t)
 
 
 @register("merge_outer_nullsafe", """
-SELECT coalesce(a.k, b.k) AS k, a.v_left, b.v_right FROM
-(SELECT CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey END AS k, n_name AS v_left FROM nation WHERE n_nationkey < 15) a
+SELECT coalesce(a.k, b.k) AS k, a.v_left, b.n_customers FROM
+(SELECT n_nationkey AS k, n_name AS v_left FROM nation) a
 FULL OUTER JOIN
-(SELECT CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey END AS k, n_name AS v_right FROM nation WHERE n_nationkey >= 8) b
+(SELECT CASE WHEN c_acctbal < 0 THEN NULL ELSE c_nationkey END AS k, count(*) AS n_customers FROM customer GROUP BY 1) b
 ON a.k IS NOT DISTINCT FROM b.k
 """)
 def q_outer(spark, sf):
-    n = table(spark, sf, "nation")
-    k = F.expr("CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey END").alias("k")
-    a = n.where("n_nationkey < 15").select(k, F.col("n_name").alias("v_left"))
-    b = n.where("n_nationkey >= 8").select(k, F.col("n_name").alias("v_right"))
-    return merge(a, b, on="k", how="outer")
+    """Customers in debit get a missing nation key; NULL keys still meet NULL keys."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v_left"))
+    c = table(spark, sf, "customer")
+    b = (c.select(F.expr("CASE WHEN c_acctbal < 0 THEN NULL ELSE c_nationkey END").alias("k"))
+         .groupBy("k").agg(F.count(F.lit(1)).alias("n_customers")))
+    return merge(n, b, on="k", how="outer")
 
 
 @register("merge_right_suffix", """
@@ -82,10 +83,10 @@ def q_right_suffix(spark, sf):
 
 @register("merge_key_overlap", """
 SELECT count(*) AS overlap FROM (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL
-  INTERSECT SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)
+  INTERSECT SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL AND c_mktsegment = 'BUILDING')
 """)
 def q_overlap(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey % 3 = 0")
+    c = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'")
     return joins.key_overlap(table(spark, sf, "orders"), c, "o_custkey", "c_custkey")
 
 
