@@ -19,7 +19,7 @@ from cohortspark.functions import dist
 from cohortspark.functions.columns import q
 from cohortspark.functions.pvalues import (chi2_pvalue, f_pvalue, fisher_pvalue, mwu_exact_pvalue,
                                            norm_pvalue, t_pvalue, wilcoxon_exact_pvalue)
-from cohortspark.operators.ranks import kendall_counts, value_positions
+from cohortspark.operators.ranks import kendall_counts, positions_for_columns, value_positions
 
 # ----------------------------------------------------------------- correlation
 
@@ -41,8 +41,9 @@ def pearson_stats(df: DataFrame, x: str, y: str) -> DataFrame:
 def spearman_stats(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson correlation of average ranks, ranks from the distributed primitive."""
     p = _complete(df, x, y)
-    rx = value_positions(p, "x").select("x", F.col("avg_rank").alias("rx"))
-    ry = value_positions(p, "y").select("y", F.col("avg_rank").alias("ry"))
+    pos = positions_for_columns(p, ["x", "y"])
+    rx = pos["x"].select("x", F.col("avg_rank").alias("rx"))
+    ry = pos["y"].select("y", F.col("avg_rank").alias("ry"))
     ranked = p.join(rx, "x").join(ry, "y")
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("r"))
 

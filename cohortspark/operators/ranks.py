@@ -201,3 +201,35 @@ def _cross_bucket(hist: DataFrame, nb: int, ybuckets: int = DEFAULT_BUCKETS) ->
     earlier = F.aggregate(F.slice("above", 1, F.col("__b")), F.lit(0).cast("long"), lambda a, v: a + v)
     res = q_.agg(F.coalesce(F.sum(F.col("c") * earlier), F.lit(0)).alias("d")).first()["d"]
     return int(res)
+
+
+def positions_for_columns(df: DataFrame, cols: Sequence[str], buckets: int = DEFAULT_BUCKETS) -> dict[str, DataFrame]:
+    """``value_positions`` for several columns of one table, sharing the two
+    driver-side passes: one sketch aggregation gives every column's cut points
+    and one grouped count (over the unpivoted (column, bucket) pairs) gives
+    every column's bucket totals."""
+    cols = list(cols)
+    probs = [i / buckets for i in range(1, buckets)]
+    row = df.agg(*[F.percentile_approx(q(c).cast("double"), probs, 1000).alias(f"c{i}")
+                   for i, c in enumerate(cols)]).first()
+    cuts = {c: sorted(set(row[f"c{i}"] or [])) for i, c in enumerate(cols)}
+    tagged = df.select(*[_bucket_expr(q(c), cuts[c]).alias(c) for c in cols],
+                       *[q(c).isNotNull().alias(f"__nn{i}") for i, c in enumerate(cols)])
+    long = tagged.select(F.explode(F.array(*[
+        F.when(F.col(f"__nn{i}"), F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").alias("b")))
+        for i, c in enumerate(cols)])).alias("e")).where(F.col("e").isNotNull())
+    tot = long.groupBy("e.col", "e.b").agg(F.count(F.lit(1)).alias("t")).collect()
+    out = {}
+    for c in cols:
+        acc, offs = 0, {}
+        for r in sorted((r for r in tot if r["col"] == c), key=lambda r: r["b"]):
+            offs[r["b"]] = acc
+            acc += r["t"]
+        vc = df.where(q(c).isNotNull()).groupBy(q(c).alias("__v")).agg(F.count(F.lit(1)).alias("cnt"))
+        vb = vc.withColumn("__b", _bucket_expr(F.col("__v"), cuts[c]))
+        om = F.create_map(*[x for b, o in offs.items() for x in (F.lit(b), F.lit(o))]) if offs else None
+        win = Window.partitionBy("__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("cnt").over(win), F.lit(0)) + (om[F.col("__b")] if om is not None else F.lit(0))
+        pos = vb.select(F.col("__v").alias(c), "cnt", before.cast("long").alias("before"))
+        out[c] = pos.withColumn("avg_rank", F.col("before") + (F.col("cnt") + 1) / 2.0)
+    return out
