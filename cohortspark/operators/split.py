@@ -88,13 +88,25 @@ def kth_composite(df: DataFrame, a: str, b: str, k: int, bins: int = 4096) -> tu
     return av, bv
 
 
+def _micros(df: DataFrame, col: str) -> Column:
+    """Order-preserving long for a time column, independent of the session time
+    zone (local timestamps are measured from the local epoch, no conversion)."""
+    from pyspark.sql import types as T
+    dt = dict((f.name, f.dataType) for f in df.schema.fields)[col]
+    if isinstance(dt, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)")
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(q(col))
+    if isinstance(dt, T.DateType):
+        return F.unix_date(q(col)).cast("long") * 86_400_000_000
+    return q(col).cast("long")
+
+
 def time_split(df: DataFrame, time_col: str, key: str, train: float = 0.70, val: float = 0.15,
                col: str = "split") -> DataFrame:
     """Sort by (time, key): first int(n·train) rows train, next int(n·val) val,
     rest test (op 70c).  ``key`` must make (time, key) unique."""
-    tl = q(time_col).cast("timestamp") if time_col else None
-    micros = F.unix_micros(tl)
-    t = df.withColumn("__a", micros).withColumn("__b", q(key).cast("long"))
+    t = df.withColumn("__a", _micros(df, time_col)).withColumn("__b", q(key).cast("long"))
     n = t.where(F.col("__a").isNotNull() & F.col("__b").isNotNull()).count()
     n_tr, n_va = int(n * train), int(n * val)
 
