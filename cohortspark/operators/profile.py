@@ -22,7 +22,8 @@ from cohortspark.operators.outliers import Bounds, fit_bounds, flag_expr
 
 
 def feature_profile(df: DataFrame, cols: Sequence[str] | None = None,
-                    outlier_method: str = "iqr", approx_distinct: bool = False) -> DataFrame:
+                    outlier_method: str = "iqr", approx_distinct: bool = False,
+                    quantile_method: str = "exact") -> DataFrame:
     """One row per feature: missing, unique, ratios, flags, moments, outliers.
 
     numeric: mean, sd (n-1), min, max, median, skew G1 (n > 2), outlier count
@@ -36,8 +37,16 @@ def feature_profile(df: DataFrame, cols: Sequence[str] | None = None,
     medians: dict = {}
     if num and outlier_method == "iqr":
         # one quantile pass gives the IQR bounds and the medians together
-        qrow = df.agg(*[quantile_expr(q(c), [0.25, 0.5, 0.75]).alias(f"q{i}") for i, c in enumerate(num)],
-                      *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(num)]).first()
+        if quantile_method == "select":
+            from cohortspark.functions.aggs import scalar_quantiles
+            sq = scalar_quantiles(df, num, [0.25, 0.5, 0.75], "select")
+            nrow = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(num)]).first()
+            qrow = {**{f"q{i}": (sq[c] if sq[c][0] is not None else None) for i, c in enumerate(num)},
+                    **{f"n{i}": nrow[f"n{i}"] for i in range(len(num))}}
+        else:
+            qrow = df.agg(*[quantile_expr(q(c), [0.25, 0.5, 0.75], quantile_method).alias(f"q{i}")
+                            for i, c in enumerate(num)],
+                          *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(num)]).first()
         bounds = {}
         for i, c in enumerate(num):
             qs, n_c = qrow[f"q{i}"], int(qrow[f"n{i}"] or 0)
@@ -46,7 +55,7 @@ def feature_profile(df: DataFrame, cols: Sequence[str] | None = None,
             bounds[c] = (Bounds("iqr", n_c, qs[0] - 1.5 * iqr, qs[2] + 1.5 * iqr) if n_c >= 3 and iqr != 0
                          else Bounds("iqr", n_c))
     else:
-        bounds = fit_bounds(df, num, outlier_method) if num else {}
+        bounds = fit_bounds(df, num, outlier_method, quantile_method=quantile_method) if num else {}
     distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
 
     # distinct counts in their own aggregation: mixed with the other
