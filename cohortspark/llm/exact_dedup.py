@@ -28,15 +28,22 @@ from cohortspark.llm.common import lower_az, saved
 
 
 def _named(values: DataFrame, key: list[str], tag: str) -> DataFrame:
-    """Distinct ``key`` -> integer ``name``, in sort order; written once so that names cannot change."""
-    ordered = values.select(*key).distinct().orderBy(*key)
-    return saved(ordered.withColumn("name", F.monotonically_increasing_id()), f"names-{tag}")
+    """Distinct ``key`` -> integer ``name``: its place in the order (hash, key).
+
+    Sorting by the hash first keeps long blocks out of the range partitioner's
+    sample (only hashes reach the driver); equal hashes are told apart by the
+    key itself.  Written once so that names cannot change.
+    """
+    ordered = (values.select(*key).distinct().withColumn("h", F.xxhash64(*key))
+               .repartitionByRange("h").sortWithinPartitions("h", *key))
+    return saved(ordered.select(*key, F.monotonically_increasing_id().alias("name")), f"names-{tag}")
 
 
 def identities(docs: DataFrame, block_chars: int = 32768) -> DataFrame:
     """(rid, text) -> (rid, n_blocks, name): equal (n_blocks, name) if and only if equal texts."""
     blocks = docs.select("rid", F.posexplode(F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(
         F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))).alias("i", "block"))
+    blocks = saved(blocks, "blocks")  # read twice below; written once instead of cutting and shuffling twice
     names = _named(blocks, ["block"], "blocks")
     level = saved(blocks.join(names, "block").select("rid", "i", "name"), "level")
     sizes = level.groupBy("rid").agg((F.max("i") + 1).alias("n_blocks"))
