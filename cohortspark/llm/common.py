@@ -107,3 +107,38 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 __all__ = ["read_documents", "saved", "lower_az", "by_text_chars", "map_arrow", "components", "StorageLevel"]
+
+
+def let(value, body):
+    """``body(value)`` with ``value`` evaluated once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def match_spans(text, regex, length=F.char_length):
+    """All leftmost, non-overlapping matches as array<struct<start,end,match>>.
+
+    What stands between the matches and the matches themselves give the
+    offsets; ``length`` measures both (characters by default).
+    """
+    regex = F.lit(regex) if isinstance(regex, str) else regex
+
+    def place(x):
+        m, gap = x["m"], x["gap"]
+
+        def upto(lengths, n):
+            return F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda a, v: a + v)
+
+        def span(hit, k):
+            start = upto(x["gap_n"], k + 1) + upto(x["m_n"], k)
+            return F.struct(start.cast("long").alias("start"), (start + F.get(x["m_n"], k)).cast("long").alias("end"),
+                            hit.alias("match"))
+
+        return F.transform(m, span)
+
+    def measured(x):
+        return F.struct(x["m"].alias("m"), x["gap"].alias("gap"),
+                        F.transform(x["m"], lambda s: length(s).cast("int")).alias("m_n"),
+                        F.transform(x["gap"], lambda s: length(s).cast("int")).alias("gap_n"))
+
+    pieces = F.struct(F.regexp_extract_all(text, regex, F.lit(0)).alias("m"), F.split(text, regex, -1).alias("gap"))
+    return let(pieces, lambda x: let(measured(x), place))
