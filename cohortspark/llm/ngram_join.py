@@ -10,7 +10,8 @@ hashes: per document the size of its set and the smallest document it reaches.
    prefix token, so only classes under one token can link.  Shingles that a
    share of about ``heavy`` of all documents hold come last in that order:
    common passages do not make large groups.
-3. Tokens with several classes form groups.  In a group a signature tree is
+3. Tokens with several classes form groups (one of those with the same
+   classes: count, smallest, largest and xor of 64-bit hashes).  In a group a signature tree is
    built (nodes hold OR-combined bitmaps and size ranges) and walked against
    itself; a pair of nodes is left out when the maximum possible overlap is
    too small for the sizes, or when all its members are connected already.
@@ -271,8 +272,10 @@ def _dealt(df: DataFrame, blocks) -> DataFrame:
 
 def _possible_links(classes: DataFrame, num: int, den: int, group_rows: int) -> DataFrame:
     tokens = classes.select(F.explode("prefix").alias("token"), "rep")
-    shared = (tokens.groupBy("token").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count(F.lit(1)).alias("c"))
-              .where("a <> z").select("token", "c"))
+    shared = (tokens.groupBy("token").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count(F.lit(1)).alias("c"),
+                                          F.bit_xor(F.xxhash64("rep")).alias("x")).where("a <> z"))
+    # tokens with the same classes make the same group: the copies of a text share most of theirs
+    shared = shared.groupBy("a", "z", "c", "x").agg(F.min("token").alias("token")).select("token", "c")
     rows = tokens.join(shared, "token").join(classes.select("rep", "n", "bits"), "rep")
     dealt = _dealt(rows, F.ceil(F.col("c") / group_rows))
     grouped = (dealt.repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2")

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import (bpe, exact_dedup, lang_id, license_scan, ngram_join, pii, secret_scan,
-                             token_counts)
+from cohortspark.llm import (bpe, decontaminate, exact_dedup, lang_id, license_scan, line_dedup, ngram_join, pii,
+                             secret_scan, token_counts)
 from cohortspark.llm.common import read_documents
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -25,6 +25,16 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(read_documents(spark, sf_dir), k=4, num=85, den=100)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read_documents(spark, sf_dir))
+    return out.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    return decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(read_documents(spark, sf_dir)))
 
@@ -64,6 +74,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_license_scan": (op1_license_scan, None),
     "op2_ngram_jaccard": (op2_ngram_jaccard, None),
+    "op3_line_dedup": (op3_line_dedup, None),
+    "op4_decontaminate": (op4_decontaminate, None),
     "op5_secret_scan": (op5_secret_scan, None),
     "op6_pii": (op6_pii, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
