@@ -142,3 +142,13 @@ def match_spans(text, regex, length=F.char_length):
 
     pieces = F.struct(F.regexp_extract_all(text, regex, F.lit(0)).alias("m"), F.split(text, regex, -1).alias("gap"))
     return let(pieces, lambda x: let(measured(x), place))
+
+
+BROADCAST_IDS = 4_000_000  # 32 MB of ids; beyond, the join is shuffled
+
+
+def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``ids`` (one column); rows with null doc_id stay."""
+    gone = saved(ids.toDF("__gone").where("__gone is not null").distinct(), name)
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, docs["doc_id"] == side["__gone"], "left_anti")

@@ -22,7 +22,7 @@ search over the documents each; a block, its latent vectors (at most FEATURES
 x rank numbers) and the idf weights are what is broadcast.
 
 Defined results: null and empty texts (on either side) leak nothing; words are
-runs of letters, digits and non-ASCII bytes with A-Z lower-cased; a document
+runs of ASCII letters, digits and non-ASCII characters, lower-cased; a document
 leaks an item once, with its best passage (ties: earliest window); repeated
 rows give their pair once; rows with null doc_id or item_id give no pair; an
 empty table gives an empty result; other columns are ignored.
@@ -52,7 +52,7 @@ for _lo, _hi in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B)):
 
 
 def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    return word_hashes(texts, _GAP)
+    return word_hashes([t and t.lower() for t in texts], _GAP)
 
 
 def _buckets(words: np.ndarray) -> np.ndarray:
@@ -186,7 +186,7 @@ def lcs_length(passage: list[int], window: list[int]) -> int:
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, rank: int = 256, cosine: float = 0.25, lcs: float = 0.7,
-               lcs_paraphrase: float = 0.4, answer: float = 0.8, block_passages: int = 20_000) -> DataFrame:
+               lcs_paraphrase: float = 0.5, answer: float = 0.8, block_passages: int = 20_000) -> DataFrame:
     """docs(doc_id, text), bench(item_id, text) -> doc_id, item_id, start_word, cosine, lcs_share, answer_share."""
     bench = bench.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and doc_id is not null")

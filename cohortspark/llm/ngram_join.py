@@ -39,12 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import by_text_chars, components, map_arrow, saved
+from cohortspark.llm.common import BROADCAST_IDS, by_text_chars, components, map_arrow, saved
 from cohortspark.llm.shingles import bitmap, mix, shingle_sets
 
 BATCH_CHARS = 4_000_000
 LEAF = 32
-BROADCAST_IDS = 4_000_000  # 32 MB of ids; beyond, the join is shuffled
+
 
 
 def _heavy_shingles(docs: DataFrame, k: int, heavy: float) -> np.ndarray:
