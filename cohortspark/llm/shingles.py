@@ -78,9 +78,9 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """One bit per hash by its low bits; a power of two of bits, at least twice the hashes."""
+    """One bit per hash by its low bits; a power of two of bits, at least as many as hashes."""
     bits = 64
-    while bits < 2 * len(hashes):
+    while bits < len(hashes):
         bits *= 2
     flags = np.zeros(bits, dtype=np.uint8)
     flags[(hashes & np.uint64(bits - 1)).astype(np.int64)] = 1
