@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import by_text_chars, map_arrow
+from cohortspark.llm.common import RELEASE, by_text_chars, map_arrow
 
 END = 0x1000  # a symbol that ends a word is its character shifted by this
-MEMO_WORDS = 200_000  # words kept by a worker between batches; speed only, results do not depend on it
-MEMO_PAIRS = 2_000_000
+MEMO_WORDS = 150_000  # words kept by a worker between batches; speed only, results do not depend on it
+MEMO_PAIRS = 1_200_000
 PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ÿ]")
 
 
@@ -73,9 +73,16 @@ class TrieBpe:
             if self.special else None
         # a token that the rules do not rebuild from its symbols is never the last token of anything
         self.ids = {s: i for s, i in self.ids.items() if len(s) == 1 or self.merge(s) == [s]}
-        self.lengths = sorted({len(s) for s in self.ids}, reverse=True)
+        ending: dict[str, set[int]] = {}
+        for x in self.ids:
+            ending.setdefault(x[-1], set()).add(len(x))
+        self.longest = max(map(len, self.ids))
+        # lengths[symbol][depth]: lengths of the tokens that end with the symbol and fit, longest first
+        self.lengths = {x: [tuple(sorted((k for k in ks if k <= d), reverse=True)) for d in range(self.longest + 1)]
+                        for x, ks in ending.items()}
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[int, str, str]] = {}
+        self.old: dict[str, tuple[int, str, str]] = {}
         import regex
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.cut = regex.compile(pattern).findall
@@ -104,7 +111,8 @@ class TrieBpe:
 
     def walk(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """Sorted distinct symbol strings -> (word, ids), depth first over their trie."""
-        ids, lengths, pairs, compatible = self.ids, self.lengths, self.pairs, self.compatible
+        ids, lengths, longest = self.ids, self.lengths, self.longest
+        pairs, compatible = self.pairs, self.compatible
         last: list[int] = [0]    # last[d]: last token of the prefix of length d
         size: list[int] = [0]    # its length in symbols
         before = ""
@@ -116,9 +124,7 @@ class TrieBpe:
             del last[d + 1:], size[d + 1:]
             while d < n:
                 d += 1
-                for k in lengths:
-                    if k > d:
-                        continue
+                for k in lengths[w[d - 1]][d if d < longest else longest]:
                     t = ids.get(w[d - k:d])
                     if t is None:
                         continue
@@ -177,11 +183,16 @@ class TrieBpe:
         """(number of ids, ids joined by blanks, decoded text) per text."""
         cuts = [self.cut_text(t) for t in texts]
         distinct = set().union(*cuts) if cuts else set()
-        known = self.words
-        new = {w for w in distinct if w not in known and w[0] != "\0"}
-        if len(known) + len(new) > MEMO_WORDS and known:
-            known.clear()
-            new = {w for w in distinct if w[0] != "\0"}
+        if len(self.words) + len(distinct) > MEMO_WORDS:  # two generations: words in use move on
+            self.old, self.words = self.words, {}
+        known, old = self.words, self.old
+        new = set()
+        for w in distinct:
+            if w not in known:
+                if w in old:
+                    known[w] = old[w]
+                elif w[0] != "\0":
+                    new.add(w)
         self.learn(new)
         for w in distinct:
             if w[0] == "\0":
@@ -203,6 +214,9 @@ def _byte_characters() -> list[str]:
 _MODELS: dict[str, TrieBpe] = {}
 
 
+RELEASE["bpe"] = _MODELS.clear
+
+
 def model(path: str) -> TrieBpe:
     """One model per worker process and file."""
     if path not in _MODELS:
@@ -213,14 +227,14 @@ def model(path: str) -> TrieBpe:
 def _run(docs: DataFrame, path: str, fields: Callable, names: list[str], types: list, schema: str) -> DataFrame:
     def encode(batches):
         m = model(path)
-        for b in by_text_chars(batches, 4_000_000):
+        for b in by_text_chars(batches, 2_000_000):
             rows = [fields(*x) for x in m.encode_batch(b.column(1).to_pylist())]
             cols = list(zip(*rows)) or [[] for _ in types]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]],
                                              ["doc_id", *names])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode,
-                     f"doc_id long, {schema}")
+                     f"doc_id long, {schema}", keeps="bpe")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

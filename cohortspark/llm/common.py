@@ -59,10 +59,44 @@ def by_text_chars(batches: Iterator[pa.RecordBatch], max_chars: int, max_rows: i
             lo = hi
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package shipped to the workers."""
-    ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+ARROW_BYTES = 16 << 20
+#: operator -> what drops the models and memos it keeps between the tasks of one worker
+RELEASE: dict[str, Callable[[], None]] = {}
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema: str, keeps: str | None = None) -> DataFrame:
+    """``mapInArrow`` with the package shipped to the workers and memory kept
+    small: batches of at most ARROW_BYTES, and what a finished task has freed
+    goes back to the system, as Spark keeps the worker for later tasks; a
+    worker that turns to another operator drops the models of the one before
+    (all in RELEASE but ``keeps``)."""
+    spark = df.sparkSession
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+    def task(batches):
+        from cohortspark.llm import common  # the worker's own module, not what was shipped with the task
+        for name, drop in common.RELEASE.items():
+            if name != keeps:
+                drop()
+        try:
+            yield from fn(batches)
+        finally:
+            common._give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def _give_back() -> None:
+    import ctypes
+    import gc
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU libc
+    if trim:
+        trim(0)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -43,7 +43,7 @@ from cohortspark.llm.shingles import word_hashes
 FEATURES = 1 << 16
 WINDOW = 64
 STOP_SHARE = 0.2
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 _GAP = np.ones(256, dtype=bool)
 _GAP[128:] = False
@@ -258,9 +258,9 @@ def _search(docs, block, idf, rank, cosine, lcs, lcs_paraphrase, answer, schema)
                 live = live[norm[live] > 0]
                 lo = np.searchsorted(of[hit], live)
                 hi = np.searchsorted(of[hit], live + 1 + follows[live])
-                for c in range(0, len(live), 4096):
-                    part = live[c:c + 4096]
-                    a, z = lo[c:c + 4096], hi[c:c + 4096]
+                for c in range(0, len(live), 2048):
+                    part = live[c:c + 2048]
+                    a, z = lo[c:c + 2048], hi[c:c + 2048]
                     take = np.concatenate([hit[i:j] for i, j in zip(a, z)]) if len(part) else hit[:0]
                     ends = np.cumsum(z - a)
                     vecs = v[row[take]] * w[take][:, None]

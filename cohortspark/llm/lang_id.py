@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import by_text_chars, map_arrow
+from cohortspark.llm.common import RELEASE, by_text_chars, map_arrow
 
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 _LETTER: list[np.ndarray] = []
+RELEASE["lang_id"] = _LETTER.clear
 
 
 def _letters() -> np.ndarray:
@@ -115,7 +116,7 @@ def learn_profiles(docs: DataFrame, profile_size: int = 400) -> dict[str, list[i
             yield emit()
 
     rows = docs.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
-    sums = map_arrow(rows, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = map_arrow(rows, count, "lang string, gram long, n long", keeps="lang_id").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = sums.select("lang", "gram", rank.alias("r")).where(F.col("r") <= profile_size)
     out: dict[str, list[int]] = {}
@@ -161,7 +162,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], profile_size: int =
                                              ["doc_id", "lang_pred", "score"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), score,
-                     "doc_id long, lang_pred string, score double")
+                     "doc_id long, lang_pred string, score double", keeps="lang_id")
 
 
 def held_out(doc_id="doc_id"):

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
+from cohortspark.llm.common import RELEASE
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: list[np.ndarray] = []
+RELEASE["shingles"] = _POWERS.clear
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _MASK = (1 << 64) - 1
@@ -14,7 +17,7 @@ _MASK = (1 << 64) - 1
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         out = []
         for b in (_BASE, _INVERSE):
             p = np.full(size, b, dtype=np.uint64)

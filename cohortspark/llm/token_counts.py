@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import by_text_chars, map_arrow, saved
+from cohortspark.llm.common import RELEASE, by_text_chars, map_arrow, saved
 
 _TOKENIZERS: dict = {}
+RELEASE["token_counts"] = _TOKENIZERS.clear
 
 
 def tokenizer(path: str):
@@ -53,7 +54,8 @@ def _whole(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())],
                                              ["doc_id", "n_bytes", "n_tokens"])
 
-    return map_arrow(docs.select("doc_id", "n_bytes", "text"), count, "doc_id long, n_bytes long, n_tokens long")
+    return map_arrow(docs.select("doc_id", "n_bytes", "text"), count, "doc_id long, n_bytes long, n_tokens long",
+                     keeps="token_counts")
 
 
 def _chunks(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -104,7 +106,8 @@ def _encoded(chunks: DataFrame, path: str, chunk: int, overlap: int) -> DataFram
 
     mark = "array<struct<at:long,before:long>>"
     return map_arrow(chunks, encode,
-                     f"rid long, doc_id long, n_bytes long, k long, n long, head {mark}, tail {mark}")
+                     f"rid long, doc_id long, n_bytes long, k long, n long, head {mark}, tail {mark}",
+                     keeps="token_counts")
 
 
 def _spliced(coded: DataFrame) -> DataFrame:
