@@ -18,7 +18,7 @@ _LOCAL_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.driver.memory": "16g",
+    "spark.driver.memory": "8g",
 }
 
 
@@ -36,7 +36,6 @@ def get_spark(app: str = "cohortspark", master: str | None = None, **conf) -> Sp
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     ship_package(spark)
     return spark
 
@@ -44,11 +43,13 @@ def get_spark(app: str = "cohortspark", master: str | None = None, **conf) -> Sp
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one.  Only when it is
-    unset (local tests) a fresh scratch folder is created and registered.
+    Uses ``spark.checkpoint.dir`` when the cluster names one.  Only in local
+    mode, where driver and tasks are one process, is a scratch folder created;
+    the configuration is left as it is.  Elsewhere an unset folder is an error:
+    executors would write to their own disks.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(conf_dir)
@@ -56,10 +57,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    local = tempfile.mkdtemp(prefix="cohortspark-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="cohortspark-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df):
