@@ -25,21 +25,26 @@ def top_variance_columns(df: DataFrame, cols: Sequence[str], k: int) -> list[str
     return [c for _v, _i, c in ranked[:k]]
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int = 50) -> DataFrame:
+def _corr(x, y):
+    """Pairwise-complete Pearson correlation, NULL where a side is constant (``corr`` fails there in ANSI mode)."""
+    spread = F.sqrt(F.var_pop(F.when(y.isNotNull(), x)) * F.var_pop(F.when(x.isNotNull(), y)))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
+def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int | None = None) -> DataFrame:
     """Long pairwise-complete correlation table (col_a, col_b, r, abs_r), a before b.
 
-    One aggregation with a ``corr`` per pair (Spark skips rows where either
-    value is NULL, i.e. pairwise-complete); columns beyond ``max_cols`` are cut
-    to the highest-variance ones, as in the original signals.
+    One aggregation for all pairs, pairwise-complete; all columns, or if ``max_cols`` is
+    given that many of the highest variance.
     """
     cols = list(cols) if cols is not None else numeric_cols(df)
-    if len(cols) > max_cols:
+    if max_cols is not None and len(cols) > max_cols:
         keep = set(top_variance_columns(df, cols, max_cols))
         cols = [c for c in cols if c in keep]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     if not pairs:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double, abs_r double")
-    row = df.agg(*[F.corr(q(a).cast("double"), q(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[_corr(q(a).cast("double"), q(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     structs = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"p{i}").alias("r"))
                for i, (a, b) in enumerate(pairs)]
     long = row.select(F.inline(F.array(*structs)))
@@ -55,7 +60,7 @@ def leakage_scan(df: DataFrame, target: str, cols: Sequence[str] | None = None,
     """|corr(feature, target)| per feature, flagged above the threshold."""
     cols = [c for c in (cols if cols is not None else numeric_cols(df)) if c != target]
     y = q(target).cast("double")
-    row = df.agg(*[F.corr(q(c).cast("double"), y).alias(f"c{i}") for i, c in enumerate(cols)])
+    row = df.agg(*[_corr(q(c).cast("double"), y).alias(f"c{i}") for i, c in enumerate(cols)])
     long = row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("r"))
                                          for i, c in enumerate(cols)])))
     return long.select("column", "r", F.abs("r").alias("abs_r"), (F.abs("r") > threshold).alias("leak_suspect"))

@@ -448,8 +448,8 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
 
 # ------------------------------------------------------- scaling / n:p (57, 58)
 
-def scaling_check(df: DataFrame, cols: Sequence[str] | None = None, limit: int = 20) -> DataFrame:
-    """min, max, sd of the first ``limit`` numeric columns."""
+def scaling_check(df: DataFrame, cols: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
+    """min, max, sd of the numeric columns (of the first ``limit`` if given)."""
     cols = (list(cols) if cols is not None else numeric_cols(df))[:limit]
     row = wide_agg(df, cols, {"min": lambda c: F.min(c).cast("double"),
                               "max": lambda c: F.max(c).cast("double"),

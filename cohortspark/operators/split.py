@@ -43,20 +43,25 @@ def group_split(df: DataFrame, group: str, train: float = 0.70, val: float = 0.1
     return random_split(df, [group], train, val, seed, col)
 
 
+def _class_key(label: str):
+    """The label as a key that joins: a missing label is a class of its own."""
+    return F.coalesce(F.concat(F.lit("="), q(label).cast("string")), F.lit("missing"))
+
+
 def stratified_split(df: DataFrame, label: str, key: Sequence[str] | None = None, train: float = 0.70,
                      val: float = 0.15, seed: int = 42, col: str = "split") -> DataFrame:
     """Exact per-class quotas (op 70a): rows ranked by hash inside each class with
     the distributed position primitive; the first ⌊n_c·train⌋ go to train, the
     next ⌊n_c·val⌋ to val."""
     h = F.xxhash64(F.lit(seed), *_keys(df, key))
-    t = df.withColumn("__h", h)
-    pos = value_positions(t, "__h", by=[label])
-    sizes = t.groupBy(q(label).alias(label)).agg(F.count(F.lit(1)).alias("__nc"))
-    p = pos.join(sizes, label).select(label, "__h", "before", "__nc")
+    t = df.withColumn("__h", h).withColumn("__class", _class_key(label))
+    pos = value_positions(t, "__h", by=["__class"])
+    sizes = t.groupBy("__class").agg(F.count(F.lit(1)).alias("__nc"))
+    p = pos.join(sizes, "__class").select("__class", "__h", "before", "__nc")
     part = (F.when(F.col("before") < F.floor(F.col("__nc") * train), "train")
             .when(F.col("before") < F.floor(F.col("__nc") * train) + F.floor(F.col("__nc") * val), "val")
             .otherwise("test"))
-    return t.join(p.select(label, "__h", part.alias(col)), [label, "__h"], "left").drop("__h")
+    return t.join(p.select("__class", "__h", part.alias(col)), ["__class", "__h"], "left").drop("__h", "__class")
 
 
 def kth_composite(df: DataFrame, a: str, b: str, k: int, bins: int = 4096) -> tuple[int, int]:
@@ -128,9 +133,9 @@ def kfold(df: DataFrame, k: int = 5, key: Sequence[str] | None = None, seed: int
 def stratified_kfold(df: DataFrame, label: str, k: int = 5, key: Sequence[str] | None = None,
                      seed: int = 42, col: str = "fold") -> DataFrame:
     """Class-balanced folds: hash rank inside each class, fold = rank mod k."""
-    t = df.withColumn("__h", F.xxhash64(F.lit(seed), *_keys(df, key)))
-    pos = value_positions(t, "__h", by=[label]).select(label, "__h", (F.col("before") % k).cast("int").alias(col))
-    return t.join(pos, [label, "__h"], "left").drop("__h")
+    t = df.withColumn("__h", F.xxhash64(F.lit(seed), *_keys(df, key))).withColumn("__class", _class_key(label))
+    pos = value_positions(t, "__h", by=["__class"]).select("__class", "__h", (F.col("before") % k).cast("int").alias(col))
+    return t.join(pos, ["__class", "__h"], "left").drop("__h", "__class")
 
 
 # ------------------------------------------------------------ resampling weights
