@@ -127,3 +127,15 @@ def make_unique_columns(cols: Iterable[object]) -> list[str]:
         used.add(cand)
         out.append(cand)
     return out
+
+
+COPY_CHUNK = 100_000
+
+
+def explode_copies(df, count: str, name: str):
+    """Each row ``count`` times, numbered from 0 in ``name``.  Done in two
+    steps, so that no array of one row grows with a hot row's count."""
+    n = F.col(count)
+    parts = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(COPY_CHUNK).cast("long"))).alias("__from"))
+    upto = F.least(n, F.col("__from") + COPY_CHUNK) - 1
+    return parts.select("*", F.explode(F.sequence("__from", upto)).alias(name)).drop("__from")

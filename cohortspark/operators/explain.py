@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.aggs import quantile_expr
-from cohortspark.functions.columns import q
+from cohortspark.functions.columns import explode_copies, q
 from cohortspark.operators.models import FittedModel
 from cohortspark.operators.ranks import value_positions
 
@@ -37,17 +37,25 @@ def permutation_importance(model: FittedModel, df: DataFrame, label: str, task:
     places further along that order (cyclic), so each repeat is a random
     derangement of the column.  All (feature, repeat) copies are scored in one
     job: the data grow by p x repeats, never quadratically.
+
+    Keys may repeat: equal rows are counted and numbered, the number is part
+    of the hash, and rows whose hashes still agree follow each other, so every
+    row has a position of its own and takes part in every repeat.
     """
     feats = list(model.features)
-    keys = [q(k) for k in (key or df.columns)]
-    base = df.where(q(label).isNotNull()).select(*[q(c) for c in dict.fromkeys(feats + [label])],
-                                                 F.xxhash64(F.lit(seed), *keys).alias("__h"))
-    pos = value_positions(base, "__h").select("__h", F.col("before").alias("__pos"))
-    b = base.join(pos, "__h")
+    cols = list(dict.fromkeys(feats + [label]))
+    known = df.where(q(label).isNotNull()).select(
+        *[q(c) for c in cols], F.xxhash64(F.lit(seed), *[q(k) for k in (key or df.columns)]).alias("__k"))
+    rows = explode_copies(known.groupBy(*[q(c) for c in cols], "__k").agg(F.count(F.lit(1)).alias("__n")), "__n", "__copy")
+    h = F.xxhash64("__k", "__copy", *[q(c) for c in cols])
+    base = rows.select(*[q(c) for c in cols], h.alias("__h"), "__copy")
+    pos = value_positions(base, "__h").select("__h", "before")
+    tie = F.row_number().over(Window.partitionBy("__h").orderBy("__copy", *[q(c) for c in cols])) - 1
+    b = base.join(pos, "__h").select(*[q(c) for c in cols], (F.col("before") + tie).alias("__pos"))
     n = b.count()
     rng = random.Random(seed)
     shifts = [1 + rng.randrange(max(n - 1, 1)) for _ in range(n_repeats)]
-    partner = b.groupBy("__pos").agg(*[F.first(q(f)).alias(f"__p_{f}") for f in feats])
+    partner = b.select("__pos", *[q(f).alias(f"__p_{f}") for f in feats])
     reps = b.select("*", F.explode(F.array(*[F.struct(F.lit(r).alias("rep"), F.lit(s).alias("shift"))
                                              for r, s in enumerate(shifts)])).alias("__r"))
     reps = reps.select("*", "__r.rep", ((F.col("__pos") + F.col("__r.shift")) % F.lit(n)).alias("__tpos")).drop("__r")
@@ -105,9 +113,11 @@ def sampled_shapley(model: FittedModel, df: DataFrame, key: Sequence[str], n_per
     For each row and each of M random feature orders, features are switched
     from the background mean to the row's value one at a time; the change in
     prediction at each step is that feature's contribution.  Rows x M x (p+1)
-    states are scored in one job; contributions come from a lag over each
-    (row, permutation) -- p + 1 rows per window partition.
-    Returns per-row values (long form)."""
+    states are scored in one job; a state's prediction counts for the feature
+    just added and against the one added next, so a row's values are signed
+    sums, combined within the task that scores the row.  Rows that share a key
+    but differ are kept apart, equal rows are counted and given back.
+    Returns per-row values (long form): row_id (hash of the key), feature, shap."""
     feats = list(model.features)
     p = len(feats)
     bg = background if background is not None else df
@@ -118,17 +128,21 @@ def sampled_shapley(model: FittedModel, df: DataFrame, key: Sequence[str], n_per
     for m, perm in enumerate(perms):
         for step in range(p + 1):
             on = set(perm[:step])
-            states.append(F.struct(F.lit(m).alias("perm"), F.lit(step).alias("step"),
-                                   F.lit(feats[perm[step - 1]] if step > 0 else None).cast("string").alias("added"),
+            signs = [F.struct(F.lit(feats[perm[at]]).alias("feature"), F.lit(sign).alias("sign"))
+                     for at, sign in ((step - 1, 1.0), (step, -1.0)) if 0 <= at < p]
+            states.append(F.struct(F.array(*signs).alias("__signs"),
                                    *[(q(f).cast("double") if i in on else F.lit(float(means[f]))).alias(f)
                                      for i, f in enumerate(feats)]))
     rid = F.xxhash64(*[q(k) for k in key]).alias("row_id")
-    ex = df.select(rid, F.explode(F.array(*states)).alias("__s")).select("row_id", "__s.*")
-    scored = model.transform(ex)
-    w = Window.partitionBy("row_id", "perm").orderBy("step")
-    contrib = scored.select("row_id", "added", (F.col("prediction") - F.lag("prediction").over(w)).alias("delta")) \
-        .where(F.col("added").isNotNull())
-    return contrib.groupBy("row_id", F.col("added").alias("feature")).agg(F.avg("delta").alias("shap"))
+    own = F.xxhash64(F.lit(1), *[q(c) for c in dict.fromkeys([*key, *feats])]).alias("__own")
+    ex = df.select(rid, own, F.explode(F.array(*states)).alias("__s")).select("row_id", "__own", "__s.*")
+    signed = model.transform(ex).select("row_id", "__own", "prediction", F.inline("__signs"))
+    up = (F.col("sign") > 0).cast("long")
+    sums = signed.groupBy("row_id", "__own", "feature").agg(
+        F.sum(F.col("sign") * F.col("prediction")).alias("s"), F.sum(up).alias("u"))
+    sums = sums.select("row_id", "feature", (F.col("s") / F.col("u")).alias("shap"),
+                       (F.col("u") / n_permutations).cast("long").alias("__n"))
+    return explode_copies(sums, "__n", "__copy").select("row_id", "feature", "shap")
 
 
 def shap_importance(values: DataFrame) -> DataFrame:

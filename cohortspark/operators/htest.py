@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions import dist
-from cohortspark.functions.columns import q
+from cohortspark.functions.columns import explode_copies, q
 from cohortspark.functions.pvalues import (chi2_pvalue, f_pvalue, fisher_pvalue, mwu_exact_pvalue,
                                            norm_pvalue, t_pvalue, wilcoxon_exact_pvalue)
 from cohortspark.operators.ranks import kendall_counts, positions_for_columns, value_positions
@@ -297,11 +297,14 @@ def categorical_association_test(df: DataFrame, a: str, b: str, use_fisher: bool
 
 def normality_sample(df: DataFrame, col: str, key: Sequence[str] | None = None,
                      max_n: int = 5000, seed: int = 42) -> list[float]:
-    """Up to ``max_n`` non-null values chosen by a keyed hash (partition-independent)."""
+    """Up to ``max_n`` non-null values of rows chosen by a keyed hash
+    (partition-independent).  The key defaults to all columns; rows with the
+    same key and value are counted and each gets a hash of its own."""
     x = q(col).cast("double")
-    keys = [q(k) for k in (key or [col])]
-    h = F.xxhash64(F.lit(seed), *keys)
-    rows = df.where(x.isNotNull()).select(x.alias("x"), h.alias("h")).orderBy("h").limit(max_n).collect()
+    k = F.xxhash64(F.lit(seed), *[q(c) for c in (key or df.columns)])
+    cells = df.where(x.isNotNull()).select(x.alias("x"), k.alias("k")).groupBy("x", "k").agg(F.count(F.lit(1)).alias("n"))
+    h = F.xxhash64("k", "copy", "x")
+    rows = explode_copies(cells, "n", "copy").select("x", h.alias("h")).orderBy("h", "x").limit(max_n).collect()
     return [r["x"] for r in rows]
 
 

@@ -76,25 +76,29 @@ class IterativeImputer(Fitted):
     init: dict[str, float]
     rounds: list[dict[str, tuple[float, list[float]]]]  # per round: col -> (a, b over others)
 
-    def _round_exprs(self, cur: dict[str, Column], orig: dict[str, Column], rnd) -> dict[str, Column]:
-        nxt = dict(cur)
-        for c in self.cols:
-            if c not in rnd:
-                continue
-            a, b = rnd[c]
-            others = [o for o in self.cols if o != c]
-            pred = F.lit(a)
-            for o, bo in zip(others, b):
-                pred = pred + nxt[o] * F.lit(bo)
-            nxt[c] = F.when(orig[c].isNull(), pred).otherwise(orig[c])
-        return nxt
+    def _refilled(self, state: Column, missing: Column, rounds) -> Column:
+        """``state`` (array of values, in the order of cols) after the given
+        rounds.  One fold over the steps, a step being one column of one
+        round, so the expression grows with the number of coefficients only."""
+        at = {c: i for i, c in enumerate(self.cols)}
+        steps = [(at[c], *rnd[c]) for rnd in rounds for c in self.cols if c in rnd]
+        if not steps:
+            return state
+        lits = [F.struct(F.lit(j).alias("j"), F.lit(float(a)).alias("a"),
+                         F.array(*[F.lit(float(v)) for v in [*b[:j], 0.0, *b[j:]]]).alias("b")) for j, a, b in steps]
+
+        def step(acc, s):
+            terms = F.transform(acc, lambda v, i: F.when(i == s["j"], 0.0).otherwise(v * F.get(s["b"], i)))
+            pred = F.aggregate(terms, s["a"], lambda x, t: x + t)
+            return F.transform(acc, lambda v, i: F.when((i == s["j"]) & F.get(missing, i), pred).otherwise(v))
+
+        return F.aggregate(F.array(*lits), state, step)
 
     def transform(self, df):
-        orig = {c: q(c).cast("double") for c in self.cols}
-        cur = {c: F.coalesce(orig[c], F.lit(self.init[c])) for c in self.cols}
-        for rnd in self.rounds:
-            cur = self._round_exprs(cur, orig, rnd)
-        return self._replace(df, cur)
+        x = [q(c).cast("double") for c in self.cols]
+        state = F.array(*[F.coalesce(v, F.lit(self.init[c])) for c, v in zip(self.cols, x)])
+        done = df.withColumn("__imputed", self._refilled(state, F.array(*[v.isNull() for v in x]), self.rounds))
+        return self._replace(done, {c: F.get("__imputed", F.lit(i)) for i, c in enumerate(self.cols)}).drop("__imputed")
 
 
 def fit_iterative_imputer(df: DataFrame, cols: Sequence[str], max_iter: int = 10, alpha: float = 1e-6,
@@ -108,7 +112,8 @@ def fit_iterative_imputer(df: DataFrame, cols: Sequence[str], max_iter: int = 10
     miss = {c: f"__miss_{i}" for i, c in enumerate(cols)}
     base = df.select(*[q(c).cast("double").alias(c) for c in cols],
                      *[q(c).isNull().alias(miss[c]) for c in cols])
-    incomplete = [c for c in cols if base.where(F.col(miss[c])).limit(1).count() > 0]
+    some = base.agg(*[F.max(F.col(miss[c])).alias(miss[c]) for c in cols]).first()
+    incomplete = [c for c in cols if some[miss[c]]]
     model = IterativeImputer(cols, init, [])
     cur = base.select(*[F.coalesce(F.col(c), F.lit(init[c])).alias(c) for c in cols],
                       *[F.col(miss[c]) for c in cols])
@@ -133,10 +138,10 @@ def fit_iterative_imputer(df: DataFrame, cols: Sequence[str], max_iter: int = 10
             rnd[c] = (a, [float(v) for v in b])
         model.rounds.append(rnd)
         # refill: sequential within the round, as chained equations do
-        orig = {c: F.when(F.col(miss[c]), F.lit(None).cast("double")).otherwise(F.col(c)) for c in cols}
-        state = {c: F.col(c) for c in cols}
-        new = model._round_exprs(state, orig, rnd)
-        cur = cur.select(*[new[c].alias(c) for c in cols], *[F.col(miss[c]) for c in cols])
+        missing = F.array(*[F.col(miss[c]) for c in cols])
+        new = model._refilled(F.array(*[q(c) for c in cols]), missing, [rnd])
+        cur = (cur.select(new.alias("__state"), *[F.col(miss[c]) for c in cols])
+               .select(*[F.get("__state", F.lit(i)).alias(c) for i, c in enumerate(cols)], *[F.col(miss[c]) for c in cols]))
         if (it + 1) % checkpoint_every == 0:
             cur = cut_lineage(cur)
         flat = np.array([v for c in sorted(rnd) for v in [rnd[c][0], *rnd[c][1]]])

@@ -50,6 +50,9 @@ class FittedPipeline:
     steps: list = field(default_factory=list)
     feature_names: list[str] = field(default_factory=list)
     keep: list[str] = field(default_factory=list)
+    #: the training rows as later steps and models should see them: with target
+    #: encoding a row's own fold has no part in its value (rows without target are left out)
+    train: DataFrame | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         for s in self.steps:
@@ -58,7 +61,13 @@ class FittedPipeline:
 
     def features(self, df: DataFrame, output: str = "features") -> DataFrame:
         """Transform and assemble the model matrix as one vector column."""
-        t = self.transform(df)
+        return self._assembled(self.transform(df), output)
+
+    def train_features(self, output: str = "features") -> DataFrame:
+        """The model matrix of the training rows, free of target leakage."""
+        return self._assembled(self.train, output)
+
+    def _assembled(self, t: DataFrame, output: str) -> DataFrame:
         va = VectorAssembler(inputCols=self.feature_names, outputCol=output, handleInvalid="keep")
         return va.transform(t).select(*[q(c) for c in self.keep], output)
 
@@ -103,8 +112,8 @@ def fit_pipeline(train: DataFrame, cfg: PreprocessConfig, target: str | None = N
             add(pp.fit_ordinal(cur, cat))
             names += cat
         elif cfg.categorical_encoding == "target" and target:
-            enc, _oof = pp.fit_target_encoder(cur, cat, target, seed=cfg.random_state)
-            add(enc)
+            enc, cur = pp.fit_target_encoder(cur, cat, target, seed=cfg.random_state)  # train rows: out of fold
+            fp.steps.append(enc)
             names += cat
         else:
             oh = pp.fit_one_hot(cur, cat)
@@ -121,6 +130,7 @@ def fit_pipeline(train: DataFrame, cfg: PreprocessConfig, target: str | None = N
         add(pca)
         names = [f"pca{j}" for j in range(pca.components.shape[0])]
     fp.feature_names = names
+    fp.train = cur
     return fp
 
 

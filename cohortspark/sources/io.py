@@ -21,7 +21,7 @@ _EXTENSIONS = {
 }
 
 # Encodings tried in order when none is given.
-_FALLBACK_ENCODINGS = ("UTF-8", "ISO-8859-1", "windows-1252")
+_FALLBACK_ENCODING = "ISO-8859-1"  # decodes every byte
 
 
 def detect_file_type(path: str) -> str:
@@ -37,42 +37,25 @@ def _dedupe_header(df: DataFrame) -> DataFrame:
     return df.toDF(*names) if names != df.columns else df
 
 
-def _has_replacement_char(df: DataFrame) -> bool:
-    """Spark decodes bad bytes to U+FFFD instead of failing: probe for it."""
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    probe = [q(c).contains("�") for c in strings]
-    names_bad = any("�" in c for c in df.columns)
-    if names_bad:
-        return True
-    if not probe:
-        return False
-    cond = probe[0]
-    for p in probe[1:]:
-        cond = cond | p
-    return df.where(cond).limit(1).count() > 0
+def _is_utf8(spark: SparkSession, path: str) -> bool:
+    """Whether every raw line, the header too, is valid UTF-8: the bytes
+    decide, as a file may well hold the replacement character itself."""
+    return spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).isEmpty()
 
 
 def _read_delimited(spark: SparkSession, path: str, sep: str, encoding: str | None,
                     schema: T.StructType | None, infer: bool) -> DataFrame:
-    encodings = [encoding] if encoding else list(_FALLBACK_ENCODINGS)
-    last = None
-    for enc in encodings:
-        reader = (spark.read.option("header", True).option("sep", sep)
-                  .option("encoding", enc).option("mode", "PERMISSIVE"))
-        if schema is not None:
-            reader = reader.schema(schema)
-        else:
-            reader = reader.option("inferSchema", infer)
-        df = _dedupe_header(reader.csv(path))
-        last = df
-        if encoding or not _has_replacement_char(df):
-            return df
-    return last
+    enc = encoding or ("UTF-8" if _is_utf8(spark, path) else _FALLBACK_ENCODING)
+    reader = (spark.read.option("header", True).option("sep", sep)
+              .option("encoding", enc).option("mode", "PERMISSIVE"))
+    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", infer)
+    return _dedupe_header(reader.csv(path))
 
 
 def load_csv(spark: SparkSession, path: str, encoding: str | None = None,
              schema: T.StructType | None = None, infer_schema: bool = True) -> DataFrame:
-    """CSV with header; UTF-8 first, then Latin-1, then cp1252 (op 2)."""
+    """CSV with header; UTF-8, or Latin-1 where a line is not valid UTF-8;
+    other encodings (cp1252) on request (op 2)."""
     return _read_delimited(spark, path, ",", encoding, schema, infer_schema)
 
 
@@ -210,7 +193,8 @@ def load_model(path: str):
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint location (never machine-local)."""
+    """A fresh folder under the checkpoint location: the shared one on a cluster,
+    a local folder only in local mode with spark.checkpoint.dir unset."""
     import uuid
 
     from cohortspark.session import checkpoint_dir
@@ -220,8 +204,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def balance_partitions(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread a scan that yields fewer partitions than the cluster has cores
     (e.g. one large single-row-group file) over ``defaultParallelism`` tasks.
-    Scans of large tables already produce many splits and are left alone, so
-    this never adds a shuffle at scale."""
+    Scans with at least that many splits are left alone; a table with fewer
+    splits than the cluster has cores is shuffled once, round-robin."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
