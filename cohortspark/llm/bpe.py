@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from cohortspark.llm.common import RELEASE, by_text_chars, map_arrow
 
 END = 0x1000  # a symbol that ends a word is its character shifted by this
+TAIL = 3  # symbols by which the tokens that may end at a place are looked up
 MEMO_WORDS = 150_000  # words kept by a worker between batches; speed only, results do not depend on it
 MEMO_PAIRS = 1_200_000
 PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ÿ]")
@@ -73,13 +74,12 @@ class TrieBpe:
             if self.special else None
         # a token that the rules do not rebuild from its symbols is never the last token of anything
         self.ids = {s: i for s, i in self.ids.items() if len(s) == 1 or self.merge(s) == [s]}
-        ending: dict[str, set[int]] = {}
+        tails: dict[str, set[int]] = {}
         for x in self.ids:
-            ending.setdefault(x[-1], set()).add(len(x))
-        self.longest = max(map(len, self.ids))
-        # lengths[symbol][depth]: lengths of the tokens that end with the symbol and fit, longest first
-        self.lengths = {x: [tuple(sorted((k for k in ks if k <= d), reverse=True)) for d in range(self.longest + 1)]
-                        for x, ks in ending.items()}
+            tails.setdefault(x[-TAIL:], set()).add(len(x))
+        # lengths[tail]: lengths of the tokens that can end where these symbols do, longest first
+        self.lengths = {x: tuple(sorted(ks.union(*[tails.get(x[i:], ()) for i in range(1, len(x))]), reverse=True))
+                        for x, ks in tails.items()}
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
@@ -111,8 +111,7 @@ class TrieBpe:
 
     def walk(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """Sorted distinct symbol strings -> (word, ids), depth first over their trie."""
-        ids, lengths, longest = self.ids, self.lengths, self.longest
-        pairs, compatible = self.pairs, self.compatible
+        ids, lengths, pairs, compatible = self.ids, self.lengths, self.pairs, self.compatible
         last: list[int] = [0]    # last[d]: last token of the prefix of length d
         size: list[int] = [0]    # its length in symbols
         before = ""
@@ -124,7 +123,14 @@ class TrieBpe:
             del last[d + 1:], size[d + 1:]
             while d < n:
                 d += 1
-                for k in lengths[w[d - 1]][d if d < longest else longest]:
+                at = d - TAIL if d > TAIL else 0
+                fits = lengths.get(w[at:d])
+                while fits is None and at < d:  # no token ends with all of these symbols
+                    at += 1
+                    fits = lengths.get(w[at:d])
+                for k in fits or ():
+                    if k > d:
+                        continue
                     t = ids.get(w[d - k:d])
                     if t is None:
                         continue
@@ -199,8 +205,8 @@ class TrieBpe:
                 i = self.special[w[1:]]
                 known[w] = (1, str(i), w[1:])
         for words in cuts:
-            got = [known[w] for w in words]
-            yield sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
+            counts, ids, parts = zip(*map(known.__getitem__, words)) if words else ((), (), ())
+            yield sum(counts), " ".join(ids), " ".join(parts)
 
 
 def _byte_characters() -> list[str]:
