@@ -86,3 +86,15 @@ def scalar_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         return exact_quantiles(df, cols, probs)
     row = df.agg(*[quantile_expr(q(c), probs, method).alias(f"q{i}") for i, c in enumerate(cols)]).first()
     return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)) for i, c in enumerate(cols)}
+
+
+def reduce_partials(partials, add: Callable) -> dict:
+    """RDD of (key, partial result of a task) -> key -> total, in two steps:
+    groups of tasks first, so that no reducer gets one record of every task
+    even where all tasks share one key."""
+    n = partials.getNumPartitions()
+    fan = max(int(n ** 0.5), 1)
+    if fan > 2:
+        grouped = partials.mapPartitionsWithIndex(lambda i, rows: (((k, i % fan), v) for k, v in rows))
+        partials = grouped.reduceByKey(add).map(lambda kv: (kv[0][0], kv[1]))
+    return dict(partials.reduceByKey(add).collect())

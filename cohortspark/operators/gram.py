@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.functions.aggs import reduce_partials
 from cohortspark.functions.columns import q
 
 MAX_P = 2000
@@ -118,9 +119,8 @@ def gram(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), weight: str
     def add(a, b):
         return (a[0] + b[0], a[1] + b[1], a[2] + b[2])
 
-    red = parts.rdd.map(to_np).reduceByKey(add).collect()
     out = {}
-    for k, (sw, s1, s2) in red:
+    for k, (sw, s1, s2) in reduce_partials(parts.rdd.map(to_np), add).items():
         if sw <= 0:
             continue
         d = s1 / sw

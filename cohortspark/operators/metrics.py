@@ -66,21 +66,33 @@ def accuracy_f1(df: DataFrame, y: str, yhat: str) -> DataFrame:
                   (F.sum(F.col("support") * F.col("f1")) / F.sum("support")).alias("f1_weighted"))
 
 
-def _score_counts(df: DataFrame, y: str, score: str, positive=1) -> DataFrame:
-    t = df.select((q(y).cast("string") == F.lit(str(positive))).alias("pos"), q(score).cast("double").alias("s")) \
+def _score_counts(df: DataFrame, y: str, score: str, positive=1, by: Sequence[str] = ()) -> DataFrame:
+    t = df.select(*by, (q(y).cast("string") == F.lit(str(positive))).alias("pos"), q(score).cast("double").alias("s")) \
         .where(F.col("s").isNotNull() & F.col("pos").isNotNull())
-    return t.groupBy("s").agg(F.sum(F.col("pos").cast("long")).alias("np"),
+    return t.groupBy(*by, "s").agg(F.sum(F.col("pos").cast("long")).alias("np"),
                               F.sum((~F.col("pos")).cast("long")).alias("nn"))
 
 
-def roc_auc(df: DataFrame, y: str, score: str, positive=1) -> DataFrame:
-    """Binary ROC-AUC with ties counted ½: rank-sum form over distinct scores."""
-    sc = _score_counts(df, y, score, positive).withColumn("cnt", F.col("np") + F.col("nn"))
-    pos = value_positions(sc, "s", weight="cnt").select("s", "avg_rank")
-    j = sc.join(pos, "s")
-    st = j.agg(F.sum("np").alias("P"), F.sum("nn").alias("N"), F.sum(F.col("np") * F.col("avg_rank")).alias("R"))
+def roc_auc(df: DataFrame, y: str, score: str, positive=1, by: Sequence[str] = ()) -> DataFrame:
+    """Binary ROC-AUC with ties counted ½: rank-sum form over distinct scores;
+    one row, or one per group of the ``by`` columns."""
+    sc = _score_counts(df, y, score, positive, by).withColumn("cnt", F.col("np") + F.col("nn"))
+    pos = value_positions(sc, "s", by=by, weight="cnt").select(*by, "s", "avg_rank")
+    j = sc.join(pos, [*by, "s"])
+    st = j.groupBy(*by).agg(F.sum("np").alias("P"), F.sum("nn").alias("N"), F.sum(F.col("np") * F.col("avg_rank")).alias("R"))
     pp, nn = F.col("P").cast("double"), F.col("N").cast("double")
-    return st.select(F.when((pp > 0) & (nn > 0), (F.col("R") - pp * (pp + 1) / 2) / (pp * nn)).alias("roc_auc"))
+    return st.select(*by, F.when((pp > 0) & (nn > 0), (F.col("R") - pp * (pp + 1) / 2) / (pp * nn)).alias("roc_auc"))
+
+
+def group_medians(df: DataFrame, value: str, by: str) -> DataFrame:
+    """(by, median) of a column per group: exact, from positions of distinct
+    values, without a buffer that holds a group."""
+    t = df.where(q(value).isNotNull())
+    j = value_positions(t, value, by=[by]).join(t.groupBy(by).agg(F.count(F.lit(1)).alias("__n")), by)
+
+    def at(place):
+        return F.sum(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("cnt")), q(value)))
+    return j.groupBy(by).agg(((at(F.floor((F.col("__n") - 1) / 2)) + at(F.floor(F.col("__n") / 2))) / 2).alias("median"))
 
 
 def roc_auc_ovr(df: DataFrame, y: str, score_cols: dict[str, str]) -> DataFrame:

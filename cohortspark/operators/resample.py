@@ -25,7 +25,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.functions.aggs import reduce_partials
 from cohortspark.functions.columns import q
+from cohortspark.operators import metrics
 
 _N = NormalDist()
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -51,7 +53,7 @@ def poisson_weights(h: np.ndarray, n_rep: int) -> np.ndarray:
     return np.searchsorted(_POIS, u, side="right").astype(np.float64)
 
 
-def _partials(spec_cols, hist_col, n_rep, bins, chunk=2048):
+def _partials(spec_cols, hist_col, n_rep, bins, edges=None, chunk=2048):
     def fn(batches):
         acc: dict = {}
         for pdf in batches:
@@ -71,7 +73,10 @@ def _partials(spec_cols, hist_col, n_rep, bins, chunk=2048):
                     hist = None
                     jh = None
                     if hist_col is not None:
-                        hb = part[hist_col].to_numpy()[sel].astype(np.int64)   # bin (neg scores: -bin-1)
+                        hb = part[hist_col].to_numpy()[sel]
+                        if edges is not None:
+                            hb = np.clip(np.searchsorted(edges, hb, side="right") - 1, 0, bins - 1)
+                        hb = hb.astype(np.int64)                      # bin (neg scores: -bin-1)
                         idx = np.where(hb >= 0, hb, bins + (-hb - 1))
                         hist_t = np.zeros((2 * bins, w.shape[1]))
                         np.add.at(hist_t, idx, w)                    # scatter rows' weights into their bins
@@ -97,16 +102,15 @@ def _auc_from_hist(hist: np.ndarray, bins: int) -> np.ndarray:
         return num / den
 
 
-def _median_from_hist(hist: np.ndarray, bins: int, hi: float) -> np.ndarray:
+def _median_from_hist(hist: np.ndarray, bins: int, edges: np.ndarray) -> np.ndarray:
     h = hist[..., :bins]
     c = np.cumsum(h, axis=-1)
     tot = c[..., -1:]
     idx = (c < tot / 2.0).sum(-1)
-    width = hi / bins
-    return (np.minimum(idx, bins - 1) + 0.5) * width
+    return edges[np.minimum(idx, min(bins, len(edges)) - 1)]
 
 
-def _finish(kind, names, sums, hist, classes, bins, hi):
+def _finish(kind, names, sums, hist, classes, bins, edges):
     """metric -> values (vectorised over leading axis)."""
     ix = {c: i for i, c in enumerate(names)}
     n = sums[..., ix["one"]]
@@ -118,7 +122,7 @@ def _finish(kind, names, sums, hist, classes, bins, hi):
             sst = sums[..., ix["y2"]] - sums[..., ix["y"]] ** 2 / n
             out["R2"] = 1 - sums[..., ix["e2"]] / sst
             if hist is not None:
-                out["MedianAE"] = _median_from_hist(hist, bins, hi)
+                out["MedianAE"] = _median_from_hist(hist, bins, edges)
         else:
             out["Accuracy"] = sums[..., ix["correct"]] / n
             f1 = 0.0
@@ -161,7 +165,13 @@ def bootstrap_metrics(df: DataFrame, y: str, yhat: str, task: str = "regression"
                       seed: int = 42, by: str | None = None, min_group: int = 5, bins: int = 2000,
                       positive=1) -> DataFrame:
     """Estimate and BCa interval for every metric of the task, optionally per
-    subgroup plus 'Overall' (op 161: groups below ``min_group`` rows dropped)."""
+    subgroup plus 'Overall' (op 161: groups below ``min_group`` rows dropped).
+
+    Estimates are exact.  Replicates of MedianAE and AUC come from weighted
+    histograms (``bins`` quantile bins of the errors, equal bins of the score)
+    and are moved by the difference between the exact estimate and the binned
+    one, so bins limit the resolution of their intervals only.
+    """
     keys = [q(k) for k in (key or df.columns)]
     yy, pp = q(y).cast("double" if task == "regression" else "string"), q(yhat)
     base = df.where(q(y).isNotNull() & q(yhat).isNotNull())
@@ -169,14 +179,14 @@ def bootstrap_metrics(df: DataFrame, y: str, yhat: str, task: str = "regression"
     jg = F.pmod(F.xxhash64(F.lit(seed + 1), *keys), F.lit(50)).cast("int")
     gk = q(by).cast("string") if by else F.lit("Overall")
     classes: list[str] = []
-    hi = 1.0
+    edges = None
     if task == "regression":
         e = q(y).cast("double") - q(yhat).cast("double")
-        hi = float(base.agg(F.max(F.abs(e))).first()[0] or 1.0) or 1.0
+        cuts = base.agg(F.percentile_approx(F.abs(e), [i / bins for i in range(bins + 1)], 10000)).first()[0]
+        edges = np.array(sorted(set(cuts or [0.0])), dtype="float64")
         cols = [F.lit(1.0).alias("one"), F.abs(e).alias("abs_e"), (e * e).alias("e2"),
-                q(y).cast("double").alias("y"), F.pow(q(y).cast("double"), 2).alias("y2"),
-                F.least(F.floor(F.abs(e) / F.lit(hi / bins)), F.lit(bins - 1)).cast("long").alias("abs_e_bin")]
-        names, hist_col = ["one", "abs_e", "e2", "y", "y2"], "abs_e_bin"
+                q(y).cast("double").alias("y"), F.pow(q(y).cast("double"), 2).alias("y2")]
+        names, hist_col = ["one", "abs_e", "e2", "y", "y2"], "abs_e"
     else:
         classes = sorted(r[0] for r in base.select(q(y).cast("string")).union(base.select(q(yhat).cast("string")))
                          .distinct().collect())
@@ -198,7 +208,7 @@ def bootstrap_metrics(df: DataFrame, y: str, yhat: str, task: str = "regression"
                      ((ys == F.lit(c)) & (ps == F.lit(c))).cast("double").alias(f"tp{k}")]
             names += [f"t{k}", f"p{k}", f"tp{k}"]
     sel = base.select(gk.alias("__key"), h.alias("__h"), jg.alias("__jg"), *cols)
-    fn = _partials(names, hist_col, n_resamples, bins)
+    fn = _partials(names, hist_col, n_resamples, bins, edges)
     parts = sel.mapInPandas(fn, "k string, boot binary, jack binary, hist binary, jh binary")
     m = len(names)
 
@@ -212,25 +222,39 @@ def bootstrap_metrics(df: DataFrame, y: str, yhat: str, task: str = "regression"
     def add(a, b):
         return tuple(x + y if x is not None else None for x, y in zip(a, b))
 
-    red = dict(parts.rdd.map(to_np).reduceByKey(add).collect())
+    red = reduce_partials(parts.rdd.map(to_np), add)
     if by:
         tot = None
         for v in red.values():
             tot = v if tot is None else add(tot, v)
         red = {k: v for k, v in red.items() if v[1][:, 0].sum() >= min_group}
         red["Overall"] = tot
+    # exact estimates of what the histograms only approximate
+    name = F.coalesce(gk, F.lit("None"))
+    member = F.explode(F.array(name, F.lit("Overall"))) if by else name
+    exact: dict[str, dict[str, float]] = {}
+    if task == "regression":
+        med = metrics.group_medians(base.select(member.alias("__g"), F.abs(e).alias("__e")), "__e", "__g")
+        exact["MedianAE"] = {r["__g"]: r["median"] for r in med.collect()}
+    elif proba is not None:
+        auc = metrics.roc_auc(base.select(member.alias("__g"), q(y).alias("__y"), pr.alias("__p")), "__y", "__p",
+                              positive, by=["__g"])
+        exact["AUC"] = {r["__g"]: r["roc_auc"] for r in auc.collect()}
     alpha = 1 - ci_level
     rows = []
     for g, (boot, jack, hist, jh) in red.items():
         full = jack.sum(0)
         full_h = jh.sum(0) if jh is not None else None
-        est = _finish(task, names, full, full_h, classes, bins, hi)
-        bst = _finish(task, names, boot, hist, classes, bins, hi)
+        est = _finish(task, names, full, full_h, classes, bins, edges)
+        bst = _finish(task, names, boot, hist, classes, bins, edges)
         loo = full[None, :] - jack
         loo_h = (full_h[None, :] - jh) if jh is not None else None
-        jst = _finish(task, names, loo, loo_h, classes, bins, hi)
+        jst = _finish(task, names, loo, loo_h, classes, bins, edges)
         for metric, ev in est.items():
-            lo, up = bca_interval(float(ev), np.asarray(bst[metric]), np.asarray(jst[metric]), alpha)
+            true = exact.get(metric, {}).get(g)
+            move = float(true) - float(ev) if true is not None and np.isfinite(ev) else 0.0
+            ev = float(ev) + move
+            lo, up = bca_interval(ev, np.asarray(bst[metric]) + move, np.asarray(jst[metric]) + move, alpha)
             rows.append((g, metric, int(full[0]), float(ev), lo, up, ci_level, n_resamples))
     out = df.sparkSession.createDataFrame(rows, "group string, metric string, n long, estimate double, "
                                                 "ci_lower double, ci_upper double, ci_level double, n_resamples long")

@@ -26,7 +26,7 @@ def _cls(spark, sf):
     return sp.random_split(t, ["doc_id"], 0.7, 0.0)
 
 
-def _emb(spark, sf, dims=8):
+def _emb(spark, sf, dims=64):
     e = table(spark, sf, "embeddings")
     t = e.select("vec_id", F.col("label").cast("double").alias("label"),
                  *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)])
@@ -101,7 +101,7 @@ def _fit_score(key, task, data_fn, feats, label, **params):
 
 
 CLS_FEATS = ["log_chars", "len_ratio", "toxic"]
-EMB_FEATS = [f"e{i}" for i in range(8)]
+EMB_FEATS = [f"e{i}" for i in range(64)]
 
 for _key, _task, _fn, _f, _y, _p in [
     ("ridge", "regression", _reg, FEATS, "l_extendedprice", {}),
@@ -115,14 +115,14 @@ for _key, _task, _fn, _f, _y, _p in [
     ("knn", "regression", _cls, ["log_chars", "len_ratio"], "quality", {}),
     ("logreg", "classification", _cls, CLS_FEATS, "quality", {}),
     ("glm", "classification", _cls, CLS_FEATS, "quality", {}),
-    ("svc", "classification", _cls, CLS_FEATS, "quality", {"max_iter": 25}),
+    ("svc", "classification", _cls, CLS_FEATS, "quality", {}),
     ("gaussian_nb", "classification", _emb, EMB_FEATS, "label", {}),
     ("lda", "classification", _emb, EMB_FEATS, "label", {}),
     ("knn", "classification", _emb, EMB_FEATS, "label", {}),
     ("nn", "classification", _emb, EMB_FEATS, "label", {}),
     ("histgb", "classification", _cls, CLS_FEATS, "quality", {"rounds": 10}),
     ("svr", "regression", _reg, FEATS, "l_extendedprice", {}),
-    ("svc_rbf", "classification", _cls, CLS_FEATS, "quality", {"max_iter": 25}),
+    ("svc_rbf", "classification", _cls, CLS_FEATS, "quality", {}),
 ]:
     register(f"model_fit_{_key}_{_task[:3]}")(_fit_score(_key, _task, _fn, _f, _y, **_p))
 

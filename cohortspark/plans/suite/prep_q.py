@@ -177,7 +177,7 @@ def q_target_oof(spark, sf):
 @register("prep_iterative_impute")
 def q_iterative(spark, sf):
     d = _li(spark, sf).select("l_orderkey", "l_linenumber", "qty", "l_extendedprice", "tax")
-    return pp.fit_iterative_imputer(d, ["qty", "l_extendedprice", "tax"], max_iter=4).transform(d)
+    return pp.fit_iterative_imputer(d, ["qty", "l_extendedprice", "tax"]).transform(d)
 
 
 @register("prep_pca")
@@ -190,8 +190,8 @@ def q_pca(spark, sf):
 @register("prep_kmeans_features")
 def q_kmeans(spark, sf):
     e = table(spark, sf, "embeddings")
-    d = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    return pp.fit_kmeans_features(d, [f"e{i}" for i in range(8)], 5, add_onehot=True).transform(d)
+    d = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    return pp.fit_kmeans_features(d, [f"e{i}" for i in range(64)], 5, add_onehot=True).transform(d)
 
 
 @register("prep_pipeline")
@@ -258,14 +258,14 @@ def q_kfold(spark, sf):
 @register("split_bootstrap_weights")
 def q_boot(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey")
-    reps = o.select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("rep"))
+    reps = o.select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(999))).alias("rep"))
     w = reps.withColumn("w", sp.bootstrap_weight(F.col("rep"), 42, F.col("o_orderkey")))
     return w.groupBy("rep").agg(F.sum("w").alias("total_weight"), F.avg("w").alias("mean_weight"))
 
 
 @register("split_subsample")
 def q_subsample(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("rep"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("rep"))
     return (o.withColumn("in", sp.subsample_flag(F.col("rep"), 42, F.col("o_orderkey")))
             .groupBy("rep").agg(F.avg(F.col("in").cast("double")).alias("share")))
 

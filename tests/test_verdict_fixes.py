@@ -97,3 +97,37 @@ def test_target_encoding_of_train_rows_is_out_of_fold(spark):
     # every level occurs once: its own target must not show in the train rows
     assert fp.train.agg(F.count_distinct("c")).first()[0] == 1
     assert fp.train_features().count() == 400
+
+
+def test_bootstrap_estimates_are_exact(spark):
+    from cohortspark.operators import resample
+    rng = np.random.default_rng(5)
+    e = np.concatenate([rng.exponential(size=400), [1e6]])
+    g = ["a" if i % 3 else "b" for i in range(401)]
+    df = spark.createDataFrame([(i, g[i], 0.0, float(v)) for i, v in enumerate(e)], "k int, g string, y double, p double")
+    out = {(r["group"], r["metric"]): r for r in
+           resample.bootstrap_metrics(df, "y", "p", key=["k"], n_resamples=200, by="g").collect()}
+    for name, want in (("Overall", e), ("a", e[[x == "a" for x in g]]), ("b", e[[x == "b" for x in g]])):
+        r = out[(name, "MedianAE")]
+        assert r["estimate"] == pytest.approx(np.median(want), abs=1e-12)
+        assert r["ci_lower"] < r["estimate"] < r["ci_upper"] < 2
+
+
+def test_bootstrap_auc_is_exact(spark):
+    from cohortspark.operators import resample
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 300)
+    p = np.clip(0.5 + 0.0003 * (y - 0.5) + 0.0004 * rng.normal(size=300), 0, 1)  # finer than the bins
+    df = spark.createDataFrame([(i, int(a), int(b > 0.5), float(b)) for i, (a, b) in enumerate(zip(y, p))],
+                               "k int, y int, yhat int, p double")
+    got = {r["metric"]: r["estimate"] for r in
+           resample.bootstrap_metrics(df, "y", "yhat", "classification", "p", ["k"], 50).collect()}
+    pos, neg = p[y == 1], p[y == 0]
+    want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+    assert got["AUC"] == pytest.approx(want, abs=1e-12)
+
+
+def test_reduce_partials_in_two_steps(spark):
+    from cohortspark.functions.aggs import reduce_partials
+    rdd = spark.sparkContext.parallelize([("k" if i % 5 else "j", i) for i in range(100)], 25)
+    assert reduce_partials(rdd, lambda a, b: a + b) == {"j": sum(range(0, 100, 5)), "k": sum(i for i in range(100) if i % 5)}
