@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval (operator 4).
 
 1. Words are hashed into ``FEATURES`` buckets; document frequencies of the
-   buckets are counted over all documents and give the idf weights.  Buckets
-   in more than ``STOP_SHARE`` of the documents are stop words.
+   buckets are counted over all documents and give the idf weights; none is
+   below ``LEAST_IDF``, so that no word of a passage is lost however many
+   documents hold it.
 2. Benchmark items are cut into passages of at most ``WINDOW`` words.  A
    randomised SVD of their TF-IDF matrix, distributed over the passages (range
    finder with one power step, then the small problem), gives the latent
@@ -11,7 +12,9 @@
 3. Every document is cut into windows of ``WINDOW`` words that overlap by
    half, folded into the latent space, and compared by cosine with all
    passages.  A window whose projection is already too short for ``cosine``
-   is left out before the comparison.
+   is left out before the comparison.  Words of a widespread passage weigh
+   little, so windows that share a run of ``RUN`` words with a passage (or all
+   of a shorter passage) are candidates too, whatever their cosine.
 4. Candidates are confirmed on the words: the longest common subsequence as a
    share of the passage, and the share of the passage's answer words (its
    rarest third) that occur.  A leak needs ``lcs`` of the passage in order, or
@@ -42,7 +45,8 @@ from cohortspark.llm.shingles import word_hashes
 
 FEATURES = 1 << 16
 WINDOW = 64
-STOP_SHARE = 0.2
+LEAST_IDF = 0.1
+RUN = 5
 BATCH_CHARS = 1_000_000
 
 _GAP = np.ones(256, dtype=bool)
@@ -60,7 +64,7 @@ def _buckets(words: np.ndarray) -> np.ndarray:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """idf of every bucket over all documents, 0 for stop words."""
+    """idf of every bucket over all documents, LEAST_IDF or more."""
     def count(batches):
         df, seen = np.zeros(FEATURES, dtype=np.int64), 0
         for b in by_text_chars(batches, BATCH_CHARS):
@@ -80,9 +84,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     df = np.zeros(FEATURES)
     if got:
         df[list(got)] = list(got.values())
-    idf = np.log((1 + total) / (1 + df))
-    idf[df > max(STOP_SHARE * total, 10)] = 0.0
-    return idf
+    return np.maximum(np.log((1 + total) / (1 + df)), LEAST_IDF)
 
 
 def passages_of(words: np.ndarray) -> Iterator[np.ndarray]:
@@ -170,6 +172,58 @@ def randomised_svd(bench: DataFrame, idf: np.ndarray, rank: int, seed: int = 7)
     return buckets, (q @ vector[:, best]).astype(np.float32)
 
 
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words that start at each place."""
+    ends = len(words) - n + 1
+    h = words[:max(0, ends)].copy()
+    for k in range(1, n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[k:ends + k]
+    return h
+
+
+def run_index(passages: list[np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of RUN words of the passages and whole shorter passages, by length: (length, first 20 bits that
+    occur, hashes in order, passage and place of each)."""
+    found: dict[int, list] = {}
+    for i, p in enumerate(passages):
+        n = min(RUN, len(p))
+        h = run_hashes(p, n)
+        found.setdefault(n, []).append((h, np.full(len(h), i), np.arange(len(h))))
+    out = []
+    for n, parts in sorted(found.items()):
+        h, owner, place = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(h, kind="stable")
+        seen = np.zeros(1 << 20, dtype=bool)
+        seen[h >> np.uint64(44)] = True
+        out.append((n, seen, h[order], owner[order], place[order]))
+    return out
+
+
+def shared_runs(index, words: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, passage) pairs, in order: the two windows that hold a passage where a run of it stands.
+    Texts are words[at[t]:at[t + 1]] and have the windows first[t]:first[t + 1]."""
+    windows, owners = [], []
+    for n, seen, hashes, owner, place in index:
+        h = run_hashes(words, n)
+        hit = np.flatnonzero(seen[h >> np.uint64(44)])
+        text = np.searchsorted(at, hit, side="right") - 1
+        inside = hit + n <= at[text + 1]
+        hit, text = hit[inside], text[inside]
+        lo = np.searchsorted(hashes, h[hit])
+        many = np.searchsorted(hashes, h[hit], side="right") - lo
+        ends = np.cumsum(many)
+        entry = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many - lo, many)
+        hit, text = np.repeat(hit, many), np.repeat(text, many)
+        start = (hit - at[text] - place[entry]) // (WINDOW // 2)  # of the passage; before the text if cut there
+        for k in (0, 1):
+            windows.append(np.clip(first[text] + start + k, first[text], first[text + 1] - 1))
+            owners.append(owner[entry])
+    if not windows:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    pairs = np.unique(np.stack([np.concatenate(windows), np.concatenate(owners)]), axis=1)
+    return pairs[0], pairs[1]
+
+
 def lcs_length(passage: list[int], window: list[int]) -> int:
     """Longest common subsequence by bit-parallel rows."""
     masks: dict[int, int] = {}
@@ -227,10 +281,10 @@ def _search(docs, block, idf, rank, cosine, lcs, lcs_paraphrase, answer, schema)
         rare.append(set(distinct[np.argsort(-idf[_buckets(distinct)], kind="stable")][:max(1, len(distinct) // 3)].tolist()))
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     shared = docs.sparkSession.sparkContext.broadcast(
-        (idf.astype(np.float32), place, v, latent, items, [w.tolist() for w in words], rare))
+        (idf.astype(np.float32), place, v, latent, items, [w.tolist() for w in words], rare, run_index(words)))
 
     def search(batches):
-        weight, place, v, latent, items, passages, rare = shared.value
+        weight, place, v, latent, items, passages, rare, index = shared.value
         half = WINDOW // 2
         for b in by_text_chars(batches, BATCH_CHARS):
             all_words, at = _words(b.column(1).to_pylist())
@@ -247,30 +301,38 @@ def _search(docs, block, idf, rank, cosine, lcs, lcs_paraphrase, answer, schema)
                 w = weight[bucket]
                 norm2 = np.bincount(of, weights=w * w, minlength=total)
                 row = place[bucket]
-                hit = np.flatnonzero((row >= 0) & (w > 0))
+                hit = np.flatnonzero(row >= 0)
                 known2 = np.bincount(of[hit], weights=w[hit] ** 2, minlength=total)
                 follows = np.ones(total, dtype=bool)  # the next block belongs to the same text
                 follows[first[1:][n_blocks > 0] - 1] = False
                 pair = lambda x: x + np.where(follows, np.append(x[1:], 0), 0)
                 norm, known = np.sqrt(pair(norm2)), pair(known2)
+                run_of, run_passage = shared_runs(index, all_words, at, first)
+                marked = np.zeros(total, dtype=bool)
+                marked[run_of] = True
                 # |projection| <= sqrt(words) times the length of the known part: repeated words add up
-                live = np.flatnonzero(known * 4 >= (cosine * norm) ** 2)
-                live = live[norm[live] > 0]
-                lo = np.searchsorted(of[hit], live)
-                hi = np.searchsorted(of[hit], live + 1 + follows[live])
+                live = np.flatnonzero(marked | (known * 4 >= (cosine * norm) ** 2))
+                edge = np.searchsorted(of[hit], np.arange(total + 1))
                 for c in range(0, len(live), 2048):
                     part = live[c:c + 2048]
-                    a, z = lo[c:c + 2048], hi[c:c + 2048]
-                    take = np.concatenate([hit[i:j] for i, j in zip(a, z)]) if len(part) else hit[:0]
+                    nxt = part + follows[part]
+                    half_at = np.union1d(part, nxt)  # half windows, each projected once
+                    a, z = edge[half_at], edge[half_at + 1]
+                    take = np.concatenate([hit[i:j] for i, j in zip(a, z)])
                     ends = np.cumsum(z - a)
                     vecs = v[row[take]] * w[take][:, None]
                     some = z > a
-                    proj = np.zeros((len(part), v.shape[1]), dtype=np.float32)
+                    halves = np.zeros((len(half_at), v.shape[1]), dtype=np.float32)
                     if some.any():
-                        proj[some] = np.add.reduceat(vecs, (ends - (z - a))[some], axis=0)
-                    long_enough = np.flatnonzero((proj * proj).sum(axis=1) >= (cosine * norm[part]) ** 2)
+                        halves[some] = np.add.reduceat(vecs, (ends - (z - a))[some], axis=0)
+                    proj = halves[np.searchsorted(half_at, part)]
+                    proj[follows[part]] += halves[np.searchsorted(half_at, nxt[follows[part]])]
+                    long_enough = np.flatnonzero(marked[part] | ((proj * proj).sum(axis=1) >= (cosine * norm[part]) ** 2))
                     sims = proj[long_enough] @ latent.T / norm[part[long_enough]][:, None]
-                    for x, i in zip(*np.nonzero(sims >= cosine)):
+                    wanted = sims >= cosine
+                    r = slice(*np.searchsorted(run_of, [part[0], part[-1] + 1]))
+                    wanted[np.searchsorted(part[long_enough], run_of[r]), run_passage[r]] = True
+                    for x, i in zip(*np.nonzero(wanted)):
                         blk = int(part[long_enough[x]])
                         doc = int(np.searchsorted(first, blk, side="right")) - 1
                         start = (blk - int(first[doc])) * half

@@ -165,6 +165,18 @@ def test_leaks(spark):
     assert {(r.doc_id, r.item_id) for r in blocks} == {(r.doc_id, r.item_id) for r in got}
 
 
+def test_leaks_of_widespread_passages(spark):
+    rnd = random.Random(10)
+    items = [sentence(rnd, 40), sentence(rnd, 200), sentence(rnd, 4)]
+    texts = [(i, sentence(rnd, 33 + i) + " " + (items[i % 4 // 2] + " " if i % 2 else "") + sentence(rnd, 50)) for i in range(120)]
+    texts += [(500, sentence(rnd, 40) + " " + items[2] + " " + sentence(rnd, 40)), (501, " ".join(items[0].split()[::-1]))]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.find_leaks(table(spark, [(i, t, "en") for i, t in texts]), bench).collect()
+    want = {(i, i % 4 // 2) for i in range(120) if i % 2} | {(500, 2)}
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert all(r.lcs_share == 1 for r in got)
+
+
 def test_lcs():
     rnd = random.Random(2)
     for _ in range(200):
