@@ -7,7 +7,9 @@
 2. Benchmark items are cut into passages of at most ``WINDOW`` words.  A
    randomised SVD of their TF-IDF matrix, distributed over the passages (range
    finder with one power step, then the small problem), gives the latent
-   space.  Directions outside the span of the benchmark passages add nothing
+   space of a block of about ``block_passages`` passages.  It has as many
+   dimensions as the block has passages, so that it holds each of them whole.
+   Directions outside the span of the benchmark passages add nothing
    to a cosine with a passage, so no other rows are needed for it.
 3. Every document is cut into windows of ``WINDOW`` words that overlap by
    half, folded into the latent space, and compared by cosine with all
@@ -20,9 +22,9 @@
    rarest third) that occur.  A leak needs ``lcs`` of the passage in order, or
    ``lcs_paraphrase`` of it together with ``answer`` of its answer words.
 
-Benchmark passages are handled in blocks of at most ``block_passages``, one
-search over the documents each; a block, its latent vectors (at most FEATURES
-x rank numbers) and the idf weights are what is broadcast.
+One search over the documents handles up to ``BLOCKS`` blocks; these, their
+latent vectors (at most FEATURES x rank numbers each) and the idf weights are
+what is broadcast.  With more blocks the leaks of each search are written.
 
 Defined results: null and empty texts (on either side) leak nothing; words are
 runs of ASCII letters, digits and non-ASCII characters, lower-cased; a document
@@ -40,13 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import by_text_chars, map_arrow
+from cohortspark.llm.common import by_text_chars, map_arrow, saved
 from cohortspark.llm.shingles import word_hashes
 
 FEATURES = 1 << 16
 WINDOW = 64
 LEAST_IDF = 0.1
 RUN = 5
+BLOCKS = 8
 BATCH_CHARS = 1_000_000
 
 _GAP = np.ones(256, dtype=bool)
@@ -97,13 +100,24 @@ def passages_of(words: np.ndarray) -> Iterator[np.ndarray]:
         lo += WINDOW // 2
 
 
+def passages(bench: DataFrame) -> DataFrame:
+    """bench(item_id, text) -> item_id, words (hashes) of every passage, repeated ones once."""
+    def cut(batches):
+        for b in by_text_chars(batches, BATCH_CHARS):
+            words, at = _words(b.column(1).to_pylist())
+            found = [(i, p.tobytes()) for i, lo, hi in zip(b.column(0).to_pylist(), at[:-1], at[1:])
+                     for p in passages_of(words[lo:hi])]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()),
+                                              pa.array([p for _, p in found], pa.binary())], ["item_id", "words"])
+
+    return map_arrow(bench.select("item_id", "text"), cut, "item_id long, words binary").distinct()
+
+
 def _rows(batches, idf: np.ndarray) -> Iterator[np.ndarray]:
     """Dense TF-IDF rows of unit length, one per benchmark passage."""
-    for b in by_text_chars(batches, 50_000):
-        words, at = _words(b.column(b.schema.get_field_index("text")).to_pylist())
-        for lo, hi in zip(at[:-1], at[1:]):
-            for p in passages_of(words[lo:hi]):
-                yield tfidf(p, idf)
+    for b in batches:
+        for p in b.column(b.schema.get_field_index("words")).to_pylist():
+            yield tfidf(np.frombuffer(p, dtype=np.uint64), idf)
 
 
 def tfidf(words: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -150,7 +164,7 @@ def randomised_svd(bench: DataFrame, idf: np.ndarray, rank: int, seed: int = 7)
             for i in at:
                 yield int(i), row[i] * y
 
-    z = _summed(bench.select("text"), sketch, wide)
+    z = _summed(bench.select("words"), sketch, wide)
     buckets = np.array(sorted(z), dtype=np.int64)
     if not len(buckets):
         return buckets, np.zeros((0, 1), dtype=np.float32)
@@ -166,7 +180,7 @@ def randomised_svd(bench: DataFrame, idf: np.ndarray, rank: int, seed: int = 7)
             b = row[at] @ q[place[at]]
             yield 0, np.outer(b, b).ravel()
 
-    g = _summed(bench.select("text"), gram, q.shape[1] ** 2)[0].reshape(q.shape[1], -1)
+    g = _summed(bench.select("words"), gram, q.shape[1] ** 2)[0].reshape(q.shape[1], -1)
     value, vector = np.linalg.eigh(g)
     best = np.argsort(-value)[:rank]
     return buckets, (q @ vector[:, best]).astype(np.float32)
@@ -240,19 +254,24 @@ def lcs_length(passage: list[int], window: list[int]) -> int:
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, rank: int = 256, cosine: float = 0.25, lcs: float = 0.7,
-               lcs_paraphrase: float = 0.5, answer: float = 0.8, block_passages: int = 20_000) -> DataFrame:
+               lcs_paraphrase: float = 0.5, answer: float = 0.8, block_passages: int = 256) -> DataFrame:
     """docs(doc_id, text), bench(item_id, text) -> doc_id, item_id, start_word, cosine, lcs_share, answer_share."""
     bench = bench.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and doc_id is not null")
     schema = "doc_id long, item_id long, start_word long, cosine double, lcs_share double, answer_share double"
     idf = inverse_frequencies(docs)
-    # a passage has at least WINDOW / 2 words of at least two bytes with their gap, but for the first of an item
-    count = bench.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / WINDOW).first()[0]
-    blocks = int(count // block_passages) + 1
+    bench = saved(passages(bench), "passages")
+    blocks = bench.count() // block_passages + 1
     parts = []
-    for k in range(blocks):
-        block = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        parts.append(_search(docs, block, idf, rank, cosine, lcs, lcs_paraphrase, answer, schema))
+    for lo in range(0, blocks, BLOCKS):
+        spaces = [_space(bench.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == k), idf, rank)
+                  for k in range(lo, min(lo + BLOCKS, blocks))]
+        shared = docs.sparkSession.sparkContext.broadcast((idf.astype(np.float32), [x for x in spaces if x[3]]))
+        found = map_arrow(docs, _search(shared, cosine, lcs, lcs_paraphrase, answer), schema)
+        if blocks > BLOCKS:
+            found = saved(found, "leaks")
+            shared.destroy()
+        parts.append(found)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -261,14 +280,13 @@ def find_leaks(docs: DataFrame, bench: DataFrame, rank: int = 256, cosine: float
         "doc_id", "item_id", (-F.col("b.back")).alias("start_word"), "b.cosine", "b.lcs_share", "b.answer_share")
 
 
-def _search(docs, block, idf, rank, cosine, lcs, lcs_paraphrase, answer, schema) -> DataFrame:
-    buckets, v = randomised_svd(block, idf, rank)
+def _space(block: DataFrame, idf: np.ndarray, rank: int) -> tuple:
+    """Latent space of a block's passages with all the search needs of them."""
     items, words = [], []
-    for r in block.select("item_id", "text").collect():  # one block of the stated query set
-        w, _ = _words([r["text"]])
-        for p in passages_of(w):
-            items.append(r["item_id"])
-            words.append(p)
+    for r in block.collect():  # one block of the stated query set
+        items.append(r["item_id"])
+        words.append(np.frombuffer(r["words"], dtype=np.uint64))
+    buckets, v = randomised_svd(block, idf, max(rank, len(words)))
     place = np.full(FEATURES, -1, dtype=np.int32)
     place[buckets] = np.arange(len(buckets))
     latent = np.zeros((len(items), v.shape[1]), dtype=np.float32)
@@ -280,11 +298,12 @@ def _search(docs, block, idf, rank, cosine, lcs, lcs_paraphrase, answer, schema)
         distinct = np.unique(p)
         rare.append(set(distinct[np.argsort(-idf[_buckets(distinct)], kind="stable")][:max(1, len(distinct) // 3)].tolist()))
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (idf.astype(np.float32), place, v, latent, items, [w.tolist() for w in words], rare, run_index(words)))
+    return place, v, latent, items, [w.tolist() for w in words], rare, run_index(words)
+
 
+def _search(shared, cosine, lcs, lcs_paraphrase, answer):
     def search(batches):
-        weight, place, v, latent, items, passages, rare, index = shared.value
+        weight, spaces = shared.value
         half = WINDOW // 2
         for b in by_text_chars(batches, BATCH_CHARS):
             all_words, at = _words(b.column(1).to_pylist())
@@ -294,60 +313,62 @@ def _search(docs, block, idf, rank, cosine, lcs, lcs_paraphrase, answer, schema)
             first = np.concatenate(([0], np.cumsum(n_blocks)))
             total = int(first[-1])
             out = []
-            if total and len(items):
+            if total and spaces:
                 within = np.arange(len(all_words)) - np.repeat(at[:-1], size)
                 of = np.repeat(first[:-1], size) + within // half
                 bucket = _buckets(all_words)
                 w = weight[bucket]
                 norm2 = np.bincount(of, weights=w * w, minlength=total)
-                row = place[bucket]
-                hit = np.flatnonzero(row >= 0)
-                known2 = np.bincount(of[hit], weights=w[hit] ** 2, minlength=total)
                 follows = np.ones(total, dtype=bool)  # the next block belongs to the same text
                 follows[first[1:][n_blocks > 0] - 1] = False
                 pair = lambda x: x + np.where(follows, np.append(x[1:], 0), 0)
-                norm, known = np.sqrt(pair(norm2)), pair(known2)
-                run_of, run_passage = shared_runs(index, all_words, at, first)
-                marked = np.zeros(total, dtype=bool)
-                marked[run_of] = True
-                # |projection| <= sqrt(words) times the length of the known part: repeated words add up
-                live = np.flatnonzero(marked | (known * 4 >= (cosine * norm) ** 2))
-                edge = np.searchsorted(of[hit], np.arange(total + 1))
-                for c in range(0, len(live), 2048):
-                    part = live[c:c + 2048]
-                    nxt = part + follows[part]
-                    half_at = np.union1d(part, nxt)  # half windows, each projected once
-                    a, z = edge[half_at], edge[half_at + 1]
-                    take = np.concatenate([hit[i:j] for i, j in zip(a, z)])
-                    ends = np.cumsum(z - a)
-                    vecs = v[row[take]] * w[take][:, None]
-                    some = z > a
-                    halves = np.zeros((len(half_at), v.shape[1]), dtype=np.float32)
-                    if some.any():
-                        halves[some] = np.add.reduceat(vecs, (ends - (z - a))[some], axis=0)
-                    proj = halves[np.searchsorted(half_at, part)]
-                    proj[follows[part]] += halves[np.searchsorted(half_at, nxt[follows[part]])]
-                    long_enough = np.flatnonzero(marked[part] | ((proj * proj).sum(axis=1) >= (cosine * norm[part]) ** 2))
-                    sims = proj[long_enough] @ latent.T / norm[part[long_enough]][:, None]
-                    wanted = sims >= cosine
-                    r = slice(*np.searchsorted(run_of, [part[0], part[-1] + 1]))
-                    wanted[np.searchsorted(part[long_enough], run_of[r]), run_passage[r]] = True
-                    for x, i in zip(*np.nonzero(wanted)):
-                        blk = int(part[long_enough[x]])
-                        doc = int(np.searchsorted(first, blk, side="right")) - 1
-                        start = (blk - int(first[doc])) * half
-                        # half a window on both sides: the passage may lie across the edge
-                        text = all_words[at[doc] + max(0, start - half // 2):
-                                         min(at[doc + 1], at[doc] + start + WINDOW + half // 2)].tolist()
-                        p = passages[i]
-                        share = lcs_length(p, text) / len(p)
-                        found = len(rare[i].intersection(text)) / len(rare[i])
-                        if share >= lcs or (share >= lcs_paraphrase and found >= answer):
-                            out.append((ids[doc], items[i], start, float(sims[x, i]), share, found))
+                norm = np.sqrt(pair(norm2))
+                for place, v, latent, items, passages, rare, index in spaces:
+                    row = place[bucket]
+                    hit = np.flatnonzero(row >= 0)
+                    known2 = np.bincount(of[hit], weights=w[hit] ** 2, minlength=total)
+                    known = pair(known2)
+                    run_of, run_passage = shared_runs(index, all_words, at, first)
+                    marked = np.zeros(total, dtype=bool)
+                    marked[run_of] = True
+                    # |projection| <= sqrt(words) times the length of the known part: repeated words add up
+                    live = np.flatnonzero(marked | (known * 4 >= (cosine * norm) ** 2))
+                    edge = np.searchsorted(of[hit], np.arange(total + 1))
+                    for c in range(0, len(live), 2048):
+                        part = live[c:c + 2048]
+                        nxt = part + follows[part]
+                        half_at = np.union1d(part, nxt)  # half windows, each projected once
+                        a, z = edge[half_at], edge[half_at + 1]
+                        take = np.concatenate([hit[i:j] for i, j in zip(a, z)])
+                        ends = np.cumsum(z - a)
+                        vecs = v[row[take]] * w[take][:, None]
+                        some = z > a
+                        halves = np.zeros((len(half_at), v.shape[1]), dtype=np.float32)
+                        if some.any():
+                            halves[some] = np.add.reduceat(vecs, (ends - (z - a))[some], axis=0)
+                        proj = halves[np.searchsorted(half_at, part)]
+                        proj[follows[part]] += halves[np.searchsorted(half_at, nxt[follows[part]])]
+                        long_enough = np.flatnonzero(marked[part] | ((proj * proj).sum(axis=1) >= (cosine * norm[part]) ** 2))
+                        sims = proj[long_enough] @ latent.T / norm[part[long_enough]][:, None]
+                        wanted = sims >= cosine
+                        r = slice(*np.searchsorted(run_of, [part[0], part[-1] + 1]))
+                        wanted[np.searchsorted(part[long_enough], run_of[r]), run_passage[r]] = True
+                        for x, i in zip(*np.nonzero(wanted)):
+                            blk = int(part[long_enough[x]])
+                            doc = int(np.searchsorted(first, blk, side="right")) - 1
+                            start = (blk - int(first[doc])) * half
+                            # half a window on both sides: the passage may lie across the edge
+                            text = all_words[at[doc] + max(0, start - half // 2):
+                                             min(at[doc + 1], at[doc] + start + WINDOW + half // 2)].tolist()
+                            p = passages[i]
+                            share = lcs_length(p, text) / len(p)
+                            found = len(rare[i].intersection(text)) / len(rare[i])
+                            if share >= lcs or (share >= lcs_paraphrase and found >= answer):
+                                out.append((ids[doc], items[i], start, float(sims[x, i]), share, found))
             if out:
                 cols = list(zip(*out))
                 kinds = [pa.int64()] * 3 + [pa.float64()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
                                                  ["doc_id", "item_id", "start_word", "cosine", "lcs_share", "answer_share"])
 
-    return map_arrow(docs, search, schema)
+    return search

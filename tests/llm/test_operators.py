@@ -177,6 +177,21 @@ def test_leaks_of_widespread_passages(spark):
     assert all(r.lcs_share == 1 for r in got)
 
 
+def test_leaks_of_many_passages(spark):
+    rnd = random.Random(11)
+    vocabulary = sentence(rnd, 4000).split()
+    items = [[rnd.choice(vocabulary) for _ in range(rnd.randint(15, 30))] for _ in range(1000)]
+    texts = [(1000 + i, " ".join(rnd.choice(vocabulary) for _ in range(150))) for i in range(200)]
+    want = set()
+    for i in range(0, 1000, 10):  # every fifth word is another one: no run of five words is left
+        own = [rnd.choice(vocabulary) if k % 5 == 4 else w for k, w in enumerate(items[i])]
+        texts.append((i, " ".join([*rnd.choices(vocabulary, k=40), *own, *rnd.choices(vocabulary, k=40)])))
+        want.add((i, i))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = decontaminate.find_leaks(table(spark, [(i, t, "en") for i, t in texts]), bench).collect()
+    assert want <= {(r.doc_id, r.item_id) for r in got}
+
+
 def test_lcs():
     rnd = random.Random(2)
     for _ in range(200):
