@@ -2,9 +2,10 @@
 
 Two layers of rules work on a text's words (A-Z lower-cased, joined by one
 blank).  Base phrases are counted at every place.  Signature rules are regular
-expressions with a keyword, a priority and a weight: a rule runs only on texts
-that hold its keyword, and only texts that hold one of ``TRIGGERS`` get words
-at all.  Detections that overlap are resolved: one that lies inside another is
+expressions with keywords, a priority and a weight: a rule runs only on texts
+that hold one of its keywords, and only texts that hold one of ``TRIGGERS`` or
+of the keywords of alternatives without a trigger get words at all.  Both are
+read off the expressions, so that every match holds one.  Detections that overlap are resolved: one that lies inside another is
 dropped (of equal intervals the higher priority stays, then the earlier rule),
 and one that crosses another of higher priority is dropped.
 
@@ -19,6 +20,9 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+from re import _constants as kind
+from re import _parser as parser
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +31,8 @@ from cohortspark.llm.common import let, lower_az, match_spans
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 # Base phrases and their labels.
 BASE = (
     (("mit", "license"), "mit"),
@@ -34,131 +40,171 @@ BASE = (
     (("general", "public", "license"), "gpl"),
 )
 
-#: Every rule and base phrase holds one of these.
+#: Every base phrase and most alternatives of the rules hold one of these.
 TRIGGERS = ("licen", "copyright", "copyleft", "reserved", "spdx", "warrant", "redistribut", "creative", "granted",
             "domain", "cc0")
 
 _L = "licen[cs]e"
 _V = "(?: v| version| ver)?"
-#: label, pattern of the name in words, keyword of the name
+#: label, pattern of the name in words
 NAMES = (
-    ("mit", f"(?:mit|expat|x11) {_L}", "licen"),
-    ("mit-0", f"mit(?: 0| no attribution) {_L}", "mit"),
-    ("mit-advertising", f"mit {_L} with advertising", "advertising"),
-    ("apache-1.0", f"apache(?: software)? {_L}{_V} 1 0", "apache"),
-    ("apache-1.1", f"apache(?: software)? {_L}{_V} 1 1", "apache"),
-    ("apache-2.0", f"apache(?: software)? {_L}{_V} 2(?: 0)?", "apache"),
-    ("apache", f"apache(?: software)? {_L}", "apache"),
-    ("gpl-1.0", f"(?:gnu )?general public {_L}{_V} 1(?: 0)?", "general"),
-    ("gpl-2.0", f"(?:gnu )?general public {_L}{_V} 2(?: 0)?", "general"),
-    ("gpl-2.0-or-later", f"(?:gnu )?general public {_L}{_V} 2(?: 0)? or(?: at your option)?(?: any)? later", "later"),
-    ("gpl-3.0", f"(?:gnu )?general public {_L}{_V} 3(?: 0)?", "general"),
-    ("gpl-3.0-or-later", f"(?:gnu )?general public {_L}{_V} 3(?: 0)? or(?: at your option)?(?: any)? later", "later"),
-    ("gpl", f"(?:gnu )?general public {_L}", "general"),
-    ("lgpl-2.0", f"(?:gnu )?library general public {_L}{_V} 2(?: 0)?", "library"),
-    ("lgpl-2.1", f"(?:gnu )?lesser general public {_L}{_V} 2 1", "lesser"),
-    ("lgpl-3.0", f"(?:gnu )?lesser general public {_L}{_V} 3(?: 0)?", "lesser"),
-    ("lgpl", f"(?:gnu )?lesser general public {_L}", "lesser"),
-    ("agpl-3.0", f"(?:gnu )?affero general public {_L}{_V} 3(?: 0)?", "affero"),
-    ("agpl", f"(?:gnu )?affero general public {_L}", "affero"),
-    ("gfdl-1.2", f"(?:gnu )?free documentation {_L}{_V} 1 2", "documentation"),
-    ("gfdl-1.3", f"(?:gnu )?free documentation {_L}{_V} 1 3", "documentation"),
-    ("gfdl", f"(?:gnu )?free documentation {_L}", "documentation"),
-    ("bsd-2-clause", f"(?:bsd 2 clause|simplified bsd|freebsd)(?: {_L})?", "bsd"),
-    ("bsd-3-clause", f"(?:bsd 3 clause|(?:new|modified|revised) bsd)(?: {_L})?", "bsd"),
-    ("bsd-4-clause", f"(?:bsd 4 clause|(?:original|old) bsd)(?: {_L})?", "bsd"),
-    ("0bsd", f"(?:0bsd|zero clause bsd)(?: {_L})?", "bsd"),
-    ("bsd", f"bsd(?: style)? {_L}", "bsd"),
-    ("isc", f"isc {_L}", "isc"),
-    ("mpl-1.0", f"mozilla public {_L}{_V} 1 0", "mozilla"),
-    ("mpl-1.1", f"mozilla public {_L}{_V} 1 1", "mozilla"),
-    ("mpl-2.0", f"mozilla public {_L}{_V} 2(?: 0)?", "mozilla"),
-    ("mpl", f"mozilla public {_L}", "mozilla"),
-    ("epl-1.0", f"eclipse public {_L}{_V} 1(?: 0)?", "eclipse"),
-    ("epl-2.0", f"eclipse public {_L}{_V} 2(?: 0)?", "eclipse"),
-    ("epl", f"eclipse public {_L}", "eclipse"),
-    ("edl-1.0", f"eclipse distribution {_L}(?:{_V} 1 0)?", "eclipse"),
-    ("eupl-1.1", f"european union public {_L}{_V} 1 1", "european"),
-    ("eupl-1.2", f"european union public {_L}{_V} 1 2", "european"),
-    ("cddl-1.0", f"common development and distribution {_L}(?:{_V} 1 0)?", "distribution"),
-    ("cddl-1.1", f"common development and distribution {_L}{_V} 1 1", "distribution"),
-    ("cpl-1.0", f"common public {_L}(?:{_V} 1 0)?", "common"),
-    ("cpal-1.0", f"common public attribution {_L}(?:{_V} 1 0)?", "attribution"),
-    ("bsl-1.0", f"boost software {_L}(?:{_V} 1 0)?", "boost"),
-    ("busl-1.1", f"business source {_L}(?:{_V} 1 1)?", "business"),
-    ("sspl-1.0", f"server side public {_L}(?:{_V} 1)?", "server"),
-    ("elastic-2.0", f"elastic {_L}(?:{_V} 2(?: 0)?)?", "elastic"),
-    ("artistic-1.0", f"artistic {_L}{_V} 1(?: 0)?", "artistic"),
-    ("artistic-2.0", f"artistic {_L}{_V} 2(?: 0)?", "artistic"),
-    ("artistic", f"artistic {_L}", "artistic"),
-    ("zlib", f"(?:zlib|zlib libpng) {_L}", "zlib"),
-    ("libpng", f"(?:libpng|png reference library) {_L}", "png"),
-    ("openssl", f"openssl {_L}", "openssl"),
-    ("python-2.0", f"python(?: software foundation)? {_L}(?:{_V} 2(?: 0)?)?", "python"),
-    ("ruby", f"ruby {_L}", "ruby"),
-    ("php-3.0", f"php {_L}{_V} 3(?: 0)?", "php"),
-    ("php-3.01", f"php {_L}{_V} 3 01", "php"),
-    ("postgresql", f"postgresql {_L}", "postgresql"),
-    ("ncsa", f"(?:university of illinois )?ncsa(?: open source)? {_L}", "ncsa"),
-    ("ofl-1.1", f"(?:sil )?open font {_L}(?:{_V} 1 1)?", "font"),
-    ("odbl-1.0", f"open (?:data commons open )?database {_L}(?:{_V} 1 0)?", "database"),
-    ("odc-by-1.0", f"open data commons attribution {_L}(?:{_V} 1 0)?", "attribution"),
-    ("pddl-1.0", f"public domain dedication and {_L}", "dedication"),
-    ("osl-3.0", f"open software {_L}(?:{_V} 3(?: 0)?)?", "open"),
-    ("afl-3.0", f"academic free {_L}(?:{_V} 3(?: 0)?)?", "academic"),
-    ("ms-pl", f"microsoft public {_L}", "microsoft"),
-    ("ms-rl", f"microsoft reciprocal {_L}", "microsoft"),
-    ("upl-1.0", f"universal permissive {_L}(?:{_V} 1 0)?", "universal"),
-    ("unlicense", "(?:the )?unlicense", "unlicense"),
-    ("wtfpl", f"do what the f\\w* you want to public {_L}", "what"),
-    ("beerware", f"beer ?ware(?: {_L})?", "beer"),
-    ("vim", f"vim {_L}", "vim"),
-    ("w3c", f"w3c(?: software(?: notice)?(?: and)?)? {_L}", "w3c"),
-    ("llama", f"llama(?: 2| 3)?(?: community)? {_L}", "llama"),
-    ("openrail", f"(?:creativeml )?open ?rail(?: m| s| d)?(?: {_L})?", "rail"),
-    ("cc0-1.0", "(?:creative commons zero|cc0)(?: 1 0)?", "c"),
-    ("cc-by-4.0", "(?:creative commons attribution|cc by)(?: international)? 4 0", "by"),
-    ("cc-by-3.0", "(?:creative commons attribution|cc by)(?: unported)? 3 0", "by"),
-    ("cc-by-sa-4.0", "(?:creative commons attribution share ?alike|cc by sa)(?: international)? 4 0", "sa"),
-    ("cc-by-sa-3.0", "(?:creative commons attribution share ?alike|cc by sa)(?: unported)? 3 0", "sa"),
-    ("cc-by-nc-4.0", "(?:creative commons attribution non ?commercial|cc by nc)(?: international)? 4 0", "nc"),
-    ("cc-by-nc-3.0", "(?:creative commons attribution non ?commercial|cc by nc)(?: unported)? 3 0", "nc"),
-    ("cc-by-nc-sa-4.0", "(?:creative commons attribution non ?commercial share ?alike|cc by nc sa) 4 0", "nc"),
-    ("cc-by-nc-nd-4.0", "(?:creative commons attribution non ?commercial no ?deriv\\w*|cc by nc nd) 4 0", "nc"),
-    ("cc-by-nd-4.0", "(?:creative commons attribution no ?deriv\\w*|cc by nd) 4 0", "nd"),
-    ("cc-by", f"(?:creative commons attribution|cc by)(?: {_L})?", "c"),
-    ("cc-by-nc", f"(?:creative commons attribution non ?commercial|cc by nc)(?: {_L})?", "nc"),
+    ("mit", f"(?:mit|expat|x11) {_L}"),
+    ("mit-0", f"mit(?: 0| no attribution) {_L}"),
+    ("mit-advertising", f"mit {_L} with advertising"),
+    ("apache-1.0", f"apache(?: software)? {_L}{_V} 1 0"),
+    ("apache-1.1", f"apache(?: software)? {_L}{_V} 1 1"),
+    ("apache-2.0", f"apache(?: software)? {_L}{_V} 2(?: 0)?"),
+    ("apache", f"apache(?: software)? {_L}"),
+    ("gpl-1.0", f"(?:gnu )?general public {_L}{_V} 1(?: 0)?"),
+    ("gpl-2.0", f"(?:gnu )?general public {_L}{_V} 2(?: 0)?"),
+    ("gpl-2.0-or-later", f"(?:gnu )?general public {_L}{_V} 2(?: 0)? or(?: at your option)?(?: any)? later"),
+    ("gpl-3.0", f"(?:gnu )?general public {_L}{_V} 3(?: 0)?"),
+    ("gpl-3.0-or-later", f"(?:gnu )?general public {_L}{_V} 3(?: 0)? or(?: at your option)?(?: any)? later"),
+    ("gpl", f"(?:gnu )?general public {_L}"),
+    ("lgpl-2.0", f"(?:gnu )?library general public {_L}{_V} 2(?: 0)?"),
+    ("lgpl-2.1", f"(?:gnu )?lesser general public {_L}{_V} 2 1"),
+    ("lgpl-3.0", f"(?:gnu )?lesser general public {_L}{_V} 3(?: 0)?"),
+    ("lgpl", f"(?:gnu )?lesser general public {_L}"),
+    ("agpl-3.0", f"(?:gnu )?affero general public {_L}{_V} 3(?: 0)?"),
+    ("agpl", f"(?:gnu )?affero general public {_L}"),
+    ("gfdl-1.2", f"(?:gnu )?free documentation {_L}{_V} 1 2"),
+    ("gfdl-1.3", f"(?:gnu )?free documentation {_L}{_V} 1 3"),
+    ("gfdl", f"(?:gnu )?free documentation {_L}"),
+    ("bsd-2-clause", f"(?:bsd 2 clause|simplified bsd|freebsd)(?: {_L})?"),
+    ("bsd-3-clause", f"(?:bsd 3 clause|(?:new|modified|revised) bsd)(?: {_L})?"),
+    ("bsd-4-clause", f"(?:bsd 4 clause|(?:original|old) bsd)(?: {_L})?"),
+    ("0bsd", f"(?:0bsd|zero clause bsd)(?: {_L})?"),
+    ("bsd", f"bsd(?: style)? {_L}"),
+    ("isc", f"isc {_L}"),
+    ("mpl-1.0", f"mozilla public {_L}{_V} 1 0"),
+    ("mpl-1.1", f"mozilla public {_L}{_V} 1 1"),
+    ("mpl-2.0", f"mozilla public {_L}{_V} 2(?: 0)?"),
+    ("mpl", f"mozilla public {_L}"),
+    ("epl-1.0", f"eclipse public {_L}{_V} 1(?: 0)?"),
+    ("epl-2.0", f"eclipse public {_L}{_V} 2(?: 0)?"),
+    ("epl", f"eclipse public {_L}"),
+    ("edl-1.0", f"eclipse distribution {_L}(?:{_V} 1 0)?"),
+    ("eupl-1.1", f"european union public {_L}{_V} 1 1"),
+    ("eupl-1.2", f"european union public {_L}{_V} 1 2"),
+    ("cddl-1.0", f"common development and distribution {_L}(?:{_V} 1 0)?"),
+    ("cddl-1.1", f"common development and distribution {_L}{_V} 1 1"),
+    ("cpl-1.0", f"common public {_L}(?:{_V} 1 0)?"),
+    ("cpal-1.0", f"common public attribution {_L}(?:{_V} 1 0)?"),
+    ("bsl-1.0", f"boost software {_L}(?:{_V} 1 0)?"),
+    ("busl-1.1", f"business source {_L}(?:{_V} 1 1)?"),
+    ("sspl-1.0", f"server side public {_L}(?:{_V} 1)?"),
+    ("elastic-2.0", f"elastic {_L}(?:{_V} 2(?: 0)?)?"),
+    ("artistic-1.0", f"artistic {_L}{_V} 1(?: 0)?"),
+    ("artistic-2.0", f"artistic {_L}{_V} 2(?: 0)?"),
+    ("artistic", f"artistic {_L}"),
+    ("zlib", f"(?:zlib|zlib libpng) {_L}"),
+    ("libpng", f"(?:libpng|png reference library) {_L}"),
+    ("openssl", f"openssl {_L}"),
+    ("python-2.0", f"python(?: software foundation)? {_L}(?:{_V} 2(?: 0)?)?"),
+    ("ruby", f"ruby {_L}"),
+    ("php-3.0", f"php {_L}{_V} 3(?: 0)?"),
+    ("php-3.01", f"php {_L}{_V} 3 01"),
+    ("postgresql", f"postgresql {_L}"),
+    ("ncsa", f"(?:university of illinois )?ncsa(?: open source)? {_L}"),
+    ("ofl-1.1", f"(?:sil )?open font {_L}(?:{_V} 1 1)?"),
+    ("odbl-1.0", f"open (?:data commons open )?database {_L}(?:{_V} 1 0)?"),
+    ("odc-by-1.0", f"open data commons attribution {_L}(?:{_V} 1 0)?"),
+    ("pddl-1.0", f"public domain dedication and {_L}"),
+    ("osl-3.0", f"open software {_L}(?:{_V} 3(?: 0)?)?"),
+    ("afl-3.0", f"academic free {_L}(?:{_V} 3(?: 0)?)?"),
+    ("ms-pl", f"microsoft public {_L}"),
+    ("ms-rl", f"microsoft reciprocal {_L}"),
+    ("upl-1.0", f"universal permissive {_L}(?:{_V} 1 0)?"),
+    ("unlicense", "(?:the )?unlicense"),
+    ("wtfpl", f"do what the f\\w* you want to public {_L}"),
+    ("beerware", f"beer ?ware(?: {_L})?"),
+    ("vim", f"vim {_L}"),
+    ("w3c", f"w3c(?: software(?: notice)?(?: and)?)? {_L}"),
+    ("llama", f"llama(?: 2| 3)?(?: community)? {_L}"),
+    ("openrail", f"(?:creativeml )?open ?rail(?: m| s| d)?(?: {_L})?"),
+    ("cc0-1.0", "(?:creative commons zero|cc0)(?: 1 0)?"),
+    ("cc-by-4.0", "(?:creative commons attribution|cc by)(?: international)? 4 0"),
+    ("cc-by-3.0", "(?:creative commons attribution|cc by)(?: unported)? 3 0"),
+    ("cc-by-sa-4.0", "(?:creative commons attribution share ?alike|cc by sa)(?: international)? 4 0"),
+    ("cc-by-sa-3.0", "(?:creative commons attribution share ?alike|cc by sa)(?: unported)? 3 0"),
+    ("cc-by-nc-4.0", "(?:creative commons attribution non ?commercial|cc by nc)(?: international)? 4 0"),
+    ("cc-by-nc-3.0", "(?:creative commons attribution non ?commercial|cc by nc)(?: unported)? 3 0"),
+    ("cc-by-nc-sa-4.0", "(?:creative commons attribution non ?commercial share ?alike|cc by nc sa) 4 0"),
+    ("cc-by-nc-nd-4.0", "(?:creative commons attribution non ?commercial no ?deriv\\w*|cc by nc nd) 4 0"),
+    ("cc-by-nd-4.0", "(?:creative commons attribution no ?deriv\\w*|cc by nd) 4 0"),
+    ("cc-by", f"(?:creative commons attribution|cc by)(?: {_L})?"),
+    ("cc-by-nc", f"(?:creative commons attribution non ?commercial|cc by nc)(?: {_L})?"),
 )
-#: clauses and notices: label, pattern, keyword, priority, weight
+#: clauses and notices: label, pattern, priority, weight
 CLAUSES = (
-    ("all-rights-reserved", "all rights reserved", "rights", 2, 0.6),
-    ("copyright-notice", "copyright(?: c)?(?: by)?(?: (?:19|20)[0-9]{2}){1,4}", "copyright", 1, 0.4),
-    ("public-domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain", "domain", 3, 0.8),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby", 5, 0.95),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "purpose", 5, 0.95),
-    ("bsd", "redistributions? (?:and use )?in source and binary forms?", "binary", 4, 0.9),
-    ("bsd-3-clause", "neither the name of (?:\\S+ ){1,8}nor the names of", "neither", 5, 0.9),
-    ("no-warranty", "without (?:any )?warrant(?:y|ies)(?: of any kind| or conditions of any kind)?", "warrant", 1, 0.3),
-    ("as-is", "provided (?:on an )?as is(?: basis)?(?: without warranty of any kind)?", "provided", 1, 0.3),
-    ("proprietary", "proprietary and confidential", "proprietary", 3, 0.7),
-    ("no-commercial-use", "(?:not for commercial use|non commercial use only)", "commercial", 2, 0.5),
-    ("license-file", f"see (?:the )?(?:accompanying )?{_L} file", "file", 1, 0.3),
-    ("copyleft", "copyleft", "copyleft", 1, 0.3),
+    ("all-rights-reserved", "all rights reserved", 2, 0.6),
+    ("copyright-notice", "copyright(?: c)?(?: by)?(?: (?:19|20)[0-9]{2}){1,4}", 1, 0.4),
+    ("public-domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain", 3, 0.8),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 5, 0.95),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose", 5, 0.95),
+    ("bsd", "redistributions? (?:and use )?in source and binary forms?", 4, 0.9),
+    ("bsd-3-clause", "neither the name of (?:\\S+ ){1,8}nor the names of", 5, 0.9),
+    ("no-warranty", "without (?:any )?warrant(?:y|ies)(?: of any kind| or conditions of any kind)?", 1, 0.3),
+    ("as-is", "provided (?:on an )?as is(?: basis)?(?: without warranty of any kind)?", 1, 0.3),
+    ("proprietary", "proprietary and confidential", 3, 0.7),
+    ("no-commercial-use", "(?:not for commercial use|non commercial use only)", 2, 0.5),
+    ("license-file", f"see (?:the )?(?:accompanying )?{_L} file", 1, 0.3),
+    ("copyleft", "copyleft", 1, 0.3),
 )
 _UNDER = ("(?:licen[cs]ed|released|distributed|available|published|provided|made available)(?: to you)? under "
           "(?:an? |the )?(?:terms (?:of|and conditions of) (?:an? |the )?)?")
 
 
-def rules() -> list[tuple[int, str, str, str, int, float]]:
-    """(number, label, pattern, keyword, priority, weight), in rule order."""
+def literals(pattern: str) -> list[list[str]]:
+    """For each alternative of a pattern the pieces of text that every match of it holds."""
+    def walk(items) -> list[str]:  # \0 stands for what varies
+        out = [""]
+        for op, arg in items:
+            if op is kind.LITERAL:
+                more = [chr(arg)]
+            elif op is kind.SUBPATTERN:
+                more = walk(arg[-1])
+            elif op is kind.BRANCH:
+                more = [x for branch in arg[1] for x in walk(branch)]
+            else:
+                more = ["\0"]
+            out = [x + y for x in out for y in more]
+        return out
+
+    return [[p.strip() for p in x.split("\0") if p.strip()] for x in dict.fromkeys(walk(parser.parse(pattern)))]
+
+
+#: Pieces of many rules tell little: they count as so many letters.
+_COMMON = {"licen": 4.5, "public licen": 4.6, **dict.fromkeys(
+    ("under", "under the", "e", "ed", "ware", "released", "distributed", "available", "published", "provided",
+     "made available"), 0)}
+
+
+def keywords(pattern: str) -> tuple[str, ...]:
+    """Every match of the pattern holds one of these."""
+    return tuple(sorted({max(pieces, key=lambda p: (_COMMON.get(p, len(p)), p)) for pieces in literals(pattern)}))
+
+
+def untriggered() -> list[str]:
+    """Keywords of the alternatives that need not hold one of TRIGGERS."""
+    out = set()
+    for _, _, pattern, *_ in rules():
+        for pieces in literals(pattern):
+            if not any(t in p for p in pieces for t in TRIGGERS):
+                out.add(max(pieces, key=lambda p: (_COMMON.get(p, len(p)), p)))
+    return sorted(x for x in out if not any(y != x and y in x for y in out))
+
+
+def rules() -> list[tuple[int, str, str, tuple[str, ...], int, float]]:
+    """(number, label, pattern, keywords, priority, weight), in rule order."""
     out = []
-    for label, name, word in NAMES:
-        out.append((label, name, word, 2, 0.7))
-        out.append((label, _UNDER + f"(?:{name})", word, 4, 0.9))
+    for label, name in NAMES:
+        out.append((label, name, 2, 0.7))
+        out.append((label, _UNDER + f"(?:{name})", 4, 0.9))
         tag = label.replace("-", " ").replace(".", " ")
-        out.append((label, f"spdx {_L} identifier {tag}", "spdx", 6, 1.0))
-    out += [(label, pattern, word, rank, weight) for label, pattern, word, rank, weight in CLAUSES]
-    return [(i, *x) for i, x in enumerate(out)]
+        out.append((label, f"spdx {_L} identifier {tag}", 6, 1.0))
+    out += CLAUSES
+    return [(i, label, pattern, keywords(pattern), rank, weight) for i, (label, pattern, rank, weight) in enumerate(out)]
 
 
 def _spaces(s):
@@ -168,10 +214,10 @@ def _spaces(s):
 def detections(norm):
     """Resolved detections of the signature rules in a text of words joined by one blank."""
     table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"),
-                               F.lit(f"(?<![^ ])(?:{p})(?![^ ])").alias("regex"), F.lit(w).alias("keyword"),
+                               F.lit(f"(?<![^ ])(?:{p})(?![^ ])").alias("regex"), F.array(*map(F.lit, w)).alias("keywords"),
                                F.lit(rank).alias("rank"), F.lit(weight).alias("weight"))
                       for i, label, p, w, rank, weight in rules()])
-    gated = F.filter(table, lambda r: F.contains(norm, r["keyword"]))
+    gated = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(norm, k)))
 
     def found(r):
         # a match starts and ends at word edges, so blanks before it count the words before it
@@ -217,6 +263,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     gate = F.lit(False)
     for t in TRIGGERS:
         gate = gate | F.contains(low, F.lit(t))
+    for piece in untriggered():
+        parts = piece.split(" ")
+        hit = F.contains(low, F.lit(max(parts, key=len)))
+        gate = gate | (hit & F.rlike(low, F.lit(GAP.join(parts))) if len(parts) > 1 else hit)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.regexp_count(raw, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"),
                        F.when(gate, F.regexp_extract_all(lower_az(raw), F.lit(WORD), F.lit(0))).alias("words"))
