@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import (bpe, decontaminate, exact_dedup, lang_id, license_scan, line_dedup, ngram_join, pii,
-                             secret_scan, token_counts)
+from cohortspark.llm import (bpe, decontaminate, exact_dedup, lang_id, license_scan, line_dedup, ngram_join,
+                             periodic_runs, pii, prefix_trie, secret_scan, substring_dedup, token_counts)
 from cohortspark.llm.common import read_documents
+from cohortspark.session import ship_package
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -71,6 +72,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(read_documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(read_documents(spark, sf_dir), size=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find_runs(read_documents(spark, sf_dir), order=periodic_runs.planted))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    trie = prefix_trie.build_trie(prefix_trie.with_shared_starts(prefix_trie.conversations(turns)))
+    return trie.drop("name", "parent")
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_license_scan": (op1_license_scan, None),
     "op2_ngram_jaccard": (op2_ngram_jaccard, None),
@@ -82,4 +99,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_token_counts": (op8_token_counts, None),
     "op9_language_id": (op9_language_id, None),
     "op10_bpe": (op10_bpe, None),
+    "op11_substring_dedup": (op11_substring_dedup, None),
+    "op12_periodic_runs": (op12_periodic_runs, None),
+    "op13_prefix_trie": (op13_prefix_trie, None),
 }
