@@ -17,27 +17,12 @@ from cohortspark.functions.columns import q
 
 StatFn = Callable[[Column], Column]
 
-# Above this many distinct values per column the exact ``percentile`` buffer
-# gets large; callers may switch to the approximate sketch instead.
 APPROX_ACCURACY = 100_000
 
 
-def quantile_expr(c: Column, probs: Sequence[float], method: str = "exact") -> Column:
-    """Linear-interpolated quantiles (pandas/DuckDB ``quantile_cont`` semantics).
-
-    ``exact`` uses Spark's ``percentile`` (value->count buffer, mergeable
-    partials).  ``approx`` uses the GK sketch with bounded memory per task.
-    """
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    if method == "approx":
-        return F.percentile_approx(c.cast("double"), arr, APPROX_ACCURACY)
-    return F.percentile(c.cast("double"), arr)
-
-
-def median_expr(c: Column, method: str = "exact") -> Column:
-    if method == "approx":
-        return F.percentile_approx(c.cast("double"), F.lit(0.5), APPROX_ACCURACY)
-    return F.percentile(c.cast("double"), F.lit(0.5))
+def approx_quantile_expr(c: Column, probs: Sequence[float]) -> Column:
+    """Quantiles of the GK sketch: actual values, bounded memory, one pass."""
+    return F.percentile_approx(c.cast("double"), F.array(*[F.lit(float(p)) for p in probs]), APPROX_ACCURACY)
 
 
 def wide_agg(df: DataFrame, cols: Sequence[str], stats: dict[str, StatFn],
@@ -76,18 +61,57 @@ def collect_scalars(df: DataFrame, cols: Sequence[str], stats: dict[str, StatFn]
 
 def scalar_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                      method: str = "exact") -> dict[str, list[float | None]]:
-    """Driver dict column -> quantiles.  ``exact``: Spark ``percentile`` (one
-    pass; value->count buffer per column); ``select``: exact selection with
-    bounded memory (sketch brackets + counting passes, for very high
-    cardinality columns at scale); ``approx``: GK sketch."""
+    """Driver dict column -> quantiles.  ``exact``: linear-interpolated, by
+    selection with bounded memory (``functions/quantiles.py``); ``approx``: GK
+    sketch, one pass."""
     cols = list(cols)
-    if method == "select":
+    if not cols:
+        return {}
+    if method in ("exact", "select"):
         from cohortspark.functions.quantiles import exact_quantiles
         return exact_quantiles(df, cols, probs)
-    row = df.agg(*[quantile_expr(q(c), probs, method).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[approx_quantile_expr(q(c), probs).alias(f"q{i}") for i, c in enumerate(cols)]).first()
     return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)) for i, c in enumerate(cols)}
 
 
+def by_column(values: dict[str, object], kind: str = "double", key: str = "column") -> Column:
+    """The value of the row's column name: small per-column results as one literal map."""
+    if not values:
+        return F.lit(None).cast(kind)
+    return F.create_map(*[x for c, v in values.items() for x in (F.lit(c), F.lit(v).cast(kind))])[F.col(key)]
+
+
+def distinct_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
+    """Column -> exact number of distinct values (NULL is none), all columns in one scan.
+
+    Each cell becomes one narrow row (column number, value in the field of its
+    type); distinct cells are combined before the shuffle and then counted per
+    column.  Several exact distinct counts in one ``agg`` would expand every
+    row to all columns' width once per column.
+    """
+    cols = list(cols)
+    if not cols:
+        return {}
+    types = {f.name: f.dataType for f in df.schema.fields}
+    cells = []
+    for i, c in enumerate(cols):
+        name, x = types[c].typeName(), q(c)
+        whole = name in ("byte", "short", "integer", "long", "boolean", "date", "timestamp", "timestamp_ntz")
+        if name in ("date", "timestamp", "timestamp_ntz"):
+            x = F.unix_date(x) if name == "date" else F.unix_micros(x.cast("timestamp"))
+        real = name in ("float", "double")
+        text = x if name == "string" else x.cast("string") if name not in ("binary", "array", "map", "struct") \
+            else F.hex(x) if name == "binary" else F.to_json(F.struct(x))
+        cells.append(F.when(q(c).isNotNull(), F.struct(
+            F.lit(i).alias("i"), (x if whole else F.lit(None)).cast("long").alias("l"),
+            (x if real else F.lit(None)).cast("double").alias("d"),
+            (F.lit(None) if whole or real else text).cast("string").alias("s"))))
+    found = (df.select(F.explode(F.array_compact(F.array(*cells))).alias("e")).select("e.*").distinct()
+             .groupBy("i").agg(F.count(F.lit(1)).alias("u")).collect())
+    counts = {r["i"]: r["u"] for r in found}
+    return {c: counts.get(i, 0) for i, c in enumerate(cols)}
+
+
 def reduce_partials(partials, add: Callable) -> dict:
     """RDD of (key, partial result of a task) -> key -> total, in two steps:
     groups of tasks first, so that no reducer gets one record of every task

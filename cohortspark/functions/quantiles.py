@@ -1,151 +1,268 @@
-"""Exact linear-interpolated quantiles by selection, for any table size.
-
-Spark's exact ``percentile`` keeps a value -> count map of a whole column in
-one final buffer.  Selection avoids that: the GK sketch (bounded memory per
-task) brackets each needed order statistic, a counting pass tells how many
-rows fall below and inside each bracket, and brackets that are still wide
-are narrowed by equal-width histograms (bounded output per pass) until few
-enough values remain to be brought to the driver.  Each pass is one scan with
-a small aggregate output; nothing row-sized is collected.
+"""Exact linear-interpolated quantiles and modes for every column and group, in bounded memory.
+
+Spark's exact ``percentile`` and ``mode`` keep a value -> count map of a whole
+column (and group) in one buffer.  Selection needs none:
+
+1. one scan with the GK sketch per (group, column) gives count, minimum,
+   maximum and, for each probability, a bracket: the sketch's values 4/ACCURACY
+   to either side.  The sketch is off by at most 1/ACCURACY of the rows, so for
+   more than SMALL rows the bracket holds the wanted order statistics; smaller
+   groups take [minimum, maximum];
+2. one scan counts, for all open brackets of all columns and groups at once,
+   the rows below and inside and takes the least value above;
+3. brackets that still hold more than BAND rows are cut by an equal-width
+   histogram to the bin of the order statistic and counted again (a hot value
+   fills a bracket of its own and is never moved);
+4. the rows inside the last brackets, some thousandths of all, are counted per
+   value, and a running sum per bracket picks the order statistic and the next.
+
+The passes read the projected values from memory as far as they fit there
+(MEMORY_ONLY: what does not is read again, nothing is spilled for it); they are
+released at the end.  Without groups the brackets are literals.  With groups they are a table with a
+row per group, joined to the rows by broadcast up to BROADCAST_BYTES and by a
+shuffle beyond.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from cohortspark.functions.columns import q
+from cohortspark.session import written
 
-ACCURACY = 10_000
-BAND_LIMIT = 50_000
+ACCURACY = 1000
+SMALL = 1000
+BAND = 100_000
 BINS = 4096
+ROUNDS = 40
+DRIVER_GROUPS = 1000
+BROADCAST_BYTES = 64 << 20
+
+
+def _number(x) -> str:
+    """A SQL literal of the same value."""
+    if x is None:
+        return "NULL"
+    if isinstance(x, int):
+        return str(x)
+    return f"{x!r}D".upper() if math.isfinite(x) else f"double('{x}')"
+
+
+class _Plan:
+    """The passes over the rows, for values v[i] (columns __v0, __v1, ...) and probabilities p[j]; target t = i *
+    len(p) + j.  ``at(name, t)`` gives a target's field (n: of the value) as SQL, a field of the joined state or a
+    literal.  Expressions are SQL text: one call to the JVM each, where building them bit by bit takes thousands."""
+
+    def __init__(self, values: int, probs: list[float]):
+        self.values, self.probs = values, probs
+        self.v = [f"__v{i}" for i in range(values) for _ in probs]  # by target
+        self.targets = range(len(self.v))
+        self.around = [x for p in probs for x in (max(0.0, p - 4.0 / ACCURACY), min(1.0, p + 4.0 / ACCURACY))]
+
+    def sketch(self) -> list[Column]:
+        around = ", ".join(map(_number, self.around))
+        return [F.expr(f"struct(count({x}) AS n, min({x}) AS mn, max({x}) AS mx, "
+                       f"percentile_approx({x}, array({around}), {ACCURACY}) AS s)").alias(f"a{i}")
+                for i, x in enumerate(f"__v{i}" for i in range(self.values))]
+
+    def start(self) -> list[Column]:
+        """n (per value), k (rank of the lower order statistic), lo and hi (per target) from the sketch."""
+        per = len(self.probs)
+
+        def edge(t, side):
+            a, e = f"a{t // per}", 2 * (t % per) + side
+            sure = "true" if self.around[e] in (0.0, 1.0) else f"{a}.n <= {SMALL}"
+            return f"if({sure}, {a}.{'mx' if side else 'mn'}, get({a}.s, {e}))"
 
+        fields = {"n": [f"a{i}.n" for i in range(self.values)],
+                  "k": [f"bigint(floor((a{t // per}.n - 1) * {_number(self.probs[t % per])}))" for t in self.targets],
+                  "lo": [edge(t, 0) for t in self.targets], "hi": [edge(t, 1) for t in self.targets]}
+        return [F.expr(f"array({', '.join(v)})").alias(name) for name, v in fields.items()]
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    max_passes: int = 12) -> dict[str, list[float | None]]:
-    """Column -> quantiles (pandas / DuckDB ``quantile_cont`` semantics) for
-    every probability, NULLs ignored."""
-    cols, probs = list(cols), [float(p) for p in probs]
-    x = {c: q(c).cast("double") for c in cols}
-    st = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)],
-                *[F.min(x[c]).alias(f"mn{i}") for i, c in enumerate(cols)],
-                *[F.max(x[c]).alias(f"mx{i}") for i, c in enumerate(cols)]).first()
-    # order statistics needed (0-based ranks) per column
-    need: dict[tuple[str, int], None] = {}
-    for i, c in enumerate(cols):
-        n = int(st[f"n{i}"] or 0)
-        for p in probs:
-            if n == 0:
-                continue
-            h = (n - 1) * p
-            need[(c, int(math.floor(h)))] = None
-            need[(c, min(int(math.floor(h)) + 1, n - 1))] = None
-    targets = list(need)
-    # brackets from the sketch (one sketch per column): ranks k -/+ 2n/ACCURACY
-    probs_by_col: dict[str, list[float]] = {c: [] for c in cols}
-    slot = {}
-    for t, (c, k) in enumerate(targets):
-        n = int(st[f"n{cols.index(c)}"])
-        lo_p = max(0.0, (k - 2.0 * n / ACCURACY) / max(n - 1, 1))
-        hi_p = min(1.0, (k + 2.0 * n / ACCURACY) / max(n - 1, 1))
-        slot[t] = (len(probs_by_col[c]), len(probs_by_col[c]) + 1)
-        probs_by_col[c] += [lo_p, hi_p]
-    live = [c for c in cols if probs_by_col[c]]
-    br = df.agg(*[F.percentile_approx(x[c], F.array(*[F.lit(p) for p in probs_by_col[c]]), ACCURACY).alias(f"s{i}")
-                  for i, c in enumerate(live)]).first() if live else None
-    state = {}
-    for t, (c, k) in enumerate(targets):
-        i = cols.index(c)
-        sk = br[f"s{live.index(c)}"]
-        lo, hi = sk[slot[t][0]], sk[slot[t][1]]
-        lo = st[f"mn{i}"] if k < 2.0 * int(st[f"n{i}"]) / ACCURACY + 1 else lo
-        hi = st[f"mx{i}"] if hi is None else hi
-        state[t] = {"col": c, "k": k, "lo": float(lo), "hi": float(hi), "value": None}
-    for _ in range(max_passes):
-        open_t = [t for t, s in state.items() if s["value"] is None]
-        if not open_t:
+    def inside(self, at, t: int) -> str:
+        return f"{self.v[t]} >= {at('lo', t)} AND {self.v[t]} <= {at('hi', t)}"
+
+    def counts(self, at) -> list[Column]:
+        below = [f"count(if({self.v[t]} < {at('lo', t)}, 1, NULL))" for t in self.targets]
+        within = [f"count(if({self.inside(at, t)}, 1, NULL))" for t in self.targets]
+        above = [f"min(if({self.v[t]} > {at('hi', t)}, {self.v[t]}, NULL))" for t in self.targets]
+        return [F.expr(f"array({', '.join(c)})").alias(name)
+                for name, c in (("below", below), ("within", within), ("above", above))]
+
+    def _tagged(self, rows: DataFrame, keys: list[str], at, targets, more: str, fields: str) -> DataFrame:
+        """A row for each target whose open bracket holds the value: t, x, k (rank within the bracket)."""
+        tags = [f"if({self.inside(at, t)} AND {at('lo', t)} < {at('hi', t)}{more.format(within=at('within', t))}, "
+                f"struct({t} AS t, {self.v[t]} AS x, {at('k', t)} - {at('below', t)} AS k"
+                f"{fields.format(lo=at('lo', t), hi=at('hi', t))}), NULL)" for t in targets]
+        return rows.selectExpr(*keys, f"explode(array_compact(array({', '.join(tags)}))) AS e").select(*keys, "e.*")
+
+    def narrower(self, rows: DataFrame, keys: list[str], at, targets) -> DataFrame:
+        """*keys, t, lo, hi: brackets cut to the histogram bin of their order statistic."""
+        tagged = self._tagged(rows, keys, at, targets, f" AND {{within}} > {BAND}", ", {lo} AS lo, {hi} AS hi")
+        # halves, so that the width of the widest range does not overflow
+        place = F.expr(f"least(floor((x / 2 - lo / 2) / ((hi / 2 - lo / 2) / {BINS})), {BINS - 1})")
+        bins = tagged.groupBy(*keys, "t", place.alias("bin")).agg(
+            F.expr("count(1) AS c"), F.expr("min(x) AS mn"), F.expr("max(x) AS mx"), F.expr("any_value(k) AS k"))
+        upto = F.sum("c").over(Window.partitionBy(*keys, "t").orderBy("bin"))
+        return bins.select(*keys, "t", "mn", "mx", "k", upto.alias("upto")).groupBy(*keys, "t").agg(
+            F.expr("min(if(upto > k, mn, NULL)) AS lo"), F.expr("min(if(upto > k, mx, NULL)) AS hi"))
+
+    def picked(self, rows: DataFrame, keys: list[str], at, targets) -> DataFrame:
+        """*keys, t, v0, v1: the order statistic and the next one (null if that is above the bracket) for brackets
+        with more than one value."""
+        cells = self._tagged(rows, keys, at, targets, "", "").groupBy(*keys, "t", "x").agg(
+            F.expr("count(1) AS c"), F.expr("any_value(k) AS k"))
+        upto = F.sum("c").over(Window.partitionBy(*keys, "t").orderBy("x"))
+        return cells.select(*keys, "t", "x", "k", upto.alias("upto")).groupBy(*keys, "t").agg(
+            F.expr("min(if(upto > k, x, NULL)) AS v0"), F.expr("min(if(upto > k + 1, x, NULL)) AS v1"))
+
+
+def _whole(rows: DataFrame, plan: _Plan) -> list[tuple[int, list[float] | None]]:
+    """(n, quantiles) per value over all rows: the state is one row of the driver, its fields are literals."""
+    state = rows.agg(*plan.sketch()).select(*plan.start()).first().asDict()
+    every = plan.targets
+
+    def at(name, t):
+        return _number(state[name][t])
+
+    for _ in range(ROUNDS):
+        live = [t for t in every if state["lo"][t] is not None]
+        if not live:
             break
-        aggs = []
-        for t in open_t:
-            s = state[t]
-            v = x[s["col"]]
-            aggs += [F.count(F.when(v < s["lo"], 1)).alias(f"b{t}"),
-                     F.count(F.when((v >= s["lo"]) & (v <= s["hi"]), 1)).alias(f"w{t}")]
-        cnt = df.agg(*aggs).first()
-        small, wide = [], []
-        for t in open_t:
-            s = state[t]
-            below, within = cnt[f"b{t}"], cnt[f"w{t}"]
-            s["below"] = below
-            if not (below <= s["k"] < below + within):
-                # sketch bracket missed (should not happen): widen to the full range
-                i = cols.index(s["col"])
-                s["lo"], s["hi"] = float(st[f"mn{i}"]), float(st[f"mx{i}"])
-                continue
-            if s["lo"] == s["hi"]:
-                s["value"] = s["lo"]          # one value fills the bracket
-                continue
-            (small if within <= BAND_LIMIT else wide).append(t)
-        if small:
-            conds = [F.when((x[state[t]["col"]] >= state[t]["lo"]) & (x[state[t]["col"]] <= state[t]["hi"]),
-                            F.lit(t)) for t in small]
-            band = (df.select(F.explode(F.filter(F.array(*conds), lambda e: e.isNotNull())).alias("t"),
-                              *[x[c].alias(c) for c in {state[t]["col"] for t in small}]))
-            vals: dict[int, list[float]] = {t: [] for t in small}
-            sel = band.select("t", F.coalesce(*[F.when(F.col("t") == t, F.col(state[t]["col"])) for t in small])
-                              .alias("v"))
-            for r in sel.collect():  # at most BAND_LIMIT values per open target
-                vals[r["t"]].append(r["v"])
-            for t in small:
-                s = state[t]
-                ordered = sorted(vals[t])
-                s["value"] = ordered[s["k"] - s["below"]] if ordered else s["lo"]
-        if wide:
-            # one histogram job for every still-wide bracket: rows tagged with
-            # the brackets they fall in, counted per (bracket, bin)
-            tagged = []
-            for t in wide:
-                s = state[t]
-                v = x[s["col"]]
-                s["width"] = (s["hi"] - s["lo"]) / BINS
-                b = F.least(F.floor((v - s["lo"]) / F.lit(s["width"])), F.lit(BINS - 1)).cast("int")
-                tagged.append(F.when((v >= s["lo"]) & (v <= s["hi"]),
-                                     F.struct(F.lit(t).alias("t"), b.alias("bin"), v.alias("v"))))
-            hist = (df.select(F.explode(F.filter(F.array(*tagged), lambda e: e.isNotNull())).alias("e"))
-                    .groupBy("e.t", "e.bin").agg(F.count(F.lit(1)).alias("c"), F.min("e.v").alias("mn"),
-                                                 F.max("e.v").alias("mx")).collect())
-            by_t: dict[int, list] = {t: [] for t in wide}
-            for r in hist:
-                by_t[r["t"]].append(r)
-            for t in wide:
-                s = state[t]
-                width = s["width"]
-                acc = s["below"]
-                for r in sorted(by_t[t], key=lambda r: r["bin"]):
-                    if acc + r["c"] > s["k"]:
-                        if r["mn"] == r["mx"]:
-                            s["value"] = r["mn"]
-                            break
-                        # the bin's observed range is a tighter bracket than its edges
-                        s["lo"], s["hi"] = float(r["mn"]), float(r["mx"])
-                        break
-                    acc += r["c"]
-    out: dict[str, list[float | None]] = {}
-    for i, c in enumerate(cols):
-        n = int(st[f"n{i}"] or 0)
+        state |= rows.agg(*plan.counts(at)).first().asDict()
+        full = [t for t in live if state["within"][t] > BAND and state["lo"][t] < state["hi"][t]]
+        if not full:
+            break
+        for r in plan.narrower(rows, [], at, full).collect():
+            state["lo"][r["t"]], state["hi"][r["t"]] = r["lo"], r["hi"]
+    else:
+        raise RuntimeError("quantile brackets did not close")
+    wide = [t for t in live if state["lo"][t] < state["hi"][t]]
+    found = {r["t"]: (r["v0"], r["v1"]) for r in plan.picked(rows, [], at, wide).collect()} if wide else {}
+    out = []
+    for i, n in enumerate(state["n"]):
         vals = []
-        for p in probs:
-            if n == 0:
-                vals.append(None)
-                continue
-            h = (n - 1) * p
-            k0 = int(math.floor(h))
-            k1 = min(k0 + 1, n - 1)
-            v0 = next(s["value"] for s in state.values() if s["col"] == c and s["k"] == k0)
-            v1 = next(s["value"] for s in state.values() if s["col"] == c and s["k"] == k1)
-            vals.append(v0 + (h - k0) * (v1 - v0))
-        out[c] = vals
+        for j, p in enumerate(plan.probs if n else ()):
+            t = i * len(plan.probs) + j
+            k, lo = state["k"][t], state["lo"][t]
+            v0, v1 = found.get(t, (lo, lo if state["below"][t] + state["within"][t] > k + 1 else None))
+            share = (n - 1) * p - k
+            vals.append(v0 + share * ((state["above"][t] if v1 is None else v1) - v0) if share > 0 else v0)
+        out.append((n, vals if n else None))
     return out
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    same = F.lit(True)
+    for k in keys:
+        same = same & a[k].eqNullSafe(b[k])
+    return same
+
+
+def _with(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    return a.join(b, _same(a, b, keys), how).drop(*[b[k] for k in keys])
+
+
+def _settled(state: DataFrame) -> tuple[DataFrame, int]:
+    """A table with a row per group, computed once, and its number of rows: up to DRIVER_GROUPS rows are kept as a
+    local table, more are written."""
+    state = state.persist(StorageLevel.MEMORY_AND_DISK)
+    n = state.count()
+    if n <= DRIVER_GROUPS:
+        out = state.sparkSession.createDataFrame(state.collect(), state.schema)
+    else:
+        out = written(state, "quantile-groups")
+    state.unpersist()
+    return out, n
+
+
+def group_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequence[float],
+                    by: Mapping[str, Column]) -> DataFrame:
+    """One row per (group, column): *by, column, n, q (array of the quantiles,
+    pandas / DuckDB ``quantile_cont`` semantics; null where n = 0).
+
+    ``values``: column name -> numeric expression; ``by``: key name -> expression
+    (null is a group of its own).  NULL values are ignored.
+    """
+    probs, names = [float(p) for p in probs], list(values)
+    keys = [f"__k{i}" for i in range(len(by))]
+    rows = df.select(*[c.alias(k) for k, c in zip(keys, by.values())],
+                     *[c.cast("double").alias(f"__v{i}") for i, c in enumerate(values.values())])
+    rows = rows.persist(StorageLevel.MEMORY_ONLY)
+    plan = _Plan(len(names), probs)
+    per, every = len(probs), plan.targets
+    state, groups = _settled(rows.groupBy(*keys).agg(*plan.sketch()).select(*keys, *plan.start()))
+    small = groups * (len(names) + 6 * len(every)) * 8 <= BROADCAST_BYTES
+
+    def at(name, t):
+        return f"get({name}, {t if name != 'n' else t // per})"
+
+    def side(table):
+        return F.broadcast(table) if small else table
+
+    for _ in range(ROUNDS):
+        counts = _with(rows, side(state), keys).groupBy(*keys).agg(*plan.counts(at))
+        state, _ = _settled(_with(state, side(counts), keys))
+        full = f"exists(arrays_zip(lo, hi, within), x -> x.within > {BAND} AND x.lo < x.hi)"
+        if state.where(full).isEmpty():
+            break
+        cut = plan.narrower(_with(rows, side(state), keys), keys, at, every).groupBy(*keys).agg(
+            F.map_from_entries(F.collect_list(F.struct("t", F.struct("lo", "hi")))).alias("cut"))
+        state, _ = _settled(_with(state, side(cut), keys, "left").selectExpr(*keys, "n", "k", *[
+            f"array({', '.join(f'coalesce(try_element_at(cut, {t}).{f}, {at(f, t)})' for t in every)}) AS {f}"
+            for f in ("lo", "hi")]))
+    else:
+        raise RuntimeError("quantile brackets did not close")
+    found = (plan.picked(_with(rows, side(state), keys), keys, at, every).groupBy(*keys)
+             .agg(F.map_from_entries(F.collect_list(F.struct("t", F.struct("v0", "v1")))).alias("found")))
+    done, _ = _settled(_with(state, side(found), keys, "left"))
+    rows.unpersist()
+
+    def value(t: int) -> str:
+        one = f"if({at('lo', t)} = {at('hi', t)} AND {at('below', t)} + {at('within', t)} > {at('k', t)} + 1, {at('lo', t)}, NULL)"
+        v0 = f"coalesce(try_element_at(found, {t}).v0, {at('lo', t)})"
+        v1 = f"coalesce(try_element_at(found, {t}).v1, {one}, {at('above', t)})"
+        share = f"(({at('n', t)} - 1) * {_number(probs[t % per])} - {at('k', t)})"
+        return f"if({share} > 0, {v0} + {share} * ({v1} - {v0}), {v0})"
+
+    parts = [f"struct({i} AS i, {at('n', i * per)} AS n, if({at('n', i * per)} > 0, "
+             f"array({', '.join(value(i * per + j) for j in range(per))}), NULL) AS q)" for i in range(len(names))]
+    named = F.get(F.array(*map(F.lit, names)), F.col("i"))
+    out = done.selectExpr(*keys, f"inline(array({', '.join(parts)}))").select(*keys, named.alias("column"), "n", "q")
+    return out.select(*[F.col(k).alias(name) for k, name in zip(keys, by)], "column", "n", "q")
+
+
+def column_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Name -> quantiles of an expression over all rows (driver scalars), NULLs ignored."""
+    if not values:
+        return {}
+    rows = df.select(*[c.cast("double").alias(f"__v{i}") for i, c in enumerate(values.values())])
+    rows = rows.persist(StorageLevel.MEMORY_ONLY)
+    found = _whole(rows, _Plan(len(values), [float(p) for p in probs]))
+    rows.unpersist()
+    return {c: v if v is not None else [None] * len(probs) for c, (_n, v) in zip(values, found)}
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Column -> quantiles of the whole column (driver scalars), NULLs ignored."""
+    return column_quantiles(df, {c: q(c) for c in cols}, probs)
+
+
+def modes(df: DataFrame, values: Mapping[str, Column]) -> dict[str, object]:
+    """Name -> most frequent value (the smallest among ties; None without values): counts per value with map-side
+    sums, one small query a column in one job, then the best of each; no map of a column in one buffer."""
+    if not values:
+        return {}
+    best = None
+    for i, x in enumerate(values.values()):
+        counts = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+        one = counts.agg(F.min_by("v", F.struct((-F.col("c")).alias("c"), "v")).alias("v"))
+        one = one.withColumnRenamed("v", f"m{i}")
+        best = one if best is None else best.unionByName(one, allowMissingColumns=True)
+    rows = best.collect()
+    return {c: next((r[f"m{i}"] for r in rows if r[f"m{i}"] is not None), None) for i, c in enumerate(values)}

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions.aggs import (collect_scalars, per_column, quantile_expr,
-                                        median_expr, unpivot_stats, wide_agg)
+from cohortspark.functions.aggs import (by_column, distinct_counts, per_column, scalar_quantiles, unpivot_stats,
+                                        wide_agg)
+from cohortspark.functions.quantiles import modes
 from cohortspark.functions.columns import (categorical_cols, is_categorical_type,
                                            is_numeric_type, kurt_g2, numeric_cols, q,
                                            skew_g1)
@@ -112,16 +113,18 @@ def cardinality_class(n_unique: Column, n: Column) -> Column:
             .otherwise(CARDINALITY_CLASSES[6]))
 
 
-def _distinct(c: Column, approx: bool) -> Column:
-    return F.approx_count_distinct(c) if approx else F.count_distinct(c)
+def _unique(df: DataFrame, cols: Sequence[str], approx: bool) -> list[Column]:
+    """Number of distinct values per column, for the row of unpivot_stats: sketches, or exact counts as literals."""
+    exact = None if approx else distinct_counts(df, cols)
+    return [(F.approx_count_distinct(q(c)) if approx else F.lit(exact[c]).cast("long")).alias(f"c{i}__n_unique")
+            for i, c in enumerate(cols)]
 
 
 def cardinality_table(df: DataFrame, cols: Sequence[str] | None = None,
                       approx: bool = False) -> DataFrame:
     """column, n_unique, pct_unique, cardinality class (missing values excluded)."""
     cols = list(cols or df.columns)
-    row = wide_agg(df, cols, {"n_unique": lambda c: _distinct(c, approx)},
-                   extra=[F.count(F.lit(1)).alias("__n")])
+    row = df.agg(*_unique(df, cols, approx), F.count(F.lit(1)).alias("__n"))
     long = unpivot_stats(row, cols, ["n_unique"], keep=["__n"])
     n = F.col("__n")
     return long.select(
@@ -139,9 +142,8 @@ def type_validity_table(df: DataFrame, approx: bool = False) -> DataFrame:
     stats = {
         "non_null": lambda c: F.count(c),
         "nulls": lambda c: F.sum(c.isNull().cast("long")),
-        "n_unique": lambda c: _distinct(c, approx),
     }
-    row = wide_agg(df, cols, stats, extra=[
+    row = wide_agg(df, cols, stats, extra=_unique(df, cols, approx) + [
         F.count(F.expr(f"try_cast(`{c}` as double)")).alias(f"c{i}__num")
         for i, c in enumerate(cols) if types[c].typeName() == "string"])
     structs = []
@@ -212,17 +214,17 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None,
         "mean": lambda c: F.avg(c.cast("double")),
         "std": lambda c: F.stddev_samp(c.cast("double")),
         "min": lambda c: F.min(c).cast("double"),
-        "quart": lambda c: quantile_expr(c, [0.25, 0.5, 0.75], quantile_method),
         "max": lambda c: F.max(c).cast("double"),
         "g1": lambda c: F.skewness(c.cast("double")),
         "g2": lambda c: F.kurtosis(c.cast("double")),
     }
+    quart = scalar_quantiles(df, cols, [0.25, 0.5, 0.75], quantile_method)
     long = per_column(df, cols, stats)
     n = F.col("count")
     return long.select(
         "column", n.cast("long").alias("count"), "mean", "std", "min",
-        F.col("quart")[0].alias("q25"), F.col("quart")[1].alias("median"),
-        F.col("quart")[2].alias("q75"), "max",
+        *[by_column({c: v[k] for c, v in quart.items()}).alias(name) for k, name in enumerate(("q25", "median", "q75"))],
+        "max",
         skew_g1(F.col("g1"), n).alias("skewness"), kurt_g2(F.col("g2"), n).alias("kurtosis"))
 
 
@@ -231,11 +233,11 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None,
 def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5,
                quantile_method: str = "exact") -> dict[str, tuple[float | None, float | None]]:
     """Driver dict column -> (lower, upper); O(columns) scalars."""
-    vals = collect_scalars(df, cols, {"quart": lambda c: quantile_expr(c, [0.25, 0.75], quantile_method)})
+    vals = scalar_quantiles(df, cols, [0.25, 0.75], quantile_method)
     out = {}
     for c in cols:
-        qq = vals[c]["quart"]
-        if qq is None:
+        qq = vals[c]
+        if qq[0] is None:
             out[c] = (None, None)
             continue
         iqr = qq[1] - qq[0]
@@ -280,8 +282,8 @@ def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
 
 def constant_columns(df: DataFrame, cols: Sequence[str] | None = None) -> list[str]:
     cols = list(cols or df.columns)
-    card = collect_scalars(df, cols, {"u": lambda c: F.count_distinct(c)})
-    return [c for c in cols if card[c]["u"] == 1]
+    card = distinct_counts(df, cols)
+    return [c for c in cols if card[c] == 1]
 
 
 def drop_constant_columns(df: DataFrame) -> DataFrame:
@@ -308,20 +310,10 @@ def simple_impute_values(df: DataFrame, cols: Sequence[str] | None = None,
     """Fill values: median for numeric columns, mode (smallest on ties) else ''."""
     cols = list(cols or df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
-    exprs = []
-    for i, c in enumerate(cols):
-        if is_numeric_type(types[c]):
-            exprs.append(median_expr(q(c), quantile_method).alias(f"v{i}"))
-        else:
-            exprs.append(F.mode(q(c), True).alias(f"v{i}"))
-    row = df.agg(*exprs).first()
-    out = {}
-    for i, c in enumerate(cols):
-        v = row[f"v{i}"]
-        if v is None and not is_numeric_type(types[c]):
-            v = ""
-        out[c] = v
-    return out
+    num = [c for c in cols if is_numeric_type(types[c])]
+    medians = scalar_quantiles(df, num, [0.5], quantile_method)
+    common = modes(df, {c: q(c) for c in cols if c not in num})
+    return {c: medians[c][0] if c in medians else "" if common[c] is None else common[c] for c in cols}
 
 
 def simple_impute(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions import dist
-from cohortspark.functions.aggs import quantile_expr
+from cohortspark.functions.aggs import scalar_quantiles
 from cohortspark.functions.columns import numeric_cols, q
 from cohortspark.functions.topk import top_k_per_group
 from cohortspark.operators import htest
@@ -86,10 +86,10 @@ def mutual_information(df: DataFrame, target: str, cols: Sequence[str], bins: in
     groupBy over the unpivoted (feature, bin, class) triples."""
     cols = list(cols)
     probs = [i / bins for i in range(1, bins)]
-    row = df.agg(*[quantile_expr(q(c), probs).alias(f"e{i}") for i, c in enumerate(cols)]).first()
+    quant = scalar_quantiles(df, cols, probs)
     binned = []
     for i, c in enumerate(cols):
-        edges = sorted(set(row[f"e{i}"] or []))
+        edges = sorted({e for e in quant[c] if e is not None})
         arr = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
         x = q(c).cast("double")
         binned.append(F.when(x.isNotNull(), F.size(F.filter(arr, _below(x)))).alias(c))
@@ -115,8 +115,7 @@ def dose_response(df: DataFrame, feature: str, target: str, max_bins: int = 10)
     nb = min(max_bins, n // 10)
     if nb < 3:
         return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, mid double, n long, mean_target double")
-    edges = df.agg(quantile_expr(x, [i / nb for i in range(nb + 1)]).alias("e")).first()["e"]
-    edges = sorted(set(edges))
+    edges = sorted(set(scalar_quantiles(df, [feature], [i / nb for i in range(nb + 1)])[feature]))
     inner = F.array(*[F.lit(float(e)) for e in edges[1:-1]])
     b = F.size(F.filter(inner, lambda e: e < x)).cast("int")
     g = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"),
@@ -143,8 +142,7 @@ def linearity_tests(df: DataFrame, target: str, features: Sequence[str], k: int
 # ------------------------------------------------------- OLS proxy (100-103)
 
 def _impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    row = df.agg(*[quantile_expr(q(c), [0.5]).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    fills = {c: (row[f"m{i}"][0] if row[f"m{i}"] else None) for i, c in enumerate(cols)}
+    fills = {c: v[0] for c, v in scalar_quantiles(df, cols, [0.5]).items()}
     return df.select("*", *[F.coalesce(q(c).cast("double"), F.lit(fills[c])).alias(f"__x{i}")
                             for i, c in enumerate(cols)])
 
@@ -219,7 +217,7 @@ def residual_qq(df: DataFrame, target: str, features: Sequence[str], points: int
     """Residual quantiles against standard-normal quantiles on a fixed grid (op 102)."""
     r = ols_residuals(df, target, features)
     probs = [(i + 0.5) / (points + 1) for i in range(points + 1)]
-    qs = r.agg(quantile_expr(F.col("residual"), probs).alias("q")).first()["q"]
+    qs = scalar_quantiles(r, ["residual"], probs)["residual"]
     rows = [(float(p), float(dist.norm_ppf(p)), float(v)) for p, v in zip(probs, qs)]
     return df.sparkSession.createDataFrame(rows, "prob double, theoretical double, sample double")
 

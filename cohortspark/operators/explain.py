@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.aggs import quantile_expr
+from cohortspark.functions.aggs import scalar_quantiles
 from cohortspark.functions.columns import explode_copies, q
 from cohortspark.operators.models import FittedModel
 from cohortspark.operators.ranks import value_positions
@@ -84,7 +84,7 @@ def partial_dependence(model: FittedModel, df: DataFrame, features: Sequence[str
         if nd <= grid_points:
             grid = sorted(r[0] for r in df.select(x.alias("v")).where("v IS NOT NULL").distinct().collect())
         else:
-            lo, hi = df.agg(quantile_expr(x, [0.05, 0.95]).alias("q")).first()["q"]
+            lo, hi = scalar_quantiles(df, [f], [0.05, 0.95])[f]
             grid = [float(v) for v in np.linspace(lo, hi, grid_points)]
         g = df.select(*[q(c) for c in cols if c != f], F.explode(F.array(*[F.lit(float(v)) for v in grid])).alias(f))
         pd_ = model.transform(g).groupBy(F.col(f).alias("grid_value")).agg(F.avg("prediction").alias("avg_prediction"))

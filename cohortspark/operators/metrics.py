@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.aggs import quantile_expr
 from cohortspark.functions.columns import q
+from cohortspark.functions.quantiles import column_quantiles
 from cohortspark.operators import htest
 from cohortspark.operators.ranks import value_positions
 
@@ -30,8 +30,9 @@ def regression_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
     """n, MAE, RMSE, R², MedianAE in one aggregation."""
     t = _pairs(df, y, yhat)
     e = F.col("y") - F.col("p")
+    median = column_quantiles(t, {"e": F.abs(e)}, [0.5])["e"][0]
     st = t.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"),
-               F.var_pop("y").alias("vy"), quantile_expr(F.abs(e), [0.5])[0].alias("medae"))
+               F.var_pop("y").alias("vy"), F.lit(median).cast("double").alias("medae"))
     return st.select(F.col("n").cast("long").alias("n"), "mae", F.sqrt("mse").alias("rmse"),
                      (1 - F.col("mse") / F.col("vy")).alias("r2"), F.col("medae").alias("median_ae"))
 
@@ -143,9 +144,11 @@ def residual_stats(df: DataFrame, y: str, yhat: str) -> DataFrame:
     """mean, sd (pop), min, max, median, population skew, IQR, q5/25/75/95,
     corr(residual, prediction); requires n >= 3 finite pairs."""
     t = _pairs(df, y, yhat).select((F.col("y") - F.col("p")).alias("r"), "p")
+    qs = column_quantiles(t, {"r": F.col("r")}, [0.05, 0.25, 0.5, 0.75, 0.95])["r"]
     st = t.agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_residual"), F.stddev_pop("r").alias("std_residual"),
                F.min("r").alias("min_residual"), F.max("r").alias("max_residual"),
-               quantile_expr(F.col("r"), [0.05, 0.25, 0.5, 0.75, 0.95]).alias("qs"),
+               F.lit(qs).cast("array<double>").alias("qs") if qs[0] is not None
+               else F.lit(None).cast("array<double>").alias("qs"),
                F.skewness("r").alias("skew"), F.corr("r", "p").alias("rc"))
     return st.where(F.col("n") >= 3).select(
         F.col("n").cast("long").alias("n"), "mean_residual", "std_residual", "min_residual", "max_residual",
@@ -167,8 +170,7 @@ def bias_by_quintile(df: DataFrame, y: str, yhat: str) -> DataFrame:
     """Mean (prediction - actual) per quintile of the actual values; bins
     [lo, hi) with the top edge nudged up by 1e-9; empty bins report 0."""
     t = _pairs(df, y, yhat)
-    e = t.agg(quantile_expr(F.col("y"), [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]).alias("e")).first()["e"]
-    e = list(e)
+    e = column_quantiles(t, {"y": F.col("y")}, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])["y"]
     e[-1] += 1e-9
     rows = []
     for i in range(5):

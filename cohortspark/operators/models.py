@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspark.functions.columns import q
+from cohortspark.functions.quantiles import modes
 from cohortspark.operators.gram import gram, total
 
 # --------------------------------------------------------------- fitted models
@@ -334,7 +335,7 @@ def fit_mean(df, features, label, name: str = "Baseline: Mean") -> Constant:
 
 
 def fit_majority(df, features, label, name: str = "Baseline: Majority") -> Constant:
-    v = df.agg(F.mode(q(label).cast("double"), True)).first()[0]
+    v = modes(df, {"y": q(label).cast("double")})["y"]
     return Constant(name, list(features), float(v), "classification")
 
 

@@ -13,8 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions.aggs import collect_scalars, quantile_expr, scalar_quantiles, unpivot_stats
+from cohortspark.functions.aggs import collect_scalars, scalar_quantiles, unpivot_stats
 from cohortspark.functions.columns import numeric_cols, q
+from cohortspark.functions.quantiles import column_quantiles
 
 METHODS = ("iqr", "mad", "zscore", "percentile")
 
@@ -43,37 +44,22 @@ def fit_bounds(df: DataFrame, cols: Sequence[str], method: str = "iqr",
         raise ValueError(f"unknown outlier method {method}")
     x = lambda c: c.cast("double")
     stats = {"n": lambda c: F.count(c)}
-    if method == "iqr":
-        stats["qs"] = lambda c: quantile_expr(c, [0.25, 0.75], quantile_method)
-    elif method == "percentile":
-        lo_q, hi_q = float(params.get("lower_q", 0.01)), float(params.get("upper_q", 0.99))
-        stats["qs"] = lambda c: quantile_expr(c, [lo_q, hi_q], quantile_method)
-    elif method == "zscore":
+    if method == "zscore":
         stats["mean"] = lambda c: F.avg(x(c))
         stats["sd"] = lambda c: F.stddev_samp(x(c))
-    else:
-        stats["med"] = lambda c: quantile_expr(c, [0.5], quantile_method)
-    if quantile_method == "select":
-        qs_stats = {k: v for k, v in stats.items() if k not in ("qs", "med")}
-        vals = collect_scalars(df, cols, qs_stats) if qs_stats else {c: {} for c in cols}
-        if method in ("iqr", "percentile"):
-            pr = [0.25, 0.75] if method == "iqr" else [lo_q, hi_q]
-            for c, v in scalar_quantiles(df, cols, pr, "select").items():
-                vals[c]["qs"] = v
-        elif method == "mad":
-            for c, v in scalar_quantiles(df, cols, [0.5], "select").items():
-                vals[c]["med"] = v
-    else:
-        vals = collect_scalars(df, cols, stats)
-    out: dict[str, Bounds] = {}
+    vals = collect_scalars(df, cols, stats)
+    probs = {"iqr": [0.25, 0.75], "mad": [0.5], "zscore": [],
+             "percentile": [float(params.get("lower_q", 0.01)), float(params.get("upper_q", 0.99))]}[method]
+    qs = scalar_quantiles(df, cols, probs, quantile_method) if probs else {}
+    mads: dict[str, float | None] = {}
     if method == "mad":
-        meds = {c: (vals[c]["med"][0] if vals[c]["med"] else None) for c in cols}
-        live = [c for c in cols if meds[c] is not None]
-        mads = {}
-        if live:
-            dev = df.select(*[F.abs(q(c).cast("double") - F.lit(meds[c])).alias(f"d{i}") for i, c in enumerate(live)])
-            mq = scalar_quantiles(dev, [f"d{i}" for i in range(len(live))], [0.5], quantile_method)
-            mads = {c: mq[f"d{i}"][0] for i, c in enumerate(live)}
+        dev = {c: F.abs(x(q(c)) - F.lit(qs[c][0])) for c in cols if qs[c][0] is not None}
+        if quantile_method == "approx":
+            rows = df.select(*[e.alias(c) for c, e in dev.items()])
+            mads = {c: v[0] for c, v in scalar_quantiles(rows, list(dev), [0.5], "approx").items()}
+        else:
+            mads = {c: v[0] for c, v in column_quantiles(df, dev, [0.5]).items()}
+    out: dict[str, Bounds] = {}
     thr_mad = float(params.get("threshold", 3.5))
     thr_z = float(params.get("threshold", 3.0))
     for c in cols:
@@ -83,7 +69,7 @@ def fit_bounds(df: DataFrame, cols: Sequence[str], method: str = "iqr",
             out[c] = Bounds(method, n)
             continue
         if method in ("iqr", "percentile"):
-            a, b = v["qs"]
+            a, b = qs[c]
             if method == "iqr":
                 iqr = b - a
                 if iqr == 0:
@@ -100,7 +86,7 @@ def fit_bounds(df: DataFrame, cols: Sequence[str], method: str = "iqr",
             out[c] = Bounds(method, n, v["mean"] - thr_z * sd, v["mean"] + thr_z * sd,
                             v["mean"], sd, thr_z)
         else:
-            med, mad = v["med"][0], mads.get(c)
+            med, mad = qs[c][0], mads.get(c)
             if not mad:
                 out[c] = Bounds(method, n)
                 continue

@@ -16,8 +16,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions.aggs import quantile_expr, scalar_quantiles
+from cohortspark.functions.aggs import scalar_quantiles
 from cohortspark.functions.columns import q
+from cohortspark.functions.quantiles import column_quantiles, modes
 from cohortspark.operators.gram import gram, total
 from cohortspark.session import cut_lineage
 
@@ -49,16 +50,14 @@ def fit_numeric_imputer(df: DataFrame, cols: Sequence[str], strategy: str = "med
                         quantile_method: str = "exact") -> NumericImputer:
     """mean / median (exact) / constant; indicators for columns missing at fit."""
     cols = list(cols)
-    meds = scalar_quantiles(df, cols, [0.5], "select") if strategy == "median" and quantile_method == "select" else None
+    meds = scalar_quantiles(df, cols, [0.5], quantile_method) if strategy == "median" else {}
     exprs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
         x = q(c).cast("double")
         if strategy == "mean":
             exprs.append(F.avg(x).alias(f"f{i}"))
-        elif meds is not None:
-            exprs.append(F.lit(meds[c][0]).cast("double").alias(f"f{i}"))
         elif strategy == "median":
-            exprs.append(quantile_expr(x, [0.5])[0].alias(f"f{i}"))
+            exprs.append(F.lit(meds[c][0]).cast("double").alias(f"f{i}"))
         else:
             exprs.append(F.lit(float(fill_value)).alias(f"f{i}"))
         exprs.append(F.sum(x.isNull().cast("long")).alias(f"m{i}"))
@@ -240,14 +239,12 @@ def fit_outlier_capping(df: DataFrame, cols: Sequence[str], method: str = "perce
     cols = list(cols)
     if method == "mad":
         thr = float(params.get("threshold", 3.5))
-        med = df.agg(*[quantile_expr(q(c), [0.5])[0].alias(f"m{i}") for i, c in enumerate(cols)]).first()
-        mad = df.agg(*[quantile_expr(F.abs(q(c).cast("double") - F.lit(med[f"m{i}"])), [0.5])[0].alias(f"d{i}")
-                       for i, c in enumerate(cols)]).first()
-        return Clip({c: (med[f"m{i}"] - thr * 1.4826 * mad[f"d{i}"], med[f"m{i}"] + thr * 1.4826 * mad[f"d{i}"])
-                     for i, c in enumerate(cols)})
+        med = {c: v[0] for c, v in scalar_quantiles(df, cols, [0.5]).items()}
+        mad = column_quantiles(df, {c: F.abs(q(c).cast("double") - F.lit(m)) for c, m in med.items() if m is not None}, [0.5])
+        return Clip({c: (med[c] - thr * 1.4826 * d[0], med[c] + thr * 1.4826 * d[0]) for c, d in mad.items()})
     lo_q, hi_q = float(params.get("lower_q", 0.01)), float(params.get("upper_q", 0.99))
     qs = scalar_quantiles(df, cols, [lo_q, hi_q], params.get("quantile_method", "exact"))
-    return Clip({c: (qs[c][0], qs[c][1]) for c in cols})
+    return Clip({c: (qs[c][0], qs[c][1]) for c in cols if qs[c][0] is not None})
 
 
 # ------------------------------------------------------------------ scalers (111-113)
@@ -270,18 +267,17 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str = "standard") -> Af
         x = q(c).cast("double")
         if kind == "standard":
             exprs += [F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"b{i}")]
-        elif kind == "robust":
-            exprs += [quantile_expr(x, [0.25, 0.5, 0.75]).alias(f"r{i}")]
         else:
             exprs += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"m{i}")]
-    row = df.agg(*exprs).first()
+    quart = scalar_quantiles(df, cols, [0.25, 0.5, 0.75]) if kind == "robust" else {}
+    row = df.agg(*exprs).first() if kind != "robust" else None
     out = {}
     for i, c in enumerate(cols):
         if kind == "standard":
             a, b = row[f"a{i}"], row[f"b{i}"]
         elif kind == "robust":
-            qq = row[f"r{i}"]
-            a, b = qq[1], qq[2] - qq[0]
+            lo, a, hi = quart[c]
+            b = hi - lo if a is not None else None
         else:
             a, b = row[f"a{i}"], (row[f"m{i}"] - row[f"a{i}"]) if row[f"a{i}"] is not None else None
         if b is None or b == 0 or (isinstance(b, float) and math.isnan(b)):
@@ -305,8 +301,8 @@ def fit_categorical_imputer(df: DataFrame, cols: Sequence[str], strategy: str =
     cols = list(cols)
     if strategy != "most_frequent":
         return CategoricalImputer({c: "missing" for c in cols})
-    row = df.agg(*[F.mode(q(c).cast("string"), True).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    return CategoricalImputer({c: (row[f"m{i}"] if row[f"m{i}"] is not None else "missing") for i, c in enumerate(cols)})
+    common = modes(df, {c: q(c).cast("string") for c in cols})
+    return CategoricalImputer({c: "missing" if v is None else v for c, v in common.items()})
 
 
 def _levels(df: DataFrame, cols: Sequence[str], max_levels: int = 10000) -> dict[str, list[str]]:

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspark.functions.aggs import quantile_expr, unpivot_stats, wide_agg
+from cohortspark.functions.aggs import by_column, distinct_counts, scalar_quantiles, unpivot_stats, wide_agg
+from cohortspark.functions.quantiles import group_quantiles
+from cohortspark.session import written
 from cohortspark.functions.columns import (categorical_cols, is_categorical_type,
                                            is_datetime_type, is_integral_type, is_numeric_type,
                                            kurt_g2, numeric_cols, q, skew_g1)
@@ -36,44 +38,35 @@ def feature_profile(df: DataFrame, cols: Sequence[str] | None = None,
     num = [c for c in cols if is_numeric_type(types[c])]
     medians: dict = {}
     if num and outlier_method == "iqr":
-        # one quantile pass gives the IQR bounds and the medians together
-        if quantile_method == "select":
-            from cohortspark.functions.aggs import scalar_quantiles
-            sq = scalar_quantiles(df, num, [0.25, 0.5, 0.75], "select")
-            nrow = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(num)]).first()
-            qrow = {**{f"q{i}": (sq[c] if sq[c][0] is not None else None) for i, c in enumerate(num)},
-                    **{f"n{i}": nrow[f"n{i}"] for i in range(len(num))}}
-        else:
-            qrow = df.agg(*[quantile_expr(q(c), [0.25, 0.5, 0.75], quantile_method).alias(f"q{i}")
-                            for i, c in enumerate(num)],
-                          *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(num)]).first()
+        # the same selection gives the IQR bounds and the medians
+        quart = scalar_quantiles(df, num, [0.25, 0.5, 0.75], quantile_method)
+        counts = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(num)]).first()
         bounds = {}
         for i, c in enumerate(num):
-            qs, n_c = qrow[f"q{i}"], int(qrow[f"n{i}"] or 0)
-            medians[c] = qs[1] if qs else None
-            iqr = (qs[2] - qs[0]) if qs else 0.0
+            qs, n_c = quart[c], int(counts[f"n{i}"] or 0)
+            medians[c] = qs[1]
+            iqr = qs[2] - qs[0] if qs[0] is not None else 0.0
             bounds[c] = (Bounds("iqr", n_c, qs[0] - 1.5 * iqr, qs[2] + 1.5 * iqr) if n_c >= 3 and iqr != 0
                          else Bounds("iqr", n_c))
     else:
         bounds = fit_bounds(df, num, outlier_method, quantile_method=quantile_method) if num else {}
-    distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
-
-    # distinct counts in their own aggregation: mixed with the other
-    # aggregates Spark would expand every row once per distinct column for all
-    # of them; alone, only the (cheap) distinct step pays that.
-    urow = df.agg(*[distinct(q(c)).alias(f"u{i}") for i, c in enumerate(cols)]).first()
+        medians = {c: v[0] for c, v in scalar_quantiles(df, num, [0.5], quantile_method).items()}
+    if approx_distinct:
+        urow = df.agg(*[F.approx_count_distinct(q(c)).alias(f"u{i}") for i, c in enumerate(cols)]).first()
+        unique = {c: int(urow[f"u{i}"]) for i, c in enumerate(cols)}
+    else:
+        unique = distinct_counts(df, cols)
     exprs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
         x = q(c)
         exprs += [F.sum(x.isNull().cast("long")).alias(f"c{i}_miss"),
-                  F.lit(int(urow[f"u{i}"])).cast("long").alias(f"c{i}_uniq")]
+                  F.lit(unique[c]).cast("long").alias(f"c{i}_uniq")]
         if c in bounds:
             d = x.cast("double")
             exprs += [F.count(x).alias(f"c{i}_nn"), F.avg(d).alias(f"c{i}_mean"),
                       F.stddev_samp(d).alias(f"c{i}_std"), F.min(d).alias(f"c{i}_min"),
                       F.max(d).alias(f"c{i}_max"),
-                      (F.lit(medians[c]).cast("double") if c in medians
-                       else quantile_expr(x, [0.5])[0]).alias(f"c{i}_med"),
+                      F.lit(medians[c]).cast("double").alias(f"c{i}_med"),
                       F.skewness(d).alias(f"c{i}_g1"),
                       F.sum(flag_expr(c, bounds[c]).cast("long")).alias(f"c{i}_out")]
     row = df.agg(*exprs)
@@ -130,10 +123,11 @@ def top_categories(df: DataFrame, cols: Sequence[str] | None = None, k: int = 5)
 def target_profile_regression(df: DataFrame, target: str, outlier_method: str = "iqr") -> DataFrame:
     """n_unique, mean, sd, min, max, median, skew G1, outlier rate, has_outliers (> 5 %)."""
     b = fit_bounds(df, [target], outlier_method)[target]
+    median = scalar_quantiles(df, [target], [0.5])[target][0]
     x = q(target).cast("double")
     row = df.agg(F.count_distinct(q(target)).alias("n_unique"), F.count(x).alias("n"),
                  F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                 F.max(x).alias("max"), quantile_expr(x, [0.5])[0].alias("median"),
+                 F.max(x).alias("max"), F.lit(median).cast("double").alias("median"),
                  F.skewness(x).alias("g1"),
                  F.sum(flag_expr(target, b).cast("long")).alias("n_out"))
     rate = F.when(F.col("n") > 0, F.coalesce(F.col("n_out"), F.lit(0)) / F.col("n")).otherwise(0.0)
@@ -310,9 +304,10 @@ def rows_per_entity(df: DataFrame, entity: str, bins: int = 20) -> DataFrame:
 
 def entity_summary(df: DataFrame, entity: str) -> DataFrame:
     """entities, median and mean rows per entity, repeat share, design guess."""
-    per = df.where(q(entity).isNotNull()).groupBy(q(entity)).agg(F.count(F.lit(1)).alias("rows"))
-    s = per.agg(F.count(F.lit(1)).alias("entities"),
-                quantile_expr(F.col("rows"), [0.5])[0].alias("median_rows"),
+    # entities per number of rows: small, and enough for every statistic
+    sizes = written(df.where(q(entity).isNotNull()).groupBy(q(entity)).agg(F.count(F.lit(1)).alias("rows")), "entity-rows")
+    median = scalar_quantiles(sizes, ["rows"], [0.5])["rows"][0]
+    s = sizes.agg(F.count(F.lit(1)).alias("entities"), F.lit(median).cast("double").alias("median_rows"),
                 F.avg("rows").alias("mean_rows"),
                 F.avg((F.col("rows") > 1).cast("double")).alias("repeat_share"))
     return s.select(F.lit(entity).alias("entity"), F.col("entities").cast("long").alias("entities"),
@@ -337,8 +332,9 @@ def cohort_structure(df: DataFrame) -> DataFrame:
     cands = [(c, "entity") for c in ents] + [(c, "time") for c in times if c not in ents]
     if not cands:
         return df.sparkSession.createDataFrame([], "column string, role string, unique_ratio double")
+    unique = distinct_counts(df, [c for c, _ in cands])
     row = df.agg(F.count(F.lit(1)).alias("__n"),
-                 *[F.count_distinct(q(c)).alias(f"c{i}__u") for i, (c, _r) in enumerate(cands)])
+                 *[F.lit(unique[c]).cast("long").alias(f"c{i}__u") for i, (c, _r) in enumerate(cands)])
     long = unpivot_stats(row, [c for c, _ in cands], ["u"], keep=["__n"])
     roles = F.create_map(*[x for c, r in cands for x in (F.lit(c), F.lit(r))])
     return long.select("column", roles[F.col("column")].alias("role"),
@@ -352,10 +348,9 @@ def column_signals(df: DataFrame) -> DataFrame:
     rate, high-missing (> 5 %), high-cardinality categorical (> .5 n)."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = df.columns
-    row = wide_agg(df, cols, {"miss": lambda c: F.sum(c.isNull().cast("long")),
-                              "u": lambda c: F.count_distinct(c)},
+    row = wide_agg(df, cols, {"miss": lambda c: F.sum(c.isNull().cast("long"))},
                    extra=[F.count(F.lit(1)).alias("__n")])
-    long = unpivot_stats(row, cols, ["miss", "u"], keep=["__n"])
+    long = unpivot_stats(row, cols, ["miss"], keep=["__n"]).withColumn("u", by_column(distinct_counts(df, cols), "long"))
     kind = {c: ("numeric" if is_numeric_type(t) else "datetime" if is_datetime_type(t)
                 else "bool" if isinstance(t, T.BooleanType)
                 else "string" if isinstance(t, T.StringType) else "other")
@@ -383,11 +378,12 @@ def target_signals(df: DataFrame, target: str, task_type: str, outlier_method: s
     if task_type == "regression":
         b = fit_bounds(df, [target], outlier_method)[target]
         d = x.cast("double")
+        median = scalar_quantiles(df, [target], [0.5])[target][0]
         return df.agg(
             F.count_distinct(x).cast("long").alias("n_unique"),
             F.sum(x.isNull().cast("long")).cast("long").alias("n_missing"),
             (F.sum(x.isNull().cast("long")) / F.count(F.lit(1))).alias("missing_rate"),
-            F.avg(d).alias("mean"), quantile_expr(d, [0.5])[0].alias("median"),
+            F.avg(d).alias("mean"), F.lit(median).cast("double").alias("median"),
             F.stddev_samp(d).alias("std"), F.skewness(d).alias("skew"), F.kurtosis(d).alias("kurtosis"),
             (F.sum(flag_expr(target, b).cast("long")) / F.count(x)).alias("outlier_rate"))
     cc = class_counts(df, target)
@@ -423,16 +419,15 @@ def box_by_group(df: DataFrame, value: str, group: str | None = None,
     x = q(value).cast("double")
     if tertile_of is not None:
         t = q(tertile_of).cast("double")
-        qs = df.agg(quantile_expr(t, [1 / 3, 2 / 3]).alias("qs")).first()["qs"]
-        g = (F.when(t <= qs[0], "Low").when(t <= qs[1], "Mid").when(t.isNotNull(), "High"))
+        qs = scalar_quantiles(df, [tertile_of], [1 / 3, 2 / 3])[tertile_of]
+        g = (F.when(t <= F.lit(qs[0]), "Low").when(t <= F.lit(qs[1]), "Mid").when(t.isNotNull(), "High"))
     else:
         g = q(group).cast("string")
-    five = quantile_expr(x, [0.0, 0.25, 0.5, 0.75, 1.0])
-    out = (df.where(x.isNotNull()).groupBy(g.alias("group"))
-           .agg(F.count(x).alias("n"), five.alias("f"), F.avg(x).alias("mean")))
-    return out.where(F.col("group").isNotNull()).select(
-        "group", "n", F.col("f")[0].alias("min"), F.col("f")[1].alias("q1"),
-        F.col("f")[2].alias("median"), F.col("f")[3].alias("q3"), F.col("f")[4].alias("max"), "mean")
+    rows = df.where(x.isNotNull() & g.isNotNull()).select(g.alias("group"), x.alias("x"))
+    means = rows.groupBy("group").agg(F.avg("x").alias("mean"))
+    five = group_quantiles(rows, {"x": F.col("x")}, [0.0, 0.25, 0.5, 0.75, 1.0], {"group": F.col("group")})
+    return five.join(means, "group").select(
+        "group", "n", *[F.col("q")[k].alias(name) for k, name in enumerate(("min", "q1", "median", "q3", "max"))], "mean")
 
 
 # ---------------------------------------------------------- class balance (56)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions import dist
 from cohortspark.functions.columns import q
+from cohortspark.functions.quantiles import group_quantiles
 from cohortspark.operators import htest
 
 OVERALL = "Overall"
@@ -61,8 +62,7 @@ def continuous_stats(df: DataFrame, cfg: Table1Config) -> DataFrame:
     x = F.col("value")
     aggs = [F.count(F.lit(1)).alias("n_total"), F.count(x).alias("n"),
             F.sum(x.isNull().cast("long")).alias("missing"), F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("sd"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("qs"),
-            F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2")]
+            F.stddev_samp(x).alias("sd"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2")]
     if cfg.grouping_var:
         agg = long.groupingSets([["variable", "grp"], ["variable"]], "variable", "grp").agg(
             *aggs, F.grouping("grp").alias("is_overall"))
@@ -71,7 +71,12 @@ def continuous_stats(df: DataFrame, cfg: Table1Config) -> DataFrame:
     else:
         agg = long.groupBy("variable").agg(*aggs)
         stratum = F.lit(OVERALL)
-    return agg.select("variable", stratum.alias("stratum"), F.col("n_total").cast("long").alias("n_total"),
+    strata = [F.lit(OVERALL)] + ([q(cfg.grouping_var).cast("string")] if cfg.grouping_var else [])
+    rows = df.select(F.explode(F.array_compact(F.array(*strata))).alias("stratum"), *[q(c).cast("double").alias(c) for c in cols])
+    quart = (group_quantiles(rows, {c: q(c) for c in cols}, [0.25, 0.5, 0.75], {"stratum": F.col("stratum")})
+             .select(F.col("column").alias("variable"), "stratum", F.col("q").alias("qs")))
+    agg = agg.withColumn("stratum", stratum).join(quart, ["variable", "stratum"])
+    return agg.select("variable", "stratum", F.col("n_total").cast("long").alias("n_total"),
                       F.col("n").cast("long").alias("n"), F.col("missing").cast("long").alias("missing"),
                       "mean", "sd", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"),
                       F.col("qs")[2].alias("q3"), "g1", "g2")

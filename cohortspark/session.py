@@ -69,6 +69,16 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def written(df, name: str):
+    """``df`` as a Parquet table in the shared checkpoint folder, read back: a
+    result that several passes use is computed once and survives lost executors."""
+    import uuid
+
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set = set()
 
 
