@@ -85,17 +85,6 @@ def roc_auc(df: DataFrame, y: str, score: str, positive=1, by: Sequence[str] = (
     return st.select(*by, F.when((pp > 0) & (nn > 0), (F.col("R") - pp * (pp + 1) / 2) / (pp * nn)).alias("roc_auc"))
 
 
-def group_medians(df: DataFrame, value: str, by: str) -> DataFrame:
-    """(by, median) of a column per group: exact, from positions of distinct
-    values, without a buffer that holds a group."""
-    t = df.where(q(value).isNotNull())
-    j = value_positions(t, value, by=[by]).join(t.groupBy(by).agg(F.count(F.lit(1)).alias("__n")), by)
-
-    def at(place):
-        return F.sum(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("cnt")), q(value)))
-    return j.groupBy(by).agg(((at(F.floor((F.col("__n") - 1) / 2)) + at(F.floor(F.col("__n") / 2))) / 2).alias("median"))
-
-
 def roc_auc_ovr(df: DataFrame, y: str, score_cols: dict[str, str]) -> DataFrame:
     """Multiclass one-vs-rest macro AUC: mean of per-class binary AUCs."""
     out = None

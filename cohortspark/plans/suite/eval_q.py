@@ -292,20 +292,18 @@ def q_dca(spark, sf):
 
 @register("boot_regression")
 def q_boot_reg(spark, sf):
-    return rs.bootstrap_metrics(reg_preds(spark, sf), "y", "yhat", "regression", key=["l_orderkey", "l_linenumber", "y"],
-                                n_resamples=200)
+    return rs.bootstrap_metrics(reg_preds(spark, sf), "y", "yhat", "regression", key=["l_orderkey", "l_linenumber", "y"])
 
 
 @register("boot_classification")
 def q_boot_cls(spark, sf):
-    return rs.bootstrap_metrics(cls_preds(spark, sf), "y", "yhat", "classification", proba="p", key=["doc_id"],
-                                n_resamples=200)
+    return rs.bootstrap_metrics(cls_preds(spark, sf), "y", "yhat", "classification", proba="p", key=["doc_id"])
 
 
 @register("boot_subgroups")
 def q_boot_sub(spark, sf):
     return rs.bootstrap_metrics(reg_preds(spark, sf), "y", "yhat", "regression", key=["l_orderkey", "l_linenumber", "y"],
-                                n_resamples=100, by="l_returnflag")
+                                by="l_returnflag")
 
 
 @register("eval_comparison_table")
@@ -319,7 +317,7 @@ def q_comparison(spark, sf):
     key = ["l_orderkey", "l_linenumber", "l_extendedprice"]
 
     def boot(m):
-        return rs.bootstrap_metrics(m.transform(te), "l_extendedprice", "prediction", key=key, n_resamples=100) \
+        return rs.bootstrap_metrics(m.transform(te), "l_extendedprice", "prediction", key=key) \
             .select(F.lit(m.name).alias("name"), "metric", "estimate", "ci_lower", "ci_upper")
     base = boot(md.fit_mean(tr, ["l_quantity"], "l_extendedprice"))
     mods = boot(md.fit_ols(tr, ["l_quantity", "l_discount"], "l_extendedprice", name="ols"))

@@ -155,7 +155,7 @@ def q_search(spark, sf):
 def q_external(spark, sf):
     tr, te = _parts(_reg(spark, sf))
     m = md.fit_model("ridge", tr, FEATS, "l_extendedprice", "regression")
-    return md.external_validation(m, te, "l_extendedprice", "regression", n_resamples=100,
+    return md.external_validation(m, te, "l_extendedprice", "regression",
                                   key=["l_orderkey", "l_linenumber", "l_extendedprice"])
 
 
