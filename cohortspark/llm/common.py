@@ -156,18 +156,27 @@ def match_spans(text, regex, length=F.char_length):
     """
     regex = F.lit(regex) if isinstance(regex, str) else regex
 
-    def place(x):
-        m, gap = x["m"], x["gap"]
-
-        def upto(lengths, n):
-            return F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda a, v: a + v)
+    def total(lengths):
+        return F.aggregate(lengths, F.lit(0), lambda a, v: a + v)
+
+    def sums(x):
+        """Length of all pieces (a gap and the match after it) before each block of pieces."""
+        step = F.zip_with(F.slice(x["gap_n"], F.lit(1), F.size(x["m_n"])), x["m_n"], lambda g, n: g + n)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(x["m_n"]) / BLOCK).cast("int")),
+                             lambda b: total(F.slice(step, b * BLOCK + 1, F.lit(BLOCK))))
+        return let(blocks, lambda bs: F.struct(
+            x["m"].alias("m"), x["m_n"].alias("m_n"), x["gap_n"].alias("gap_n"), step.alias("step"),
+            F.transform(bs, lambda n, b: total(F.slice(bs, F.lit(1), b))).alias("before")))
 
+    def place(x):
         def span(hit, k):
-            start = upto(x["gap_n"], k + 1) + upto(x["m_n"], k)
+            block = F.floor(k / BLOCK).cast("int")
+            start = (F.get(x["before"], block) + total(F.slice(x["step"], block * BLOCK + 1, k - block * BLOCK))
+                     + F.get(x["gap_n"], k))
             return F.struct(start.cast("long").alias("start"), (start + F.get(x["m_n"], k)).cast("long").alias("end"),
                             hit.alias("match"))
 
-        return F.transform(m, span)
+        return F.transform(x["m"], span)
 
     def measured(x):
         return F.struct(x["m"].alias("m"), x["gap"].alias("gap"),
@@ -175,7 +184,10 @@ def match_spans(text, regex, length=F.char_length):
                         F.transform(x["gap"], lambda s: length(s).cast("int")).alias("gap_n"))
 
     pieces = F.struct(F.regexp_extract_all(text, regex, F.lit(0)).alias("m"), F.split(text, regex, -1).alias("gap"))
-    return let(pieces, lambda x: let(measured(x), place))
+    return let(pieces, lambda x: let(measured(x), lambda y: let(sums(y), place)))
+
+
+BLOCK = 256  # match_spans sums lengths block by block: linear in the matches up to some hundred thousand of them
 
 
 BROADCAST_IDS = 4_000_000  # 32 MB of ids; beyond, the join is shuffled

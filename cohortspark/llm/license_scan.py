@@ -135,6 +135,24 @@ NAMES = (
     ("cc-by", f"(?:creative commons attribution|cc by)(?: {_L})?"),
     ("cc-by-nc", f"(?:creative commons attribution non ?commercial|cc by nc)(?: {_L})?"),
 )
+_GPL = "(?:gnu )?{name}(?: ?v| version| ver)? ?"
+#: names that stand without the word license: label, pattern
+SHORT = (
+    ("gpl-2.0", _GPL.format(name="gpl") + "2(?: 0)?(?: only)?"),
+    ("gpl-2.0-or-later", _GPL.format(name="gpl") + "2(?: 0)? or(?: any)? later"),
+    ("gpl-3.0", _GPL.format(name="gpl") + "3(?: 0)?(?: only)?"),
+    ("gpl-3.0-or-later", _GPL.format(name="gpl") + "3(?: 0)? or(?: any)? later"),
+    ("gpl", "(?:gnu gpl|gpl licen[cs]ed?)"),
+    ("lgpl-2.1", _GPL.format(name="lgpl") + "2 1(?: only)?"),
+    ("lgpl-2.1-or-later", _GPL.format(name="lgpl") + "2 1 or(?: any)? later"),
+    ("lgpl-3.0", _GPL.format(name="lgpl") + "3(?: 0)?(?: only)?"),
+    ("agpl-3.0", _GPL.format(name="agpl") + "3(?: 0)?(?: only)?"),
+    ("apache-2.0", "apache 2 0"),
+    ("mpl-2.0", "mpl 2 0"),
+    ("epl-2.0", "epl 2 0"),
+    ("eupl-1.2", "eupl 1 2"),
+    ("bsl-1.0", "bsl 1 0"),
+)
 #: clauses and notices: label, pattern, priority, weight
 CLAUSES = (
     ("all-rights-reserved", "all rights reserved", 2, 0.6),
@@ -203,6 +221,7 @@ def rules() -> list[tuple[int, str, str, tuple[str, ...], int, float]]:
         out.append((label, _UNDER + f"(?:{name})", 4, 0.9))
         tag = label.replace("-", " ").replace(".", " ")
         out.append((label, f"spdx {_L} identifier {tag}", 6, 1.0))
+    out += [(label, pattern, 3, 0.8) for label, pattern in SHORT]
     out += CLAUSES
     return [(i, label, pattern, keywords(pattern), rank, weight) for i, (label, pattern, rank, weight) in enumerate(out)]
 
@@ -226,14 +245,19 @@ def detections(norm):
             r["label"].alias("label"), r["weight"].alias("weight"), s["match"].alias("match")))
 
     def resolve(all_found):
-        def beaten(d, x):
-            inside = (d["start"] <= x["start"]) & (d["end"] >= x["end"])
-            longer = (d["end"] - d["start"]) > (x["end"] - x["start"])
-            ahead = longer | (d["rank"] > x["rank"]) | ((d["rank"] == x["rank"]) & (d["rule"] < x["rule"]))
-            crosses = (d["start"] < x["end"]) & (x["start"] < d["end"]) & (d["rank"] > x["rank"])
-            return (inside & ahead) | (crosses & ~inside)
-
-        return F.array_sort(F.filter(all_found, lambda x: ~F.exists(all_found, lambda d: beaten(d, x))))
+        """In order of precedence (priority, length, rule, place): a detection stays unless it lies inside one that
+        stays or crosses one of higher priority that stays."""
+        def loses(x, kept):
+            return F.exists(kept, lambda d: ((d["start"] <= x["start"]) & (d["end"] >= x["end"]))
+                            | ((d["start"] < x["end"]) & (x["start"] < d["end"]) & (d["rank"] > x["rank"])
+                               & ~((x["start"] <= d["start"]) & (x["end"] >= d["end"]))))
+
+        ordered = F.array_sort(F.transform(all_found, lambda x: F.struct(
+            (-x["rank"]).alias("a"), (x["start"] - x["end"]).alias("b"), x["rule"].alias("c"), x["start"].alias("d"),
+            x.alias("x"))))
+        none = F.filter(all_found, lambda x: F.lit(False))
+        return F.array_sort(F.aggregate(ordered, none, lambda kept, o: F.when(loses(o["x"], kept), kept).otherwise(
+            F.concat(kept, F.array(o["x"])))))
 
     return let(F.flatten(F.transform(gated, found)), resolve)
 
