@@ -1,21 +1,23 @@
-"""Line dedup by winnowing (operator 3); DataFrame functions only.
+"""Line dedup by fingerprints of line hashes (operator 3); DataFrame functions only.
 
 A line ends at a line feed or after a sentence mark and a blank.  Each line
 has a 64-bit hash (trimmed, lower case) and a number of words.
 
-1. Fingerprints: in every window of ``window`` lines the line with the least
-   hash, and every line of at least min_words / window words.  A run of at
-   least ``min_words`` words either has such a long line or fills a window, so
-   equal runs have a fingerprint in common at the same place.
-2. A fingerprint's first text (smallest doc_id) is joined to its occurrence in
-   each later text; within one text an occurrence is joined to the one before
-   it.  A match stays if the line itself has min_words words or the line
-   before or after it matches as well: no shorter match can grow into a run.
-3. Matches are extended both ways along their diagonal; maximal runs of equal
-   lines with at least ``min_words`` words are deleted from the later text.
-
-A line that a third of all texts hold is one aggregated row on one side of a
-join that AQE can split on the other, and nearly all its matches end in 2.
+1. Fingerprints.  The shortest stretch of lines with at least ``min_words``
+   words that starts at a line, and the shortest that ends at it, are its
+   fingerprints (96-bit hash of the line hashes).  Winnowing would keep only
+   the least of several neighbours; that is complete only if a fingerprint is
+   compared with every place where it stands, which for frequent lines is all
+   pairs.  A fingerprint that holds a whole shortest run needs no comparison
+   but with its first place, so all are kept and none is extended.
+2. The first place of each fingerprint (least doc_id, then least line) keeps
+   its lines, all others lose them.  A maximal stretch that stood before is
+   the union of its fingerprints: a line of it lies in the shortest stretch
+   from that line on, if that ends within, or else in the shortest stretch
+   that ends where it ends.
+
+Fingerprints in more than one of HOT occurrences are broadcast, at most HOT of
+them; first places are combined before the shuffle.
 
 Defined results: null and empty text have no lines; blank lines are ignored by
 matching; repeated rows count as one text; rows with null doc_id are reported
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm.common import let, saved
 
+HOT = 4096
 #: One line with what ends it; possessive, so that long lines need no stack.
 LINE = r"[^\n.!?]*+(?:[.!?](?!\x20)[^\n.!?]*+)*+(?:[.!?]\x20|\n|$)"
 
@@ -40,8 +43,7 @@ def _pieces(text):
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, p (line numbers from 0), h (hashes), w (words) of the lines that are
-    not blank, dup (hashes that occur more than once)."""
+    """docs(doc_id, text) -> doc_id, p (line numbers from 0), h (hashes), w (words) of the lines that are not blank."""
     def entry(line, i):
         return let(F.btrim(line, F.lit(" \n\r\t")), lambda t: F.struct(
             i.alias("p"), F.xxhash64(t).alias("h"),
@@ -49,89 +51,54 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
     found = F.filter(F.transform(_pieces(F.lower(F.coalesce("text", F.lit("")))), entry), lambda x: x["w"] > 0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("x"))
-    rows = rows.select("doc_id", *[F.col("x").getField(k).alias(k) for k in ("p", "h", "w")])
-    return rows.withColumn("dup", _repeated(F.col("h")))
-
-
-def _repeated(values):
-    """Distinct values that an array holds more than once."""
-    return let(F.sort_array(values), lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i + 1))))
-
-
-def fingerprints(lines: DataFrame, window: int, long_words: int) -> DataFrame:
-    """doc_id, i (place among the lines), h, w, before, after (neighbours' hashes): first occurrence per text."""
-    def least(s):
-        return F.least(*[F.get("h", s + k) for k in range(window)])
-
-    n = F.size("h")
-    mins = F.when(n >= window, F.transform(F.sequence(F.lit(0), n - window), least))
-    rows = lines.withColumn("mins", mins)
-
-    def chosen(h, i):
-        hit = F.get("w", i) >= long_words
-        for k in range(window):
-            hit = hit | F.coalesce(F.get("mins", i - k) == h, F.lit(False))
-        return F.when(hit, F.struct(i.alias("i"), h.alias("h"), F.get("w", i).alias("w"),
-                                    F.get("h", i - 1).alias("before"), F.get("h", i + 1).alias("after")))
-
-    picked = F.filter(F.transform("h", chosen), lambda x: x.isNotNull())
-    # a repeated hash within the text: only its first place (later ones are matched within the text)
-    first = F.filter(picked, lambda x: ~F.array_contains("dup", x["h"]) | (F.array_position("h", x["h"]) == x["i"] + 1))
-    return rows.where("doc_id is not null").select("doc_id", F.inline(first))
-
-
-def _within(lines: DataFrame, min_words: int) -> DataFrame:
-    """Matches of a text with itself.  A run to delete holds two lines in a row
-    or one line of min_words words that stood before: such repeated pairs and
-    lines are joined to their occurrence before."""
-    def part(h, i):
-        return F.when(F.get("w", i) >= min_words, h).otherwise(F.xxhash64(h, F.get("h", i + 1), i + 1 == F.size("h")))
-
-    def shifts(v):
-        at = F.filter(F.transform("g", lambda x, i: F.when(x == v, i)), lambda i: i.isNotNull())
-        return let(at, lambda a: F.filter(F.transform(a, lambda i, k: i - F.get(a, k - 1)), lambda d: d.isNotNull()))
-
-    some = lines.where("doc_id is not null").where(F.size("dup") > 0).withColumn("g", F.transform("h", part))
-    again = F.array_distinct(F.flatten(F.transform(_repeated(F.col("g")), shifts)))
-    return some.select("doc_id", F.col("doc_id").alias("d0"), F.explode(again.cast("array<int>")).alias("shift"))
-
-
-def repeated_runs(lines: DataFrame, min_words: int = 50, window: int = 4) -> DataFrame:
-    """lines_of() -> doc_id, start, end (places among the lines, end exclusive) of runs to delete."""
-    long_words = -(-min_words // window)
-    marks = fingerprints(lines, window, long_words)
-    firsts = marks.groupBy("h").agg(
-        F.min("doc_id").alias("d0"), F.max("doc_id").alias("last"), F.min_by("i", "doc_id").alias("i0"),
-        F.min_by("before", "doc_id").alias("before0"), F.min_by("after", "doc_id").alias("after0")).where("last > d0")
-    grows = (F.col("w") >= min_words) | (F.col("before") == F.col("before0")) | (F.col("after") == F.col("after0"))
-    across = (marks.join(firsts, "h").where("doc_id <> d0").where(grows)
-              .select("doc_id", "d0", (F.col("i") - F.col("i0")).cast("int").alias("shift")))
-    pairs = saved(across.union(_within(lines, min_words)).distinct(), "line-pairs")
-    own = lines.select("doc_id", "h", "w").dropDuplicates(["doc_id"])
-    other = own.select(F.col("doc_id").alias("d0"), F.col("h").alias("h0"))
-    rows = pairs.join(own, "doc_id").join(other, "d0")
-
-    def step(acc, i):
-        same = F.coalesce(F.get("h", i) == F.get("h0", i - F.col("shift")), F.lit(False))
-        grown = F.struct(F.when(acc["words"] > 0, acc["start"]).otherwise(i).alias("start"),
-                         (acc["words"] + F.get("w", i)).alias("words"), acc["runs"].alias("runs"))
-        ended = F.struct(i.alias("start"), F.lit(0).alias("words"), closed(acc, i).alias("runs"))
-        return F.when(same, grown).otherwise(ended)
-
-    def closed(acc, i):
-        run = F.array(F.struct(acc["start"].alias("start"), i.alias("end")))
-        return F.when(acc["words"] >= min_words, F.concat(acc["runs"], run)).otherwise(acc["runs"])
-
-    empty = F.struct(F.lit(0).alias("start"), F.lit(0).alias("words"),
-                     F.array().cast("array<struct<start:int,end:int>>").alias("runs"))
-    runs = F.aggregate(F.sequence(F.lit(0), F.size("h") - 1), empty, step, lambda a: closed(a, F.size("h")))
-    return rows.select("doc_id", F.inline(runs)).distinct()
-
-
-def dedup_lines(docs: DataFrame, min_words: int = 50, window: int = 4) -> DataFrame:
+    return rows.select("doc_id", *[F.col("x").getField(k).alias(k) for k in ("p", "h", "w")])
+
+
+def fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, k1, k2 (hash), i, n (lines i to i + n): the shortest stretches of min_words words from and to each line."""
+    def length(words):
+        """How many of the first ``words`` make min_words; null if they do not."""
+        def step(acc, w):
+            return F.when(acc["sum"] >= min_words, acc).otherwise(
+                F.struct((acc["sum"] + w).alias("sum"), (acc["n"] + 1).alias("n")))
+
+        got = F.aggregate(words, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n")), step)
+        return let(got, lambda g: F.when(g["sum"] >= min_words, g["n"]))
+
+    # a line that is matched has a word at least, so min_words lines are always enough
+    def forward(_h, i):
+        return F.struct(i.alias("i"), length(F.slice("w", i + 1, F.lit(min_words))).alias("n"))
+
+    def backward(_h, i):
+        lo = F.greatest(i + 1 - min_words, F.lit(0))
+        return let(length(F.reverse(F.slice("w", lo + 1, i + 1 - lo))),
+                   lambda n: F.struct((i + 1 - n).alias("i"), n.alias("n")))
+
+    both = F.array_distinct(F.filter(F.concat(F.transform("h", forward), F.transform("h", backward)),
+                                     lambda x: x["n"].isNotNull()))
+    rows = lines.where("doc_id is not null").select("doc_id", "h", F.explode(both).alias("x"))
+    part = F.slice("h", F.col("x.i") + 1, F.col("x.n"))
+    return rows.select("doc_id", F.xxhash64(part).alias("k1"), F.hash(part).alias("k2"), "x.i", "x.n")
+
+
+def repeated_runs(lines: DataFrame, min_words: int = 50) -> DataFrame:
+    """lines_of() -> doc_id, start, end (places among the lines, end exclusive) that stood before."""
+    marks = saved(fingerprints(lines, min_words), "line-marks")
+    firsts = marks.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "i")).alias("first"),
+                                           F.max(F.struct("doc_id", "i")).alias("last"), F.count(F.lit(1)).alias("c"))
+    firsts = saved(firsts.where("first <> last").select("k1", "k2", "first", "c"), "line-firsts")
+    total = firsts.agg(F.sum("c")).first()[0] or 0
+    hot, rest = firsts.where(F.col("c") * HOT > total), firsts.where(F.col("c") * HOT <= total)
+    found = (marks.join(F.broadcast(hot), ["k1", "k2"])
+             .unionByName(marks.join(F.broadcast(hot.select("k1", "k2")), ["k1", "k2"], "left_anti").join(rest, ["k1", "k2"])))
+    return found.where(F.struct("doc_id", "i") > F.col("first")).select(
+        "doc_id", F.col("i").alias("start"), (F.col("i") + F.col("n")).alias("end"))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """docs(doc_id, text) -> per document: doc_id, n_lines, n_removed, removed_words, removed (line numbers)."""
     lines = saved(lines_of(docs), "lines")
-    gone = (repeated_runs(lines, min_words, window).select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"))
+    gone = (repeated_runs(lines, min_words).select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"))
             .distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("i")).alias("at")))
     rows = lines.join(gone, "doc_id", "left")
     at = F.coalesce("at", F.array().cast("array<int>"))
