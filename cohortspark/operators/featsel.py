@@ -14,11 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.functions.aggs import by_column
+from cohortspark.session import written
 from cohortspark.functions.columns import q
 from cohortspark.functions.pvalues import t_pvalue
 from cohortspark.operators.gram import Gram, gram, rss, total
 from cohortspark.operators.htest import p_adjust
-from cohortspark.operators.ranks import value_positions
+from cohortspark.operators.ranks import attach, value_positions
 from cohortspark.operators.split import kfold, uniform
 
 
@@ -176,10 +178,16 @@ def univariate_screen(df: DataFrame, features: Sequence[str], y: str, task: str
     else:
         long = (df.select(yy.alias("y"), *[q(f).cast("double").alias(f) for f in feats])
                 .unpivot("y", feats, "feature", "x").dropna())
-        rx = value_positions(long, "x", by=["feature"]).select("feature", "x", F.col("avg_rank").alias("rx"))
-        ry = value_positions(long, "y", by=["feature"]).select("feature", "y", F.col("avg_rank").alias("ry"))
-        j = long.join(rx, ["feature", "x"]).join(ry, ["feature", "y"])
-        st = j.groupBy("feature").agg(F.corr("rx", "ry").alias("r"), F.count(F.lit(1)).alias("n"))
+        cells = written(long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("c")), "rank-cells")
+        sizes = {r["feature"]: r["n"] for r in cells.groupBy("feature").agg(F.sum("c").alias("n")).collect()}
+        ranked = cells
+        for v in ("x", "y"):
+            pos = value_positions(cells, v, by=["feature"], weight="c").withColumnRenamed("avg_rank", f"r{v}")
+            ranked = attach(ranked, pos, ["feature", v], [f"r{v}"])
+        middle = (by_column(sizes, "double", key="feature") + 1) / 2
+        u, v, c = F.col("rx") - middle, F.col("ry") - middle, F.col("c")
+        st = ranked.groupBy("feature").agg(
+            (F.sum(c * u * v) / F.sqrt(F.sum(c * u * u) * F.sum(c * v * v))).alias("r"), F.sum("c").alias("n"))
     n = F.col("n").cast("double")
     t = F.col("r") * F.sqrt((n - 2) / F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-300)))
     st = st.select("feature", "r", F.abs("r").alias("abs_r"), F.col("n").cast("long").alias("n"),

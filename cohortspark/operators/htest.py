@@ -19,7 +19,7 @@ from cohortspark.functions import dist
 from cohortspark.functions.columns import explode_copies, q
 from cohortspark.functions.pvalues import (chi2_pvalue, f_pvalue, fisher_pvalue, mwu_exact_pvalue,
                                            norm_pvalue, t_pvalue, wilcoxon_exact_pvalue)
-from cohortspark.operators.ranks import kendall_counts, positions_for_columns, value_positions
+from cohortspark.operators.ranks import attach, average_ranks, kendall_counts, value_positions
 
 # ----------------------------------------------------------------- correlation
 
@@ -39,13 +39,14 @@ def pearson_stats(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def spearman_stats(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Pearson correlation of average ranks, ranks from the distributed primitive."""
-    p = _complete(df, x, y)
-    pos = positions_for_columns(p, ["x", "y"])
-    rx = pos["x"].select("x", F.col("avg_rank").alias("rx"))
-    ry = pos["y"].select("y", F.col("avg_rank").alias("ry"))
-    ranked = p.join(rx, "x").join(ry, "y")
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("r"))
+    """Pearson correlation of average ranks over the distinct (x, y) cells, weighted by their counts."""
+    ranked = average_ranks(_complete(df, x, y), ["x", "y"])
+    # the mean rank is (n + 1) / 2, so the sums are centred exactly
+    n = ranked.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()["n"]
+    u, v = F.col("r_x") - (n + 1) / 2.0, F.col("r_y") - (n + 1) / 2.0
+    st = ranked.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum(F.col("c") * u * v).alias("uv"),
+                    F.sum(F.col("c") * u * u).alias("uu"), F.sum(F.col("c") * v * v).alias("vv"))
+    return st.select("n", F.when((F.col("uu") > 0) & (F.col("vv") > 0), F.col("uv") / F.sqrt(F.col("uu") * F.col("vv"))).alias("r"))
 
 
 def correlation_test(df: DataFrame, x: str, y: str, method: str = "pearson") -> DataFrame:
@@ -481,8 +482,9 @@ def missingness_vs_numeric(df: DataFrame, target: str, cols: Sequence[str],
     else:
         ranks = value_positions(long.groupBy("column", "y").agg(F.count(F.lit(1)).alias("c")), "y",
                                 by=["column"], weight="c")
-        rs = (long.join(ranks.select("column", "y", "avg_rank", "cnt"), ["column", "y"])
-              .groupBy("column").agg(F.sum(F.when(F.col("missing"), F.col("avg_rank"))).alias("r1")))
+        cells = long.groupBy("column", "y", "missing").agg(F.count(F.lit(1)).alias("c"))
+        rs = (attach(cells, ranks, ["column", "y"], ["avg_rank"]).groupBy("column")
+              .agg(F.sum(F.when(F.col("missing"), F.col("c") * F.col("avg_rank"))).alias("r1")))
         ties = ranks.groupBy("column").agg(F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt")).alias("ties"))
         k = keep.join(rs, "column").join(ties, "column")
         a, b = n1.cast("double"), n2.cast("double")

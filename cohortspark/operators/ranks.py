@@ -4,12 +4,17 @@
 used on row-scale data.  Instead:
 
 1. count rows per distinct value (map-side combined);
-2. cut the value range into buckets at approximate quantiles of the values;
-3. sum counts per bucket (B rows to the driver) -> prefix offsets;
-4. a running sum inside each bucket (``Window.partitionBy(bucket)``).
+2. range-partition the value counts by (group, value), as many ranges as the
+   session has shuffle partitions, and write them with their range;
+3. totals per (group, range) give each range's offset;
+4. a running sum inside each range (``Window.partitionBy(group, range)``).
 
 Average rank of value v = rows before v + (count(v) + 1) / 2 -- the pandas /
 SciPy "average" method.  Ties come for free as Σ(t³ - t).
+
+Ranks go back to rows by a join on the value that splits hot values: values
+with more than one row in HOT are broadcast (at most HOT of them), the others
+are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -20,11 +25,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortspark.functions.columns import q
-
-DEFAULT_BUCKETS = 64
+from cohortspark.session import written
 
 
 def _bucket_expr(x: Column, cuts: Sequence[float]) -> Column:
@@ -36,56 +39,66 @@ def _bucket_expr(x: Column, cuts: Sequence[float]) -> Column:
 
 
 def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None,
-                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """Per distinct (by..., value): count and number of rows strictly before it.
 
     Output columns: *by, value, cnt, before, avg_rank.  ``by`` groups are
-    ranked independently (the offsets are per (group, bucket)).
+    ranked independently (the offsets are per (group, range)).
     """
     by = list(by)
     w = F.col(weight) if weight else F.lit(1)
-    src = df.where(q(value).isNotNull())
-    # cut points and per-bucket totals straight from the input (cheap scans with
-    # map-side combining); only the value-count table below is shuffled by value
-    cut_row = src.agg(F.percentile_approx(q(value).cast("double"),
-                                          [i / buckets for i in range(1, buckets)], 1000).alias("c")).first()
-    cuts = sorted(set(cut_row["c"] or [])) if cut_row else []
-    bucket = _bucket_expr(q(value), cuts)
-    totals = src.groupBy(*[q(b) for b in by], bucket.alias("__b")).agg(F.sum(w).alias("t")).collect()
-    vc = (src.groupBy(*[q(b) for b in by], q(value).alias("__v"))
-          .agg(F.sum(w).cast("long").alias("cnt")))
-    vb = vc.withColumn("__b", _bucket_expr(F.col("__v"), cuts))
-    # prefix offsets per group: O(groups x buckets) scalars
-    offs: dict = {}
-    grouped: dict = {}
-    for r in totals:
-        grouped.setdefault(tuple(r[b] for b in by), []).append((r["__b"], r["t"]))
-    for g, lst in grouped.items():
-        acc = 0
-        for b, t in sorted(lst):
-            offs[(g, b)] = acc
-            acc += t
-    win = Window.partitionBy(*by, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    if by:
-        # offsets table has O(groups x buckets) rows and is already on the driver: broadcast it
-        schema = vb.select(*[q(b) for b in by]).schema
-        rows = [(*g, b, o) for (g, b), o in offs.items()]
-        odf = vb.sparkSession.createDataFrame(
-            rows, schema.add("__b", T.IntegerType()).add("__off", T.LongType()))
-        vb = vb.join(F.broadcast(odf), [*by, "__b"], "left")
-        off = F.coalesce(F.col("__off"), F.lit(0))
-    else:
-        off_map = F.create_map(*[x for (g, b), o in offs.items() for x in (F.lit(b), F.lit(o))])
-        off = off_map[F.col("__b")]
-    before = F.coalesce(F.sum("cnt").over(win), F.lit(0)) + off
-    out = vb.select(*[q(b) for b in by], F.col("__v").alias(value), "cnt", before.cast("long").alias("before"))
-    return out.withColumn("avg_rank", F.col("before") + (F.col("cnt") + 1) / 2.0)
+    counts = (df.where(q(value).isNotNull()).groupBy(*[q(b) for b in by], q(value).alias("__v"))
+              .agg(F.sum(w).cast("long").alias("cnt")))
+    keys = [q(b) for b in by]
+    ranges = ([buckets] if buckets else []) + [*keys, F.col("__v")]
+    placed = written(counts.repartitionByRange(*ranges).withColumn("__b", F.spark_partition_id()), "value-counts")
+    # a row per (group, range) that occurs: groups + ranges at most, as groups lie one after the other
+    totals = placed.groupBy(*keys, "__b").agg(F.sum("cnt").alias("t"))
+    upto = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[q(b).alias(f"__g{i}") for i, b in enumerate(by)], F.col("__b").alias("__r"),
+                            F.coalesce(F.sum("t").over(upto), F.lit(0)).alias("__off"))
+    same = F.col("__b") == F.col("__r")
+    for i, b in enumerate(by):
+        same = same & q(b).eqNullSafe(F.col(f"__g{i}"))
+    run = Window.partitionBy(*by, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    before = (F.coalesce(F.sum("cnt").over(run), F.lit(0)) + F.col("__off")).cast("long")
+    return (placed.join(offsets, same).select(*keys, F.col("__v").alias(value), "cnt", before.alias("before"))
+            .withColumn("avg_rank", F.col("before") + (F.col("cnt") + 1) / 2.0))
+
+
+HOT = 4096
+
+
+def attach(rows: DataFrame, positions: DataFrame, on: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Inner join of rows to value_positions() on ``on``, with the columns ``cols`` of the positions.  No value's rows
+    meet in one task if it holds more than one row in HOT: those values, at most HOT, are broadcast."""
+    on = list(on)
+    positions = written(positions.select(*on, *dict.fromkeys(["cnt", *cols])), "positions")
+    total = positions.agg(F.sum("cnt")).first()[0] or 0
+    hot, rest = (positions.where(cond).select(*on, *cols) for cond in (
+        F.col("cnt") * HOT > total, F.col("cnt") * HOT <= total))
+    return (rows.join(F.broadcast(hot), on)
+            .unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on)))
+
+
+def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Distinct combinations of the columns (complete ones) with their count ``c`` and the average rank of each column
+    (``r_`` and its name)."""
+    cols = list(cols)
+    cells = df.groupBy(*[q(c) for c in cols]).agg(F.count(F.lit(1)).alias("c"))
+    cells = written(cells, "rank-cells")
+    out = cells
+    for c in cols:
+        pos = value_positions(cells, c, weight="c").withColumnRenamed("avg_rank", f"r_{c}")
+        out = attach(out, pos, [c], [f"r_{c}"])
+    return out
 
 
 def average_rank(df: DataFrame, value: str, out: str = "rank", by: Sequence[str] = ()) -> DataFrame:
     """Attach the average rank of ``value`` (within ``by`` groups) to every row."""
-    pos = value_positions(df, value, by).select(*by, value, F.col("avg_rank").alias(out))
-    return df.join(pos, [*by, value], "left")
+    pos = value_positions(df, value, by).withColumnRenamed("avg_rank", out)
+    ranked = attach(df.where(q(value).isNotNull()), pos, [*by, value], [out])
+    return ranked.unionByName(df.where(q(value).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def tie_term(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -174,7 +187,7 @@ def kendall_counts(df: DataFrame, x: str, y: str, buckets: int = 32) -> dict:
             "ytie": sy["a"], "y0": sy["b"], "y1": sy["c"], "ntie": sxy["a"]}
 
 
-def _cross_bucket(hist: DataFrame, nb: int, ybuckets: int = DEFAULT_BUCKETS) -> int:
+def _cross_bucket(hist: DataFrame, nb: int, ybuckets: int = 64) -> int:
     """Σ over cells (b, yr, c) of c * #{rows in buckets < b with y-rank > yr}."""
     bcols = [f"b{b}" for b in range(nb)]
     wide = (hist.groupBy("yr").pivot("__b", list(range(nb))).agg(F.sum("c"))
@@ -201,35 +214,3 @@ def _cross_bucket(hist: DataFrame, nb: int, ybuckets: int = DEFAULT_BUCKETS) ->
     earlier = F.aggregate(F.slice("above", 1, F.col("__b")), F.lit(0).cast("long"), lambda a, v: a + v)
     res = q_.agg(F.coalesce(F.sum(F.col("c") * earlier), F.lit(0)).alias("d")).first()["d"]
     return int(res)
-
-
-def positions_for_columns(df: DataFrame, cols: Sequence[str], buckets: int = DEFAULT_BUCKETS) -> dict[str, DataFrame]:
-    """``value_positions`` for several columns of one table, sharing the two
-    driver-side passes: one sketch aggregation gives every column's cut points
-    and one grouped count (over the unpivoted (column, bucket) pairs) gives
-    every column's bucket totals."""
-    cols = list(cols)
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(*[F.percentile_approx(q(c).cast("double"), probs, 1000).alias(f"c{i}")
-                   for i, c in enumerate(cols)]).first()
-    cuts = {c: sorted(set(row[f"c{i}"] or [])) for i, c in enumerate(cols)}
-    tagged = df.select(*[_bucket_expr(q(c), cuts[c]).alias(c) for c in cols],
-                       *[q(c).isNotNull().alias(f"__nn{i}") for i, c in enumerate(cols)])
-    long = tagged.select(F.explode(F.array(*[
-        F.when(F.col(f"__nn{i}"), F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").alias("b")))
-        for i, c in enumerate(cols)])).alias("e")).where(F.col("e").isNotNull())
-    tot = long.groupBy("e.col", "e.b").agg(F.count(F.lit(1)).alias("t")).collect()
-    out = {}
-    for c in cols:
-        acc, offs = 0, {}
-        for r in sorted((r for r in tot if r["col"] == c), key=lambda r: r["b"]):
-            offs[r["b"]] = acc
-            acc += r["t"]
-        vc = df.where(q(c).isNotNull()).groupBy(q(c).alias("__v")).agg(F.count(F.lit(1)).alias("cnt"))
-        vb = vc.withColumn("__b", _bucket_expr(F.col("__v"), cuts[c]))
-        om = F.create_map(*[x for b, o in offs.items() for x in (F.lit(b), F.lit(o))]) if offs else None
-        win = Window.partitionBy("__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-        before = F.coalesce(F.sum("cnt").over(win), F.lit(0)) + (om[F.col("__b")] if om is not None else F.lit(0))
-        pos = vb.select(F.col("__v").alias(c), "cnt", before.cast("long").alias("before"))
-        out[c] = pos.withColumn("avg_rank", F.col("before") + (F.col("cnt") + 1) / 2.0)
-    return out
