@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,8 @@ from cohortspark.functions.aggs import scalar_quantiles
 from cohortspark.functions.columns import q
 from cohortspark.functions.quantiles import column_quantiles, modes
 from cohortspark.operators.gram import gram, total
-from cohortspark.session import cut_lineage
+from cohortspark.operators.ranks import HOT, attach, value_positions
+from cohortspark.session import cut_lineage, written
 
 
 class Fitted:
@@ -305,59 +307,114 @@ def fit_categorical_imputer(df: DataFrame, cols: Sequence[str], strategy: str =
     return CategoricalImputer({c: "missing" if v is None else v for c, v in common.items()})
 
 
-def _levels(df: DataFrame, cols: Sequence[str], max_levels: int = 10000) -> dict[str, list[str]]:
-    """Sorted distinct levels per column (one groupBy over the unpivoted columns)."""
+INLINE_LEVELS = 1000
+
+
+@dataclass
+class LevelTable:
+    """Levels of columns with many of them, as a table: column, level, cnt (rows at fit time), value.  It is joined to
+    the rows; levels with more than one row in ranks.HOT are broadcast, so that their rows do not meet in one task."""
+    table: DataFrame
+    totals: dict[str, int]
+    sizes: dict[str, int] = field(default_factory=dict)
+
+    def lookup(self, df: DataFrame, col: str, default: Column) -> DataFrame:
+        """``df`` with ``col`` replaced by its level's value, ``default`` where the level is missing or unknown."""
+        own = self.table.where(F.col("column") == col)
+        is_hot = F.col("cnt") * HOT > self.totals[col]
+        hot, rest = (own.where(c).select(F.col("level").alias("__level"), F.col("value").alias("__value"))
+                     for c in (is_hot, ~is_hot))
+        s = q(col).cast("string")
+        names = df.columns
+
+        def replaced(rows, value):
+            return rows.select(*[value.alias(c) if c == col else q(c) for c in names])
+
+        known = replaced(df.join(F.broadcast(hot), s == F.col("__level")), F.col("__value"))
+        others = df.where(s.isNotNull()).join(F.broadcast(hot.select("__level")), s == F.col("__level"), "left_anti")
+        others = replaced(others.join(rest, s == F.col("__level"), "left"), F.coalesce(F.col("__value"), default))
+        return known.unionByName(others).unionByName(replaced(df.where(s.isNull()), default))
+
+
+def _level_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """column, level, cnt: one groupBy over the unpivoted columns."""
     long = df.select(*[q(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column", "level")
-    lv = long.where(F.col("level").isNotNull()).groupBy("column", "level").count()
-    n = lv.groupBy("column").count().agg(F.max("count")).first()[0] or 0
-    if n > max_levels:
-        raise ValueError(f"more than {max_levels} levels; use ordinal or target encoding")
-    out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in lv.select("column", "level").collect():
-        out[r["column"]].append(r["level"])
-    return {c: sorted(v) for c, v in out.items()}
+    return long.where(F.col("level").isNotNull()).groupBy("column", "level").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _levels(df: DataFrame, cols: Sequence[str]) -> tuple[dict[str, list[str]], LevelTable | None]:
+    """Sorted levels of the columns that have at most INLINE_LEVELS of them, and a table with the place of each level
+    in that order for the columns that have more."""
+    counts = written(_level_counts(df, cols), "levels")
+    sizes = {r["column"]: r for r in counts.groupBy("column").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("cnt").alias("n")).collect()}
+    many = [c for c in cols if c in sizes and sizes[c]["k"] > INLINE_LEVELS]
+    few: dict[str, list[str]] = {c: [] for c in cols if c not in many}
+    for r in counts.where(~F.col("column").isin(many)).select("column", "level").collect():
+        few[r["column"]].append(r["level"])
+    table = None
+    if many:
+        big = counts.where(F.col("column").isin(many))
+        place = value_positions(big.select("column", "level"), "level", by=["column"]).select(
+            "column", "level", F.col("before").cast("double").alias("value"))
+        table = LevelTable(written(big.join(place, ["column", "level"]), "level-index"),
+                           {c: sizes[c]["n"] for c in many}, {c: sizes[c]["k"] for c in many})
+    return {c: sorted(v) for c, v in few.items()}, table
 
 
 @dataclass
 class OneHot(Fitted):
+    """One column per level; a column with more than INLINE_LEVELS levels becomes one sparse vector ``<col>_levels``."""
     levels: dict[str, list[str]]
+    table: LevelTable | None = None
 
     def output_names(self) -> list[str]:
         out = []
         for c, lv in self.levels.items():
             keep = lv[1:] if len(lv) == 2 else lv
             out += [f"{c}_{v}" for v in keep]
-        return out
+        return out + [f"{c}_levels" for c in (self.table.totals if self.table else ())]
 
     def transform(self, df):
+        many = self.table.sizes if self.table else {}
+        kept = [c for c in df.columns if c not in self.levels and c not in many]
+        for c, k in many.items():
+            # the library's encoder gives the level past the last one no entry
+            df = self.table.lookup(df, c, F.lit(float(k)))
+            top = df.sparkSession.createDataFrame([(float(k - 1),)], [c])
+            df = OneHotEncoder(inputCols=[c], outputCols=[f"{c}_levels"], dropLast=True, handleInvalid="keep").fit(top).transform(df)
         extra = []
         for c, lv in self.levels.items():
             keep = lv[1:] if len(lv) == 2 else lv  # binary keeps the second level only
             s = q(c).cast("string")
             extra += [F.coalesce((s == F.lit(v)).cast("double"), F.lit(0.0)).alias(f"{c}_{v}") for v in keep]
-        return df.select(*[q(c) for c in df.columns if c not in self.levels], *extra)
+        return df.select(*[q(c) for c in kept], *extra, *[q(f"{c}_levels") for c in many])
 
 
 def fit_one_hot(df: DataFrame, cols: Sequence[str]) -> OneHot:
     """Unknown levels at apply time map to all zeros."""
-    return OneHot(_levels(df, cols))
+    return OneHot(*_levels(df, cols))
 
 
 @dataclass
 class Ordinal(Fitted):
     levels: dict[str, list[str]]
+    table: LevelTable | None = None
 
     def transform(self, df):
         ex = {}
         for c, lv in self.levels.items():
-            m = F.create_map(*[x for i, v in enumerate(lv) for x in (F.lit(v), F.lit(float(i)))])
-            ex[c] = F.coalesce(m[q(c).cast("string")], F.lit(-1.0))
-        return self._replace(df, ex)
+            m = F.create_map(*[x for i, v in enumerate(lv) for x in (F.lit(v), F.lit(float(i)))]) if lv else None
+            ex[c] = F.coalesce(m[q(c).cast("string")], F.lit(-1.0)) if lv else F.lit(-1.0)
+        out = self._replace(df, ex)
+        for c in (self.table.totals if self.table else ()):
+            out = self.table.lookup(out, c, F.lit(-1.0))
+        return out
 
 
 def fit_ordinal(df: DataFrame, cols: Sequence[str]) -> Ordinal:
     """Sorted levels -> 0..k-1; unknown -> -1 (missing too)."""
-    return Ordinal(_levels(df, cols))
+    return Ordinal(*_levels(df, cols))
 
 
 @dataclass
@@ -365,13 +422,17 @@ class TargetEncoder(Fitted):
     """Plain (test-time) encodings per column: level -> smoothed mean."""
     maps: dict[str, dict[str, float]]
     prior: float
+    table: LevelTable | None = None
 
     def transform(self, df):
         ex = {}
         for c, mp in self.maps.items():
             m = F.create_map(*[x for k, v in mp.items() for x in (F.lit(k), F.lit(float(v)))]) if mp else None
             ex[c] = F.coalesce(m[q(c).cast("string")], F.lit(self.prior)) if m is not None else F.lit(self.prior)
-        return self._replace(df, ex)
+        out = self._replace(df, ex)
+        for c in (self.table.totals if self.table else ()):
+            out = self.table.lookup(out, c, F.lit(self.prior))
+        return out
 
 
 def _shrunk(sum_y: Column, sum_y2: Column, n: Column, prior: float, var_y: float) -> Column:
@@ -397,39 +458,52 @@ def fit_target_encoder(train: DataFrame, cols: Sequence[str], target: str, folds
     t = train.where(y.isNotNull()).withColumn("__fold", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(folds)))
     st = t.agg(F.avg(y).alias("m"), F.var_pop(y).alias("v")).first()
     prior, var_y = float(st["m"]), float(st["v"] or 0.0)
-    maps = {}
+    maps, totals, big = {}, {}, None
     out = t
     for c in cols:
-        lf = t.groupBy(q(c).cast("string").alias("__lv"), "__fold").agg(
-            F.sum(y).alias("sy"), F.sum(y * y).alias("sy2"), F.count(F.lit(1)).alias("n"))
+        lf = written(t.groupBy(q(c).cast("string").alias("__lv"), "__fold").agg(
+            F.sum(y).alias("sy"), F.sum(y * y).alias("sy2"), F.count(F.lit(1)).alias("n")), "level-folds")
         tot = lf.groupBy("__lv").agg(F.sum("sy").alias("ty"), F.sum("sy2").alias("ty2"), F.sum("n").alias("tn"))
-        plain = {r["__lv"]: r["enc"] for r in tot.select(
-            "__lv", _shrunk(F.col("ty"), F.col("ty2"), F.col("tn"), prior, var_y).alias("enc")).collect()}
-        maps[c] = plain
-        oof = lf.join(tot, "__lv").select(
-            "__lv", "__fold",
+        plain = tot.where("__lv is not null").select(
+            F.lit(c).alias("column"), F.col("__lv").alias("level"), F.col("tn").alias("cnt"),
+            _shrunk(F.col("ty"), F.col("ty2"), F.col("tn"), prior, var_y).alias("value"))
+        size = plain.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("n")).first()
+        if size["k"] <= INLINE_LEVELS:
+            maps[c] = {r["level"]: r["value"] for r in plain.collect()}
+        else:
+            totals[c] = size["n"]
+            big = plain if big is None else big.unionByName(plain)
+        # a level's rows outside the own fold; the join splits hot (level, fold) pairs
+        oof = lf.where("__lv is not null").join(tot, "__lv").select(
+            "__lv", "__fold", F.col("n").alias("cnt"),
             F.when(F.col("tn") - F.col("n") > 0,
                    _shrunk(F.col("ty") - F.col("sy"), F.col("ty2") - F.col("sy2"), F.col("tn") - F.col("n"),
-                           prior, var_y)).otherwise(F.lit(prior)).alias(f"__enc_{c}"))
-        out = (out.join(oof, (q(c).cast("string") == F.col("__lv")) & (out["__fold"] == oof["__fold"]), "left")
-               .drop("__lv").drop(oof["__fold"]))
-        out = out.withColumn(c, F.coalesce(F.col(f"__enc_{c}"), F.lit(prior))).drop(f"__enc_{c}")
-    return TargetEncoder(maps, prior), out.drop("__fold")
+                           prior, var_y)).otherwise(F.lit(prior)).alias("__enc"))
+        keyed = out.withColumn("__lv", q(c).cast("string"))
+        known = attach(keyed.where("__lv is not null"), oof, ["__lv", "__fold"], ["__enc"])
+        absent = keyed.where("__lv is null").withColumn("__enc", F.lit(prior))
+        out = known.unionByName(absent).withColumn(c, F.col("__enc")).drop("__lv", "__enc")
+    table = LevelTable(written(big, "level-encodings"), totals) if big is not None else None
+    return TargetEncoder(maps, prior, table), out.drop("__fold")
 
 
 @dataclass
 class LabelEncoder(Fitted):
     col: str
     classes: list[str]
+    table: LevelTable | None = None
 
     def transform(self, df):
-        m = F.create_map(*[x for i, v in enumerate(self.classes) for x in (F.lit(v), F.lit(i))])
-        return self._replace(df, {self.col: m[q(self.col).cast("string")]})
+        if self.table:
+            return self.table.lookup(df, self.col, F.lit(None).cast("double")).withColumn(self.col, q(self.col).cast("int"))
+        m = F.create_map(*[x for i, v in enumerate(self.classes) for x in (F.lit(v), F.lit(i))]) if self.classes else None
+        return self._replace(df, {self.col: m[q(self.col).cast("string")] if m is not None else F.lit(None).cast("int")})
 
 
 def fit_label_encoder(df: DataFrame, col: str) -> LabelEncoder:
     """Sorted string levels -> 0..k-1 (op 118)."""
-    return LabelEncoder(col, _levels(df, [col])[col])
+    few, table = _levels(df, [col])
+    return LabelEncoder(col, few.get(col, []), table)
 
 
 # ------------------------------------------------------------------ PCA (118a)
