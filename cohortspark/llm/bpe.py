@@ -34,8 +34,8 @@ from cohortspark.llm.common import RELEASE, by_text_chars, map_arrow
 
 END = 0x1000  # a symbol that ends a word is its character shifted by this
 TAIL = 3  # symbols by which the tokens that may end at a place are looked up
-MEMO_WORDS = 150_000  # words kept by a worker between batches; speed only, results do not depend on it
-MEMO_PAIRS = 1_200_000
+MEMO_WORDS = 60_000  # words kept by a worker between batches; speed only, results do not depend on it
+MEMO_PAIRS = 400_000
 PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ÿ]")
 
 

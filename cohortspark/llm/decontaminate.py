@@ -157,10 +157,20 @@ def randomised_svd(bench: DataFrame, idf: np.ndarray, rank: int, seed: int = 7)
     wide = rank + 8
 
     def sketch(batches):
-        omega = np.random.default_rng(seed).standard_normal((FEATURES, wide))
+        omega: dict[int, np.ndarray] = {}  # a bucket's random row follows from seed and bucket; some are kept
+
+        def normal(i):
+            if i not in omega:
+                if len(omega) >= 4096:
+                    omega.clear()
+                omega[i] = np.random.default_rng((seed, int(i))).standard_normal(wide)
+            return omega[i]
+
         for row in _rows(batches, idf):
             at = np.flatnonzero(row)
-            y = row[at] @ omega[at]
+            y = np.zeros(wide)
+            for i in at:
+                y += row[i] * normal(i)
             for i in at:
                 yield int(i), row[i] * y
 

@@ -44,7 +44,8 @@ from cohortspark.llm.shingles import bitmap, mix, shingle_sets
 
 BATCH_CHARS = 2_000_000
 LEAF = 32
-
+REPORT_SHINGLES = 1_500_000  # shingles that a task holds before it reports the frequent ones: 12 MB, twice while sorting
+REPORT_LEAST = 4
 
 
 def _heavy_shingles(docs: DataFrame, k: int, heavy: float) -> np.ndarray:
@@ -59,10 +60,12 @@ def _heavy_shingles(docs: DataFrame, k: int, heavy: float) -> np.ndarray:
     """
     def count(batches):
         def report():
-            all_s = np.sort(np.concatenate(held))
+            all_s = np.concatenate(held)
+            held.clear()
+            all_s.sort()
             first = np.flatnonzero(np.concatenate(([True], all_s[1:] != all_s[:-1])))
             n = np.diff(np.append(first, len(all_s)))
-            many = n >= max(8, heavy / 2 * docs_seen)
+            many = n >= max(REPORT_LEAST, heavy / 2 * docs_seen)
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.append(all_s[first][many].view(np.int64), 0)),
                  pa.array(np.append(n[many], 0)), pa.array(np.append(np.zeros(many.sum(), np.int64), docs_seen))],
@@ -74,7 +77,7 @@ def _heavy_shingles(docs: DataFrame, k: int, heavy: float) -> np.ndarray:
             held += sets
             size += sum(map(len, sets))
             docs_seen += len(sets)
-            if size > 4_000_000:
+            if size > REPORT_SHINGLES:
                 yield report()
                 held, size, docs_seen = [], 0, 0
         if size:
