@@ -23,9 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspark.functions.columns import q
+from cohortspark.functions.columns import is_numeric_type, q
 from cohortspark.functions.quantiles import modes
 from cohortspark.operators.gram import gram, total
+from cohortspark.session import written
 
 # --------------------------------------------------------------- fitted models
 
@@ -115,19 +116,18 @@ class LDAModel(FittedModel):
     task: str = "classification"
 
     def transform(self, df):
-        scores = []
-        for k in range(len(self.classes)):
-            e = F.lit(float(self.b[k]))
-            for j, f in enumerate(self.features):
-                e = e + q(f).cast("double") * F.lit(float(self.w[k, j]))
-            scores.append(e)
-        arr = F.array(*scores)
-        pos = F.array_position(arr, F.array_max(arr)).cast("int")
-        cls = F.element_at(F.array(*[F.lit(float(c)) for c in self.classes]), pos)
-        out = df.withColumn("prediction", cls)
+        x = ", ".join(f"double(`{f}`)" for f in self.features)
+
+        def score(k):  # SQL text: one call to the JVM a class instead of one a coefficient
+            w = ", ".join(f"{float(v)!r}D".upper() for v in self.w[k])
+            return f"aggregate(zip_with(array({x}), array({w}), (v, c) -> v * c), {float(self.b[k])!r}D, (a, t) -> a + t)".replace("e+", "E+").replace("e-", "E-")
+
+        scored = df.withColumn("__s", F.expr(f"array({', '.join(score(k) for k in range(len(self.classes)))})"))
+        pos = F.array_position("__s", F.array_max("__s")).cast("int")
+        out = scored.withColumn("prediction", F.element_at(F.array(*[F.lit(c) for c in self.classes]), pos))
         if len(self.classes) == 2:
-            out = out.withColumn("probability", 1 / (1 + F.exp(-(scores[1] - scores[0]))))
-        return out
+            out = out.withColumn("probability", 1 / (1 + F.exp(-(F.col("__s")[1] - F.col("__s")[0]))))
+        return out.drop("__s")
 
 
 @dataclass
@@ -307,13 +307,14 @@ def fit_linear_svc(df, features, label, C: float = 1.0, name: str = "svc", max_i
 def fit_lda(df, features, label, name: str = "lda") -> LDAModel:
     """Class means and pooled covariance from one Gram pass keyed by class (op 138)."""
     gs = gram(df.where(q(label).isNotNull()), list(features), by=[label])
-    classes = sorted(gs, key=lambda s: float(s))
+    numbers = is_numeric_type(df.schema[label].dataType)
+    classes = sorted(gs, key=float if numbers else str)
     n = sum(gs[c].n for c in classes)
     pooled = sum(gs[c].scatter for c in classes) / (n - len(classes))
     inv = np.linalg.pinv(pooled)
     w = np.array([inv @ gs[c].mean for c in classes])
     b = np.array([-0.5 * gs[c].mean @ inv @ gs[c].mean + math.log(gs[c].n / n) for c in classes])
-    return LDAModel(name, list(features), [float(c) for c in classes], w, b)
+    return LDAModel(name, list(features), [float(c) if numbers else str(c) for c in classes], w, b)
 
 
 def fit_knn(df, features, label, k: int = 5, weights: str = "uniform", task: str = "regression",
@@ -411,6 +412,8 @@ def fit_model(key: str, df: DataFrame, features: Sequence[str], label: str, task
 def score_model(model: FittedModel, test: DataFrame, label: str, task: str) -> dict[str, float]:
     from cohortspark.operators import metrics as mt
     pred = model.transform(test).where(q(label).isNotNull())
+    # every metric reads the predictions: written once, without the plan that made them
+    pred = written(pred.select(label, *[c for c in ("prediction", "probability") if c in pred.columns]), "predictions")
     if task == "regression":
         return mt.regression_metrics(pred, label, "prediction").first().asDict()
     out = mt.accuracy_f1(pred, label, "prediction").first().asDict()

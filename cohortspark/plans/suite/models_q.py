@@ -26,7 +26,7 @@ def _cls(spark, sf):
     return sp.random_split(t, ["doc_id"], 0.7, 0.0)
 
 
-def _emb(spark, sf, dims=8):
+def _emb(spark, sf, dims=64):
     e = table(spark, sf, "embeddings")
     t = e.select("vec_id", F.col("label").cast("double").alias("label"),
                  *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)])
@@ -78,16 +78,17 @@ def q_whuber(spark, sf):
 
 
 @register("model_class_moments", f"""
-SELECT CAST(label AS DOUBLE) AS label, count(*) AS n, {r("avg(embedding[1])")} AS mean_e0, {r("var_pop(embedding[1])")} AS var_e0,
-  {r("avg(embedding[2])")} AS mean_e1, {r("var_pop(embedding[2])")} AS var_e1 FROM embeddings GROUP BY label
+WITH v AS (SELECT CAST(label AS DOUBLE) AS label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim
+  FROM embeddings)
+SELECT label, CAST(dim AS INTEGER) AS dim, count(*) AS n, {r("avg(x)")} AS mean, {r("var_pop(x)")} AS variance
+FROM v GROUP BY label, dim
 """)
 def q_class_moments(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("label").cast("double").alias("label"),
-                                              F.col("embedding")[0].cast("double").alias("e0"),
-                                              F.col("embedding")[1].cast("double").alias("e1"))
-    return rounded(e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("e0").alias("mean_e0"),
-                                          F.var_pop("e0").alias("var_e0"), F.avg("e1").alias("mean_e1"),
-                                          F.var_pop("e1").alias("var_e1")))
+                                              F.posexplode("embedding").alias("dim", "x"))
+    x = F.col("x").cast("double")
+    return rounded(e.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"),
+                                                 F.var_pop(x).alias("variance")))
 
 
 def _fit_score(key, task, data_fn, feats, label, **params):
@@ -101,7 +102,7 @@ def _fit_score(key, task, data_fn, feats, label, **params):
 
 
 CLS_FEATS = ["log_chars", "len_ratio", "toxic"]
-EMB_FEATS = [f"e{i}" for i in range(8)]
+EMB_FEATS = [f"e{i}" for i in range(64)]
 
 for _key, _task, _fn, _f, _y, _p in [
     ("ridge", "regression", _reg, FEATS, "l_extendedprice", {}),
