@@ -56,7 +56,7 @@ class FittedPipeline:
 
     def transform(self, df: DataFrame) -> DataFrame:
         for s in self.steps:
-            df = s(df) if callable(s) and not isinstance(s, pp.Fitted) else s.transform(df)
+            df = s.transform(df)
         return df
 
     def features(self, df: DataFrame, output: str = "features") -> DataFrame:
@@ -72,6 +72,22 @@ class FittedPipeline:
         return va.transform(t).select(*[q(c) for c in self.keep], output)
 
 
+@dataclass
+class UnitFactors(pp.Fitted):
+    factors: dict[str, float]
+
+    def transform(self, df):
+        return harmonize_units(df, self.factors)
+
+
+@dataclass
+class PlausibleRange(pp.Fitted):
+    bounds: dict[str, tuple[float, float]]
+
+    def transform(self, df):
+        return plausibility_gate(df, self.bounds)
+
+
 def fit_pipeline(train: DataFrame, cfg: PreprocessConfig, target: str | None = None,
                  keep: Sequence[str] = ()) -> FittedPipeline:
     num, cat = list(cfg.numeric_features), list(cfg.categorical_features)
@@ -81,14 +97,12 @@ def fit_pipeline(train: DataFrame, cfg: PreprocessConfig, target: str | None = N
     def add(step):
         nonlocal cur
         fp.steps.append(step)
-        cur = step(cur) if not isinstance(step, pp.Fitted) else step.transform(cur)
+        cur = step.transform(cur)
 
     if cfg.unit_factors:
-        f = dict(cfg.unit_factors)
-        add(lambda d, f=f: harmonize_units(d, f))
+        add(UnitFactors(dict(cfg.unit_factors)))
     if cfg.plausibility_bounds:
-        b = dict(cfg.plausibility_bounds)
-        add(lambda d, b=b: plausibility_gate(d, b))
+        add(PlausibleRange(dict(cfg.plausibility_bounds)))
     names = list(num)
     if num:
         if cfg.numeric_imputation == "iterative":

@@ -316,6 +316,11 @@ for _m in ("iqr", "mad", "zscore", "percentile"):
     _mk(_m)
 
 
+@register("outliers_influence", _out_sql("iqr", "l_extendedprice", "lineitem"))
+def q_outlier_influence(spark, sf):
+    return rounded(outliers.outlier_influence(table(spark, sf, "lineitem"), "l_extendedprice"))
+
+
 @register("outliers_flag_rows", f"""
 WITH b AS (SELECT quantile_cont(o_totalprice, 0.25) - 1.5 * (quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25)) AS lo,
                   quantile_cont(o_totalprice, 0.75) + 1.5 * (quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25)) AS hi FROM orders)

@@ -151,45 +151,15 @@ def fingerprint(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- model persistence (op 13)
 
 def save_model(model, path: str) -> None:
-    """Persist a fitted model: MLlib models with their own writer, the
-    closed-form ones as a one-row JSON parameter record."""
-    import json
-
-    from pyspark.sql import SparkSession
-
-    from cohortspark.operators import models as md
-    spark = SparkSession.getActiveSession()
-    if isinstance(model, md.SparkML):
-        model.model.write().overwrite().save(f"{path}/mllib")
-        meta = {"kind": "spark_ml", "name": model.name, "features": model.features, "task": model.task,
-                "class": type(model.model).__module__ + "." + type(model.model).__name__}
-    elif isinstance(model, md.LinearExpr):
-        meta = {"kind": "linear", "name": model.name, "features": model.features, "task": model.task,
-                "intercept": model.intercept, "coef": model.coef}
-    elif isinstance(model, md.Constant):
-        meta = {"kind": "constant", "name": model.name, "features": model.features, "task": model.task,
-                "value": model.value}
-    else:
-        raise TypeError(f"cannot persist {type(model).__name__}")
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+    """Persist a fitted model, preprocessing step or pipeline (see ``sources/saved.py``)."""
+    from cohortspark.sources.saved import save
+    save(model, path)
 
 
 def load_model(path: str):
-    import importlib
-    import json
-
-    from pyspark.sql import SparkSession
-
-    from cohortspark.operators import models as md
-    spark = SparkSession.getActiveSession()
-    meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
-    if meta["kind"] == "linear":
-        return md.LinearExpr(meta["name"], meta["features"], meta["intercept"], meta["coef"], meta["task"])
-    if meta["kind"] == "constant":
-        return md.Constant(meta["name"], meta["features"], meta["value"], meta["task"])
-    mod, cls = meta["class"].rsplit(".", 1)
-    m = getattr(importlib.import_module(mod), cls).load(f"{path}/mllib")
-    return md.SparkML(meta["name"], meta["features"], m, meta["task"])
+    """What ``save_model`` wrote."""
+    from cohortspark.sources.saved import load
+    return load(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
