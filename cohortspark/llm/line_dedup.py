@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from cohortspark.llm.common import let, saved
 
 HOT = 4096
+SOME = 8
 #: One line with what ends it; possessive, so that long lines need no stack.
 LINE = r"[^\n.!?]*+(?:[.!?](?!\x20)[^\n.!?]*+)*+(?:[.!?]\x20|\n|$)"
 
@@ -56,26 +57,32 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
     """doc_id, k1, k2 (hash), i, n (lines i to i + n): the shortest stretches of min_words words from and to each line."""
-    def length(words):
-        """How many of the first ``words`` make min_words; null if they do not."""
+    none = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
+
+    def reached(words):
+        """How many of the first ``words`` make min_words, and their sum; null if they do not."""
         def step(acc, w):
             return F.when(acc["sum"] >= min_words, acc).otherwise(
                 F.struct((acc["sum"] + w).alias("sum"), (acc["n"] + 1).alias("n")))
 
-        got = F.aggregate(words, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n")), step)
-        return let(got, lambda g: F.when(g["sum"] >= min_words, g["n"]))
+        return let(F.aggregate(words, none, step), lambda g: F.when(g["sum"] >= min_words, g))
 
-    # a line that is matched has a word at least, so min_words lines are always enough
+    # a line that is matched has a word at least, so min_words lines are always enough; most often SOME are
     def forward(_h, i):
-        return F.struct(i.alias("i"), length(F.slice("w", i + 1, F.lit(min_words))).alias("n"))
+        n = F.coalesce(*[reached(F.slice("w", i + 1, F.lit(k)))["n"] for k in tries])
+        return F.struct(i.alias("i"), n.alias("n"))
+
+    def back(i, k):
+        lo = F.greatest(i + 1 - k, F.lit(0))
+        return reached(F.reverse(F.slice("w", lo + 1, i + 1 - lo)))
 
     def backward(_h, i):
-        lo = F.greatest(i + 1 - min_words, F.lit(0))
-        return let(length(F.reverse(F.slice("w", lo + 1, i + 1 - lo))),
-                   lambda n: F.struct((i + 1 - n).alias("i"), n.alias("n")))
+        # without its last line it must make min_words still, else it is the shortest stretch from its first line too
+        return let(F.coalesce(*[back(i, k) for k in tries]), lambda g: F.when(
+            g["sum"] - F.get("w", i) >= min_words, F.struct((i + 1 - g["n"]).alias("i"), g["n"].alias("n"))))
 
-    both = F.array_distinct(F.filter(F.concat(F.transform("h", forward), F.transform("h", backward)),
-                                     lambda x: x["n"].isNotNull()))
+    tries = sorted({min(SOME, min_words), min_words})
+    both = F.filter(F.concat(F.transform("h", forward), F.transform("h", backward)), lambda x: x["n"].isNotNull())
     rows = lines.where("doc_id is not null").select("doc_id", "h", F.explode(both).alias("x"))
     part = F.slice("h", F.col("x.i") + 1, F.col("x.n"))
     return rows.select("doc_id", F.xxhash64(part).alias("k1"), F.hash(part).alias("k2"), "x.i", "x.n")
