@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm.common import let, lower_az, match_spans
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ and the same with A-Z, as what they allow: Java matches that several times faster.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]++"
+WORD_ANY_CASE = r"[0-9A-Za-z\x{80}-\x{10FFFF}]++"
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -195,7 +196,7 @@ def literals(pattern: str) -> list[list[str]]:
 #: Pieces of many rules tell little: they count as so many letters.
 _COMMON = {"licen": 4.5, "public licen": 4.6, **dict.fromkeys(
     ("under", "under the", "e", "ed", "ware", "released", "distributed", "available", "published", "provided",
-     "made available"), 0)}
+     "made available", "later", "2 1 or"), 0)}
 
 
 def keywords(pattern: str) -> tuple[str, ...]:
@@ -203,14 +204,19 @@ def keywords(pattern: str) -> tuple[str, ...]:
     return tuple(sorted({max(pieces, key=lambda p: (_COMMON.get(p, len(p)), p)) for pieces in literals(pattern)}))
 
 
-def untriggered() -> list[str]:
-    """Keywords of the alternatives that need not hold one of TRIGGERS."""
-    out = set()
+def untriggered() -> list[tuple[tuple[str, ...], str]]:
+    """For the alternatives that need not hold one of TRIGGERS: (words, longest piece) that every match of one holds."""
+    found = set()
     for _, _, pattern, *_ in rules():
         for pieces in literals(pattern):
             if not any(t in p for p in pieces for t in TRIGGERS):
-                out.add(max(pieces, key=lambda p: (_COMMON.get(p, len(p)), p)))
-    return sorted(x for x in out if not any(y != x and y in x for y in out))
+                found.add((frozenset(w for p in pieces for w in p.split(" ")), max(pieces, key=lambda p: (len(p), p)), tuple(pieces)))
+
+    def implied(words, piece, pieces):
+        return any((other, longest) != (words, piece) and other <= words and any(longest in p for p in pieces)
+                   for other, longest, _ in found)
+
+    return sorted({(tuple(sorted(x[0], key=lambda w: (-len(w), w))), x[1]) for x in found if not implied(*x)})
 
 
 def rules() -> list[tuple[int, str, str, tuple[str, ...], int, float]]:
@@ -279,18 +285,24 @@ def base_places(words):
                   F.filter(F.transform(some, at), lambda p: p["label"].isNotNull()))
 
 
+def _may_match(low):
+    """Whether a text in lower case may hold a detection."""
+    gate = F.lit(False)
+    for t in TRIGGERS:
+        gate = gate | F.contains(low, F.lit(t))
+    for words, piece in untriggered():
+        hit = F.lit(True)
+        for w in words:
+            hit = hit & F.contains(low, F.lit(w))
+        gate = gate | (hit & F.rlike(low, F.lit(GAP.join(piece.split(" ")))) if " " in piece else hit)
+    return gate
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, base array<struct<start,label>>,
     found array<struct<start,end,rank,rule,label,weight,match>> (places in words, end exclusive)."""
     raw = F.coalesce("text", F.lit(""))
-    low = F.lower(raw)
-    gate = F.lit(False)
-    for t in TRIGGERS:
-        gate = gate | F.contains(low, F.lit(t))
-    for piece in untriggered():
-        parts = piece.split(" ")
-        hit = F.contains(low, F.lit(max(parts, key=len)))
-        gate = gate | (hit & F.rlike(low, F.lit(GAP.join(parts))) if len(parts) > 1 else hit)
+    gate = let(F.lower(raw), _may_match)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.regexp_count(raw, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"),
                        F.when(gate, F.regexp_extract_all(lower_az(raw), F.lit(WORD), F.lit(0))).alias("words"))
