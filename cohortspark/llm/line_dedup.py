@@ -27,13 +27,12 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.llm.common import let, saved
 
 HOT = 4096
-SOME = 8
 #: One line with what ends it; possessive, so that long lines need no stack.
 LINE = r"[^\n.!?]*+(?:[.!?](?!\x20)[^\n.!?]*+)*+(?:[.!?]\x20|\n|$)"
 
@@ -56,36 +55,27 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, k1, k2 (hash), i, n (lines i to i + n): the shortest stretches of min_words words from and to each line."""
-    none = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
-
-    def reached(words):
-        """How many of the first ``words`` make min_words, and their sum; null if they do not."""
-        def step(acc, w):
-            return F.when(acc["sum"] >= min_words, acc).otherwise(
-                F.struct((acc["sum"] + w).alias("sum"), (acc["n"] + 1).alias("n")))
-
-        return let(F.aggregate(words, none, step), lambda g: F.when(g["sum"] >= min_words, g))
-
-    # a line that is matched has a word at least, so min_words lines are always enough; most often SOME are
-    def forward(_h, i):
-        n = F.coalesce(*[reached(F.slice("w", i + 1, F.lit(k)))["n"] for k in tries])
-        return F.struct(i.alias("i"), n.alias("n"))
-
-    def back(i, k):
-        lo = F.greatest(i + 1 - k, F.lit(0))
-        return reached(F.reverse(F.slice("w", lo + 1, i + 1 - lo)))
-
-    def backward(_h, i):
+    """doc_id, k1, k2 (hash), i, n (lines i to i + n): the shortest stretches of min_words words from and to each line.
+
+    Lines are rows here, ordered by the words before (from) and through (to)
+    them: every line has a word, so a stretch is a range of min_words of these
+    numbers, and no row carries more than its stretch.
+    """
+    rows = (lines.where("doc_id is not null").withColumn("u", F.monotonically_increasing_id())  # repeated rows stay apart
+            .select("u", "doc_id", F.posexplode(F.arrays_zip("h", "w")).alias("i", "x")).select("u", "doc_id", "i", "x.h", "x.w"))
+    text = Window.partitionBy("u")
+    rows = rows.withColumn("e", F.sum("w").over(text.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("c", F.col("e") - F.col("w"))
+    ahead, behind = text.orderBy("c").rangeBetween(0, min_words - 1), text.orderBy("e").rangeBetween(1 - min_words, 0)
+    rows = rows.withColumns({"f": F.collect_list("h").over(ahead), "fs": F.sum("w").over(ahead)})
+    rows = rows.withColumns({"b": F.collect_list("h").over(behind), "bs": F.sum("w").over(behind)})
+    found = F.array(
+        F.when(F.col("fs") >= min_words, F.struct(F.col("i"), F.col("f").alias("part"))),
         # without its last line it must make min_words still, else it is the shortest stretch from its first line too
-        return let(F.coalesce(*[back(i, k) for k in tries]), lambda g: F.when(
-            g["sum"] - F.get("w", i) >= min_words, F.struct((i + 1 - g["n"]).alias("i"), g["n"].alias("n"))))
-
-    tries = sorted({min(SOME, min_words), min_words})
-    both = F.filter(F.concat(F.transform("h", forward), F.transform("h", backward)), lambda x: x["n"].isNotNull())
-    rows = lines.where("doc_id is not null").select("doc_id", "h", F.explode(both).alias("x"))
-    part = F.slice("h", F.col("x.i") + 1, F.col("x.n"))
-    return rows.select("doc_id", F.xxhash64(part).alias("k1"), F.hash(part).alias("k2"), "x.i", "x.n")
+        F.when(F.col("bs") - F.col("w") >= min_words, F.struct((F.col("i") + 1 - F.size("b")).alias("i"), F.col("b").alias("part"))))
+    rows = rows.select("doc_id", F.explode(found).alias("x")).where("x is not null")
+    part = F.col("x.part")
+    return rows.select("doc_id", F.xxhash64(part).alias("k1"), F.hash(part).alias("k2"), "x.i", F.size(part).alias("n"))
 
 
 def repeated_runs(lines: DataFrame, min_words: int = 50) -> DataFrame:
@@ -105,8 +95,12 @@ def repeated_runs(lines: DataFrame, min_words: int = 50) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """docs(doc_id, text) -> per document: doc_id, n_lines, n_removed, removed_words, removed (line numbers)."""
     lines = saved(lines_of(docs), "lines")
-    gone = (repeated_runs(lines, min_words).select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"))
-            .distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("i")).alias("at")))
+    # stretches are cut where the next one starts, so that a line is listed once
+    spans = repeated_runs(lines, min_words).repartition("doc_id").groupBy("doc_id", "start").agg(F.max("end").alias("end"))
+    text = Window.partitionBy("doc_id").orderBy("start")
+    upto = F.least(F.max("end").over(text.rowsBetween(Window.unboundedPreceding, 0)), F.lead("start").over(text))
+    parts = spans.select("doc_id", F.sequence("start", upto - 1).alias("at"))
+    gone = parts.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("at"))
     rows = lines.join(gone, "doc_id", "left")
     at = F.coalesce("at", F.array().cast("array<int>"))
     return rows.select("doc_id", F.size("h").cast("long").alias("n_lines"), F.size(at).cast("long").alias("n_removed"),
