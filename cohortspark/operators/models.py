@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from cohortspark.functions.columns import is_numeric_type, q
 from cohortspark.functions.quantiles import modes
 from cohortspark.operators.gram import gram, total
-from cohortspark.session import written
+from cohortspark.session import small_batches, written
 
 # --------------------------------------------------------------- fitted models
 
@@ -130,20 +130,107 @@ class LDAModel(FittedModel):
         return out.drop("__s")
 
 
+# Numbers in one block of training rows, rows in one block of queries, and in one matrix of distances.
+KNN_CELLS = 1 << 20
+KNN_QUERIES = 2048
+KNN_TILE = (256, 4096)
+
+
+def _best(d2: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest squared distances of each row and their targets, in no order."""
+    if d2.shape[1] <= k:
+        return d2, y
+    idx = np.argpartition(d2, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(d2, idx, 1), np.take_along_axis(y, idx, 1)
+
+
+def _nearest(x: np.ndarray, tx: np.ndarray, ty: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances (rows x at most k) and targets of the training rows nearest to each row of ``x``, in
+    tiles: memory does not grow with the rows on either side beyond x k."""
+    norms = (tx ** 2).sum(1)
+    dist, near = [], []
+    for s in range(0, len(x), KNN_TILE[0]):
+        xb = x[s:s + KNN_TILE[0]]
+        d, yn = np.empty((len(xb), 0)), np.empty((len(xb), 0))
+        for t in range(0, len(tx), KNN_TILE[1]):
+            tb = slice(t, t + KNN_TILE[1])
+            d2 = 2 * xb @ tx[tb].T
+            np.subtract((xb ** 2).sum(1)[:, None], d2, out=d2)
+            d2 += norms[tb][None, :]
+            np.maximum(d2, 0, out=d2)
+            if d.shape[1] == k:  # few are nearer than what is held already
+                r, c = np.nonzero(d2 < d.max(1)[:, None])
+                if len(r):
+                    hit = np.unique(r)
+                    row = np.concatenate([np.repeat(hit, k), r])
+                    dd, yy = np.concatenate([d[hit].ravel(), d2[r, c]]), np.concatenate([yn[hit].ravel(), ty[tb][c]])
+                    order = np.lexsort((dd, row))
+                    first = np.searchsorted(row[order], hit)
+                    keep = order[first[:, None] + np.arange(k)]
+                    d[hit], yn[hit] = dd[keep], yy[keep]
+                continue
+            found = _best(d2, np.broadcast_to(ty[tb], d2.shape), k)
+            d, yn = found if t == 0 else _best(np.hstack([d, found[0]]), np.hstack([yn, found[1]]), k)
+        dist.append(d)
+        near.append(yn)
+    return (np.vstack(dist), np.vstack(near)) if dist else (np.empty((0, 0)), np.empty((0, 0)))
+
+
+def _decide(d2: np.ndarray, yn: np.ndarray, weights: str, task: str) -> np.ndarray:
+    """Mean or vote of the neighbours; of classes with equal votes the smallest."""
+    w = np.ones_like(d2) if weights == "uniform" else 1.0 / np.maximum(np.sqrt(d2), 1e-12)
+    if task == "regression":
+        return (w * yn).sum(1) / w.sum(1)
+    cls = np.unique(yn)
+    votes = np.stack([(w * (yn == c)).sum(1) for c in cls], 1)
+    return cls[np.argmax(votes, 1)]
+
+
+def _blocks(rows: DataFrame, features: Sequence[str], extra: str, size: int, name: str) -> DataFrame:
+    """Rows packed into blocks of at most ``size``: id, x (row by row) and the column ``extra`` as bytes, written."""
+    feats = list(features)
+    kind = "int64" if extra == "__row" else "float64"
+
+    def pack(batches):
+        held, n = [], 0
+
+        def block():
+            pdf = pd.concat(held)
+            return pd.DataFrame({"x": [pdf[feats].to_numpy(dtype="float64").tobytes()], "v": [pdf[extra].to_numpy(dtype=kind).tobytes()]})
+
+        for pdf in batches:
+            for at in range(0, len(pdf), size):
+                part = pdf.iloc[at:at + size]
+                if held and n + len(part) > size:
+                    yield block()
+                    held, n = [], 0
+                held.append(part)
+                n += len(part)
+        if held:
+            yield block()
+
+    sel = rows.select(*[q(f).cast("double").alias(f) for f in feats], q(extra).alias(extra))
+    packed = sel.mapInPandas(pack, "x binary, v binary")
+    return written(packed.withColumn("id", F.monotonically_increasing_id()), name)
+
+
 @dataclass
 class KNNModel(FittedModel):
-    """Exact k-NN: the (size-checked) training block is broadcast to every task,
-    each Arrow batch of query rows computes distances with numpy and keeps the
-    k nearest; no pair ever becomes a Spark row."""
+    """Exact k-NN.  A small training set (arrays) is shipped to every task; a larger one is a written table of
+    blocks, each block of query rows meets each of them in a cartesian product, and the k nearest of each pair of
+    blocks are merged per block of queries.  Distances are numpy tiles; no pair of rows ever becomes a Spark row."""
     name: str
     features: list[str]
-    train_x: np.ndarray
-    train_y: np.ndarray
+    train_x: np.ndarray | None
+    train_y: np.ndarray | None
     k: int = 5
     weights: str = "uniform"
     task: str = "regression"
+    train: DataFrame | None = None  # blocks
 
     def transform(self, df):
+        if self.train is not None:
+            return self._joined(df)
         spark = df.sparkSession
         bx = spark.sparkContext.broadcast(self.train_x)
         by = spark.sparkContext.broadcast(self.train_y)
@@ -153,28 +240,40 @@ class KNNModel(FittedModel):
         def fn(batches):
             tx, ty = bx.value, by.value
             for pdf in batches:
-                x = pdf[feats].to_numpy(dtype="float64")
-                pred = np.full(len(pdf), np.nan)
-                for s in range(0, len(x), 512):
-                    xb = x[s:s + 512]
-                    d2 = (xb ** 2).sum(1)[:, None] - 2 * xb @ tx.T + (tx ** 2).sum(1)[None, :]
-                    d2 = np.maximum(d2, 0)
-                    kk = min(k, tx.shape[0])
-                    idx = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
-                    dn = np.sqrt(np.take_along_axis(d2, idx, 1))
-                    yn = ty[idx]
-                    w = np.ones_like(dn) if weights == "uniform" else 1.0 / np.maximum(dn, 1e-12)
-                    if task == "regression":
-                        pred[s:s + 512] = (w * yn).sum(1) / w.sum(1)
-                    else:
-                        cls = np.unique(ty)
-                        votes = np.stack([(w * (yn == c)).sum(1) for c in cls], 1)
-                        pred[s:s + 512] = cls[np.argmax(votes, 1)]
                 out = pdf.copy()
-                out["prediction"] = pred
+                x = pdf[feats].to_numpy(dtype="float64")
+                out["prediction"] = _decide(*_nearest(x, tx, ty, k), weights, task) if len(x) else np.empty(0)
                 yield out
         return df.mapInPandas(fn, schema)
 
+    def _joined(self, df):
+        feats, k, weights, task, p = self.features, self.k, self.weights, self.task, len(self.features)
+        small_batches(df.sparkSession)
+        rows = written(df.withColumn("__row", F.monotonically_increasing_id()), "knn-rows")
+        queries = _blocks(rows, feats, "__row", KNN_QUERIES, "knn-queries")
+        pairs = queries.select("id", "x").crossJoin(self.train.select(F.col("x").alias("tx"), F.col("v").alias("ty")))
+
+        def nearest(batches):
+            for pdf in batches:
+                for i, x, tx, ty in zip(pdf["id"], pdf["x"], pdf["tx"], pdf["ty"]):
+                    d2, yn = _nearest(np.frombuffer(x).reshape(-1, p), np.frombuffer(tx).reshape(-1, p), np.frombuffer(ty), k)
+                    yield pd.DataFrame({"id": [i], "d": [d2.tobytes()], "y": [yn.tobytes()], "n": [len(d2)]})
+
+        def merge(key, pdf):
+            n = int(pdf["n"].iloc[0])
+            d2, yn = (np.hstack([np.frombuffer(b).reshape(n, -1) for b in pdf[c]]) for c in ("d", "y"))
+            return pd.DataFrame({"id": [key[0]], "p": [_decide(*_best(d2, yn, k), weights, task).tobytes()]})
+
+        def unpack(batches):
+            for pdf in batches:
+                for v, pred in zip(pdf["v"], pdf["p"]):
+                    yield pd.DataFrame({"__row": np.frombuffer(v, dtype="int64"), "prediction": np.frombuffer(pred)})
+
+        near = pairs.mapInPandas(nearest, "id long, d binary, y binary, n long")
+        decided = near.groupBy("id").applyInPandas(merge, "id long, p binary")
+        preds = queries.select("id", "v").join(decided, "id").select("v", "p").mapInPandas(unpack, "__row long, prediction double")
+        return rows.join(preds, "__row").select(*[q(c) for c in df.columns], "prediction")
+
 
 # ------------------------------------------------------------------ fitters
 
@@ -318,17 +417,19 @@ def fit_lda(df, features, label, name: str = "lda") -> LDAModel:
 
 
 def fit_knn(df, features, label, k: int = 5, weights: str = "uniform", task: str = "regression",
-            max_train_cells: int = 50_000_000, name: str = "knn") -> KNNModel:
-    """Exact k-NN with the training block broadcast after a size check
-    (rows x features <= ``max_train_cells``); larger training sets must use an
-    LSH join (``BucketedRandomProjectionLSH``) instead."""
-    t = df.where(q(label).isNotNull()).select(*[q(c).cast("double") for c in features], q(label).cast("double").alias("__y")).dropna()
+            broadcast_cells: int = 2_000_000, name: str = "knn") -> KNNModel:
+    """Exact k-NN with any number of training rows: up to ``broadcast_cells`` (rows x features) they are arrays
+    of the model, beyond that a written table of blocks that never passes the driver."""
+    feats = list(features)
+    t = df.where(q(label).isNotNull()).select(*[q(c).cast("double") for c in feats], q(label).cast("double").alias("__y")).dropna()
     n = t.count()
-    if n * len(features) > max_train_cells:
-        raise ValueError("training set too large to broadcast for exact k-NN; use an LSH join")
-    pdf = t.toPandas()  # size-checked above
     k = min(k, max(n - 1, 1))
-    return KNNModel(name, list(features), pdf[list(features)].to_numpy(), pdf["__y"].to_numpy(), k, weights, task)
+    if n * len(feats) > broadcast_cells:
+        small_batches(df.sparkSession)
+        size = max(1, min(1 << 16, KNN_CELLS // max(len(feats), 1)))
+        return KNNModel(name, feats, None, None, k, weights, task, _blocks(t, feats, "__y", size, "knn-train"))
+    pdf = t.toPandas()  # size-checked above
+    return KNNModel(name, feats, pdf[feats].to_numpy(), pdf["__y"].to_numpy(), k, weights, task)
 
 
 def fit_mean(df, features, label, name: str = "Baseline: Mean") -> Constant:

@@ -79,6 +79,16 @@ def written(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ARROW_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ARROW_BYTES in this session, for rows that hold whole blocks."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 _SHIPPED: set = set()
 
 
