@@ -1,7 +1,20 @@
 """Exact linear-interpolated quantiles and modes for every column and group, in bounded memory.
 
 Spark's exact ``percentile`` and ``mode`` keep a value -> count map of a whole
-column (and group) in one buffer.  Selection needs none:
+column (and group) in one buffer.  Selection needs none.  Without groups, or
+with up to DRIVER_GROUPS of them:
+
+1. one scan gives count, minimum and maximum per (group, column);
+2. each bracket that still holds several values is cut into cells, half of them
+   of equal width and half equal in the order of the doubles; one scan counts,
+   for all columns, groups and probabilities at once, rows, least and largest
+   value per cell (Arrow batches sorted in numpy, one record per task and cell
+   that is not empty).  The work of a row does not depend on the number of
+   probabilities;
+3. the cell of an order statistic is its next bracket, until it holds one value:
+   three or four scans on smooth data, 22 at most on any.
+
+With more groups:
 
 1. one scan with the GK sketch per (group, column) gives count, minimum,
    maximum and, for each probability, a bracket: the sketch's values 4/ACCURACY
@@ -18,9 +31,9 @@ column (and group) in one buffer.  Selection needs none:
 
 The passes read the projected values from memory as far as they fit there
 (MEMORY_ONLY: what does not is read again, nothing is spilled for it); they are
-released at the end.  Without groups the brackets are literals.  With groups they are a table with a
-row per group, joined to the rows by broadcast up to BROADCAST_BYTES and by a
-shuffle beyond.
+released at the end.  The brackets of many groups are a table with a row per
+group, joined to the rows by broadcast up to BROADCAST_BYTES and by a shuffle
+beyond.
 """
 
 from __future__ import annotations
@@ -28,8 +41,11 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from cohortspark.functions.columns import q
@@ -42,6 +58,8 @@ BINS = 4096
 ROUNDS = 40
 DRIVER_GROUPS = 1000
 BROADCAST_BYTES = 64 << 20
+CELLS = 1 << 14       # in one scan, over all open brackets (8 a bracket at least)
+BAND_LIMIT = 1 << 18  # rows that a task sorts at once
 
 
 def _number(x) -> str:
@@ -122,38 +140,129 @@ class _Plan:
             F.expr("min(if(upto > k, x, NULL)) AS v0"), F.expr("min(if(upto > k + 1, x, NULL)) AS v1"))
 
 
-def _whole(rows: DataFrame, plan: _Plan) -> list[tuple[int, list[float] | None]]:
-    """(n, quantiles) per value over all rows: the state is one row of the driver, its fields are literals."""
-    state = rows.agg(*plan.sketch()).select(*plan.start()).first().asDict()
-    every = plan.targets
-
-    def at(name, t):
-        return _number(state[name][t])
-
-    for _ in range(ROUNDS):
-        live = [t for t in every if state["lo"][t] is not None]
-        if not live:
-            break
-        state |= rows.agg(*plan.counts(at)).first().asDict()
-        full = [t for t in live if state["within"][t] > BAND and state["lo"][t] < state["hi"][t]]
-        if not full:
-            break
-        for r in plan.narrower(rows, [], at, full).collect():
-            state["lo"][r["t"]], state["hi"][r["t"]] = r["lo"], r["hi"]
-    else:
-        raise RuntimeError("quantile brackets did not close")
-    wide = [t for t in live if state["lo"][t] < state["hi"][t]]
-    found = {r["t"]: (r["v0"], r["v1"]) for r in plan.picked(rows, [], at, wide).collect()} if wide else {}
-    out = []
-    for i, n in enumerate(state["n"]):
-        vals = []
-        for j, p in enumerate(plan.probs if n else ()):
-            t = i * len(plan.probs) + j
-            k, lo = state["k"][t], state["lo"][t]
-            v0, v1 = found.get(t, (lo, lo if state["below"][t] + state["within"][t] > k + 1 else None))
-            share = (n - 1) * p - k
-            vals.append(v0 + share * ((state["above"][t] if v1 is None else v1) - v0) if share > 0 else v0)
-        out.append((n, vals if n else None))
+def _order(x: np.ndarray) -> np.ndarray:
+    """Doubles as integers of the same order (one zero; NaN is largest, as in Spark)."""
+    b = np.where(np.isnan(x), np.nan, x + 0.0).view(np.int64)
+    return np.where(b < 0, b ^ np.int64(0x7FFFFFFFFFFFFFFF), b)
+
+
+def _double(key: int) -> float:
+    b = np.array([key], dtype=np.int64)
+    return float(np.where(b < 0, b ^ np.int64(0x7FFFFFFFFFFFFFFF), b).view(np.float64)[0])
+
+
+def _edges(lo: int, hi: int, cells: int) -> np.ndarray:
+    """Edges that cut the keys lo..hi: lo and hi, equal steps of the keys and of the values."""
+    a, b = _double(lo), _double(hi)
+    steps = np.array([lo + (hi - lo) * i // cells for i in range(cells + 1)], dtype=np.int64)
+    if math.isfinite(a) and math.isfinite(b):
+        even = _order(np.linspace(a / 2, b / 2, cells + 1) * 2)
+        steps = np.concatenate([steps, even[(even > lo) & (even < hi)]])
+    return np.unique(steps)
+
+
+def _cells(edges: dict, values: int):
+    """Per task, (group, value) and cell that is not empty: rows, least and largest key.  Cell j is [edge j-1, edge j)."""
+    kinds = pa.schema([("g", pa.int32()), ("i", pa.int32()), ("cell", pa.int32()),
+                       ("c", pa.int64()), ("mn", pa.int64()), ("mx", pa.int64())])
+
+    def fn(batches):
+        acc: dict = {}
+        held: list = [[] for _ in range(values)]
+        rows = 0
+
+        def flush():
+            for i in range(values):
+                if not held[i]:
+                    continue
+                g, x = (np.concatenate(part) for part in zip(*held[i]))
+                held[i].clear()
+                order = np.argsort(g, kind="stable")
+                groups, first = np.unique(g[order], return_index=True)
+                for name, part in zip(groups.tolist(), np.split(order, first[1:])):
+                    e = edges.get((name, i))
+                    if e is None:
+                        continue
+                    keys = np.sort(_order(x[part]))
+                    at = np.concatenate(([0], np.searchsorted(keys, e, "left"), [len(keys)]))
+                    c = np.diff(at)
+                    nz = np.flatnonzero(c)
+                    if (name, i) not in acc:
+                        acc[(name, i)] = (np.zeros(len(e) + 1, np.int64), np.full(len(e) + 1, np.iinfo(np.int64).max),
+                                          np.full(len(e) + 1, np.iinfo(np.int64).min))
+                    n, mn, mx = acc[(name, i)]
+                    n[nz] += c[nz]
+                    mn[nz] = np.minimum(mn[nz], keys[at[nz]])
+                    mx[nz] = np.maximum(mx[nz], keys[at[nz + 1] - 1])
+
+        for batch in batches:
+            g = batch.column(0).to_numpy(zero_copy_only=False)
+            for i in range(values):
+                col = batch.column(1 + i)
+                there = col.is_valid().to_numpy(zero_copy_only=False) if col.null_count else slice(None)
+                held[i].append((g[there], col.to_numpy(zero_copy_only=False)[there]))
+            rows += batch.num_rows
+            if rows >= BAND_LIMIT:
+                flush()
+                rows = 0
+        flush()
+        for (name, i), (n, mn, mx) in acc.items():
+            nz = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nz), v, np.int32)) for v in (name, i)] + [
+                pa.array(nz.astype(np.int32)), pa.array(n[nz]), pa.array(mn[nz]), pa.array(mx[nz])], schema=kinds)
+    return fn
+
+
+def _extent(values: int) -> list[Column]:
+    return [c for i in range(values) for c in (F.expr(f"count(__v{i}) AS n{i}"), F.expr(f"min(__v{i}) AS mn{i}"),
+                                               F.expr(f"max(__v{i}) AS mx{i}"))]
+
+
+def _selected(rows: DataFrame, extents: list, values: int, probs: list[float]) -> dict[tuple[int, int], tuple[int, list[float] | None]]:
+    """(group, value) -> (n, quantiles) over rows (__g, __v0, ...); ``extents``: a row of n, mn, mx per group."""
+    found, low, rank = {}, {}, {}
+    for g, r in enumerate(extents):
+        for i in range(values):
+            for j, p in enumerate(probs if r[f"n{i}"] else ()):
+                low[(g, i, j)] = tuple(_order(np.array([r[f"mn{i}"], r[f"mx{i}"]], dtype=float)).tolist())
+                rank[(g, i, j)] = math.floor((r[f"n{i}"] - 1) * p)
+    for t, (lo, hi) in list(low.items()):
+        if lo == hi:
+            found[t] = (lo, lo)
+            del low[t]
+    while low:
+        brackets = {(g, i, *b) for (g, i, _j), b in low.items()}
+        each = max(4, CELLS // (2 * len(brackets)))
+        cut: dict = {}
+        for g, i, lo, hi in brackets:
+            cut.setdefault((g, i), []).append(_edges(lo, hi, each))
+        edges = {at: np.unique(np.concatenate(e)) for at, e in cut.items()}
+        parts = rows.mapInArrow(_cells(edges, values), "g int, i int, cell int, c long, mn long, mx long")
+        cells = parts.groupBy("g", "i", "cell").agg(F.sum("c").alias("c"), F.min("mn").alias("mn"), F.max("mx").alias("mx"))
+        table: dict = {}
+        for r in sorted(cells.collect()):
+            table.setdefault((r["g"], r["i"]), []).append((r["c"], r["mn"], r["mx"]))
+        sums = {at: (np.cumsum([c for c, _mn, _mx in t]), t) for at, t in table.items()}
+        for t in list(low):
+            upto, listed = sums[t[:2]]
+            at = int(np.searchsorted(upto, rank[t], "right"))
+            _c, mn, mx = listed[at]
+            if mn < mx:
+                low[t] = (mn, mx)
+                continue
+            after = mn if upto[at] > rank[t] + 1 else listed[at + 1][1] if at + 1 < len(listed) else mn
+            found[t] = (mn, after)
+            del low[t]
+    out = {}
+    for g, r in enumerate(extents):
+        for i in range(values):
+            n = r[f"n{i}"]
+            vals = []
+            for j, p in enumerate(probs if n else ()):
+                v0, v1 = map(_double, found[(g, i, j)])
+                share = (n - 1) * p - rank[(g, i, j)]
+                vals.append(v0 + share * (v1 - v0) if share > 0 else v0)
+            out[(g, i)] = (n, vals if n else None)
     return out
 
 
@@ -194,6 +303,19 @@ def group_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequence
     rows = df.select(*[c.alias(k) for k, c in zip(keys, by.values())],
                      *[c.cast("double").alias(f"__v{i}") for i, c in enumerate(values.values())])
     rows = rows.persist(StorageLevel.MEMORY_ONLY)
+    seen, groups = _settled(rows.groupBy(*keys).agg(*_extent(len(names))))
+    if groups <= DRIVER_GROUPS:
+        extents = seen.collect()
+        index = df.sparkSession.createDataFrame([(*[r[k] for k in keys], g) for g, r in enumerate(extents)],
+                                                T.StructType([*[rows.schema[k] for k in keys], T.StructField("__g", T.IntegerType())]))
+        placed = _with(rows, F.broadcast(index), keys).select("__g", *[f"__v{i}" for i in range(len(names))])
+        found = _selected(placed, extents, len(names), probs)
+        rows.unpersist()
+        return df.sparkSession.createDataFrame(
+            [(*[r[k] for k in keys], c, *found[(g, i)]) for g, r in enumerate(extents) for i, c in enumerate(names)],
+            T.StructType([*[T.StructField(name, rows.schema[k].dataType) for k, name in zip(keys, by)],
+                          T.StructField("column", T.StringType()), T.StructField("n", T.LongType()),
+                          T.StructField("q", T.ArrayType(T.DoubleType()))]))
     plan = _Plan(len(names), probs)
     per, every = len(probs), plan.targets
     state, groups = _settled(rows.groupBy(*keys).agg(*plan.sketch()).select(*keys, *plan.start()))
@@ -241,11 +363,11 @@ def column_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequenc
     """Name -> quantiles of an expression over all rows (driver scalars), NULLs ignored."""
     if not values:
         return {}
-    rows = df.select(*[c.cast("double").alias(f"__v{i}") for i, c in enumerate(values.values())])
+    rows = df.select(F.lit(0).alias("__g"), *[c.cast("double").alias(f"__v{i}") for i, c in enumerate(values.values())])
     rows = rows.persist(StorageLevel.MEMORY_ONLY)
-    found = _whole(rows, _Plan(len(values), [float(p) for p in probs]))
+    found = _selected(rows, [rows.agg(*_extent(len(values))).first()], len(values), [float(p) for p in probs])
     rows.unpersist()
-    return {c: v if v is not None else [None] * len(probs) for c, (_n, v) in zip(values, found)}
+    return {c: found[(0, i)][1] or [None] * len(probs) for i, c in enumerate(values)}
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
