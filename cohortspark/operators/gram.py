@@ -11,7 +11,7 @@ replicate fits are then p×p algebra.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,8 +66,8 @@ class Gram:
         return Gram(self.cols, n, m, s)
 
 
-def _partial(cols: list[str], by: list[str], weight: str | None, center: np.ndarray):
-    p = len(cols)
+def _partial(cols: list[str], by: list[str], weight: str | None, center: np.ndarray, expand: Callable | None = None):
+    p = len(center)
 
     def fn(batches):
         acc: dict = {}
@@ -84,7 +84,7 @@ def _partial(cols: list[str], by: list[str], weight: str | None, center: np.ndar
             else:
                 keys = pd.Series([""] * len(pdf))
             keys = keys[ok].to_numpy()
-            xc = x[ok] - center
+            xc = (x[ok] if expand is None else expand(x[ok])) - center
             wv = w[ok]
             for k in np.unique(keys):
                 sel = keys == k
@@ -98,10 +98,11 @@ def _partial(cols: list[str], by: list[str], weight: str | None, center: np.ndar
 
 
 def gram(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), weight: str | None = None,
-         center: np.ndarray | None = None) -> dict[str, Gram]:
-    """Per-key Gram over complete rows of ``cols`` (keys joined by U+0001)."""
+         center: np.ndarray | None = None, expand: Callable | None = None, names: Sequence[str] = ()) -> dict[str, Gram]:
+    """Per-key Gram over complete rows of ``cols`` (keys joined by U+0001), or of the columns ``names`` that
+    ``expand`` makes in the task from a block of them (rows x cols; ``center`` is then near their means)."""
     cols, by = list(cols), list(by)
-    if len(cols) > MAX_P:
+    if max(len(cols), len(names)) > MAX_P:
         raise ValueError(f"gram supports at most {MAX_P} columns")
     sel = df.select(*[q(c).cast("double").alias(c) for c in cols], *[q(b) for b in by],
                     *([q(weight).cast("double").alias(weight)] if weight else []))
@@ -109,7 +110,7 @@ def gram(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), weight: str
     if center is None:
         row = sel.agg(*[F.avg(c).alias(c) for c in cols]).first()
         center = np.array([row[c] if row[c] is not None else 0.0 for c in cols], dtype="float64")
-    fn, p = _partial(cols, by, weight, center)
+    fn, p = _partial(cols, by, weight, center, expand)
     parts = sel.mapInPandas(fn, "k string, sw double, s1 binary, s2 binary")
 
     def to_np(r):
@@ -126,7 +127,7 @@ def gram(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), weight: str
         d = s1 / sw
         mean = center + d
         scatter = s2 - sw * np.outer(d, d)
-        out[k] = Gram(cols, float(sw), mean, scatter)
+        out[k] = Gram(list(names) if expand else cols, float(sw), mean, scatter)
     return out
 
 

@@ -297,7 +297,10 @@ def _fit(estimator, data: DataFrame):
 
 def fit_ols(df, features, label, alpha: float = 0.0, name: str = "ols") -> LinearExpr:
     """OLS / ridge (RSS + alpha ||b||²) from one Gram pass (ops 126, 127)."""
-    g = total(gram(df, list(features) + [label]))
+    return _least_squares(total(gram(df, list(features) + [label])), features, alpha, name)
+
+
+def _least_squares(g, features, alpha: float, name: str) -> LinearExpr:
     ix = list(range(len(features)))
     sxx = g.scatter[np.ix_(ix, ix)] + alpha * np.eye(len(ix))
     b = np.linalg.lstsq(sxx, g.scatter[ix, len(ix)], rcond=None)[0]
@@ -638,6 +641,10 @@ def _all():
 
 # ------------------------------------------------- kernel SVM approximation (op 136)
 
+def _fourier(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return float(np.sqrt(2.0 / len(b))) * np.cos(x @ w.T + b)
+
+
 @dataclass
 class RandomFourier(FittedModel):
     """RBF kernel machine approximated by random Fourier features
@@ -660,6 +667,14 @@ class RandomFourier(FittedModel):
         return df.select("*", *cols)
 
     def transform(self, df):
+        if isinstance(self.inner, LinearExpr):  # all terms of a batch in numpy, no column each
+            w, b, coef, a = self.w, self.b, np.array(self.inner.coef), self.inner.intercept
+
+            @F.pandas_udf("double")
+            def score(*x: pd.Series) -> pd.Series:
+                return pd.Series(a + _fourier(np.column_stack([v.to_numpy(dtype="float64") for v in x]), w, b) @ coef)
+
+            return df.withColumn("prediction", score(*[q(f).cast("double") for f in self.features]))
         return self.inner.transform(self._z(df)).drop(*[f"__rff{j}" for j in range(len(self.b))])
 
 
@@ -669,16 +684,18 @@ def fit_rbf_svm(df, features, label, task="regression", C: float = 1.0, n_compon
     declared approximation: random Fourier features + ridge (regression) or
     linear SVC (classification)."""
     feats = list(features)
-    var = df.select(*[q(f).cast("double").alias(f) for f in feats]).agg(
-        *[F.var_pop(f).alias(f) for f in feats]).first()
+    var = df.agg(*[F.var_pop(q(f).cast("double")).alias(f) for f in feats], F.avg(q(label).cast("double")).alias("__y")).first()
     gamma = 1.0 / (len(feats) * float(np.mean([var[f] or 1.0 for f in feats])))
     rng = np.random.default_rng(seed)
     w = rng.normal(0, np.sqrt(2 * gamma), (n_components, len(feats)))
     b = rng.uniform(0, 2 * np.pi, n_components)
     proto = RandomFourier(name or ("svr" if task == "regression" else "svc_rbf"), feats, w, b, None, task)
-    z = proto._z(df)
     zc = [f"__rff{j}" for j in range(n_components)]
-    inner = (fit_ols(z, zc, label, alpha=1.0 / C) if task == "regression"
-             else fit_linear_svc(z, zc, label, C, max_iter=max_iter))
+    if task == "regression":  # the features are made in the task that adds up their Gram
+        g = total(gram(df, feats + [label], center=np.array([0.0] * n_components + [var["__y"] or 0.0]),
+                       expand=lambda x: np.column_stack([_fourier(x[:, :-1], w, b), x[:, -1]]), names=zc + [label]))
+        inner = _least_squares(g, zc, 1.0 / C, "ols")
+    else:
+        inner = fit_linear_svc(proto._z(df), zc, label, C, max_iter=max_iter)
     proto.inner = inner
     return proto
