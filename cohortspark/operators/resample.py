@@ -37,6 +37,7 @@ from cohortspark.functions.quantiles import group_quantiles
 from cohortspark.operators import metrics
 
 JACK = 50
+OVERALL = "Overall"
 BRACKET = 6.0
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 # Levels of an interval are kept inside these limits.
@@ -173,11 +174,32 @@ def bca_intervals(estimate: np.ndarray, boot: np.ndarray, jack: np.ndarray,
 
 # ------------------------------------------------------------------ sums
 
-def _partials(m: int, binned: int, n_rep: int, bins: int, frames: dict, chunk: int = 2048):
+def _partials(m: int, binned: int, n_rep: int, bins: int, frames: dict, whole: list[int] | None = None, chunk: int = 512):
     """Per group: sums (B x m) and group sums (JACK x m), histograms (B x 2 x bins) and (JACK x 2 x bins) per binned
-    metric.  frames: (group, metric) -> (lo, hi) of its bins."""
+    metric.  frames: (group, metric) -> (lo, hi) of its bins.  With ``whole`` also for 'Overall', whose sums are those
+    of these columns over all groups: a row's weights are drawn once."""
+    def empty(width):
+        return [np.zeros((n_rep, width)), np.zeros((JACK, width)),
+                np.zeros((binned, n_rep, 2 * bins)), np.zeros((binned, JACK, 2 * bins))]
+
+    def count(hist, jhist, part, here, w, jg, k):
+        for b in range(binned):
+            lo, hi = frames[(k, b)]
+            x, side = part[f"x{b}"].to_numpy(dtype="float64")[here], part[f"s{b}"].to_numpy()[here]
+            inside = np.flatnonzero((x >= lo) & (x <= hi))
+            if not len(inside):
+                continue
+            cell = np.minimum((x[inside] - lo) / ((hi - lo) or 1.0) * bins, bins - 1).astype(np.int64)
+            cell += bins * side[inside].astype(np.int64)
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+            hist[b][:, cell[first]] += np.add.reduceat(w[inside[order]].astype(np.float64), first, axis=0).T
+            np.add.at(jhist[b], (jg[inside[order]], cell), 1.0)
+
     def fn(batches):
         acc: dict = {}
+        every = empty(0)
         for pdf in batches:
             for at in range(0, len(pdf), chunk):
                 part = pdf.iloc[at:at + chunk]
@@ -188,24 +210,17 @@ def _partials(m: int, binned: int, n_rep: int, bins: int, frames: dict, chunk: i
                     here = np.flatnonzero(groups == k)
                     w, vv = w_all[here], v[here]
                     if k not in acc:
-                        acc[k] = [np.zeros((n_rep, m)), np.zeros((JACK, m)),
-                                  np.zeros((binned, n_rep, 2 * bins)), np.zeros((binned, JACK, 2 * bins))]
+                        acc[k] = empty(m)
                     boot, jack, hist, jhist = acc[k]
                     boot += w.T.astype(np.float64) @ vv
                     np.add.at(jack, jg[here], vv)
-                    for b in range(binned):
-                        lo, hi = frames[(k, b)]
-                        x, side = part[f"x{b}"].to_numpy(dtype="float64")[here], part[f"s{b}"].to_numpy()[here]
-                        inside = np.flatnonzero((x >= lo) & (x <= hi))
-                        if not len(inside):
-                            continue
-                        cell = np.minimum((x[inside] - lo) / ((hi - lo) or 1.0) * bins, bins - 1).astype(np.int64)
-                        cell += bins * side[inside].astype(np.int64)
-                        order = np.argsort(cell, kind="stable")
-                        cell = cell[order]
-                        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-                        hist[b][:, cell[first]] += np.add.reduceat(w[inside[order]].astype(np.float64), first, axis=0).T
-                        np.add.at(jhist[b], (jg[here][inside[order]], cell), 1.0)
+                    count(hist, jhist, part, here, w, jg[here], k)
+                if whole is not None:
+                    count(every[2], every[3], part, slice(None), w_all, jg, OVERALL)
+        if whole is not None and acc:
+            acc[OVERALL] = [sum(boot[:, whole] for boot, *_rest in acc.values()),
+                            sum(jack[:, whole] for _boot, jack, *_rest in acc.values()), *every[2:]]
+            acc = {k: [boot[:, :len(whole)], jack[:, :len(whole)], *rest] for k, (boot, jack, *rest) in acc.items()}
         for k, parts in acc.items():
             yield pd.DataFrame({"k": [k], **{n: [p.tobytes()] for n, p in zip(("boot", "jack", "hist", "jhist"), parts)}})
     return fn
@@ -260,27 +275,33 @@ def bootstrap_metrics(df: DataFrame, y: str, yhat: str, task: str = "regression"
     else:
         found = base.select(F.explode(F.array(q(y).cast("string"), q(yhat).cast("string"))).alias("c")).distinct().collect()
         chosen = classification_set(sorted(r["c"] for r in found), positive if proba is not None else None)
-    group = F.coalesce(q(by).cast("string"), F.lit("None")) if by else F.lit("Overall")
-    members = F.explode(F.array(group, F.lit("Overall"))) if by else group
+    group = F.coalesce(q(by).cast("string"), F.lit("None")) if by else F.lit(OVERALL)
+
+    def members(own):
+        return F.explode(F.array(own, F.lit(OVERALL))) if by else own
     sums = [m.columns(q(y), q(yhat), score) for m in chosen]
     binned = [m for m in chosen if m.binned]
     values = [m.binned(q(y), q(yhat), score) for m in binned]
     jack_group = F.pmod(F.xxhash64(F.lit(seed + 1), *keys), F.lit(JACK)).cast("int")
     flat = [c for cols in sums for c in cols]
-    rows = base.select(members.alias("__key"), F.xxhash64(F.lit(seed), *keys).alias("__h"), jack_group.alias("__jg"),
+    rows = base.select(group.alias("__key"), F.xxhash64(F.lit(seed), *keys).alias("__h"), jack_group.alias("__jg"),
                        *[c.cast("double").alias(f"c{i + 1}") for i, c in enumerate(flat)],
                        *[v.cast("double").alias(f"x{b}") for b, (v, _s) in enumerate(values)],
                        *[s.cast("int").alias(f"s{b}") for b, (_v, s) in enumerate(values)])
-    frames = _frames(rows, binned) if binned else {}
-    extra = []  # what lies below a bracket is one more sum
+    at_all = rows.select(members(F.col("__key")).alias("__key"), *[f"x{b}" for b in range(len(binned))])
+    frames = _frames(at_all, binned) if binned else {}
+    extra, extra_all = [], []  # what lies below a bracket is one more sum
     for b, metric in enumerate(binned):
         if metric.bracketed:
             below = F.create_map(*[x for (g, i), (lo, _hi) in frames.items() if i == b for x in (F.lit(g), F.lit(lo))]) \
                 if frames else F.lit(None)
             extra.append((F.col(f"x{b}") < below[F.col("__key")]).cast("double") if frames else F.lit(0.0))
-    m = 1 + len(flat) + len(extra)
-    ready = rows.select("*", F.lit(1.0).alias("c0"), *[e.alias(f"c{1 + len(flat) + i}") for i, e in enumerate(extra)])
-    parts = ready.mapInPandas(_partials(m, len(binned), n_resamples, bins, frames),
+            extra_all.append((F.col(f"x{b}") < F.lit(frames[(OVERALL, b)][0])).cast("double") if frames else F.lit(0.0))
+    m, sums_only = 1 + len(flat) + len(extra), 1 + len(flat)
+    whole_columns = [*range(sums_only), *range(m, m + len(extra_all))] if by else None
+    ready = rows.select("*", F.lit(1.0).alias("c0"), *[e.alias(f"c{sums_only + i}") for i, e in enumerate(
+        [*extra, *(extra_all if by else [])])])
+    parts = ready.mapInPandas(_partials(m + (len(extra_all) if by else 0), len(binned), n_resamples, bins, frames, whole_columns),
                               "k string, boot binary, jack binary, hist binary, jhist binary")
 
     def arrays(r):
@@ -289,12 +310,12 @@ def bootstrap_metrics(df: DataFrame, y: str, yhat: str, task: str = "regression"
         return r["k"], tuple(np.frombuffer(r[n]).reshape(s) for n, s in shapes.items())
 
     totals = reduce_partials(parts.rdd.map(arrays), lambda a, b: tuple(x + y for x, y in zip(a, b)))
-    plain = base.select(members.alias("g"), q(y).alias("y"), q(yhat).alias("p"), score.alias("proba"))
+    plain = base.select(members(group).alias("g"), q(y).alias("y"), q(yhat).alias("p"), score.alias("proba"))
     exact = {i: metric.exact(plain) for i, metric in enumerate(chosen) if metric.exact}
     out = []
     for g, (boot, jack, hist, jhist) in totals.items():
         whole, n = jack.sum(0), int(jack[:, 0].sum())
-        if by and g != "Overall" and n < min_group:
+        if by and g != OVERALL and n < min_group:
             continue
         left = whole[None, :] - jack
         est, reps, loo = [], [], []
