@@ -10,7 +10,7 @@ with up to DRIVER_GROUPS of them:
    for all columns, groups and probabilities at once, rows, least and largest
    value per cell (Arrow batches sorted in numpy, one record per task and cell
    that is not empty).  The work of a row does not depend on the number of
-   probabilities;
+   probabilities.  Where few brackets are open only their rows are read;
 3. the cell of an order statistic is its next bracket, until it holds one value:
    three or four scans on smooth data, 22 at most on any.
 
@@ -59,6 +59,7 @@ ROUNDS = 40
 DRIVER_GROUPS = 1000
 BROADCAST_BYTES = 64 << 20
 CELLS = 1 << 14       # in one scan, over all open brackets (8 a bracket at least)
+FEW = 24              # brackets whose rows alone are read
 BAND_LIMIT = 1 << 18  # rows that a task sorts at once
 
 
@@ -152,13 +153,13 @@ def _double(key: int) -> float:
 
 
 def _edges(lo: int, hi: int, cells: int) -> np.ndarray:
-    """Edges that cut the keys lo..hi: lo and hi, equal steps of the keys and of the values."""
+    """Edges that cut the keys lo..hi: lo, hi and what follows it, equal steps of the keys and of the values."""
     a, b = _double(lo), _double(hi)
     steps = np.array([lo + (hi - lo) * i // cells for i in range(cells + 1)], dtype=np.int64)
     if math.isfinite(a) and math.isfinite(b):
         even = _order(np.linspace(a / 2, b / 2, cells + 1) * 2)
         steps = np.concatenate([steps, even[(even > lo) & (even < hi)]])
-    return np.unique(steps)
+    return np.unique(np.append(steps, min(hi + 1, np.iinfo(np.int64).max)))
 
 
 def _cells(edges: dict, values: int):
@@ -220,12 +221,13 @@ def _extent(values: int) -> list[Column]:
 
 def _selected(rows: DataFrame, extents: list, values: int, probs: list[float]) -> dict[tuple[int, int], tuple[int, list[float] | None]]:
     """(group, value) -> (n, quantiles) over rows (__g, __v0, ...); ``extents``: a row of n, mn, mx per group."""
-    found, low, rank = {}, {}, {}
+    found, low, rank, base, above = {}, {}, {}, {}, {}  # base: rows below a bracket, above: the least key above it
     for g, r in enumerate(extents):
         for i in range(values):
             for j, p in enumerate(probs if r[f"n{i}"] else ()):
                 low[(g, i, j)] = tuple(_order(np.array([r[f"mn{i}"], r[f"mx{i}"]], dtype=float)).tolist())
                 rank[(g, i, j)] = math.floor((r[f"n{i}"] - 1) * p)
+                base[(g, i, j)], above[(g, i, j)] = 0, low[(g, i, j)][1]
     for t, (lo, hi) in list(low.items()):
         if lo == hi:
             found[t] = (lo, lo)
@@ -237,21 +239,28 @@ def _selected(rows: DataFrame, extents: list, values: int, probs: list[float]) -
         for g, i, lo, hi in brackets:
             cut.setdefault((g, i), []).append(_edges(lo, hi, each))
         edges = {at: np.unique(np.concatenate(e)) for at, e in cut.items()}
-        parts = rows.mapInArrow(_cells(edges, values), "g int, i int, cell int, c long, mn long, mx long")
+        near = rows
+        if len(brackets) <= FEW:  # rows outside of all brackets are known already
+            near = rows.where(" OR ".join(f"__v{i} BETWEEN {_number(_double(lo))} AND {_number(_double(hi))}"
+                                          for i, lo, hi in {b[1:] for b in brackets}))
+        parts = near.mapInArrow(_cells(edges, values), "g int, i int, cell int, c long, mn long, mx long")
         cells = parts.groupBy("g", "i", "cell").agg(F.sum("c").alias("c"), F.min("mn").alias("mn"), F.max("mx").alias("mx"))
         table: dict = {}
         for r in sorted(cells.collect()):
             table.setdefault((r["g"], r["i"]), []).append((r["c"], r["mn"], r["mx"]))
-        sums = {at: (np.cumsum([c for c, _mn, _mx in t]), t) for at, t in table.items()}
+        sums = {at: tuple(np.array(c, dtype=np.int64) for c in zip(*t)) for at, t in table.items()}
+        upto = {at: np.cumsum(c) for at, (c, _mn, _mx) in sums.items()}
         for t in list(low):
-            upto, listed = sums[t[:2]]
-            at = int(np.searchsorted(upto, rank[t], "right"))
-            _c, mn, mx = listed[at]
-            if mn < mx:
-                low[t] = (mn, mx)
+            c, mn, mx = sums[t[:2]]
+            first, end = np.searchsorted(mn, low[t][0], "left"), np.searchsorted(mx, low[t][1], "right")
+            within = upto[t[:2]][first:end] - (upto[t[:2]][first] - c[first]) + base[t]
+            at = int(np.searchsorted(within, rank[t], "right"))
+            after = int(mn[first + at + 1]) if first + at + 1 < end else above[t]
+            lo, hi = int(mn[first + at]), int(mx[first + at])
+            if lo < hi:
+                low[t], base[t], above[t] = (lo, hi), int(within[at] - c[first + at]), after
                 continue
-            after = mn if upto[at] > rank[t] + 1 else listed[at + 1][1] if at + 1 < len(listed) else mn
-            found[t] = (mn, after)
+            found[t] = (lo, lo if within[at] > rank[t] + 1 else after)
             del low[t]
     out = {}
     for g, r in enumerate(extents):
