@@ -4,11 +4,13 @@ The vocabulary file is word-level BPE: normalise, cut into words, merge inside
 each word.  Instead of merging every word by itself, the distinct words of a
 batch are put in sorted order, which is the depth-first order of their trie.
 Walking it keeps one state per depth: the last token of the encoding of that
-prefix.  A prefix's last token t is the one token that ends the prefix and is
-compatible with the last token of what stands before it, i.e. the merge rules
-turn the two tokens' symbols into just these two tokens.  A prefix shared by
-many words is worked out once; a word's ids are read backwards from its last
-state.
+prefix, and the place in the trie of the tokens (with failure links) that
+names the tokens ending there.  A prefix's last token t is the one token that
+ends the prefix and is compatible with the last token of what stands before
+it, i.e. the merge rules turn the two tokens' symbols into just these two
+tokens; whether they do is read off the two tokens' last merges, undone latest
+first.  A prefix shared by many words is worked out once; a word's ids are
+read backwards from its last state.
 
 Normalising and cutting use fast equivalents on texts made of plain Latin
 characters and the library's own normaliser and cutter on all other texts;
@@ -24,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -33,9 +36,10 @@ from pyspark.sql import functions as F
 from cohortspark.llm.common import RELEASE, by_text_chars, map_arrow
 
 END = 0x1000  # a symbol that ends a word is its character shifted by this
-TAIL = 3  # symbols by which the tokens that may end at a place are looked up
-MEMO_WORDS = 60_000  # words kept by a worker between batches; speed only, results do not depend on it
+MEMO_WORDS = 150_000  # words kept by a worker between batches; speed only, results do not depend on it
 MEMO_PAIRS = 400_000
+MEMO_STEPS = 400_000  # steps over failure links kept beside the edges of the tokens' trie
+CHAR = 21  # bits of a symbol
 PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ÿ]")
 
 
@@ -66,6 +70,7 @@ class TrieBpe:
         self.suffix = suffix
         self.symbols = {i: s for s, i in self.ids.items()}
         self.text_of = {i: t for t, i in vocab.items()}
+        self.id_text = {i: str(i) for i in self.text_of}
         self.special = {}
         for x in spec["added_tokens"]:
             self.special[x["content"]] = x["id"]
@@ -73,25 +78,80 @@ class TrieBpe:
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") \
             if self.special else None
         # a token that the rules do not rebuild from its symbols is never the last token of anything
-        self.ids = {s: i for s, i in self.ids.items() if len(s) == 1 or self.merge(s) == [s]}
-        tails: dict[str, set[int]] = {}
-        for x in self.ids:
-            tails.setdefault(x[-TAIL:], set()).add(len(x))
-        # lengths[tail]: lengths of the tokens that can end where these symbols do, longest first
-        self.lengths = {x: tuple(sorted(ks.union(*[tails.get(x[i:], ()) for i in range(1, len(x))]), reverse=True))
-                        for x, ks in tails.items()}
+        last_two = {s: tuple(self.merge(s, 2)) for s in self.ids if len(s) > 1}
+        self.ids = {s: i for s, i in self.ids.items() if len(s) == 1 or last_two[s] in self.rank}
+        self._read_merges(last_two)
+        self._build_trie()
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
-        self.old: dict[str, tuple[int, str, str]] = {}
-        import regex
+        self.words: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, tuple[str, str]] = {}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.cut = regex.compile(pattern).findall
+        self.cut = _plain_cutter(pattern)
         self.byte_char = _byte_characters()
 
-    def merge(self, s: str) -> list[str]:
-        """The merge rules on a short string of symbols: lowest rank, leftmost first."""
+    def _read_merges(self, last_two: dict[str, tuple[str, ...]]) -> None:
+        """Per token its last merge: rank (-1: a symbol), left and right part; per pair of tokens its rank."""
+        ids = self.ids
+        size = max(ids.values()) + 1
+        self.made, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
+        for s, i in ids.items():
+            if len(s) > 1:
+                x, y = last_two[s]
+                self.made[i], self.left[i], self.right[i] = self.rank[x, y], ids[x], ids[y]
+        self.joined = {(ids[x] << 20) | ids[y]: r for (x, y), r in self.rank.items() if x in ids and y in ids}
+        # merges of learned vocabularies join parts that earlier merges made; others are checked by merging
+        made = self.made
+        self.ordered = all(made[k >> 20] < r and made[k & 0xFFFFF] < r for k, r in self.joined.items())
+
+    def _build_trie(self) -> None:
+        """Trie of all tokens with failure links: goto[node, symbol] -> node; per node the longest token that ends
+        there, per token its length and the longest shorter token that ends where it does (-1: none)."""
+        ids = self.ids
+        size = max(ids.values()) + 1
+        self.goto: dict[int, int] = {}
+        self.length, self.shorter = [0] * size, [-1] * size
+        goto, own, parent, symbol, depth = self.goto, [-1], [0], [0], [0]
+        for s, i in ids.items():
+            self.length[i] = len(s)
+            node = 0
+            for c in map(ord, s):
+                key = (node << CHAR) | c
+                if key not in goto:
+                    goto[key] = len(own)
+                    own.append(-1)
+                    parent.append(node)
+                    symbol.append(c)
+                    depth.append(depth[node] + 1)
+                node = goto[key]
+            own[node] = i
+        self.fail, self.ending = [0] * len(own), [-1] * len(own)
+        for node in sorted(range(1, len(own)), key=depth.__getitem__):
+            up = self.fail[parent[node]]
+            if parent[node]:
+                while up and (up << CHAR) | symbol[node] not in goto:
+                    up = self.fail[up]
+                self.fail[node] = up = goto.get((up << CHAR) | symbol[node], 0)
+            ends = self.ending[up]
+            if own[node] >= 0:
+                self.shorter[own[node]] = ends
+                ends = own[node]
+            self.ending[node] = ends
+        self.edges = len(goto)
+
+    def step(self, node: int, c: int) -> int:
+        """The longest string of the tokens' trie that ends with symbol c after that of ``node``."""
+        goto, at = self.goto, node
+        while (found := goto.get((at << CHAR) | c)) is None and at:
+            at = self.fail[at]
+        found = found or 0
+        if len(goto) < self.edges + MEMO_STEPS:
+            goto[(node << CHAR) | c] = found
+        return found
+
+    def merge(self, s: str, until: int = 1) -> list[str]:
+        """The merge rules on a short string of symbols: lowest rank, leftmost first, until so many parts are left."""
         parts = list(s)
-        while len(parts) > 1:
+        while len(parts) > until:
             best = min(((self.rank.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:]))))
             if best[0] == 1 << 60:
                 break
@@ -105,59 +165,74 @@ class TrieBpe:
         if known is None:
             if len(self.pairs) >= MEMO_PAIRS:
                 self.pairs.clear()
-            x, y = self.symbols[a], self.symbols[b]
-            known = self.pairs[key] = self.merge(x + y) == [x, y]
+            known = self.pairs[key] = self._stays_apart(a, b)
         return known
 
+    def _stays_apart(self, a: int, b: int) -> bool:
+        """Whether no merge ever crosses the border of two tokens: their merges are undone, latest first (of equal
+        ranks the right one), and the two parts at the border must not have a merge due before the one undone."""
+        if not self.ordered:
+            x, y = self.symbols[a], self.symbols[b]
+            return self.merge(x + y) == [x, y]
+        made, joined = self.made, self.joined
+        before = len(self.rank) + 1
+        while True:
+            if joined.get((a << 20) | b, before) < before:
+                return False
+            if made[a] > made[b]:
+                before, a = made[a], self.right[a]
+            elif made[b] >= 0:
+                before, b = made[b] + 1, self.left[b]
+            else:
+                return True
+
     def walk(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """Sorted distinct symbol strings -> (word, ids), depth first over their trie."""
-        ids, lengths, pairs, compatible = self.ids, self.lengths, self.pairs, self.compatible
+        goto, ending, length, shorter = self.goto, self.ending, self.length, self.shorter
+        pairs, step, compatible = self.pairs, self.step, self.compatible
         last: list[int] = [0]    # last[d]: last token of the prefix of length d
-        size: list[int] = [0]    # its length in symbols
+        at: list[int] = [0]      # where it stands in the tokens' trie
         before = ""
         for w in words:
-            n, d = len(w), 0
-            top = min(n, len(before), len(last) - 1)
+            d = 0
+            top = min(len(w), len(before))
             while d < top and w[d] == before[d]:
                 d += 1
-            del last[d + 1:], size[d + 1:]
-            while d < n:
+            del last[d + 1:], at[d + 1:]
+            node = at[d]
+            for c in map(ord, w[d:]):
                 d += 1
-                at = d - TAIL if d > TAIL else 0
-                fits = lengths.get(w[at:d])
-                while fits is None and at < d:  # no token ends with all of these symbols
-                    at += 1
-                    fits = lengths.get(w[at:d])
-                for k in fits or ():
-                    if k > d:
-                        continue
-                    t = ids.get(w[d - k:d])
-                    if t is None:
-                        continue
-                    if k == d:
+                to = goto.get((node << CHAR) | c)
+                node = step(node, c) if to is None else to
+                t = ending[node]
+                while t >= 0:
+                    k = d - length[t]
+                    if k == 0:
                         break
-                    ok = pairs.get((last[d - k] << 20) | t)
-                    if ok or (ok is None and compatible(last[d - k], t)):
+                    ok = pairs.get((last[k] << 20) | t)
+                    if ok or (ok is None and compatible(last[k], t)):
                         break
+                    t = shorter[t]
                 else:
                     raise ValueError("the vocabulary has no symbol for a byte")
                 last.append(t)
-                size.append(k)
+                at.append(node)
             out = []
             while d:
-                out.append(last[d])
-                d -= size[d]
+                t = last[d]
+                out.append(t)
+                d -= length[t]
             out.reverse()
             before = w
             yield w, out
 
     def learn(self, words: set[str]) -> None:
-        """Encode byte-level words and keep (number of ids, ids, decoded) for each."""
+        """Encode byte-level words and keep (ids, decoded) for each."""
         sym = sorted(w[:-1] + chr(ord(w[-1]) + END) if self.suffix else w for w in words)
-        text_of = self.text_of
+        text_of, id_text = self.text_of, self.id_text
         for s, ids in self.walk(sym):
             word = s[:-1] + chr(ord(s[-1]) - END) if self.suffix else s
-            self.words[word] = (len(ids), " ".join(map(str, ids)), " ".join([text_of[i] for i in ids]))
+            self.words[word] = (" ".join([id_text[i] for i in ids]), " ".join([text_of[i] for i in ids]))
 
     def cut_text(self, text: str | None) -> list[str]:
         """The words of a text as byte-level strings, special strings as themselves marked by NUL."""
@@ -193,20 +268,31 @@ class TrieBpe:
             self.old, self.words = self.words, {}
         known, old = self.words, self.old
         new = set()
-        for w in distinct:
-            if w not in known:
-                if w in old:
-                    known[w] = old[w]
-                elif w[0] != "\0":
-                    new.add(w)
+        for w in distinct.difference(known):
+            if w in old:
+                known[w] = old[w]
+            elif w[0] != "\0":
+                new.add(w)
+            else:
+                known[w] = (str(self.special[w[1:]]), w[1:])
         self.learn(new)
-        for w in distinct:
-            if w[0] == "\0":
-                i = self.special[w[1:]]
-                known[w] = (1, str(i), w[1:])
         for words in cuts:
-            counts, ids, parts = zip(*map(known.__getitem__, words)) if words else ((), (), ())
-            yield sum(counts), " ".join(ids), " ".join(parts)
+            ids, parts = zip(*map(known.__getitem__, words)) if words else ((), ())
+            joined = " ".join(ids)
+            yield joined.count(" ") + 1 if words else 0, joined, " ".join(parts)
+
+
+def _plain_cutter(pattern: str) -> Callable[[str], list[str]]:
+    """findall of the cutting pattern on texts without characters that PLAIN finds: their letters and numbers are
+    those of Latin-1, listed for the faster module."""
+    import regex
+    chars = [c for c in map(chr, range(256)) if PLAIN.search(c) is None]
+    listed = {k: "".join([re.escape(c) for c in chars if unicodedata.category(c)[0] == k]) for k in "LN"}
+    plain = pattern.replace(r"\p{L}", listed["L"]).replace(r"\p{N}", listed["N"])
+    outside = re.sub(r"\[\^?(?:[^\]\\]|\\.)*\]", "", pattern)
+    if r"\p" in plain or r"\P" in plain or r"\p" in outside:  # classes this does not know, or outside brackets
+        return regex.compile(pattern).findall
+    return re.compile(plain).findall
 
 
 def _byte_characters() -> list[str]:
