@@ -94,6 +94,18 @@ class SparkML(FittedModel):
         return None
 
 
+@dataclass
+class BinnedML(SparkML):
+    """Wrapper of a fitted MLlib tree model over the features' bins, numbered from 1; ``splits``: per feature the
+    thresholds, a value equal to one belongs to the bin below it, a missing one to the last."""
+    splits: list[list[float]] = field(default_factory=list)
+
+    def transform(self, df):
+        bins = [f"__bin{i}" for i in range(len(self.features))]
+        out = SparkML(self.name, bins, self.model, self.task, self.positive_index).transform(_binned(df, self.features, self.splits))
+        return out.drop(*bins)
+
+
 @dataclass
 class Constant(FittedModel):
     name: str
@@ -308,6 +320,91 @@ def _least_squares(g, features, alpha: float, name: str) -> LinearExpr:
     return LinearExpr(name, list(features), a, [float(v) for v in b])
 
 
+# Fixed values of MLlib's trees: bins of a feature, rows from which thresholds are found; and joint bins kept as a table.
+TREE_BINS = 32
+TREE_ROWS = 10_000
+TREE_CELLS = 1 << 16
+
+
+def _thresholds(counts: dict[float, float], wanted: float, bins: int) -> list[float]:
+    """MLlib's thresholds of a continuous feature from the counts of its values other than 0 among about ``wanted``
+    rows: the rest counts as 0; midpoints of values next to each other, all or about equally many rows apart."""
+    rest = wanted - sum(counts.values())
+    if counts and rest > np.finfo(float).eps * sum(counts.values()) * 100:
+        counts = {**counts, 0.0: rest}
+    at = sorted(counts)
+    mid = [(a + b) / 2.0 for a, b in zip(at, at[1:])]
+    if len(mid) <= bins - 1:
+        return mid
+    out, stride, upto = [], wanted / bins, counts[at[0]]
+    target = stride
+    for m, value in zip(mid, at[1:]):
+        before, upto = upto, upto + counts[value]
+        if abs(before - target) < abs(upto - target):
+            out.append(m)
+            target += stride
+    return out
+
+
+def _tree_splits(rows: DataFrame, p: int, n: int, seed: int) -> list[list[float]]:
+    """Thresholds of the features x0, x1, ... as MLlib's trees find them: from all rows up to TREE_ROWS, else from the
+    rows it draws (same seed and partitions, hence the same bins).  All rows are used in the fit itself."""
+    spark = rows.sparkSession
+    share = min(1.0, TREE_ROWS / n)
+    if share < 1.0:
+        draw = spark._jvm.org.apache.spark.util.random.XORShiftRandom(seed).nextInt()
+        drawn = rows._jdf.toJavaRDD().sample(False, share, draw)
+        rows = DataFrame(spark._jsparkSession.createDataFrame(drawn, rows._jdf.schema()), spark)
+    seen = rows.select(F.posexplode(F.array(*[f"x{i}" for i in range(p)])).alias("i", "x")).where("x <> 0")
+    counts: list[dict[float, float]] = [{} for _ in range(p)]
+    for r in seen.groupBy("i", "x").count().collect():  # values of TREE_ROWS rows or so
+        counts[r["i"]][r["x"]] = float(r["count"])
+    return [_thresholds(c, share * n, min(TREE_BINS, n)) for c in counts]
+
+
+def _binned(df: DataFrame, features: Sequence[str], splits: Sequence[Sequence[float]]) -> DataFrame:
+    """``df`` with __bin0, __bin1, ...: the number (from 1) of each feature's bin."""
+    from pyspark.ml.feature import Bucketizer
+    names = [f"__bin{i}" for i in range(len(features))]
+    out = df.select("*", *[q(f).cast("double").alias(c) for f, c in zip(features, names)])
+    cut = [(c, [-math.inf, *[math.nextafter(t, math.inf) for t in s], math.inf]) for c, s in zip(names, splits) if s]
+    if cut:
+        b = Bucketizer(splitsArray=[s for _c, s in cut], inputCols=[c for c, _s in cut], outputCols=[f"{c}b" for c, _s in cut],
+                       handleInvalid="keep")
+        out = b.transform(out)
+    kept = {c for c, _s in cut}
+    return out.select(*[q(c) for c in df.columns],
+                      *[(q(f"{c}b") + 1 if c in kept else F.lit(1.0)).alias(c) for c in names])
+
+
+def _cells(df: DataFrame, features: Sequence[str], label: str, seed: int) -> tuple[DataFrame, list[list[float]]] | None:
+    """What a regression tree without row sampling needs of all rows, per combination of bins (written; __features,
+    __label, __weight), and the bins' thresholds: two labels, mean - sd and mean + sd, each with half of the rows'
+    weight, have the rows' count, sum and sum of squares, and so have the residuals of later trees.  Impurities,
+    gains and means follow from these alone.  None if there may be too many combinations to be worth it."""
+    from pyspark import StorageLevel
+    p = len(features)
+    rows = df.where(q(label).isNotNull()).select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
+                                                 q(label).cast("double").alias("__label"))
+    rows = rows.where(" AND ".join(f"x{i} IS NOT NULL AND NOT isnan(x{i})" for i in range(p))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = rows.count()
+        if n == 0:
+            return None
+        splits = _tree_splits(rows, p, n, seed)
+        if math.prod(len(s) + 1 for s in splits) > TREE_CELLS:
+            return None
+        names = [f"__bin{i}" for i in range(p)]
+        cells = _binned(rows, [f"x{i}" for i in range(p)], splits).groupBy(*names).agg(
+            F.avg("__label").alias("m"), F.stddev_pop("__label").alias("s"), F.count(F.lit(1)).alias("n"))
+        cells = cells.select(*names, F.expr("explode(if(s = 0, array(m), array(m - s, m + s)))").alias("__label"),
+                             F.expr("if(s = 0, n, n / 2)").cast("double").alias("__weight"))
+        cells = VectorAssembler(inputCols=names, outputCol="__features").transform(written(cells, "tree-cells"))
+    finally:
+        rows.unpersist()
+    return cells.select("__features", "__label", "__weight"), splits
+
+
 def _pop_sd(df, label) -> float:
     return float(df.agg(F.stddev_pop(q(label).cast("double"))).first()[0] or 1.0)
 
@@ -352,9 +449,16 @@ def fit_huber(df, features, label, epsilon: float = 1.35, alpha: float = 0.0, na
 def fit_forest(df, features, label, task="regression", n_trees: int = 100, max_depth: int = 30,
                min_leaf: int = 1, bootstrap: bool = True, seed: int = 42, name: str = "rf") -> SparkML:
     """Random forest; ``bootstrap=False`` with sqrt features is the declared
-    stand-in for extremely randomised trees (ops 132, 133)."""
+    stand-in for extremely randomised trees (ops 132, 133).  Regression without
+    row sampling is fitted on counts and means per combination of bins."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
+    if task == "regression" and not bootstrap and min_leaf <= 1 and (found := _cells(df, features, label, seed)):
+        cells, splits = found
+        m = RandomForestRegressor(featuresCol="__features", labelCol="__label", weightCol="__weight", numTrees=n_trees,
+                                  maxDepth=min(max_depth, 30), bootstrap=False, seed=seed, maxBins=TREE_BINS,
+                                  featureSubsetStrategy="sqrt").fit(cells)
+        return BinnedML(name, list(features), m, task, splits=splits)
     cls = RandomForestRegressor if task == "regression" else RandomForestClassifier
     m = _fit(cls(featuresCol="__features", labelCol="__label", numTrees=n_trees, maxDepth=min(max_depth, 30),
             minInstancesPerNode=min_leaf, bootstrap=bootstrap, seed=seed,
