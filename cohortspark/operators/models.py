@@ -468,9 +468,15 @@ def fit_forest(df, features, label, task="regression", n_trees: int = 100, max_d
 
 def fit_boosting(df, features, label, task="regression", max_depth: int = 3, step: float = 0.1,
                  rounds: int = 100, seed: int = 42, name: str = "histgb") -> SparkML:
-    """Gradient-boosted trees (op 134); multiclass via one-vs-rest."""
+    """Gradient-boosted trees (op 134); multiclass via one-vs-rest.  Regression
+    is fitted on counts and means per combination of bins."""
     from pyspark.ml.classification import GBTClassifier, OneVsRest
     from pyspark.ml.regression import GBTRegressor
+    if task == "regression" and (found := _cells(df, features, label, seed)):
+        cells, splits = found
+        m = GBTRegressor(featuresCol="__features", labelCol="__label", weightCol="__weight", maxDepth=max_depth,
+                         stepSize=step, maxIter=rounds, seed=seed, maxBins=TREE_BINS).fit(cells)
+        return BinnedML(name, list(features), m, task, splits=splits)
     t = _assemble(df, features, label)
     if task == "regression":
         m = GBTRegressor(featuresCol="__features", labelCol="__label", maxDepth=max_depth, stepSize=step,
