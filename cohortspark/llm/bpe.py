@@ -33,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import RELEASE, by_text_chars, map_arrow
+from cohortspark.llm.common import RELEASE, by_text_chars, give_back, map_arrow
 
 END = 0x1000  # a symbol that ends a word is its character shifted by this
+TEXT_CHARS = 500_000  # of a batch: the words of its texts are held as strings
 MEMO_WORDS = 150_000  # words kept by a worker between batches; speed only, results do not depend on it
 MEMO_PAIRS = 400_000
 MEMO_STEPS = 400_000  # steps over failure links kept beside the edges of the tokens' trie
@@ -313,13 +314,14 @@ def model(path: str) -> TrieBpe:
     """One model per worker process and file."""
     if path not in _MODELS:
         _MODELS[path] = TrieBpe(path)
+        give_back()  # the file as read takes more memory than the model
     return _MODELS[path]
 
 
 def _run(docs: DataFrame, path: str, fields: Callable, names: list[str], types: list, schema: str) -> DataFrame:
     def encode(batches):
         m = model(path)
-        for b in by_text_chars(batches, 2_000_000):
+        for b in by_text_chars(batches, TEXT_CHARS):
             rows = [fields(*x) for x in m.encode_batch(b.column(1).to_pylist())]
             cols = list(zip(*rows)) or [[] for _ in types]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]],

@@ -59,7 +59,11 @@ def by_text_chars(batches: Iterator[pa.RecordBatch], max_chars: int, max_rows: i
             lo = hi
 
 
-ARROW_BYTES = 16 << 20
+#: of a batch to and from a worker; the executor holds one up to four times (column and stream buffers, doubled as they grow)
+ARROW_BYTES = 4 << 20
+#: bytes of text that numpy works on at once, some 50 to 100 bytes of memory each; with their separators less than
+#: the 1 << 18 powers that the hashes of words keep
+BATCH_CHARS = 250_000
 #: operator -> what drops the models and memos it keeps between the tasks of one worker
 RELEASE: dict[str, Callable[[], None]] = {}
 
@@ -81,22 +85,27 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str, keeps: str | None = None
         for name, drop in common.RELEASE.items():
             if name != keeps:
                 drop()
+        common.trim()
         try:
             yield from fn(batches)
         finally:
-            common._give_back()
+            common.give_back()
 
     return df.mapInArrow(task, schema)
 
 
-def _give_back() -> None:
-    import ctypes
+def give_back() -> None:
     import gc
     gc.collect()
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU libc
-    if trim:
-        trim(0)
+    trim()
+
+
+def trim() -> None:
+    import ctypes
+    malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU libc
+    if malloc_trim:
+        malloc_trim(0)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import by_text_chars, map_arrow, saved
+from cohortspark.llm.common import BATCH_CHARS, by_text_chars, map_arrow, saved
 from cohortspark.llm.shingles import word_hashes
 
 FEATURES = 1 << 16
@@ -50,7 +50,7 @@ WINDOW = 64
 LEAST_IDF = 0.1
 RUN = 5
 BLOCKS = 8
-BATCH_CHARS = 1_000_000
+WINDOWS = 256  # projected at once, at most WINDOW rows of the latent space each
 
 _GAP = np.ones(256, dtype=bool)
 _GAP[128:] = False
@@ -344,14 +344,15 @@ def _search(shared, cosine, lcs, lcs_paraphrase, answer):
                     # |projection| <= sqrt(words) times the length of the known part: repeated words add up
                     live = np.flatnonzero(marked | (known * 4 >= (cosine * norm) ** 2))
                     edge = np.searchsorted(of[hit], np.arange(total + 1))
-                    for c in range(0, len(live), 2048):
-                        part = live[c:c + 2048]
+                    for c in range(0, len(live), WINDOWS):
+                        part = live[c:c + WINDOWS]
                         nxt = part + follows[part]
                         half_at = np.union1d(part, nxt)  # half windows, each projected once
                         a, z = edge[half_at], edge[half_at + 1]
                         take = np.concatenate([hit[i:j] for i, j in zip(a, z)])
                         ends = np.cumsum(z - a)
-                        vecs = v[row[take]] * w[take][:, None]
+                        vecs = v[row[take]]
+                        vecs *= w[take][:, None]
                         some = z > a
                         halves = np.zeros((len(half_at), v.shape[1]), dtype=np.float32)
                         if some.any():

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import RELEASE, by_text_chars, map_arrow
+from cohortspark.llm.common import BATCH_CHARS, RELEASE, by_text_chars, map_arrow
 
-BATCH_CHARS = 1_000_000
+FOLD_ROWS = 300_000  # counts that a task holds besides its sums; speed and memory only
 _LETTER: list[np.ndarray] = []
 RELEASE["lang_id"] = _LETTER.clear
 
@@ -106,8 +106,8 @@ def learn_profiles(docs: DataFrame, profile_size: int = 400) -> dict[str, list[i
             got = gram_counts(b.column(0).to_pylist(), np.array([at[x] for x in langs]))
             if len(got[0]):
                 total.append(got)
-            if len(total) > 16:
-                fold()
+                if sum(len(x[0]) for x in total[1:]) > max(FOLD_ROWS, len(total[0][0])):
+                    fold()
             if len(names) > 8000:  # numbers of languages must fit the key: hand on and start anew
                 if total:
                     yield emit()

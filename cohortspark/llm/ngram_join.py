@@ -32,6 +32,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,12 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import BROADCAST_IDS, by_text_chars, components, map_arrow, saved
+from cohortspark.llm.common import BATCH_CHARS, BROADCAST_IDS, by_text_chars, components, map_arrow, saved
 from cohortspark.llm.shingles import bitmap, mix, shingle_sets
 
-BATCH_CHARS = 2_000_000
 LEAF = 32
-REPORT_SHINGLES = 1_500_000  # shingles that a task holds before it reports the frequent ones: 12 MB, twice while sorting
+REPORT_SHINGLES = 1_500_000  # shingles that a task holds before it reports the frequent ones: 12 MB, twice while they are joined
 REPORT_LEAST = 4
 
 
@@ -62,13 +62,10 @@ def _heavy_shingles(docs: DataFrame, k: int, heavy: float) -> np.ndarray:
         def report():
             all_s = np.concatenate(held)
             held.clear()
-            all_s.sort()
-            first = np.flatnonzero(np.concatenate(([True], all_s[1:] != all_s[:-1])))
-            n = np.diff(np.append(first, len(all_s)))
-            many = n >= max(REPORT_LEAST, heavy / 2 * docs_seen)
+            many, n = frequent(all_s, max(REPORT_LEAST, heavy / 2 * docs_seen))
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.append(all_s[first][many].view(np.int64), 0)),
-                 pa.array(np.append(n[many], 0)), pa.array(np.append(np.zeros(many.sum(), np.int64), docs_seen))],
+                [pa.array(np.append(many.view(np.int64), 0)),
+                 pa.array(np.append(n, 0)), pa.array(np.append(np.zeros(len(many), np.int64), docs_seen))],
                 ["token", "n", "docs"])
 
         held, size, docs_seen = [], 0, 0
@@ -91,6 +88,15 @@ def _heavy_shingles(docs: DataFrame, k: int, heavy: float) -> np.ndarray:
     return np.sort(np.array([r["token"] for r in rows], dtype=np.int64).view(np.uint64))
 
 
+def frequent(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Values that occur ``least`` times or more, in order, and how often; sorts ``x`` in place."""
+    x.sort()
+    gap = math.ceil(least) - 1
+    ends = x[gap:]  # a value so frequent stands at both ends of a stretch
+    many = np.unique(ends[ends == x[:len(ends)]])
+    return many, np.searchsorted(x, many, side="right") - np.searchsorted(x, many)
+
+
 def _sets(docs: DataFrame, k: int, num: int, den: int, heavy: np.ndarray) -> DataFrame:
     """doc_id, n, fp1, fp2, prefix array<long>, bits binary."""
     sc = docs.sparkSession.sparkContext
