@@ -84,8 +84,9 @@ class TrieBpe:
         self._read_merges(last_two)
         self._build_trie()
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[str, str]] = {}
-        self.old: dict[str, tuple[str, str]] = {}
+        self.words: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.shown = {str(i): t for i, t in self.text_of.items()}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.cut = _plain_cutter(pattern)
         self.byte_char = _byte_characters()
@@ -228,12 +229,12 @@ class TrieBpe:
             yield w, out
 
     def learn(self, words: set[str]) -> None:
-        """Encode byte-level words and keep (ids, decoded) for each."""
+        """Encode byte-level words and keep the ids of each, joined by blanks."""
         sym = sorted(w[:-1] + chr(ord(w[-1]) + END) if self.suffix else w for w in words)
-        text_of, id_text = self.text_of, self.id_text
+        id_text = self.id_text
         for s, ids in self.walk(sym):
             word = s[:-1] + chr(ord(s[-1]) - END) if self.suffix else s
-            self.words[word] = (" ".join([id_text[i] for i in ids]), " ".join([text_of[i] for i in ids]))
+            self.words[word] = " ".join([id_text[i] for i in ids])
 
     def cut_text(self, text: str | None) -> list[str]:
         """The words of a text as byte-level strings, special strings as themselves marked by NUL."""
@@ -267,7 +268,7 @@ class TrieBpe:
         distinct = set().union(*cuts) if cuts else set()
         if len(self.words) + len(distinct) > MEMO_WORDS:  # two generations: words in use move on
             self.old, self.words = self.words, {}
-        known, old = self.words, self.old
+        known, old, shown = self.words, self.old, self.shown
         new = set()
         for w in distinct.difference(known):
             if w in old:
@@ -275,12 +276,12 @@ class TrieBpe:
             elif w[0] != "\0":
                 new.add(w)
             else:
-                known[w] = (str(self.special[w[1:]]), w[1:])
+                known[w] = str(self.special[w[1:]])
         self.learn(new)
         for words in cuts:
-            ids, parts = zip(*map(known.__getitem__, words)) if words else ((), ())
-            joined = " ".join(ids)
-            yield joined.count(" ") + 1 if words else 0, joined, " ".join(parts)
+            joined = " ".join(map(known.__getitem__, words))
+            ids = joined.split(" ") if words else []
+            yield len(ids), joined, " ".join(map(shown.__getitem__, ids))
 
 
 def _plain_cutter(pattern: str) -> Callable[[str], list[str]]:

@@ -50,7 +50,9 @@ WINDOW = 64
 LEAST_IDF = 0.1
 RUN = 5
 BLOCKS = 8
-WINDOWS = 256  # projected at once, at most WINDOW rows of the latent space each
+SEARCHED_CHARS = 1_000_000  # bytes of text searched at once, hashed in slices of BATCH_CHARS
+COMPARED = 2048  # windows compared with all passages at once
+PROJECTED = 256  # windows projected at once, at most WINDOW rows of the latent space each
 
 _GAP = np.ones(256, dtype=bool)
 _GAP[128:] = False
@@ -311,14 +313,36 @@ def _space(block: DataFrame, idf: np.ndarray, rank: int) -> tuple:
     return place, v, latent, items, [w.tolist() for w in words], rare, run_index(words)
 
 
+def _projections(window: np.ndarray, nxt: np.ndarray, hit: np.ndarray, edge: np.ndarray, v: np.ndarray,
+                 row: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Rows in the latent space of windows that begin with the half ``window`` and end with the half ``nxt`` (may be
+    the same: a last half); the known words of half i are hit[edge[i]:edge[i + 1]]."""
+    half_at = np.union1d(window, nxt)  # half windows, each projected once
+    a, z = edge[half_at], edge[half_at + 1]
+    take = np.concatenate([hit[i:j] for i, j in zip(a, z)])
+    ends = np.cumsum(z - a)
+    vecs = v[row[take]]
+    vecs *= w[take][:, None]
+    some = z > a
+    halves = np.zeros((len(half_at), v.shape[1]), dtype=np.float32)
+    if some.any():
+        halves[some] = np.add.reduceat(vecs, (ends - (z - a))[some], axis=0)
+    proj = halves[np.searchsorted(half_at, window)]
+    two = nxt != window
+    proj[two] += halves[np.searchsorted(half_at, nxt[two])]
+    return proj
+
+
 def _search(shared, cosine, lcs, lcs_paraphrase, answer):
     def search(batches):
         weight, spaces = shared.value
         half = WINDOW // 2
-        for b in by_text_chars(batches, BATCH_CHARS):
-            all_words, at = _words(b.column(1).to_pylist())
+        for b in by_text_chars(batches, SEARCHED_CHARS):
+            hashed = [_words(x.column(1).to_pylist()) for x in by_text_chars(iter([b]), BATCH_CHARS)]
+            all_words = np.concatenate([x for x, _ in hashed])
+            size = np.concatenate([np.diff(x) for _, x in hashed])
+            at = np.concatenate(([0], np.cumsum(size)))
             ids = b.column(0).to_pylist()
-            size = np.diff(at)
             n_blocks = -(-size // half)
             first = np.concatenate(([0], np.cumsum(n_blocks)))
             total = int(first[-1])
@@ -344,21 +368,12 @@ def _search(shared, cosine, lcs, lcs_paraphrase, answer):
                     # |projection| <= sqrt(words) times the length of the known part: repeated words add up
                     live = np.flatnonzero(marked | (known * 4 >= (cosine * norm) ** 2))
                     edge = np.searchsorted(of[hit], np.arange(total + 1))
-                    for c in range(0, len(live), WINDOWS):
-                        part = live[c:c + WINDOWS]
-                        nxt = part + follows[part]
-                        half_at = np.union1d(part, nxt)  # half windows, each projected once
-                        a, z = edge[half_at], edge[half_at + 1]
-                        take = np.concatenate([hit[i:j] for i, j in zip(a, z)])
-                        ends = np.cumsum(z - a)
-                        vecs = v[row[take]]
-                        vecs *= w[take][:, None]
-                        some = z > a
-                        halves = np.zeros((len(half_at), v.shape[1]), dtype=np.float32)
-                        if some.any():
-                            halves[some] = np.add.reduceat(vecs, (ends - (z - a))[some], axis=0)
-                        proj = halves[np.searchsorted(half_at, part)]
-                        proj[follows[part]] += halves[np.searchsorted(half_at, nxt[follows[part]])]
+                    for c in range(0, len(live), COMPARED):
+                        part = live[c:c + COMPARED]
+                        proj = np.empty((len(part), v.shape[1]), dtype=np.float32)
+                        for k in range(0, len(part), PROJECTED):
+                            some = part[k:k + PROJECTED]
+                            proj[k:k + PROJECTED] = _projections(some, some + follows[some], hit, edge, v, row, w)
                         long_enough = np.flatnonzero(marked[part] | ((proj * proj).sum(axis=1) >= (cosine * norm[part]) ** 2))
                         sims = proj[long_enough] @ latent.T / norm[part[long_enough]][:, None]
                         wanted = sims >= cosine
