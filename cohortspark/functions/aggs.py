@@ -112,13 +112,18 @@ def distinct_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     return {c: counts.get(i, 0) for i, c in enumerate(cols)}
 
 
-def reduce_partials(partials, add: Callable) -> dict:
-    """RDD of (key, partial result of a task) -> key -> total, in two steps:
-    groups of tasks first, so that no reducer gets one record of every task
-    even where all tasks share one key."""
+def sum_partials(partials, add: Callable):
+    """RDD of (key, partial result of a task) -> RDD of (key, total), in two
+    steps: groups of tasks first, so that no reducer gets one record of every
+    task even where all tasks share one key."""
     n = partials.getNumPartitions()
     fan = max(int(n ** 0.5), 1)
     if fan > 2:
         grouped = partials.mapPartitionsWithIndex(lambda i, rows: (((k, i % fan), v) for k, v in rows))
         partials = grouped.reduceByKey(add).map(lambda kv: (kv[0][0], kv[1]))
-    return dict(partials.reduceByKey(add).collect())
+    return partials.reduceByKey(add)
+
+
+def reduce_partials(partials, add: Callable) -> dict:
+    """``sum_partials`` as a dict on the driver."""
+    return dict(sum_partials(partials, add).collect())

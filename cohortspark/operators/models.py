@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortspark.functions.aggs import sum_partials
 from cohortspark.functions.columns import is_numeric_type, q
 from cohortspark.functions.quantiles import modes
 from cohortspark.operators.gram import gram, total
@@ -106,6 +107,26 @@ class BinnedML(SparkML):
         return out.drop(*bins)
 
 
+@dataclass
+class CellForest(FittedModel):
+    """Regression forest over the features' bins: ``values`` has the mean of all trees for every combination of bins
+    (last feature fastest); thresholds and missing values as in ``BinnedML``."""
+    name: str
+    features: list[str]
+    splits: list[list[float]]
+    values: np.ndarray
+    task: str = "regression"
+
+    def transform(self, df):
+        splits, values = self.splits, self.values
+
+        @F.pandas_udf("double")
+        def score(*x: pd.Series) -> pd.Series:
+            return pd.Series(values[_cell_numbers([v.to_numpy(dtype="float64") for v in x], splits)])
+
+        return df.withColumn("prediction", score(*[q(f).cast("double") for f in self.features]))
+
+
 @dataclass
 class Constant(FittedModel):
     name: str
@@ -320,10 +341,13 @@ def _least_squares(g, features, alpha: float, name: str) -> LinearExpr:
     return LinearExpr(name, list(features), a, [float(v) for v in b])
 
 
-# Fixed values of MLlib's trees: bins of a feature, rows from which thresholds are found; and joint bins kept as a table.
+# Fixed values of MLlib's trees: bins of a feature, rows from which thresholds are found; and joint bins kept as a table,
+# joint bins x trees summed in one pass over the rows, and rows x trees weighted at once.
 TREE_BINS = 32
 TREE_ROWS = 10_000
 TREE_CELLS = 1 << 16
+BAG_CELLS = 1 << 21
+BAG_WEIGHTS = 1 << 20
 
 
 def _thresholds(counts: dict[float, float], wanted: float, bins: int) -> list[float]:
@@ -377,22 +401,33 @@ def _binned(df: DataFrame, features: Sequence[str], splits: Sequence[Sequence[fl
                       *[(q(f"{c}b") + 1 if c in kept else F.lit(1.0)).alias(c) for c in names])
 
 
+def _tree_rows(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """The complete rows as x0, x1, ... and __label, persisted; the caller releases them."""
+    from pyspark import StorageLevel
+    rows = df.where(q(label).isNotNull()).select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
+                                                 q(label).cast("double").alias("__label"))
+    return rows.where(" AND ".join(f"x{i} IS NOT NULL AND NOT isnan(x{i})" for i in range(len(features)))).persist(
+        StorageLevel.MEMORY_AND_DISK)
+
+
+def _tree_bins(rows: DataFrame, p: int, seed: int) -> list[list[float]] | None:
+    """Thresholds of the features; None without rows or with too many combinations of bins to be worth it."""
+    n = rows.count()
+    if n == 0:
+        return None
+    splits = _tree_splits(rows, p, n, seed)
+    return None if math.prod(len(s) + 1 for s in splits) > TREE_CELLS else splits
+
+
 def _cells(df: DataFrame, features: Sequence[str], label: str, seed: int) -> tuple[DataFrame, list[list[float]]] | None:
     """What a regression tree without row sampling needs of all rows, per combination of bins (written; __features,
     __label, __weight), and the bins' thresholds: two labels, mean - sd and mean + sd, each with half of the rows'
     weight, have the rows' count, sum and sum of squares, and so have the residuals of later trees.  Impurities,
     gains and means follow from these alone.  None if there may be too many combinations to be worth it."""
-    from pyspark import StorageLevel
     p = len(features)
-    rows = df.where(q(label).isNotNull()).select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
-                                                 q(label).cast("double").alias("__label"))
-    rows = rows.where(" AND ".join(f"x{i} IS NOT NULL AND NOT isnan(x{i})" for i in range(p))).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = _tree_rows(df, features, label)
     try:
-        n = rows.count()
-        if n == 0:
-            return None
-        splits = _tree_splits(rows, p, n, seed)
-        if math.prod(len(s) + 1 for s in splits) > TREE_CELLS:
+        if (splits := _tree_bins(rows, p, seed)) is None:
             return None
         names = [f"__bin{i}" for i in range(p)]
         cells = _binned(rows, [f"x{i}" for i in range(p)], splits).groupBy(*names).agg(
@@ -405,6 +440,109 @@ def _cells(df: DataFrame, features: Sequence[str], label: str, seed: int) -> tup
     return cells.select("__features", "__label", "__weight"), splits
 
 
+def _cell_numbers(x: Sequence[np.ndarray], splits: Sequence[Sequence[float]]) -> np.ndarray:
+    """The combination of bins of each row, from 0; a value equal to a threshold is below it, a missing one last."""
+    at = np.zeros(len(x[0]), dtype="int64")
+    for v, s in zip(x, splits):
+        at = at * (len(s) + 1) + np.searchsorted(np.asarray(s, dtype="float64"), v, side="left")
+    return at
+
+
+def _bag_sums(splits: Sequence[Sequence[float]], trees: range, center: float) -> Callable:
+    """For mapInPandas: per tree, the drawn rows and the sum of their labels less ``center`` in every combination of
+    bins.  Each row is drawn a Poisson(1) number of times for each tree."""
+    from cohortspark.operators.resample import poisson_weights
+    n_cells, step = math.prod(len(s) + 1 for s in splits), max(1, BAG_WEIGHTS // len(trees))
+
+    def fn(batches):
+        n, total = np.zeros((len(trees), n_cells)), np.zeros((len(trees), n_cells))
+        for pdf in batches:
+            cell = _cell_numbers([pdf[f"x{i}"].to_numpy(dtype="float64") for i in range(len(splits))], splits)
+            h, y = pdf["__h"].to_numpy(dtype="int64"), pdf["__label"].to_numpy(dtype="float64") - center
+            for a in range(0, len(cell), step):
+                c, yc = cell[a:a + step], y[a:a + step]
+                for j, w in enumerate(np.ascontiguousarray(poisson_weights(h[a:a + step], len(trees)).T)):
+                    n[j] += np.bincount(c, w, n_cells)
+                    total[j] += np.bincount(c, w * yc, n_cells)
+        for j, tree in enumerate(trees if n.any() else ()):
+            yield pd.DataFrame({"tree": [tree], "n": [n[j].tobytes()], "s": [total[j].tobytes()]})
+    return fn
+
+
+def _grow(n: np.ndarray, s: np.ndarray, bins: Sequence[int], per_node: int, max_depth: int, min_leaf: int, rng) -> np.ndarray:
+    """The prediction of MLlib's regression tree for every combination of bins, from the drawn rows ``n`` and label
+    sums ``s`` in them: at each node the best split of ``per_node`` features drawn for it, a leaf where none of them
+    lowers the squared error.  A node is a box of combinations."""
+    axes = [i for i, m in enumerate(bins) if m > 1]
+    axis_of = {f: j for j, f in enumerate(axes)}
+    n, s = (v.reshape([bins[i] for i in axes]) for v in (n, s))
+    out = np.empty(s.shape)
+    todo = [(tuple(slice(0, bins[i]) for i in axes), 0)]
+    while todo:
+        box, depth = todo.pop()
+        nb, sb = n[box], s[box]
+        rows, total = int(nb.sum()), float(sb.sum())
+        best, cut = 0.0, None
+        for f in (sorted(rng.permutation(len(bins))[:per_node]) if depth < max_depth and rows >= 2 * min_leaf else ()):
+            j = axis_of.get(int(f))
+            if j is None or nb.shape[j] < 2:
+                continue
+            others = tuple(a for a in range(nb.ndim) if a != j)
+            left, ls = np.cumsum(nb.sum(others))[:-1], np.cumsum(sb.sum(others))[:-1]
+            ok = np.flatnonzero((left >= min_leaf) & (rows - left >= min_leaf))
+            if not len(ok):
+                continue
+            left, ls = left[ok], ls[ok]
+            gain = ls * ls / left + (total - ls) ** 2 / (rows - left) - total * total / rows
+            k = int(gain.argmax())
+            if gain[k] > best:
+                best, cut = gain[k], (j, box[j].start + int(ok[k]) + 1)
+        if cut is None:
+            out[box] = total / rows if rows else 0.0
+            continue
+        j, at = cut
+        todo.append((box[:j] + (slice(at, box[j].stop),) + box[j + 1:], depth + 1))
+        todo.append((box[:j] + (slice(box[j].start, at),) + box[j + 1:], depth + 1))
+    return out.ravel()
+
+
+def _fit_cell_forest(df, features, label, n_trees: int, max_depth: int, min_leaf: int, seed: int, name: str) -> CellForest | None:
+    """All trees of a bagged regression forest from one pass over the rows: what a tree needs of its drawn rows is
+    their count and label sum per combination of bins.  Tasks add these up, then each tree is grown in a task of its
+    own.  Bins, features a node tries and stopping rules are MLlib's; draws are numbered rows', as MLlib's are.  None
+    if there may be too many combinations."""
+    p = len(features)
+    rows = _tree_rows(df, features, label)
+    try:
+        splits = _tree_bins(rows, p, seed)
+        center = rows.agg(F.avg("__label")).first()[0] if splits is not None else None
+        if center is None or not math.isfinite(center):  # MLlib refuses such labels
+            return None
+        bins = [len(s) + 1 for s in splits]
+        per_node, min_leaf = p if n_trees == 1 else -(-p // 3), max(min_leaf, 1)
+        step = max(1, BAG_CELLS // math.prod(bins))
+
+        def to_np(r):
+            return r["tree"], (np.frombuffer(r["n"]), np.frombuffer(r["s"]))
+
+        def add(a, b):
+            return a[0] + b[0], a[1] + b[1]
+
+        def grow(kv):
+            return kv[0], _grow(*kv[1], bins, per_node, max_depth, min_leaf, np.random.default_rng([seed & (2 ** 64 - 1), kv[0]]))
+
+        values = np.zeros(math.prod(bins))
+        for at in range(0, n_trees, step):
+            trees = range(at, min(at + step, n_trees))
+            drawn = rows.withColumn("__h", F.xxhash64(F.lit(seed), F.lit(at), F.monotonically_increasing_id()))
+            parts = drawn.mapInPandas(_bag_sums(splits, trees, center), "tree long, n binary, s binary")
+            for _tree, v in sorted(sum_partials(parts.rdd.map(to_np), add).map(grow).collect(), key=lambda kv: kv[0]):
+                values += v
+    finally:
+        rows.unpersist()
+    return CellForest(name, list(features), splits, values / n_trees + center)
+
+
 def _pop_sd(df, label) -> float:
     return float(df.agg(F.stddev_pop(q(label).cast("double"))).first()[0] or 1.0)
 
@@ -447,12 +585,17 @@ def fit_huber(df, features, label, epsilon: float = 1.35, alpha: float = 0.0, na
 
 
 def fit_forest(df, features, label, task="regression", n_trees: int = 100, max_depth: int = 30,
-               min_leaf: int = 1, bootstrap: bool = True, seed: int = 42, name: str = "rf") -> SparkML:
+               min_leaf: int = 1, bootstrap: bool = True, seed: int = 42, name: str = "rf",
+               cells: bool = False) -> FittedModel:
     """Random forest; ``bootstrap=False`` with sqrt features is the declared
     stand-in for extremely randomised trees (ops 132, 133).  Regression without
-    row sampling is fitted on counts and means per combination of bins."""
+    row sampling is fitted on counts and means per combination of bins; with
+    ``cells`` so is regression on bootstrap rows, with other draws than MLlib's."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
+    if cells and task == "regression" and bootstrap and (
+            forest := _fit_cell_forest(df, features, label, n_trees, min(max_depth, 30), min_leaf, seed, name)):
+        return forest
     if task == "regression" and not bootstrap and min_leaf <= 1 and (found := _cells(df, features, label, seed)):
         cells, splits = found
         m = RandomForestRegressor(featuresCol="__features", labelCol="__label", weightCol="__weight", numTrees=n_trees,
